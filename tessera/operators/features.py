@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -180,23 +180,40 @@ def rfe_select(df: DataFrame, target: str, cols: Sequence[str] | None = None,
 
 # ----------------------------------------------------------------- reduction
 
-def covariance(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, sample covariance, n) of the rows without nulls, aggregated on
-    the executors; only d and d x d numbers come back."""
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_ts_v",
-                          handleInvalid="skip").transform(df.select(*[_x(c).alias(c) for c in cols]))
-    summary = vec.select(Summarizer.metrics("mean", "variance", "count")
-                         .summary(F.col("_ts_v")).alias("s")).first()["s"]
+def as_array(cols: Sequence[str]) -> Column:
+    """All feature columns as one array<double> column.  A single array
+    keeps plans small when there are many features (one null predicate
+    instead of one per column)."""
+    return F.array(*[F.col(c).cast("double") for c in cols])
+
+
+def complete(arr: Column) -> Column:
+    """True when no element is null or NaN."""
+    return F.forall(arr, lambda x: x.isNotNull() & ~F.isnan(x))
+
+
+def covariance_of(vectors: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean, sample covariance, n) of a vector column, aggregated on the
+    executors (``Summarizer`` and ``Correlation`` tree-aggregate); only d and
+    d x d numbers come back."""
+    summary = vectors.select(Summarizer.metrics("mean", "variance", "count")
+                             .summary(F.col(vec)).alias("s")).first()["s"]
     mean = summary["mean"].toArray()
     var = summary["variance"].toArray()
     n = int(summary["count"])
-    corr = Correlation.corr(vec, "_ts_v").first()[0].toArray()
+    corr = Correlation.corr(vectors, vec).first()[0].toArray()
     std = np.sqrt(np.maximum(var, 0.0))
     cov = np.nan_to_num(corr) * np.outer(std, std)
     np.fill_diagonal(cov, var)
     return mean, cov, n
 
 
+def covariance(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Covariance of the rows without a missing value in ``cols``."""
+    arr = df.select(as_array(cols).alias("_ts_a")).where(complete(F.col("_ts_a")))
+    return covariance_of(arr.select(array_to_vector("_ts_a").alias("_ts_v")), "_ts_v")
+
+
 def _flip_signs(components: np.ndarray) -> np.ndarray:
     """Largest-magnitude loading of every component made positive."""
     out = components.copy()
@@ -208,7 +225,8 @@ def _flip_signs(components: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Projection:
-    """Fitted linear projection ``(x - centre) @ weights.T``."""
+    """Fitted linear projection ``(x - centre) @ weights.T``, evaluated as
+    array expressions (``zip_with`` + ``aggregate``), not per-row Python."""
 
     cols: tuple[str, ...]
     centre: tuple[float, ...]
@@ -216,14 +234,13 @@ class Projection:
     names: tuple[str, ...]
 
     def columns(self) -> list[Column]:
+        centred = F.zip_with(as_array(self.cols), F.array(*[F.lit(float(m)) for m in self.centre]),
+                             lambda x, m: x - m)
         out = []
         for name, w in zip(self.names, self.weights):
-            terms = [(_x(c) - F.lit(float(m))) * F.lit(float(wj))
-                     for c, m, wj in zip(self.cols, self.centre, w)]
-            expr = terms[0]
-            for t in terms[1:]:
-                expr = expr + t
-            out.append(expr.alias(name))
+            terms = F.zip_with(centred, F.array(*[F.lit(float(v)) for v in w]),
+                               lambda x, v: x * v)
+            out.append(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t).alias(name))
         return out
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -256,22 +273,26 @@ def fit_lda(df: DataFrame, target: str, cols: Sequence[str], n_components: int =
     covariance of class-centred rows (means attached by a broadcast join of
     a table with one row per class).
     """
-    data = df.select(*[_x(c).alias(c) for c in cols], target).dropna()
-    per_class = data.groupBy(target).agg(F.count(F.lit(1)).alias("_n"),
-                                         *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)])
+    data = (df.select(F.col(target), as_array(cols).alias("_ts_a"))
+              .where(F.col(target).isNotNull() & complete(F.col("_ts_a"))))
+    per_class = data.groupBy(target).agg(
+        F.count(F.lit(1)).alias("_n"),
+        Summarizer.mean(array_to_vector("_ts_a")).alias("_m"))
     rows = per_class.collect()
     if len(rows) < 2:
         raise ValueError("LDA needs at least two classes")
-    classes = [r[target] for r in rows]
     counts = np.array([r["_n"] for r in rows], dtype=float)
-    means = np.array([[r[f"_m{i}"] for i in range(len(cols))] for r in rows])
-    n, g = counts.sum(), len(classes)
+    means = np.array([r["_m"].toArray() for r in rows])
+    n, g = counts.sum(), len(rows)
     priors = counts / n
     xbar = priors @ means
-    small = df.sparkSession.createDataFrame(rows, per_class.schema)
+    tdt = df.schema[target].dataType.simpleString()
+    small = df.sparkSession.createDataFrame(
+        [(r[target], [float(v) for v in r["_m"].toArray()]) for r in rows],
+        f"`{target}` {tdt}, _ts_m array<double>")
     centred = data.join(F.broadcast(small), target).select(
-        *[(F.col(c) - F.col(f"_m{i}")).alias(c) for i, c in enumerate(cols)])
-    _, within_cov, _ = covariance(centred, cols)
+        array_to_vector(F.zip_with("_ts_a", "_ts_m", lambda a, b: a - b)).alias("_ts_v"))
+    _, within_cov, _ = covariance_of(centred, "_ts_v")
     # Xc has zero mean, so its Gram matrix is (n-1) * sample covariance.
     gram = within_cov * (n - 1)
     std = np.sqrt(np.diag(gram) / n)

@@ -23,13 +23,19 @@ _DEFAULT_CONF = {
 
 
 def get_session(master: str | None = None, app_name: str = "tessera",
-                shuffle_partitions: int | None = None,
+                shuffle_partitions: int | None = None, driver_memory: str | None = "8g",
                 conf: dict[str, str] | None = None) -> SparkSession:
-    """Build (or reuse) a session with AQE and UTC timestamps."""
+    """Build (or reuse) a session with AQE and UTC timestamps.
+
+    ``driver_memory`` only matters in local mode, where the driver JVM is
+    the whole cluster; it has no effect once a JVM is running.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = dict(_DEFAULT_CONF)
+    if driver_memory and (master or "").startswith("local"):
+        settings["spark.driver.memory"] = driver_memory
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})

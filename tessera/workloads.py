@@ -364,3 +364,532 @@ def _sql_pair_bins(bins: int = 10) -> str:
 def pair_bins_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binned pair-plot counts."""
     return profile.pair_bins(table(spark, sf_dir, "lineitem"), PAIR_COLS, 10)
+
+
+# ================================================================= cleaning
+
+@register("standardize_missing_conversations", _sql_missing(
+    "(SELECT conv_id, turn, CASE WHEN role IN ('', ' ', 'null', 'N/A', 'na', '-', 'unknown', 'NaN') "
+    "THEN NULL ELSE role END AS role, CASE WHEN text IN ('', ' ', 'null', 'N/A', 'na', '-', 'unknown', "
+    "'NaN') THEN NULL ELSE text END AS text FROM conversations) c",
+    ["conv_id", "turn", "role", "text"]))
+def standardize_missing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 then the missing report."""
+    conv = clean.standardize_missing(table(spark, sf_dir, "conversations"))
+    return rounded(profile.missing(conv), ["missing_pct"])
+
+
+@register("drop_columns_documents", "SELECT doc_id, lang, source, n_chars FROM documents")
+def drop_columns_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown names are ignored."""
+    return clean.drop_columns(table(spark, sf_dir, "documents"), ["text", "no_such_column"])
+
+
+def _dl_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_labels(spark, sf_dir).select("doc_id", "n_chars", "quality", "toxic")
+
+
+DL_NUM_SQL = f"(SELECT doc_id, n_chars, quality, toxic FROM {DOCS_LABELS_SQL} x)"
+
+
+@register("impute_mean_documents", sql_select_rounded(
+    f"(SELECT doc_id, n_chars, coalesce(CAST(quality AS DOUBLE), avg(quality) OVER ()) AS quality, "
+    f"coalesce(CAST(toxic AS DOUBLE), avg(toxic) OVER ()) AS toxic, "
+    f"CAST(quality IS NULL AS INTEGER) AS quality_missing, CAST(toxic IS NULL AS INTEGER) AS toxic_missing "
+    f"FROM {DL_NUM_SQL} b) t", ["doc_id", "n_chars", "quality_missing", "toxic_missing"],
+    ["quality", "toxic"]))
+def impute_mean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C3 indicators + C4 mean imputation."""
+    out = clean.impute(_dl_numeric(spark, sf_dir), "mean", ["quality", "toxic"], indicator=True)
+    return rounded(out, ["quality", "toxic"])
+
+
+@register("impute_median_documents", sql_select_rounded(
+    f"(SELECT doc_id, n_chars, coalesce(CAST(quality AS DOUBLE), (SELECT quantile_cont(quality, 0.5) FROM {DL_NUM_SQL} s)) AS quality, "
+    f"coalesce(CAST(toxic AS DOUBLE), (SELECT quantile_cont(toxic, 0.5) FROM {DL_NUM_SQL} s)) AS toxic "
+    f"FROM {DL_NUM_SQL} b) t", ["doc_id", "n_chars"], ["quality", "toxic"]))
+def impute_median_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact median."""
+    return rounded(clean.impute(_dl_numeric(spark, sf_dir), "median", ["quality", "toxic"]),
+                   ["quality", "toxic"])
+
+
+def _sql_mode(src: str, c: str) -> str:
+    return (f"(SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM {src} s WHERE {c} IS NOT NULL "
+            f"GROUP BY 1) ORDER BY n DESC, v LIMIT 1)")
+
+
+DL_GRADE_SQL = f"(SELECT doc_id, quality, toxic, {GRADE_SQL} AS grade FROM {DOCS_LABELS_SQL} x)"
+
+
+@register("impute_most_frequent_documents",
+          f"SELECT doc_id, coalesce(quality, {_sql_mode(DL_GRADE_SQL, 'quality')}) AS quality, "
+          f"coalesce(toxic, {_sql_mode(DL_GRADE_SQL, 'toxic')}) AS toxic, "
+          f"coalesce(grade, {_sql_mode(DL_GRADE_SQL, 'grade')}) AS grade FROM {DL_GRADE_SQL} b")
+def impute_most_frequent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric and string columns, ties to the smallest value."""
+    base = docs_labels(spark, sf_dir).select("doc_id", "quality", "toxic", grade().alias("grade"))
+    return clean.impute(base, "most_frequent", ["quality", "toxic", "grade"])
+
+
+@register("impute_drop_documents",
+          f"SELECT doc_id, n_chars, quality, toxic FROM {DL_NUM_SQL} b "
+          "WHERE quality IS NOT NULL AND toxic IS NOT NULL")
+def impute_drop_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drop rows with a missing value in the chosen columns."""
+    return clean.impute(_dl_numeric(spark, sf_dir), "drop", ["quality", "toxic"])
+
+
+@register("fill_zero_documents",
+          f"SELECT doc_id, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic, "
+          f"coalesce(grade, '0') AS grade FROM {DL_GRADE_SQL} b")
+def fill_zero_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older fill-with-zero variant."""
+    base = docs_labels(spark, sf_dir).select("doc_id", "quality", "toxic", grade().alias("grade"))
+    return clean.fill_zero(base)
+
+
+def _events_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id",
+                     F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("value"))
+                     .alias("value"),
+                     F.when(F.col("event_type").isin("view", "click"), F.lit(None))
+                     .otherwise(F.col("value")).alias("value2"))
+
+
+def _sql_interpolate(c: str, rule: str) -> str:
+    w_before = "OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    w_after = "OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return f"""(SELECT event_id, coalesce(v, avg(v) OVER ()) AS {c} FROM (
+  SELECT event_id, CASE WHEN x IS NOT NULL THEN x
+    WHEN pp IS NOT NULL AND np IS NOT NULL THEN pv + (nv - pv) * CAST(pos - pp AS DOUBLE) / CAST(np - pp AS DOUBLE)
+    WHEN pp IS NOT NULL THEN pv END AS v
+  FROM (
+    SELECT event_id, pos, x,
+      last_value(CASE WHEN x IS NOT NULL THEN pos END IGNORE NULLS) {w_before} AS pp,
+      last_value(x IGNORE NULLS) {w_before} AS pv,
+      first_value(CASE WHEN x IS NOT NULL THEN pos END IGNORE NULLS) {w_after} AS np,
+      first_value(x IGNORE NULLS) {w_after} AS nv
+    FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos,
+                 CASE WHEN {rule} THEN NULL ELSE value END AS x FROM events) b) n) i)"""
+
+
+@register("interpolate_events", sql_select_rounded(
+    f"({_sql_interpolate('value', chr(39).join(['event_type = ', 'error', '']))}) a "
+    f"JOIN {_sql_interpolate('value2', 'event_type IN (' + chr(39) + 'view' + chr(39) + ', ' + chr(39) + 'click' + chr(39) + ')')} b "
+    "USING (event_id)", ["event_id"], ["value", "value2"]))
+def interpolate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear interpolation in event_id order, leftovers to the mean."""
+    out = clean.interpolate(_events_gaps(spark, sf_dir), ["value", "value2"], ["event_id"])
+    return rounded(out, ["value", "value2"])
+
+
+@register("dedupe_distinct_lineitem",
+          "SELECT DISTINCT " + ", ".join(DUP_COLS) + " FROM lineitem")
+def dedupe_distinct_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: full-row duplicates removed (nulls equal)."""
+    return clean.deduplicate(table(spark, sf_dir, "lineitem").select(*DUP_COLS), "drop")
+
+
+@register("dedupe_keep_last_events",
+          "SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER "
+          "(PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) "
+          "WHERE rn = 1")
+def dedupe_keep_last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep the last event per (user, type) by time."""
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    out = clean.deduplicate(ev, "keep_last", ["user_id", "event_type"], ["ts", "event_id"])
+    return out.select("event_id", "user_id", "event_type", "value")
+
+
+@register("head_orders",
+          "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority "
+          "FROM orders ORDER BY o_orderkey LIMIT 5")
+def head_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First five rows (a top-k, the limit is the feature)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                              "o_totalprice", "o_orderpriority")
+    return clean.head(o, 5, ["o_orderkey"])
+
+
+@register("shape_lineitem", "SELECT count(*) AS \"rows\", CAST(11 AS BIGINT) AS \"columns\" FROM lineitem")
+def shape_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: rows x columns."""
+    return clean.shape(table(spark, sf_dir, "lineitem"))
+
+
+# ================================================================= outliers
+
+CLIP_KEYS = ["l_orderkey", "l_linenumber"]
+CLIP_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _sql_iqr_fence(src: str, c: str) -> str:
+    return (f"(SELECT q[1] - 1.5 * (q[2] - q[1]) AS lo, q[2] + 1.5 * (q[2] - q[1]) AS hi FROM "
+            f"(SELECT quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.75]) AS q FROM {src}) s)")
+
+
+def _sql_clip(kind: str) -> str:
+    sel = []
+    for c in CLIP_COLS:
+        if kind == "iqr":
+            f = _sql_iqr_fence("lineitem", c)
+        else:
+            f = (f"(SELECT mn AS lo, coalesce((SELECT max({c}) FROM lineitem, (SELECT avg({c}) AS mu, "
+                 f"stddev_samp({c}) AS sd FROM lineitem) z WHERE sd > 0 AND abs(({c} - mu) / sd) < 3.0), mx) AS hi "
+                 f"FROM (SELECT min({c}) AS mn, max({c}) AS mx FROM lineitem) m)")
+        sel.append(f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest(CAST({c} AS DOUBLE), "
+                   f"(SELECT lo FROM {f} f)), (SELECT hi FROM {f} f)) END AS {c}")
+    return sql_select_rounded(f"(SELECT {', '.join(CLIP_KEYS)}, {', '.join(sel)} FROM lineitem) t",
+                              CLIP_KEYS, CLIP_COLS)
+
+
+@register("clip_iqr_lineitem", _sql_clip("iqr"))
+def clip_iqr_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: clip to the IQR fences."""
+    li = table(spark, sf_dir, "lineitem").select(*CLIP_KEYS, *CLIP_COLS)
+    return rounded(outliers.clip_outliers(li, CLIP_COLS, "iqr"), CLIP_COLS)
+
+
+@register("clip_zscore_lineitem", _sql_clip("zscore"))
+def clip_zscore_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: lower = min, upper = largest value with |z| < 3."""
+    li = table(spark, sf_dir, "lineitem").select(*CLIP_KEYS, *CLIP_COLS)
+    return rounded(outliers.clip_outliers(li, CLIP_COLS, "zscore"), CLIP_COLS)
+
+
+REMOVE_COLS = ["l_extendedprice", "l_quantity", "l_tax"]
+
+
+def _sql_remove_iqr() -> str:
+    src = "lineitem"
+    ctes = []
+    for i, c in enumerate(REMOVE_COLS):
+        fence = _sql_iqr_fence(src, c)
+        ctes.append(f"s{i} AS (SELECT * FROM {src} WHERE {c} BETWEEN (SELECT lo FROM {fence} f) "
+                    f"AND (SELECT hi FROM {fence} f))")
+        src = f"s{i}"
+    return f"WITH {', '.join(ctes)} SELECT l_orderkey, l_linenumber FROM {src}"
+
+
+@register("remove_iqr_lineitem", _sql_remove_iqr())
+def remove_iqr_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: sequential removal, each column's fences on the rows kept so far."""
+    li = table(spark, sf_dir, "lineitem")
+    return outliers.remove_outliers(li, REMOVE_COLS, "iqr").select("l_orderkey", "l_linenumber")
+
+
+ZREMOVE_COLS = ["o_totalprice", "o_custkey"]
+
+
+def _sql_remove_z() -> str:
+    src = "orders"
+    ctes = []
+    for i, c in enumerate(ZREMOVE_COLS):
+        ctes.append(f"s{i} AS (SELECT {src}.* FROM {src}, (SELECT avg({c}) AS mu, stddev_samp({c}) AS sd "
+                    f"FROM {src}) z WHERE sd > 0 AND abs(({c} - mu) / sd) < 3.0)")
+        src = f"s{i}"
+    return f"WITH {', '.join(ctes)} SELECT o_orderkey FROM {src}"
+
+
+@register("remove_zscore_orders", _sql_remove_z())
+def remove_zscore_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep |z| < 3, column after column."""
+    o = table(spark, sf_dir, "orders")
+    return outliers.remove_outliers(o, ZREMOVE_COLS, "zscore").select("o_orderkey")
+
+
+PART_COLS = ["p_retailprice", "p_size"]
+
+
+@register("transform_log_part", sql_select_rounded(
+    "(SELECT p_partkey, " + ", ".join(f"CASE WHEN {c} > -1 THEN ln(1 + CAST({c} AS DOUBLE)) END AS {c}"
+                                       for c in PART_COLS) + " FROM part) t", ["p_partkey"], PART_COLS))
+def transform_log_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log1p."""
+    p = table(spark, sf_dir, "part").select("p_partkey", *PART_COLS)
+    return rounded(outliers.transform_outliers(p, PART_COLS, "log"), PART_COLS)
+
+
+@register("transform_sqrt_part", sql_select_rounded(
+    "(SELECT p_partkey, " + ", ".join(f"CASE WHEN {c} >= 0 THEN sqrt(CAST({c} AS DOUBLE)) END AS {c}"
+                                       for c in PART_COLS) + " FROM part) t", ["p_partkey"], PART_COLS))
+def transform_sqrt_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Square root (negative -> null)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", *PART_COLS)
+    return rounded(outliers.transform_outliers(p, PART_COLS, "sqrt"), PART_COLS)
+
+
+@register("transform_boxcox_customer")
+def transform_boxcox_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shift when min <= 0, then Box-Cox with the MLE lambda (an
+    iterative fit: checked against a brute-force likelihood in tests)."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return rounded(outliers.transform_outliers(c, ["c_acctbal"], "boxcox"), ["c_acctbal"])
+
+
+# ================================================================= skewness
+
+SKEW_COLS = ["o_totalprice", "o_custkey"]
+
+
+@register("skew_log_orders", sql_select_rounded(
+    "(SELECT o_orderkey, " + ", ".join(
+        f"ln(1 + (CAST({c} AS DOUBLE) - (SELECT min({c}) FROM orders) + 1.0)) AS {c}" for c in SKEW_COLS)
+    + " FROM orders) t", ["o_orderkey"], SKEW_COLS))
+def skew_log_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: ln(x - min + 2)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", *SKEW_COLS)
+    return rounded(skew.handle_skewness(o, "log", SKEW_COLS), SKEW_COLS)
+
+
+@register("skew_sqrt_orders", sql_select_rounded(
+    "(SELECT o_orderkey, " + ", ".join(
+        f"sqrt(CAST({c} AS DOUBLE) - (SELECT min({c}) FROM orders)) AS {c}" for c in SKEW_COLS)
+    + " FROM orders) t", ["o_orderkey"], SKEW_COLS))
+def skew_sqrt_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: sqrt(x - min)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", *SKEW_COLS)
+    return rounded(skew.handle_skewness(o, "sqrt", SKEW_COLS), SKEW_COLS)
+
+
+@register("skew_boxcox_part")
+def skew_boxcox_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: Box-Cox, MLE lambda per column (iterative; brute-force tested)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", *PART_COLS)
+    return rounded(skew.handle_skewness(p, "boxcox", PART_COLS), PART_COLS)
+
+
+@register("skew_yeojohnson_customer")
+def skew_yeojohnson_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: Yeo-Johnson, MLE lambda (any sign)."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return rounded(skew.handle_skewness(c, "yeojohnson", ["c_acctbal"]), ["c_acctbal"])
+
+
+# ================================================================= encoding
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+STATUSES = ["F", "O", "P"]
+
+
+@register("onehot_orders", "SELECT o_orderkey, " + ", ".join(
+    [f"CASE WHEN o_orderpriority = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"o_orderpriority_{v}\""
+     for v in PRIORITIES]
+    + [f"CASE WHEN o_orderstatus = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS \"o_orderstatus_{v}\""
+       for v in STATUSES]) + " FROM orders")
+def onehot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One column per category, originals dropped."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    return encode.encode(o, "onehot", ["o_orderpriority", "o_orderstatus"])
+
+
+@register("label_encode_documents",
+          "SELECT doc_id, "
+          "CAST(dense_rank() OVER (ORDER BY coalesce(lang, 'nan')) - 1 AS BIGINT) AS lang, "
+          "CAST(dense_rank() OVER (ORDER BY coalesce(grade, 'nan')) - 1 AS BIGINT) AS grade "
+          f"FROM (SELECT doc_id, lang, {GRADE_SQL} AS grade FROM {DOCS_LABELS_SQL} x) b")
+def label_encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted codes; a missing value is coded as the text 'nan'."""
+    base = docs_labels(spark, sf_dir).select("doc_id", "lang", grade().alias("grade"))
+    return encode.encode(base, "label", ["lang", "grade"])
+
+
+@register("target_encode_customer", sql_select_rounded(
+    "(SELECT c_custkey, coalesce(m.mean, (SELECT avg(c_acctbal) FROM customer)) AS c_mktsegment, "
+    "c_acctbal FROM customer LEFT JOIN (SELECT c_mktsegment AS seg, avg(c_acctbal) AS mean FROM customer "
+    "WHERE c_mktsegment IS NOT NULL GROUP BY 1) m ON customer.c_mktsegment = m.seg) t",
+    ["c_custkey"], ["c_mktsegment", "c_acctbal"]))
+def target_encode_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category -> mean of the target (global mean if missing)."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return rounded(encode.encode(c, "target", ["c_mktsegment"], target="c_acctbal"),
+                   ["c_mktsegment", "c_acctbal"])
+
+
+@register("frequency_encode_orders", sql_select_rounded(
+    "(SELECT o_orderkey, f.share AS o_orderpriority FROM orders LEFT JOIN (SELECT o_orderpriority AS p, "
+    "count(*) / sum(count(*)) OVER () AS share FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1) f "
+    "ON orders.o_orderpriority = f.p) t", ["o_orderkey"], ["o_orderpriority"]))
+def frequency_encode_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of non-missing rows."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return rounded(encode.encode(o, "frequency", ["o_orderpriority"]), ["o_orderpriority"])
+
+
+# ================================================================== scaling
+
+def _sql_scaled(method: str) -> str:
+    sel = []
+    for c in LI_NUM:
+        x = f"CAST({c} AS DOUBLE)"
+        if method == "standard":
+            e = (f"({x} - (SELECT avg({c}) FROM lineitem)) / (SELECT CASE WHEN stddev_pop({c}) > 0 "
+                 f"THEN stddev_pop({c}) ELSE 1.0 END FROM lineitem)")
+        elif method == "minmax":
+            e = (f"({x} - (SELECT min({c}) FROM lineitem)) / (SELECT CASE WHEN max({c}) > min({c}) "
+                 f"THEN CAST(max({c}) - min({c}) AS DOUBLE) ELSE 1.0 END FROM lineitem)")
+        elif method == "normalize":
+            e = (f"(SELECT CASE WHEN max({c}) > min({c}) THEN NULL ELSE 0.0 END FROM lineitem) IS NULL")
+            e = (f"CASE WHEN (SELECT max({c}) > min({c}) FROM lineitem) THEN ({x} - (SELECT min({c}) "
+                 f"FROM lineitem)) / (SELECT CAST(max({c}) - min({c}) AS DOUBLE) FROM lineitem) ELSE 0.0 END")
+        else:
+            e = (f"({x} - (SELECT quantile_cont({x}, 0.5) FROM lineitem)) / (SELECT CASE WHEN "
+                 f"quantile_cont({x}, 0.75) - quantile_cont({x}, 0.25) <> 0 THEN quantile_cont({x}, 0.75) "
+                 f"- quantile_cont({x}, 0.25) ELSE 1.0 END FROM lineitem)")
+        sel.append(f"{e} AS {c}")
+    return sql_select_rounded(f"(SELECT l_orderkey, l_linenumber, {', '.join(sel)} FROM lineitem) t",
+                              ["l_orderkey", "l_linenumber"], LI_NUM)
+
+
+def _scaled_query(method: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *LI_NUM)
+        return rounded(scale.scale(li, method, LI_NUM), LI_NUM)
+    run.__doc__ = f"F1-F4: {method} scaling of three lineitem columns."
+    return run
+
+
+for _method in scale.METHODS:
+    register(f"scale_{_method}_lineitem", _sql_scaled(_method))(_scaled_query(_method))
+
+
+# ================================================================ balancing
+
+@register("undersample_labels",
+          "SELECT quality, CAST((SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS BIGINT) "
+          "AS n_rows, CAST((SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS BIGINT) "
+          "AS n_docs FROM labels WHERE quality IS NOT NULL GROUP BY quality")
+def undersample_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: each class cut to the minority size, no row repeated."""
+    lab = table(spark, sf_dir, "labels")
+    out = balance.balance(lab, "undersample", "quality", key=["doc_id"])
+    return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n_rows"),
+                                      F.countDistinct("doc_id").alias("n_docs"))
+
+
+@register("oversample_labels",
+          "SELECT quality, CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM labels GROUP BY quality)) AS BIGINT) "
+          "AS n_rows, count(*) AS n_docs FROM labels WHERE quality IS NOT NULL GROUP BY quality")
+def oversample_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: each class raised to the majority size; all originals kept."""
+    lab = table(spark, sf_dir, "labels")
+    out = balance.balance(lab, "oversample", "quality", key=["doc_id"])
+    return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n_rows"),
+                                      F.countDistinct("doc_id").alias("n_docs"))
+
+
+# ====================================================== feature engineering
+
+POLY_PART = ["p_size", "p_retailprice"]
+
+
+def _sql_poly(cols: Sequence[str], interaction_only: bool, src: str, keep: Sequence[str]) -> str:
+    terms = features.polynomial_names(list(cols), interaction_only)
+    sel = []
+    names = []
+    for t in terms:
+        if len(t) == 1:
+            e, name = f"CAST({t[0]} AS DOUBLE)", t[0]
+        else:
+            e = f"CAST({t[0]} AS DOUBLE) * CAST({t[1]} AS DOUBLE)"
+            name = f"{t[0]}^2" if t[0] == t[1] else f"{t[0]} {t[1]}"
+        sel.append(f"{e} AS {_q(name)}")
+        names.append(name)
+    return sql_select_rounded(f"(SELECT {', '.join(keep)}, {', '.join(sel)} FROM {src}) t", keep, names)
+
+
+@register("polynomial_part", _sql_poly(POLY_PART, False, "part", ["p_partkey"]))
+def polynomial_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: degree-2 features with scikit-learn names."""
+    p = table(spark, sf_dir, "part")
+    out = features.polynomial(p, POLY_PART, keep=["p_partkey"])
+    return rounded(out, [c for c in out.columns if c != "p_partkey"])
+
+
+INTER_LI = ["l_quantity", "l_discount", "l_tax"]
+
+
+@register("interaction_lineitem", _sql_poly(INTER_LI, True, "lineitem", ["l_orderkey", "l_linenumber"]))
+def interaction_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairwise products without squares."""
+    li = table(spark, sf_dir, "lineitem")
+    out = features.polynomial(li, INTER_LI, interaction_only=True, keep=["l_orderkey", "l_linenumber"])
+    return rounded(out, [c for c in out.columns if c not in ("l_orderkey", "l_linenumber")])
+
+
+@register("datetime_orders",
+          "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS o_orderdate_year, "
+          "CAST(month(o_orderdate) AS INTEGER) AS o_orderdate_month, "
+          "CAST(day(o_orderdate) AS INTEGER) AS o_orderdate_day FROM orders")
+def datetime_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year, month, day parts."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    return features.datetime_parts(o).drop("o_orderdate")
+
+
+VAR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("variance_lineitem", sql_select_rounded(
+    "(" + union_all([f"SELECT '{c}' AS column_name, var_pop(CAST({c} AS DOUBLE)) AS variance, "
+                     f"coalesce(var_pop(CAST({c} AS DOUBLE)) > 0.01, false) AS selected FROM lineitem"
+                     for c in VAR_COLS]) + ") v", ["column_name", "selected"], ["variance"]))
+def variance_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Population variance against the 0.01 threshold."""
+    return rounded(features.variance_report(table(spark, sf_dir, "lineitem"), VAR_COLS), ["variance"])
+
+
+KBEST_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey"]
+
+
+def _sql_anova() -> str:
+    parts = []
+    for c in KBEST_COLS:
+        x = f"CAST({c} AS DOUBLE)"
+        parts.append(
+            f"SELECT '{c}' AS column_name, (sum(n * pow(m - gm, 2)) / (count(*) - 1)) / "
+            f"(sum(n * v) / (sum(n) - count(*))) AS f_score FROM (SELECT n, m, v, "
+            f"sum(n * m) OVER () / sum(n) OVER () AS gm FROM (SELECT l_returnflag, count(*) AS n, "
+            f"avg({x}) AS m, var_pop({x}) AS v FROM lineitem WHERE l_returnflag IS NOT NULL "
+            f"GROUP BY l_returnflag) g) s")
+    return sql_select_rounded(
+        f"(SELECT column_name, f_score, row_number() OVER (ORDER BY f_score DESC NULLS LAST, column_name) "
+        f"<= 5 AS selected FROM ({union_all(parts)}) a) r", ["column_name", "selected"], ["f_score"])
+
+
+@register("kbest_anova_lineitem", _sql_anova())
+def kbest_anova_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ANOVA F against the return flag; the best five are selected."""
+    rep = features.anova_report(table(spark, sf_dir, "lineitem"), "l_returnflag", KBEST_COLS, 5)
+    return rounded(rep, ["f_score"])
+
+
+def _embedding_frame(spark: SparkSession, sf_dir: str):
+    emb = table(spark, sf_dir, "embeddings")
+    return features.array_columns(emb, "embedding", "e", 64)
+
+
+@register("pca_embeddings")
+def pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centred PCA, 3 components, target carried."""
+    wide, cols = _embedding_frame(spark, sf_dir)
+    model = features.fit_pca(wide, cols, 3)
+    return rounded(model.transform(wide, ["vec_id", "label"]), ["PC1", "PC2", "PC3"])
+
+
+@register("lda_embeddings")
+def lda_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First linear discriminant of the 64-d embeddings by label."""
+    wide, cols = _embedding_frame(spark, sf_dir)
+    model = features.fit_lda(wide, "label", cols, 1)
+    return rounded(model.transform(wide, ["vec_id", "label"]), ["LD1"])
+
+
+@register("rfe_lineitem")
+def rfe_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive elimination with logistic regression down to 5."""
+    li = table(spark, sf_dir, "lineitem")
+    chosen = features.rfe_select(li, "l_returnflag", KBEST_COLS, 5)
+    return spark.createDataFrame([(c,) for c in chosen], "column_name string")
