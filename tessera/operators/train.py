@@ -134,7 +134,7 @@ def classifier(algorithm: str, n_rows: int, n_features: int, n_classes: int,
     common = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": PREDICTION}
     if algorithm == "logistic_regression":
         # C = 1 in scikit-learn is regParam = 1/n here; data is standardised.
-        return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_rows, 1),
+        return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_rows, 1), tol=1e-4,
                                   standardization=False, **common)
     if algorithm == "random_forest":
         return RandomForestClassifier(numTrees=100, maxDepth=12,
@@ -148,7 +148,7 @@ def classifier(algorithm: str, n_rows: int, n_features: int, n_classes: int,
         return DecisionTreeClassifier(maxDepth=15, seed=seed, **common)
     if algorithm == "neural_network":
         return MultilayerPerceptronClassifier(layers=[n_features, 100, max(n_classes, 2)],
-                                              maxIter=1000, seed=seed, **common)
+                                              maxIter=1000, tol=1e-4, seed=seed, **common)
     if algorithm in ("svm", "knn"):
         from tessera.operators.neighbors import estimator_for
         return estimator_for(algorithm, seed=seed, **common)
@@ -206,7 +206,8 @@ def accuracy_of(pred: DataFrame, target: str) -> float:
 
 def train_model(df: DataFrame, target: str, algorithm: str = "random_forest",
                 test_size: float = DEFAULT_TEST_SIZE, cross_validation: str | int | None = None,
-                key: Sequence[str] | None = None, seed: int = DEFAULT_SEED) -> TrainResult:
+                key: Sequence[str] | None = None, seed: int = DEFAULT_SEED,
+                features: Sequence[str] | None = None) -> TrainResult:
     """The reference's training request: split, optional CV on all rows,
     fit on the training part, accuracy on the held-out part."""
     if not target or target not in df.columns:
@@ -217,13 +218,13 @@ def train_model(df: DataFrame, target: str, algorithm: str = "random_forest",
     if cross_validation and cross_validation != "none":
         try:
             k = 5 if cross_validation == "stratified" else int(cross_validation)
-            cv_scores = cross_validate(df, target, algorithm, k, key, seed=seed)
+            cv_scores = cross_validate(df, target, algorithm, k, key, features, seed)
         except Exception as exc:  # noqa: BLE001 - reported as text, as in the reference
             cv_scores = f"Cross-validation failed: {exc}"
     marked = reliable_checkpoint(split_column(df, test_size, seed, key, "_ts_split"))
     train = marked.where(F.col("_ts_split") == "train").drop("_ts_split")
     test = marked.where(F.col("_ts_split") == "test").drop("_ts_split")
-    model, used, labels = fit_pipeline(train, target, algorithm, seed=seed)
+    model, used, labels = fit_pipeline(train, target, algorithm, features, seed)
     acc = accuracy_of(model.transform(test), target)
     return TrainResult(model, target, algorithm, used, acc, cv_scores, labels)
 

@@ -2,9 +2,9 @@
 oracle SQL where the operator is SQL-expressible.
 
 Every query reads whole tables.  Doubles are passed through ``num`` in
-Spark and ``sql_num`` in SQL: round to 9 decimals, then to 9 significant
-digits, and -0.0 becomes 0.0.  Both engines then produce the same double
-from values that differ only in the last bits.
+Spark and ``sql_num`` in SQL: values below 1e-9 in magnitude become 0.0,
+others are rounded to 9 significant digits.  Both engines then produce the
+same double from values that differ only in the last bits.
 """
 
 from __future__ import annotations
@@ -37,27 +37,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ------------------------------------------------------------------ rounding
 
+def _half_away(y: Column) -> Column:
+    """Round to an integer, halves away from zero (C's ``round``)."""
+    return F.signum(y) * F.floor(F.abs(y) + F.lit(0.5)).cast("double")
+
+
 def num(c: str | Column) -> Column:
-    """Round a double the same way as ``sql_num``."""
+    """Round a double to 9 significant digits; |x| < 1e-9 becomes 0.0.
+
+    Plain double arithmetic (no decimal rounding), identical to ``sql_num``.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    r = F.round(c.cast("double"), 9)
-    a = F.abs(r)
-    e = F.floor(F.log10(a))
+    x = c.cast("double")
+    a = F.abs(x)
+    e = F.floor(F.log10(a)).cast("double")
     up = F.pow(F.lit(10.0), F.lit(8.0) - e)
     down = F.pow(F.lit(10.0), e - F.lit(8.0))
-    v = (F.when(a == 0, F.lit(0.0))
-          .when(e <= 8, F.round(r * up, 0) / up)
-          .otherwise(F.round(r / down, 0) * down))
-    return F.when(r.isNull(), F.lit(None).cast("double")).otherwise(
-        F.when(v == 0, F.lit(0.0)).otherwise(v))
+    return (F.when(x.isNull(), F.lit(None).cast("double"))
+             .when(a < F.lit(1e-9), F.lit(0.0))
+             .when(e <= 8, _half_away(x * up) / up)
+             .otherwise(_half_away(x / down) * down))
 
 
 def sql_num(x: str) -> str:
-    r = f"round(CAST({x} AS DOUBLE), 9)"
-    e = f"floor(log10(abs({r})))"
-    return (f"(CASE WHEN {r} IS NULL THEN NULL::DOUBLE WHEN abs({r}) = 0 THEN 0.0::DOUBLE "
-            f"WHEN {e} <= 8 THEN round({r} * pow(10.0, 8.0 - {e}), 0) / pow(10.0, 8.0 - {e}) "
-            f"ELSE round({r} / pow(10.0, {e} - 8.0), 0) * pow(10.0, {e} - 8.0) END + 0.0::DOUBLE)")
+    v = f"CAST({x} AS DOUBLE)"
+    e = f"floor(log10(abs({v})))"
+    up = f"pow(10.0, 8.0 - {e})"
+    down = f"pow(10.0, {e} - 8.0)"
+
+    def half_away(y: str) -> str:
+        return f"(sign({y}) * CAST(floor(abs({y}) + 0.5) AS DOUBLE))"
+
+    return (f"(CASE WHEN {v} IS NULL THEN NULL::DOUBLE WHEN abs({v}) < 1e-9 THEN 0.0::DOUBLE "
+            f"WHEN {e} <= 8 THEN {half_away(f'{v} * {up}')} / {up} "
+            f"ELSE {half_away(f'{v} / {down}')} * {down} END)")
 
 
 def rounded(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -893,3 +906,182 @@ def rfe_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     chosen = features.rfe_select(li, "l_returnflag", KBEST_COLS, 5)
     return spark.createDataFrame([(c,) for c in chosen], "column_name string")
+
+
+# ============================================== training, evaluation, prediction
+
+@register("split_orders",
+          "SELECT 'test' AS split, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS n_rows FROM orders "
+          "UNION ALL SELECT 'train' AS split, count(*) - CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) "
+          "AS n_rows FROM orders")
+def split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1: exact ceil(0.2 n) test rows, seeded hash order."""
+    o = table(spark, sf_dir, "orders")
+    marked = train.split_column(o, 0.2, 42, ["o_orderkey"])
+    return marked.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _sql_folds(k: int = 5) -> str:
+    return f"""
+WITH cls AS (SELECT o_orderstatus, min(o_orderkey) AS first_key, count(*) AS n FROM orders
+             WHERE o_orderstatus IS NOT NULL GROUP BY 1),
+st AS (SELECT o_orderstatus, n, coalesce(sum(n) OVER (ORDER BY first_key ROWS BETWEEN UNBOUNDED PRECEDING
+       AND 1 PRECEDING), 0) AS s0 FROM cls),
+al AS (SELECT o_orderstatus, r.i,
+         (CASE WHEN s0 + n > r.i THEN (s0 + n - r.i + {k - 1}) // {k} ELSE 0 END)
+       - (CASE WHEN s0 > r.i THEN (s0 - r.i + {k - 1}) // {k} ELSE 0 END) AS a
+       FROM st, (SELECT range AS i FROM range({k})) r),
+cum AS (SELECT o_orderstatus, i, sum(a) OVER (PARTITION BY o_orderstatus ORDER BY i) AS c FROM al),
+rw AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS j
+       FROM orders WHERE o_orderstatus IS NOT NULL),
+f AS (SELECT rw.o_orderstatus, (SELECT count(*) FROM cum WHERE cum.o_orderstatus = rw.o_orderstatus
+        AND cum.i < {k - 1} AND cum.c <= rw.j) AS fold FROM rw)
+SELECT o_orderstatus, CAST(fold AS INTEGER) AS fold, count(*) AS n_rows FROM f GROUP BY 1, 2"""
+
+
+@register("stratified_folds_orders", _sql_folds())
+def stratified_folds_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M10 folds: scikit-learn's unshuffled stratified 5-fold assignment."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    folded = train.stratified_folds(o, "o_orderstatus", 5, ["o_orderkey"])
+    return folded.groupBy("o_orderstatus", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training table: document features with the quality label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+
+
+def _train_query(algorithm: str, cv: int | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        data = labelled_documents(spark, sf_dir).select("doc_id", "n_chars", "lang", "source",
+                                                         "toxic", "quality")
+        result = train.train_model(data, "quality", algorithm, 0.2, cv, key=["doc_id"],
+                                   features=["n_chars", "lang", "source", "toxic"])
+        rows = [("accuracy", float(result.accuracy))]
+        if isinstance(result.cv_scores, list):
+            rows += [(f"cv_fold_{i}", float(s)) for i, s in enumerate(result.cv_scores)]
+        return spark.createDataFrame(rows, "metric string, value double")
+    run.__doc__ = f"M3-M11: train {algorithm} on labelled documents; hold-out accuracy."
+    return run
+
+
+for _algo, _cv in (("logistic_regression", 5), ("random_forest", None),
+                   ("decision_tree", None), ("neural_network", None), ("xgboost", None)):
+    register(f"train_{_algo}_documents")(_train_query(_algo, _cv))
+
+
+@register("train_evaluate_embeddings")
+def train_evaluate_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2/M3 + V1-V3 on a 10-class problem: multinomial logistic regression
+    on the 64-d embeddings, evaluated on the held-out split (macro OvR AUC)."""
+    wide, _ = _embedding_frame(spark, sf_dir)
+    data = wide.withColumn("label_name", F.col("label").cast("string")).drop("label")
+    marked = train.split_column(data, 0.2, 42, ["vec_id"], "_split")
+    tr = marked.where(F.col("_split") == "train").drop("_split", "vec_id")
+    te = marked.where(F.col("_split") == "test").drop("_split", "vec_id")
+    model, _, labels = train.fit_pipeline(tr, "label_name", "logistic_regression")
+    return evaluate.evaluate(model.transform(te), "label_name", labels=labels)
+
+
+@register("predict_documents")
+def predict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model trained on the labelled documents scores every document."""
+    from tessera.operators.predict import predict
+
+    data = labelled_documents(spark, sf_dir).select("n_chars", "lang", "source", "quality")
+    model, used, _ = train.fit_pipeline(data, "quality", "logistic_regression")
+    docs = table(spark, sf_dir, "documents")
+    types = {f.name: f.dataType.simpleString() for f in data.schema.fields}
+    return predict(model, docs, used, types, keep=["doc_id"])
+
+
+RULE_SQL = ("(SELECT CAST(quality AS VARCHAR) AS actual, CASE WHEN n_chars >= 2000 THEN '1' ELSE '0' END "
+            "AS predicted, n_chars FROM documents JOIN labels USING (doc_id))")
+LANG_RULE_SQL = ("(SELECT lang AS actual, CASE WHEN n_chars < 1000 THEN 'en' WHEN n_chars < 3000 THEN 'fr' "
+                 "ELSE 'de' END AS predicted FROM documents)")
+
+
+def _rule_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = labelled_documents(spark, sf_dir)
+    return d.select(F.col("quality").cast("string").alias("actual"),
+                    F.when(F.col("n_chars") >= 2000, F.lit("1")).otherwise(F.lit("0"))
+                    .alias("predicted"), "n_chars")
+
+
+def _lang_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("lang").alias("actual"),
+                    F.when(F.col("n_chars") < 1000, F.lit("en"))
+                    .when(F.col("n_chars") < 3000, F.lit("fr")).otherwise(F.lit("de"))
+                    .alias("predicted"))
+
+
+def _sql_report(src: str) -> str:
+    return f"""
+WITH cm AS (SELECT actual, predicted, count(*) AS n FROM {src} p GROUP BY ALL),
+cls AS (SELECT actual AS c FROM cm UNION SELECT predicted AS c FROM cm),
+per AS (SELECT c,
+  coalesce((SELECT sum(n) FROM cm WHERE actual = c), 0) AS support,
+  coalesce((SELECT sum(n) FROM cm WHERE predicted = c), 0) AS npred,
+  coalesce((SELECT sum(n) FROM cm WHERE actual = c AND predicted = c), 0) AS tp FROM cls),
+m AS (SELECT support, tp, CASE WHEN npred > 0 THEN tp / npred ELSE 0.0 END AS pr,
+             CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rc FROM per),
+r AS (
+SELECT 'accuracy' AS metric, sum(tp) / sum(support) AS value FROM m
+UNION ALL SELECT 'precision', sum(support * pr) / sum(support) FROM m
+UNION ALL SELECT 'recall', sum(support * rc) / sum(support) FROM m
+UNION ALL SELECT 'f1', sum(support * CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END)
+  / sum(support) FROM m)
+{sql_select_rounded('r', ['metric'], ['value'])}"""
+
+
+def _report_rows(report: DataFrame) -> DataFrame:
+    out = report.select(F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+        for m in ("accuracy", "precision", "recall", "f1")])).alias("r")).select("r.*")
+    return rounded(out, ["value"])
+
+
+@register("evaluate_rule_documents", _sql_report(RULE_SQL))
+def evaluate_rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1/V2: accuracy and weighted precision/recall/F1 of a rule."""
+    return _report_rows(evaluate.classification_report(_rule_predictions(spark, sf_dir),
+                                                       "actual", "predicted"))
+
+
+@register("evaluate_lang_rule_documents", _sql_report(LANG_RULE_SQL))
+def evaluate_lang_rule_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2 with four classes, one never predicted (zero division -> 0)."""
+    return _report_rows(evaluate.classification_report(_lang_predictions(spark, sf_dir),
+                                                       "actual", "predicted"))
+
+
+@register("roc_auc_documents", sql_select_rounded(f"""(
+SELECT (sum(CASE WHEN y = 1 THEN mid ELSE 0 END) - p * (p + 1) / 2.0) / (p * (n - p)) AS roc_auc
+FROM (SELECT y, (rank() OVER (ORDER BY s) + rank() OVER (ORDER BY s) + count(*) OVER (PARTITION BY s) - 1)
+             / 2.0 AS mid, sum(y) OVER () AS p, count(*) OVER () AS n
+      FROM (SELECT CASE WHEN actual = '1' THEN 1 ELSE 0 END AS y, CAST(n_chars AS DOUBLE) AS s
+            FROM {RULE_SQL} q) a) b GROUP BY p, n) t""", [], ["roc_auc"]))
+def roc_auc_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3: exact AUC of n_chars as a score for quality (ties mid-ranked)."""
+    preds = _rule_predictions(spark, sf_dir)
+    return rounded(evaluate.binary_auc(preds, F.col("actual") == "1", F.col("n_chars")),
+                   ["roc_auc"])
+
+
+@register("confusion_lang_documents",
+          f"SELECT actual, predicted, count(*) AS \"count\" FROM {LANG_RULE_SQL} p GROUP BY ALL")
+def confusion_lang_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: confusion counts."""
+    return evaluate.confusion_matrix(_lang_predictions(spark, sf_dir), "actual", "predicted")
+
+
+@register("catalog_tables")
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parquet datasets of a folder from a file listing (contents
+    are never read)."""
+    from tessera.sources.catalog import list_tables
+
+    return list_tables(spark, sf_dir).select("name", "files")
