@@ -232,9 +232,12 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
                    T.StructField(f"_np{i}", T.LongType()), T.StructField(f"_nv{i}", T.DoubleType())]
     carry = df.sparkSession.createDataFrame(carry_rows, T.StructType(fields))
 
-    part = Window.partitionBy(ordering.PID).orderBy(ordering.MID)
-    before = part.rowsBetween(Window.unboundedPreceding, 0)
-    after = part.rowsBetween(0, Window.unboundedFollowing)
+    # Both neighbours use growing frames (the "next" one in reverse order):
+    # a frame ending at unboundedFollowing is re-aggregated for every row.
+    before = (Window.partitionBy(ordering.PID).orderBy(ordering.MID)
+              .rowsBetween(Window.unboundedPreceding, 0))
+    after = (Window.partitionBy(ordering.PID).orderBy(F.col(ordering.MID).desc())
+             .rowsBetween(Window.unboundedPreceding, 0))
     pos = F.col("_start") + idx
     out = tagged.join(F.broadcast(carry), ordering.PID)
     fills = {}
@@ -242,7 +245,7 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
         known = F.when(F.col(c).isNotNull(), F.struct(pos.alias("p"),
                                                        F.col(c).cast("double").alias("v")))
         prev = F.last(known, ignorenulls=True).over(before)
-        nxt = F.first(known, ignorenulls=True).over(after)
+        nxt = F.last(known, ignorenulls=True).over(after)
         pp = F.coalesce(prev["p"], F.col(f"_pp{i}"))
         pv = F.when(prev.isNotNull(), prev["v"]).otherwise(F.col(f"_pv{i}"))
         np_ = F.coalesce(nxt["p"], F.col(f"_np{i}"))

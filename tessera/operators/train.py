@@ -17,6 +17,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.feature import (IndexToString, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ FEATURES = "features"
 LABEL = "label"
 PREDICTION = "prediction"
 PREDICTED_LABEL = "predicted_label"
+ROWS_PER_TRAINING_PARTITION = 100_000
 
 
 # ------------------------------------------------------------------- splits
@@ -170,18 +172,35 @@ class TrainResult:
 
 def fit_pipeline(train: DataFrame, target: str, algorithm: str = "random_forest",
                  features: Sequence[str] | None = None, seed: int = DEFAULT_SEED):
-    """Fit feature stages, label indexer and classifier as one PipelineModel."""
+    """Fit feature stages, label indexer and classifier as one PipelineModel.
+
+    Iterative estimators pass over their input once per iteration, so the
+    prepared (features, label) pair is persisted for the fit; a lost cache
+    block is recomputed from the (deterministic) lineage.
+    """
     stages, used = feature_stages(train, target, features)
     feature_model = Pipeline(stages=stages).fit(train)
-    first = feature_model.transform(train).select(FEATURES).first()
-    width = first[0].size if first else 0
     label_model = StringIndexer(inputCol=target, outputCol=LABEL,
                                 stringOrderType="alphabetAsc").fit(train)
     labels = list(label_model.labels)
-    est = classifier(algorithm, train.count(), width, len(labels), seed)
+    prepared = label_model.transform(feature_model.transform(train)).select(FEATURES, LABEL)
+    n_rows = prepared.count()
+    # Each optimiser iteration is a job over every partition: size the
+    # partitions by rows (no shuffle), so small inputs do not pay for
+    # hundreds of near-empty tasks and large inputs keep their parallelism.
+    wanted = max(1, math.ceil(n_rows / ROWS_PER_TRAINING_PARTITION))
+    if wanted < prepared.rdd.getNumPartitions():
+        prepared = prepared.coalesce(wanted)
+    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        first = prepared.first()
+        width = first[0].size if first else 0
+        est = classifier(algorithm, n_rows, width, len(labels), seed)
+        fitted = est.fit(prepared)
+    finally:
+        prepared.unpersist()
     back = IndexToString(inputCol=PREDICTION, outputCol=PREDICTED_LABEL, labels=labels)
-    model = Pipeline(stages=[feature_model, label_model, est, back]).fit(train)
-    return model, used, labels
+    return PipelineModel(stages=[feature_model, label_model, fitted, back]), used, labels
 
 
 def cross_validate(df: DataFrame, target: str, algorithm: str, n_splits: int = 5,
