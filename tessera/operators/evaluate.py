@@ -89,7 +89,7 @@ def multiclass_auc(data: DataFrame, label: str, scores: dict[str, Column]) -> Da
 
 
 def probability_scores(pred: DataFrame, labels: Sequence[str],
-                       probability: str = "probability") -> dict[str, Column]:
+                       probability: str = "_ts_probability") -> dict[str, Column]:
     from pyspark.ml.functions import vector_to_array
 
     arr = vector_to_array(F.col(probability))
@@ -98,7 +98,7 @@ def probability_scores(pred: DataFrame, labels: Sequence[str],
 
 def evaluate(pred: DataFrame, target: str, metrics: Sequence[str] = METRICS,
              prediction: str = "predicted_label", labels: Sequence[str] | None = None,
-             probability: str = "probability") -> DataFrame:
+             probability: str = "_ts_probability") -> DataFrame:
     """The reference's evaluation request as (metric, value) rows."""
     require_target(pred, target)
     actual = F.col(target).cast("string")

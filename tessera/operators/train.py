@@ -29,9 +29,13 @@ ALGORITHMS = ("logistic_regression", "random_forest", "xgboost", "decision_tree"
               "neural_network", "svm", "knn")
 DEFAULT_SEED = 42
 DEFAULT_TEST_SIZE = 0.2
-FEATURES = "features"
-LABEL = "label"
-PREDICTION = "prediction"
+# Internal column names are namespaced so a user column (for example a
+# target called "label") never collides with them.
+FEATURES = "_ts_features"
+LABEL = "_ts_label"
+PREDICTION = "_ts_prediction"
+PROBABILITY = "_ts_probability"
+RAW_PREDICTION = "_ts_raw"
 PREDICTED_LABEL = "predicted_label"
 ROWS_PER_TRAINING_PARTITION = 100_000
 
@@ -133,27 +137,37 @@ def feature_stages(df: DataFrame, target: str, features: Sequence[str] | None =
 def classifier(algorithm: str, n_rows: int, n_features: int, n_classes: int,
                seed: int = DEFAULT_SEED):
     """Spark ML estimator for each algorithm name of the reference."""
-    common = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": PREDICTION}
+    est = _estimator(algorithm, n_rows, n_features, n_classes, seed)
+    est.setFeaturesCol(FEATURES).setLabelCol(LABEL).setPredictionCol(PREDICTION)
+    if hasattr(est, "setProbabilityCol"):
+        est.setProbabilityCol(PROBABILITY)
+    if hasattr(est, "setRawPredictionCol"):
+        est.setRawPredictionCol(RAW_PREDICTION)
+    return est
+
+
+def _estimator(algorithm: str, n_rows: int, n_features: int, n_classes: int, seed: int):
     if algorithm == "logistic_regression":
         # C = 1 in scikit-learn is regParam = 1/n here; data is standardised.
         return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_rows, 1), tol=1e-4,
-                                  standardization=False, **common)
+                                  standardization=False)
     if algorithm == "random_forest":
         return RandomForestClassifier(numTrees=100, maxDepth=12,
-                                      featureSubsetStrategy="sqrt", seed=seed, **common)
+                                      featureSubsetStrategy="sqrt", seed=seed)
     if algorithm == "xgboost":
-        gbt = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=seed, **common)
+        gbt = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=seed)
         if n_classes <= 2:
             return gbt
-        return OneVsRest(classifier=gbt, **common)
+        gbt.setFeaturesCol(FEATURES).setLabelCol(LABEL)
+        return OneVsRest(classifier=gbt)
     if algorithm == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=15, seed=seed, **common)
+        return DecisionTreeClassifier(maxDepth=15, seed=seed)
     if algorithm == "neural_network":
         return MultilayerPerceptronClassifier(layers=[n_features, 100, max(n_classes, 2)],
-                                              maxIter=1000, tol=1e-4, seed=seed, **common)
+                                              maxIter=1000, tol=1e-4, seed=seed)
     if algorithm in ("svm", "knn"):
         from tessera.operators.neighbors import estimator_for
-        return estimator_for(algorithm, seed=seed, **common)
+        return estimator_for(algorithm, seed=seed)
     raise ValueError(f"unsupported algorithm: {algorithm}")
 
 
