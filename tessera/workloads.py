@@ -1085,3 +1085,91 @@ def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.sources.catalog import list_tables
 
     return list_tables(spark, sf_dir).select("name", "files")
+
+
+# ======================================================= end-to-end requests
+
+PRE_CONFIG = {
+    "target_column": "quality", "missing_strategy": "mean", "missing_columns": ["quality", "toxic"],
+    "missing_indicator": True, "outlier_method": "clip", "outlier_columns": ["n_chars"],
+    "outlier_detection": "iqr", "skewness_method": "log", "skewness_columns": ["n_chars"],
+    "encoding_method": "frequency", "encoding_columns": ["lang", "source"], "scaler": "standard",
+    "scaling_columns": ["n_chars", "toxic", "lang", "source"], "duplicate_handling": "drop"}
+PRE_DOUBLES = ["n_chars", "lang", "source", "quality", "toxic"]
+
+
+def _sql_preprocess() -> str:
+    def freq(c: str) -> str:
+        return (f"(SELECT f.share FROM (SELECT {c} AS v, count(*) / sum(count(*)) OVER () AS share "
+                f"FROM sk WHERE {c} IS NOT NULL GROUP BY 1) f WHERE f.v = sk.{c})")
+
+    def std(c: str) -> str:
+        return (f"({c} - (SELECT avg({c}) FROM enc)) / (SELECT CASE WHEN stddev_pop({c}) > 0 "
+                f"THEN stddev_pop({c}) ELSE 1.0 END FROM enc)")
+
+    return f"""
+WITH b AS (SELECT doc_id, n_chars, lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+imp AS (SELECT doc_id, n_chars, lang, source,
+        coalesce(CAST(quality AS DOUBLE), (SELECT avg(quality) FROM b)) AS quality,
+        coalesce(CAST(toxic AS DOUBLE), (SELECT avg(toxic) FROM b)) AS toxic,
+        CAST(quality IS NULL AS INTEGER) AS quality_missing,
+        CAST(toxic IS NULL AS INTEGER) AS toxic_missing FROM b),
+fe AS (SELECT q[1] - 1.5 * (q[2] - q[1]) AS lo, q[2] + 1.5 * (q[2] - q[1]) AS hi
+       FROM (SELECT quantile_cont(CAST(n_chars AS DOUBLE), [0.25, 0.75]) AS q FROM imp) s),
+cl AS (SELECT doc_id, least(greatest(CAST(n_chars AS DOUBLE), lo), hi) AS n_chars, lang, source,
+              quality, toxic, quality_missing, toxic_missing FROM imp, fe),
+sk AS (SELECT doc_id, ln(1 + (n_chars - (SELECT min(n_chars) FROM cl) + 1.0)) AS n_chars, lang, source,
+              quality, toxic, quality_missing, toxic_missing FROM cl),
+enc AS (SELECT doc_id, n_chars, {freq('lang')} AS lang, {freq('source')} AS source,
+               quality, toxic, quality_missing, toxic_missing FROM sk),
+sc AS (SELECT DISTINCT doc_id, {std('n_chars')} AS n_chars, {std('lang')} AS lang,
+              {std('source')} AS source, quality, {std('toxic')} AS toxic, quality_missing, toxic_missing
+       FROM enc)
+{sql_select_rounded('sc', ['doc_id', 'quality_missing', 'toxic_missing'], PRE_DOUBLES)}"""
+
+
+@register("preprocess_documents", _sql_preprocess())
+def preprocess_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's preprocessing request end to end (impute with
+    indicators, clip, log skew, frequency encoding, standard scaling,
+    de-duplication) on documents LEFT JOIN labels."""
+    from tessera.plans.preprocess import preprocess
+
+    base = docs_labels(spark, sf_dir).select("doc_id", "n_chars", "lang", "source", "quality", "toxic")
+    return rounded(preprocess(base, PRE_CONFIG), PRE_DOUBLES)
+
+
+FE_COLS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _sql_engineer() -> str:
+    terms = features.polynomial_names(FE_COLS, True)
+    names = [t[0] if len(t) == 1 else f"{t[0]} {t[1]}" for t in terms]
+    exprs = [f"CAST({t[0]} AS DOUBLE)" if len(t) == 1 else f"CAST({t[0]} AS DOUBLE) * CAST({t[1]} AS DOUBLE)"
+             for t in terms]
+    gen = ", ".join(f"{e} AS {_q(n)}" for e, n in zip(exprs, names))
+    var = union_all([f"SELECT '{n}' AS feature, var_pop({_q(n)}) AS v FROM g" for n in names])
+    long = union_all([f"SELECT l_orderkey, l_linenumber, l_returnflag, '{n}' AS feature, {_q(n)} AS value FROM g"
+                      for n in names])
+    return f"""
+WITH g AS (SELECT l_orderkey, l_linenumber, l_returnflag, {gen} FROM lineitem),
+v AS ({var}),
+lf AS ({long}),
+r AS (SELECT lf.* FROM lf JOIN v USING (feature) WHERE v.v > 0.01)
+{sql_select_rounded('r', ['l_orderkey', 'l_linenumber', 'l_returnflag', 'feature'], ['value'])}"""
+
+
+@register("engineer_lineitem", _sql_engineer())
+def engineer_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's feature-engineering request: interaction features,
+    then variance selection, target and row keys carried; returned in long
+    form (row keys, feature, value)."""
+    from tessera.plans.engineering import engineer
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *FE_COLS)
+    result = engineer(li, "interaction", "variance", "none", "l_returnflag",
+                      carry=("l_orderkey", "l_linenumber"))
+    ids = ["l_orderkey", "l_linenumber", "l_returnflag"]
+    feats = [c for c in result.columns if c not in ids]
+    long = result.frame.unpivot(ids, feats, "feature", "value")
+    return rounded(long, ["value"])
