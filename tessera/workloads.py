@@ -968,7 +968,8 @@ def _train_query(algorithm: str, cv: int | None) -> Query:
 
 
 for _algo, _cv in (("logistic_regression", 5), ("random_forest", None),
-                   ("decision_tree", None), ("neural_network", None), ("xgboost", None)):
+                   ("decision_tree", None), ("neural_network", None), ("xgboost", None),
+                   ("svm", None)):
     register(f"train_{_algo}_documents")(_train_query(_algo, _cv))
 
 

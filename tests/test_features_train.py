@@ -180,3 +180,25 @@ def test_metrics_and_auc_match_brute_force(spark):
     assert sum(cm.values()) == 150
     with pytest.raises(ValueError):
         evaluate.require_target(df, "missing")
+
+
+def test_kernel_svm_learns_nonlinear_boundary(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(300, 2))
+    label = np.where((x ** 2).sum(axis=1) < 1.0, "in", "out")  # not linearly separable
+    pdf = pd.DataFrame({"id": np.arange(300), "a": x[:, 0], "b": x[:, 1], "label": label})
+    res = train.train_model(spark.createDataFrame(pdf), "label", "svm", 0.25, None, key=["id"])
+    assert res.accuracy > 0.85
+    preds = res.model.transform(spark.createDataFrame(pdf))
+    rep = {r["metric"]: r["value"] for r in evaluate.evaluate(preds, "label", labels=res.labels).collect()}
+    assert rep["roc_auc"] > 0.9
+
+
+def test_knn_and_smote_raise_not_built(spark, separable):
+    from tessera.operators import balance
+    from tessera.operators.neighbors import NotBuiltYet
+
+    with pytest.raises(NotBuiltYet):
+        train.train_model(separable, "label", "knn", 0.25, None, key=["id"])
+    with pytest.raises(NotBuiltYet):
+        balance.balance(separable, "smote", "label", key=["id"])
