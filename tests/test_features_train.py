@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -202,3 +203,25 @@ def test_knn_and_smote_raise_not_built(spark, separable):
         train.train_model(separable, "label", "knn", 0.25, None, key=["id"])
     with pytest.raises(NotBuiltYet):
         balance.balance(separable, "smote", "label", key=["id"])
+
+
+def test_streaming_scoring_replays_fitted_steps(spark, separable, tmp_root):
+    from tessera.operators import scale
+    from tessera.streaming.scoring import score_stream, write_scores
+
+    scaler = scale.fit_scaler(separable, ["x1", "x2"], "standard")
+    train_df = scaler.transform(separable)
+    res = train.train_model(train_df, "label", "logistic_regression", 0.25, None, key=["id"],
+                            features=["x1", "x2", "seg"])
+    src = os.path.join(tmp_root, "incoming")
+    separable.drop("label").write.parquet(src)
+    stream = spark.readStream.schema(separable.drop("label").schema).parquet(src)
+    types = {f.name: f.dataType.simpleString() for f in separable.schema.fields}
+    scored = score_stream(stream, res.model, res.feature_names, types, ["id"], [scaler])
+    out = os.path.join(tmp_root, "scores")
+    query = write_scores(scored, out, os.path.join(tmp_root, "scores_ckpt"))
+    query.awaitTermination(120)
+    got = spark.read.parquet(out)
+    batch = res.model.transform(train_df).select("id", F.col("predicted_label").alias("b"))
+    assert got.count() == 200
+    assert got.join(batch, "id").where("prediction <> b").count() == 0
