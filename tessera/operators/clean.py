@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.expressions import MISSING_TOKENS, nan_to_null
 from tessera.functions.schema import FLOATING_TYPES, is_numeric, select_columns
-from tessera.functions.stats import collect_stats, quantile_expr
+from tessera.functions.stats import collect_stats, quantiles
 from tessera.plans import ordering
 
 STRATEGIES = ("mean", "median", "most_frequent", "drop", "interpolate")
@@ -112,10 +112,8 @@ def fit_imputer(df: DataFrame, strategy: str, cols: Sequence[str] | None = None,
             stats = collect_stats(df, exprs)
             values = {c: stats[f"v{i}"] for i, c in enumerate(num)}
         else:
-            exprs = {f"v{i}": quantile_expr(c, [0.5], exact) for i, c in enumerate(num)}
-            stats = collect_stats(df, exprs)
-            values = {c: (stats[f"v{i}"][0] if stats[f"v{i}"] else None)
-                      for i, c in enumerate(num)}
+            medians = quantiles(df, num, [0.5], exact)
+            values = {c: medians[c][0] for c in num}
         return Imputation(values, tuple(num))
     if strategy == "most_frequent":
         cat = _categorical_for(df, cols)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expressions import clip, nan_to_null, safe_sqrt
 from tessera.functions.schema import numeric_columns
-from tessera.functions.stats import collect_stats, quantile_expr
+from tessera.functions.stats import collect_stats, quantiles
 
 DETECTIONS = ("iqr", "zscore")
 IQR_K = 1.5
@@ -34,11 +34,10 @@ def outlier_columns(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
 def iqr_fences(df: DataFrame, cols: Sequence[str], k: float = IQR_K,
                exact: bool = True) -> dict[str, tuple[float | None, float | None]]:
     """Q1 - k*IQR and Q3 + k*IQR for every column, one job."""
-    stats = collect_stats(df, {f"q{i}": quantile_expr(c, [0.25, 0.75], exact)
-                               for i, c in enumerate(cols)})
+    qs = quantiles(df, cols, [0.25, 0.75], exact)
     out = {}
-    for i, c in enumerate(cols):
-        q = stats[f"q{i}"]
+    for c in cols:
+        q = qs[c]
         if not q or q[0] is None:
             out[c] = (None, None)
             continue

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expressions import (adjusted_kurtosis_col, adjusted_skewness_col,
                                            jarque_bera_pvalue_col, nan_to_null)
 from tessera.functions.schema import categorical_columns, is_numeric, numeric_columns
-from tessera.functions.stats import collect_stats, quantile_expr
+from tessera.functions.stats import collect_stats, quantiles
 
 
 def _x(c: str) -> Column:
@@ -49,18 +49,22 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
     cat = [c for c in cols if c not in num]
     parts = []
     if num:
+        qs = quantiles(df, num, [0.25, 0.5, 0.75], exact)
         aggs = []
         for i, c in enumerate(num):
             x = _x(c)
             aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"),
                      F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                     quantile_expr(c, [0.25, 0.5, 0.75], exact).alias(f"q{i}"),
                      F.max(x).alias(f"hi{i}")]
         row = df.agg(*aggs)
+
+        def q(c: str, j: int) -> Column:
+            return F.lit(qs[c][j]).cast("double")
+
         items = [F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("count"),
                           F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                          F.col(f"lo{i}").alias("min"), F.col(f"q{i}")[0].alias("p25"),
-                          F.col(f"q{i}")[1].alias("p50"), F.col(f"q{i}")[2].alias("p75"),
+                          F.col(f"lo{i}").alias("min"), q(c, 0).alias("p25"),
+                          q(c, 1).alias("p50"), q(c, 2).alias("p75"),
                           F.col(f"hi{i}").alias("max"))
                  for i, c in enumerate(num)]
         parts.append(_unpivot_row(row, items))
@@ -172,12 +176,11 @@ def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None,
                     exact: bool = True) -> DataFrame:
     """IQR fences and the count / % (of all rows) outside them."""
     cols = list(cols) if cols else numeric_columns(df)
-    stats = collect_stats(df, {f"q{i}": quantile_expr(c, [0.25, 0.75], exact)
-                               for i, c in enumerate(cols)})
+    qs = quantiles(df, cols, [0.25, 0.75], exact)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     bounds = {}
     for i, c in enumerate(cols):
-        q = stats[f"q{i}"]
+        q = qs[c]
         if q and q[0] is not None:
             iqr = q[1] - q[0]
             lo, hi = q[0] - 1.5 * iqr, q[1] + 1.5 * iqr

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expressions import nan_to_null
 from tessera.functions.schema import numeric_columns
-from tessera.functions.stats import collect_stats, quantile_expr
+from tessera.functions.stats import collect_stats, quantiles
 
 METHODS = ("standard", "minmax", "robust", "normalize")
 
@@ -55,11 +55,12 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard",
             exprs.update({f"a{i}": F.avg(x), f"b{i}": F.stddev_pop(x)})
         elif method in ("minmax", "normalize"):
             exprs.update({f"a{i}": F.min(x), f"b{i}": F.max(x)})
-        elif method == "robust":
-            exprs[f"q{i}"] = quantile_expr(c, [0.25, 0.5, 0.75], exact)
-        else:
+        elif method != "robust":
             raise ValueError(f"unknown scaler: {method}")
     stats = collect_stats(df, exprs)
+    if method == "robust":
+        qs = quantiles(df, cols, [0.25, 0.5, 0.75], exact)
+        stats.update({f"q{i}": qs[c] for i, c in enumerate(cols)})
     params = {}
     for i, c in enumerate(cols):
         if method == "standard":

@@ -11,6 +11,7 @@ the per-lambda variances reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -77,7 +78,7 @@ def _log_term(kind: str, x: Column) -> Column:
 
 
 def fit_power(df: DataFrame, cols: Sequence[str], kind: str = "boxcox",
-              grid_points: int = 41, rounds: int = 5) -> PowerTransform:
+              grid_points: int = 41, rounds: int = 3) -> PowerTransform:
     """Maximum-likelihood lambda per column (Box-Cox on positive data after a
     shift when the minimum is <= 0, as in the reference)."""
     if kind not in ("boxcox", "yeojohnson"):
@@ -91,43 +92,49 @@ def fit_power(df: DataFrame, cols: Sequence[str], kind: str = "boxcox",
     fn = boxcox if kind == "boxcox" else yeojohnson
     xs = {c: (_x(c) + F.lit(shifts[c])) if shifts[c] else _x(c) for c in cols}
 
-    base = collect_stats(df, {**{f"n{i}": F.count(xs[c]) for i, c in enumerate(cols)},
-                              **{f"g{i}": F.sum(_log_term(kind, xs[c])) for i, c in enumerate(cols)}})
-    n = {c: base[f"n{i}"] for i, c in enumerate(cols)}
-    g = {c: base[f"g{i}"] for i, c in enumerate(cols)}
-    live = [c for c in cols if n[c] and n[c] > 1]
+    log_terms = {**{f"n{i}": F.count(xs[c]) for i, c in enumerate(cols)},
+                 **{f"g{i}": F.sum(_log_term(kind, xs[c])) for i, c in enumerate(cols)}}
+    n: dict[str, int] = {}
+    g: dict[str, float] = {}
 
     def llf(c: str, lam: float, var: float | None) -> float:
-        if var is None or var <= 0:
+        if var is None or var <= 0 or not n.get(c) or n[c] < 2:
             return float("-inf")
-        import math
         return (lam - 1.0) * g[c] - n[c] / 2.0 * math.log(var)
 
-    def evaluate(grids: dict[str, list[float]]) -> dict[str, list[float]]:
-        exprs = {}
-        for i, c in enumerate(live):
-            for j, lam in enumerate(grids[c]):
+    def evaluate(grids: dict[str, list[float]], extra: dict | None = None):
+        exprs = dict(extra or {})
+        for i, c in enumerate(cols):
+            for j, lam in enumerate(grids.get(c, [])):
                 exprs[f"v{i}_{j}"] = F.var_pop(fn(xs[c], lam))
         stats = collect_stats(df, exprs)
+        for i, c in enumerate(cols):
+            if f"n{i}" in stats:
+                n[c], g[c] = stats[f"n{i}"], stats[f"g{i}"]
         return {c: [llf(c, lam, stats[f"v{i}_{j}"]) for j, lam in enumerate(grids[c])]
-                for i, c in enumerate(live)}
+                for i, c in enumerate(cols) if c in grids}
 
     half = grid_points // 2
-    step = {c: 0.1 for c in live}
-    centre = {c: 0.0 for c in live}
-    best = {c: 0.0 for c in live}
+    step = {c: 4.0 / (grid_points - 1) for c in cols}
+    centre = {c: 0.0 for c in cols}
+    best = {c: 1.0 for c in cols}
     last_grid: dict[str, tuple[list[float], list[float]]] = {}
-    todo = list(live)
-    # Coarse search over [-2, 2], moved outward while the optimum is on an edge.
+    todo = list(cols)
+    first = True
+    # Coarse search over [-2, 2] (the bracket scipy starts from), moved
+    # outward while the optimum sits on an edge.  The first job also
+    # computes the lambda-free terms n and sum(g(x)).
     for _ in range(8):
         if not todo:
             break
-        grids = {c: [centre[c] + (j - half) * step[c] * 1.0 for j in range(grid_points)]
-                 for c in todo}
-        values = evaluate(grids)
+        grids = {c: [centre[c] + (j - half) * step[c] for j in range(grid_points)] for c in todo}
+        values = evaluate(grids, log_terms if first else None)
+        first = False
         moved = []
         for c in todo:
             vals = values[c]
+            if all(v == float("-inf") for v in vals):
+                continue
             k = max(range(len(vals)), key=lambda j: vals[j])
             best[c] = grids[c][k]
             last_grid[c] = (grids[c], vals)
@@ -135,14 +142,17 @@ def fit_power(df: DataFrame, cols: Sequence[str], kind: str = "boxcox",
                 centre[c] = best[c] + (half - 1) * step[c] * (1 if k else -1)
                 moved.append(c)
         todo = moved
-    # Refinement rounds: +-1 coarse step around the optimum, ten times finer.
+    live = [c for c in cols if c in last_grid]
+    # Refinement: +-1 step around the optimum, 20 times finer each round;
+    # the parabola through the best three points finishes the estimate.
     for _ in range(rounds):
         if not live:
             break
         grids = {}
         for c in live:
-            step[c] /= 10.0
-            grids[c] = [best[c] + (j - 10) * step[c] for j in range(21)]
+            span = step[c]
+            step[c] = 2.0 * span / (grid_points - 1)
+            grids[c] = [best[c] - span + j * step[c] for j in range(grid_points)]
         values = evaluate(grids)
         for c in live:
             vals = values[c]

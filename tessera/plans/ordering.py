@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,18 +37,22 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
 
 
 def sorted_tagged(df: DataFrame, order: Sequence[str | Column],
-                  num_partitions: int | None = None) -> DataFrame:
+                  num_partitions: int | None = None, reliable: bool = True) -> DataFrame:
     """Range-partition and sort by ``order``; tag partition id and row id.
 
-    The result is checkpointed, so later passes see exactly the same
-    partitions, order and ids.
+    ``reliable=True`` checkpoints the result, so later passes see exactly the
+    same partitions, order and ids.  ``reliable=False`` persists instead; use
+    it only when rows with equal keys are interchangeable (quantiles), since
+    a recomputed partition may order ties differently.
     """
     n = _partitions(df, num_partitions)
     tagged = (df.repartitionByRange(n, *order)
                 .sortWithinPartitions(*order)
                 .withColumn(PID, F.spark_partition_id())
                 .withColumn(MID, F.monotonically_increasing_id()))
-    return reliable_checkpoint(tagged)
+    if reliable:
+        return reliable_checkpoint(tagged)
+    return tagged.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def local_index() -> Column:
