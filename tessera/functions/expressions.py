@@ -65,6 +65,23 @@ def yeojohnson(c: Column, lam: float) -> Column:
     return F.when(c.isNull(), F.lit(None).cast("double")).when(c >= 0, pos).otherwise(neg)
 
 
+def boxcox_lam(c: Column, lam: Column) -> Column:
+    """Box-Cox with lambda given as a column (one expression for a grid)."""
+    c = c.cast("double")
+    return F.when(F.abs(lam) < 1e-12, F.ln(c)).otherwise((F.pow(c, lam) - F.lit(1.0)) / lam)
+
+
+def yeojohnson_lam(c: Column, lam: Column) -> Column:
+    """Yeo-Johnson with lambda given as a column."""
+    c = c.cast("double")
+    pos = F.when(F.abs(lam) < 1e-12, F.log1p(c)).otherwise(
+        (F.pow(c + F.lit(1.0), lam) - F.lit(1.0)) / lam)
+    two = F.lit(2.0) - lam
+    neg = F.when(F.abs(two) < 1e-12, -F.log1p(-c)).otherwise(
+        -(F.pow(F.lit(1.0) - c, two) - F.lit(1.0)) / two)
+    return F.when(c >= 0, pos).otherwise(neg)
+
+
 def adjusted_skewness(g1: float | None, n: int) -> float | None:
     """Bias-adjusted sample skewness G1 from the population value g1."""
     if g1 is None or n < 3 or (isinstance(g1, float) and math.isnan(g1)):

@@ -18,7 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expressions import boxcox, nan_to_null, safe_sqrt, yeojohnson
+from tessera.functions.expressions import (boxcox, boxcox_lam, nan_to_null, safe_sqrt,
+                                           yeojohnson, yeojohnson_lam)
 from tessera.functions.schema import numeric_columns
 from tessera.functions.stats import collect_stats
 
@@ -102,16 +103,30 @@ def fit_power(df: DataFrame, cols: Sequence[str], kind: str = "boxcox",
             return float("-inf")
         return (lam - 1.0) * g[c] - n[c] / 2.0 * math.log(var)
 
+    lam_fn = boxcox_lam if kind == "boxcox" else yeojohnson_lam
+    values_of = F.array(*[xs[c] for c in cols])
+
     def evaluate(grids: dict[str, list[float]], extra: dict | None = None):
-        exprs = dict(extra or {})
-        for i, c in enumerate(cols):
-            for j, lam in enumerate(grids.get(c, [])):
-                exprs[f"v{i}_{j}"] = F.var_pop(fn(xs[c], lam))
-        stats = collect_stats(df, exprs)
-        for i, c in enumerate(cols):
-            if f"n{i}" in stats:
+        """llf on every (column, lambda) of the grids in one job.
+
+        The grid is data, not code: each row is paired with every (column,
+        lambda) and ``var_pop`` is grouped by the pair, so one small
+        expression is compiled whatever the grid size, and map-side partial
+        aggregation keeps the shuffle at columns x grid points per partition.
+        """
+        if extra:
+            stats = collect_stats(df, extra)
+            for i, c in enumerate(cols):
                 n[c], g[c] = stats[f"n{i}"], stats[f"g{i}"]
-        return {c: [llf(c, lam, stats[f"v{i}_{j}"]) for j, lam in enumerate(grids[c])]
+        pairs = [F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), F.lit(float(lam)).alias("lam"))
+                 for i, c in enumerate(cols) for j, lam in enumerate(grids.get(c, []))]
+        exploded = df.select(values_of.alias("_xs"), F.explode(F.array(*pairs)).alias("_p"))
+        x = F.element_at(F.col("_xs"), F.col("_p.c") + 1)
+        out = (exploded.select(F.col("_p.c").alias("c"), F.col("_p.j").alias("j"),
+                               lam_fn(x, F.col("_p.lam")).alias("t"))
+                       .groupBy("c", "j").agg(F.var_pop("t").alias("v")).collect())
+        var = {(r["c"], r["j"]): r["v"] for r in out}
+        return {c: [llf(c, lam, var.get((i, j))) for j, lam in enumerate(grids[c])]
                 for i, c in enumerate(cols) if c in grids}
 
     half = grid_points // 2
