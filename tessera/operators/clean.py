@@ -283,13 +283,17 @@ def deduplicate(df: DataFrame, keep: str = "first", subset: Sequence[str] | None
         return df.dropDuplicates()
     if not order_by:
         raise ValueError("a key subset needs order_by to decide which row is first/last")
-    rest = [c for c in df.columns if c not in subset]
-    order = [c for c in order_by]
+    order = list(order_by)
+    rest = [c for c in df.columns if c not in subset and c not in order]
+    # The order columns lead the struct, so min/max of the struct picks the
+    # first/last row; each column is carried once.
     payload = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
                        *[F.col(c) for c in rest])
     pick = F.min(payload) if keep == "first" else F.max(payload)
     kept = df.groupBy(*subset).agg(pick.alias("_row"))
-    return kept.select(*[F.col(c) if c in subset else F.col(f"_row.{c}") for c in df.columns])
+    source = {c: f"_row._o{i}" for i, c in enumerate(order) if c not in subset}
+    return kept.select(*[F.col(c) if c in subset else F.col(source.get(c, f"_row.{c}")).alias(c)
+                         for c in df.columns])
 
 
 def head(df: DataFrame, n: int = 5, order_by: Sequence[str | Column] | None = None) -> DataFrame:
