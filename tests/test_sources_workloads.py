@@ -96,3 +96,27 @@ def test_every_query_has_oracle_or_is_listed():
     assert rows_only <= set(FAST_ROWS_ONLY) | {
         "skew_boxcox_part", "rfe_lineitem", "train_evaluate_embeddings",
         *[q for q in workloads.QUERIES if q.startswith("train_")]}
+
+
+def test_preprocess_and_engineer_requests_write_zones(spark, tmp_root):
+    from tessera.plans.engineering import engineer_dataset
+    from tessera.plans.preprocess import preprocess_dataset
+
+    rows = [(i, float(i % 7), "n/a" if i % 5 == 0 else ("x" if i % 2 else "y"), "a" if i % 3 else "b")
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v double, s string, target string")
+    raw = posixpath.join(tmp_root, files.RAW_ZONE, "sample.csv")
+    files.write_path(df.coalesce(1), raw, "csv")
+    name = preprocess_dataset(spark, tmp_root, "sample.csv", {
+        "target_column": "target", "missing_strategy": "most_frequent", "missing_indicator": True,
+        "encoding_method": "onehot", "encoding_columns": ["s"], "scaler": "minmax",
+        "imbalance_method": "undersample", "key": ["id"], "duplicate_handling": "drop"})
+    assert name == "processed_sample.csv"
+    out = files.load_dataset(spark, tmp_root, name)
+    assert {"s_x", "s_y"} <= set(out.columns)  # 'n/a' became missing, then the mode
+    assert "s_missing" not in out.columns  # the indicator is only for columns with nulls
+    counts = {r["target"]: r["count"] for r in out.groupBy("target").count().collect()}
+    assert counts["a"] == counts["b"] == 20
+    result = engineer_dataset(spark, tmp_root, "sample.csv", "polynomial", "variance", "none", "target")
+    assert result["processed_dataset"] == "sample_processed.csv"
+    assert result["shape"][0] == 60 and len(result["preview"]) == 5
