@@ -138,6 +138,15 @@ def impute(df: DataFrame, strategy: str | None, cols: Sequence[str] | None = Non
         raise ValueError(f"unknown imputation strategy: {strategy}")
     num = select_columns(df, cols, "numeric")
     cat = _categorical_for(df, cols)
+    if indicator and strategy == "mean":
+        # Null flags and means from the same scan.
+        stats = collect_stats(df, {
+            **{f"n{i}": F.max(F.col(c).isNull().cast("int")) for i, c in enumerate(num + cat)},
+            **{f"v{i}": F.avg(nan_to_null(F.col(c).cast("double"))) for i, c in enumerate(num)}})
+        flagged = [c for i, c in enumerate(num + cat) if stats[f"n{i}"] == 1]
+        fitted = Imputation({c: stats[f"v{i}"] for i, c in enumerate(num)}, tuple(num))
+        df = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in flagged})
+        return fitted.transform(df)
     if indicator:
         df = add_missing_indicators(df, num + cat)
     if strategy == "drop":

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.schema import categorical_columns
 from tessera.functions.stats import collect_stats
-from tessera.plans.ordering import attach_small, with_position
+from tessera.plans.ordering import SMALL_TABLE_ROWS, attach_small, with_position
 
 METHODS = ("onehot", "label", "ordinal", "target", "frequency")
 # Guard for one-hot: every category becomes a column.
@@ -114,15 +114,33 @@ def label_encode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def target_encode(df: DataFrame, cols: Sequence[str] | None, target: str) -> DataFrame:
     """Per-category mean of the target (in-sample, as in the reference);
-    a missing or unseen category gets the global target mean."""
+    a missing or unseen category gets the global target mean.
+
+    One aggregation per column gives (category, sum, count) including the
+    missing category, so the global mean needs no extra scan.
+    """
     if target not in df.columns:
         raise ValueError(f"target column {target!r} not found")
     y = F.col(target).cast("double")
-    overall = collect_stats(df, {"m": F.avg(y)})["m"]
     for c in encoding_columns(df, cols, exclude=[target]):
-        means = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_ts_key"))
-                   .agg(F.avg(y).alias("_ts_mean")))
-        joined = attach_small(df.withColumn("_ts_key", F.col(c)), means, "_ts_key", "left")
+        stats = (df.groupBy(F.col(c).alias("_ts_key"))
+                   .agg(F.sum(y).alias("_ts_sum"), F.count(y).alias("_ts_cnt")))
+        rows = stats.limit(SMALL_TABLE_ROWS + 1).collect()
+        if len(rows) <= SMALL_TABLE_ROWS:
+            total = sum(r["_ts_sum"] or 0.0 for r in rows)
+            count = sum(r["_ts_cnt"] for r in rows)
+            local = df.sparkSession.createDataFrame(
+                [(r["_ts_key"], r["_ts_sum"] / r["_ts_cnt"] if r["_ts_cnt"] else None)
+                 for r in rows if r["_ts_key"] is not None],
+                f"_ts_key {df.schema[c].dataType.simpleString()}, _ts_mean double")
+            joined = df.withColumn("_ts_key", F.col(c)).join(F.broadcast(local), "_ts_key", "left")
+        else:
+            totals = collect_stats(stats, {"s": F.sum("_ts_sum"), "n": F.sum("_ts_cnt")})
+            total, count = totals["s"] or 0.0, totals["n"] or 0
+            means = stats.where(F.col("_ts_key").isNotNull()).select(
+                "_ts_key", (F.col("_ts_sum") / F.col("_ts_cnt")).alias("_ts_mean"))
+            joined = df.withColumn("_ts_key", F.col(c)).join(means, "_ts_key", "left")
+        overall = total / count if count else None
         enc = F.coalesce(F.col("_ts_mean"), F.lit(overall).cast("double"))
         df = joined.select(*[enc.alias(x) if x == c else F.col(x) for x in df.columns])
     return df
@@ -130,12 +148,18 @@ def target_encode(df: DataFrame, cols: Sequence[str] | None, target: str) -> Dat
 
 def frequency_encode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Share of the non-missing rows holding the value; missing stays
-    missing."""
+    missing.  The total comes from the (small) count table itself."""
     for c in encoding_columns(df, cols):
         counts = (df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_ts_key"))
                     .agg(F.count(F.lit(1)).alias("_ts_n")))
-        total = collect_stats(df, {"n": F.count(c)})["n"]
-        joined = attach_small(df.withColumn("_ts_key", F.col(c)), counts, "_ts_key", "left")
+        rows = counts.limit(SMALL_TABLE_ROWS + 1).collect()
+        if len(rows) <= SMALL_TABLE_ROWS:
+            total = sum(r["_ts_n"] for r in rows)
+            local = df.sparkSession.createDataFrame(rows, counts.schema)
+            joined = df.withColumn("_ts_key", F.col(c)).join(F.broadcast(local), "_ts_key", "left")
+        else:
+            total = collect_stats(counts, {"n": F.sum("_ts_n")})["n"]
+            joined = df.withColumn("_ts_key", F.col(c)).join(counts, "_ts_key", "left")
         enc = (F.col("_ts_n") / F.lit(float(total))) if total else F.lit(None).cast("double")
         df = joined.select(*[enc.cast("double").alias(x) if x == c else F.col(x)
                              for x in df.columns])

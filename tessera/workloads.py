@@ -1174,3 +1174,15 @@ def engineer_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     feats = [c for c in result.columns if c not in ids]
     long = result.frame.unpivot(ids, feats, "feature", "value")
     return rounded(long, ["value"])
+
+
+@register("columns_orders",
+          "SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name, "
+          "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' "
+          "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END "
+          "AS data_type FROM information_schema.columns WHERE table_name = 'orders'")
+def columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dataset's columns and types (read from the schema, no scan)."""
+    from tessera.sources.files import dataset_columns
+
+    return dataset_columns(table(spark, sf_dir, "orders"))
