@@ -136,3 +136,28 @@ def test_preprocess_and_engineer_requests_write_zones(spark, tmp_root):
     result = engineer_dataset(spark, tmp_root, "sample.csv", "polynomial", "variance", "none", "target")
     assert result["processed_dataset"] == "sample_processed.csv"
     assert result["shape"][0] == 60 and len(result["preview"]) == 5
+
+
+def test_request_functions_train_evaluate_predict(spark, tmp_root):
+    from tessera.plans import requests
+
+    rows = [(i, float(i % 10), "u" if i % 3 else "v", "yes" if (i % 10) + (i % 3 == 0) * 3 > 5 else "no")
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, x double, seg string, target string")
+    files.write_path(df, posixpath.join(tmp_root, files.RAW_ZONE, "t.parquet"), "parquet")
+    for kind in requests.ANALYSES:
+        out = requests.eda(files.load_dataset(spark, tmp_root, "t.parquet"), kind, "target", ["id"])
+        frames = out.values() if isinstance(out, dict) else [out]
+        assert all(f.count() >= 1 for f in frames)
+    with pytest.raises(ValueError):
+        requests.eda(df, "nonsense")
+    model_id, metrics = requests.train_dataset(spark, tmp_root, "t.parquet", "target",
+                                               "decision_tree", 0.25, "stratified", key=["id"])
+    assert metrics["accuracy"] > 0.8 and len(metrics["cross_validation_scores"]) == 5
+    rep = {r["metric"]: r["value"] for r in
+           requests.evaluate_dataset(spark, tmp_root, model_id, "t.parquet", "target").collect()}
+    assert set(rep) == {"accuracy", "precision", "recall", "f1", "roc_auc"}
+    cm = requests.confusion_dataset(spark, tmp_root, model_id, "t.parquet", "target")
+    assert sum(r["count"] for r in cm.collect()) == 120
+    pred = requests.predict_dataset(spark, tmp_root, model_id, df.select("id", "x"), ["id"])
+    assert pred.count() == 120
