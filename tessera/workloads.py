@@ -969,7 +969,7 @@ def _train_query(algorithm: str, cv: int | None) -> Query:
 
 for _algo, _cv in (("logistic_regression", 5), ("random_forest", None),
                    ("decision_tree", None), ("neural_network", None), ("xgboost", None),
-                   ("svm", None)):
+                   ("svm", None), ("knn", None)):
     register(f"train_{_algo}_documents")(_train_query(_algo, _cv))
 
 
@@ -1186,3 +1186,15 @@ def columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.sources.files import dataset_columns
 
     return dataset_columns(table(spark, sf_dir, "orders"))
+
+
+@register("smote_documents",
+          "SELECT quality, CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM documents JOIN labels "
+          "USING (doc_id) GROUP BY quality)) AS BIGINT) AS n_rows FROM documents JOIN labels "
+          "USING (doc_id) WHERE quality IS NOT NULL GROUP BY quality")
+def smote_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SMOTE on (n_chars, toxic) by quality; every class reaches the
+    majority count (synthetic rows interpolate same-class neighbours)."""
+    data = labelled_documents(spark, sf_dir).select("doc_id", "n_chars", "toxic", "quality")
+    out = balance.balance(data, "smote", "quality", key=["doc_id"], features=["n_chars", "toxic"])
+    return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n_rows"))

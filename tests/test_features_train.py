@@ -195,14 +195,38 @@ def test_kernel_svm_learns_nonlinear_boundary(spark):
     assert rep["roc_auc"] > 0.9
 
 
-def test_knn_and_smote_raise_not_built(spark, separable):
-    from tessera.operators import balance
-    from tessera.operators.neighbors import NotBuiltYet
+def test_knn_matches_brute_force_and_smote_balances(spark, separable):
+    from tessera.operators import balance, neighbors
 
-    with pytest.raises(NotBuiltYet):
+    rng = np.random.default_rng(3)
+    ref = rng.normal(size=(60, 3))
+    qry = rng.normal(size=(25, 3))
+    got = neighbors._nearest(qry, ref, 5)
+    d = ((qry[:, None, :] - ref[None, :, :]) ** 2).sum(axis=2)
+    np.testing.assert_array_equal(got, np.argsort(d, axis=1, kind="stable")[:, :5])
+
+    res = train.train_model(separable, "label", "knn", 0.25, None, key=["id"],
+                            features=["x1", "x2", "seg"])
+    assert res.accuracy > 0.8
+
+    pdf = separable.toPandas()
+    out = balance.balance(separable, "smote", "label", key=["id"], features=["x1", "x2"]).toPandas()
+    counts = out.label.value_counts()
+    assert counts.nunique() == 1 and counts.iloc[0] == pdf.label.value_counts().max()
+    for cls, grp in out.groupby("label"):
+        src = pdf[pdf.label == cls]
+        assert grp.x1.between(src.x1.min() - 1e-9, src.x1.max() + 1e-9).all()
+        assert grp.x2.between(src.x2.min() - 1e-9, src.x2.max() + 1e-9).all()
+
+
+def test_knn_refuses_unbounded_reference(spark, separable, monkeypatch):
+    from tessera.operators import balance, neighbors
+
+    monkeypatch.setattr(neighbors, "MAX_REFERENCE_ROWS", 10)
+    with pytest.raises(neighbors.NotBuiltYet):
         train.train_model(separable, "label", "knn", 0.25, None, key=["id"])
-    with pytest.raises(NotBuiltYet):
-        balance.balance(separable, "smote", "label", key=["id"])
+    with pytest.raises(neighbors.NotBuiltYet):
+        balance.balance(separable, "smote", "label", key=["id"], features=["x1", "x2"])
 
 
 def test_streaming_scoring_replays_fitted_steps(spark, separable, tmp_root):
