@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.util import (DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader,
+                             MLWritable, MLWriter)
 from pyspark.ml.param.shared import (HasFeaturesCol, HasLabelCol, HasPredictionCol,
                                      HasProbabilityCol, HasRawPredictionCol)
 from pyspark.sql import Column, DataFrame
@@ -74,13 +76,52 @@ def neighbour_indices(df: DataFrame, vec: Column, reference: np.ndarray, k: int,
     return find_excluding(vec, self_index)
 
 
-class KNNModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol):
+class _KNNWriter(MLWriter):
+    """Params as metadata; reference rows and labels as a Parquet file."""
+
+    def __init__(self, instance: "KNNModel"):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        m = self.instance
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession,
+                                         extraMetadata={"k": m.k, "n_classes": m.n_classes})
+        rows = [(int(i), [float(v) for v in x], int(y))
+                for i, (x, y) in enumerate(zip(m.reference, m.labels))]
+        self.sparkSession.createDataFrame(rows, "i long, x array<double>, y long") \
+            .write.mode("overwrite").parquet(f"{path}/data")
+
+
+class _KNNReader(MLReader):
+    def load(self, path: str) -> "KNNModel":
+        meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        rows = sorted(self.sparkSession.read.parquet(f"{path}/data").collect(), key=lambda r: r["i"])
+        model = KNNModel(np.array([r["x"] for r in rows], dtype=float),
+                         np.array([r["y"] for r in rows], dtype=np.int64),
+                         int(meta["n_classes"]), int(meta["k"]))
+        DefaultParamsReader.getAndSetParams(model, meta)
+        return model
+
+
+class KNNModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol,
+               MLWritable, MLReadable):
     """Majority vote of the k nearest training rows (uniform weights; ties
     go to the smallest class index)."""
 
-    def __init__(self, reference: np.ndarray, labels: np.ndarray, n_classes: int, k: int):
+    def __init__(self, reference: np.ndarray | None = None, labels: np.ndarray | None = None,
+                 n_classes: int = 1, k: int = DEFAULT_K):
         super().__init__()
-        self.reference, self.labels, self.n_classes, self.k = reference, labels, n_classes, k
+        self.reference = reference if reference is not None else np.zeros((0, 0))
+        self.labels = labels if labels is not None else np.zeros(0, dtype=np.int64)
+        self.n_classes, self.k = n_classes, k
+
+    def write(self) -> MLWriter:
+        return _KNNWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _KNNReader()
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         nn = neighbour_indices(dataset, vector_to_array(F.col(self.getFeaturesCol())),

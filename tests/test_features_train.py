@@ -249,3 +249,16 @@ def test_streaming_scoring_replays_fitted_steps(spark, separable, tmp_root):
     batch = res.model.transform(train_df).select("id", F.col("predicted_label").alias("b"))
     assert got.count() == 200
     assert got.join(batch, "id").where("prediction <> b").count() == 0
+
+
+def test_knn_and_svm_models_round_trip_the_store(spark, separable, tmp_root):
+    types = {f.name: f.dataType.simpleString() for f in separable.schema.fields}
+    for algo in ("knn", "svm"):
+        res = train.train_model(separable, "label", algo, 0.25, None, key=["id"],
+                                features=["x1", "x2", "seg"])
+        mid = models.save_model(spark, tmp_root, res.model, "label", algo, res.feature_names,
+                                types, res.labels)
+        stored = models.load_model(spark, tmp_root, mid)
+        before = res.model.transform(separable).select("id", F.col("predicted_label").alias("a"))
+        after = stored.model.transform(separable).select("id", F.col("predicted_label").alias("b"))
+        assert before.join(after, "id").where("a <> b").count() == 0
