@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 from tessera.llm.bpe_heap import op9_bpe
+from tessera.llm.histogram_sort import op7_histogram_sort
+from tessera.llm.hyperminhash import ORACLE as HYPERMINHASH_SQL
+from tessera.llm.hyperminhash import op10_hyperminhash
 from tessera.llm.rans_tokens import op6_rans
 from tessera.llm.window_packing import op8_packing
 
 QUERIES = {
     "op6_rans": op6_rans,
+    "op7_histogram_sort": op7_histogram_sort,
     "op8_packing": op8_packing,
     "op9_bpe": op9_bpe,
+    "op10_hyperminhash": op10_hyperminhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_hyperminhash": HYPERMINHASH_SQL,
+}
