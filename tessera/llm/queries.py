@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 from tessera.llm.bpe_heap import op9_bpe
+from tessera.llm.compression_bands import op2_compression_bands
 from tessera.llm.histogram_sort import op7_histogram_sort
 from tessera.llm.hyperminhash import ORACLE as HYPERMINHASH_SQL
 from tessera.llm.hyperminhash import op10_hyperminhash
+from tessera.llm.langid_crf import op1_crf_langid
+from tessera.llm.pii_spans import op3_pii
 from tessera.llm.rans_tokens import op6_rans
+from tessera.llm.toxic_segments import op4_toxicity
 from tessera.llm.window_packing import op8_packing
 
 QUERIES = {
+    "op1_crf_langid": op1_crf_langid,
+    "op2_compression_bands": op2_compression_bands,
+    "op3_pii": op3_pii,
+    "op4_toxicity": op4_toxicity,
     "op6_rans": op6_rans,
     "op7_histogram_sort": op7_histogram_sort,
     "op8_packing": op8_packing,
