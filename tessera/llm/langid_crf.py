@@ -108,40 +108,49 @@ def chains(e: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tuple[np.nda
     place = np.arange(m) - first[text]
     size = np.minimum(CHUNK, lengths[text] - place * CHUNK)
     begin = (np.cumsum(lengths) - lengths)[text] + place * CHUNK
-    at = np.minimum(begin[:, None] + np.arange(CHUNK), len(e) - 1)
-    live = np.arange(CHUNK) < size[:, None]
-    factors = np.where(live[:, :, None], e[at], 1.0)
-    product = np.broadcast_to(np.eye(k), (m, k, k)).copy()
-    for t in range(CHUNK):
-        new = (product.reshape(-1, k) @ step).reshape(m, k, k) * factors[:, t, None, :]
-        new /= new.sum(axis=(1, 2), keepdims=True)
-        product = np.where(live[:, t, None, None], new, product)
-    into, out = np.full((m, k), 1.0 / k), np.ones((m, k))
-    longest = int(per_text.max())
+    # Chunks stand by falling size, so those that have a t-th word come first.
+    by_size = np.argsort(-size, kind="stable")
+    rank = np.empty(m, dtype=np.int64)
+    rank[by_size] = np.arange(m)
+    live = [int(x) for x in m - np.cumsum(np.bincount(size, minlength=CHUNK + 1))[:CHUNK]]
+    at = np.minimum(begin[by_size] + np.arange(CHUNK)[:, None], len(e) - 1)
+    factors = np.ascontiguousarray(e[at].transpose(0, 2, 1))
+    product = np.broadcast_to(np.eye(k)[:, None, :], (k, m, k)).copy()  # [to, chunk, from]
+    flat = product.reshape(k, m * k)
+    for t, n in enumerate(live):
+        flat[:, :n * k] = step.T @ flat[:, :n * k]
+        product[:, :n] *= factors[t, :, :n, None]
+        if t % 8 == 7:
+            product /= product.sum(axis=(0, 2), keepdims=True)
+    product = product / product.sum(axis=(0, 2), keepdims=True)
+    into, out = np.full((k, m), 1.0 / k), np.ones((k, m))
     order = np.argsort(-per_text, kind="stable")
-    of_length = [int((per_text > j).sum()) for j in range(longest + 1)]
-    for j in range(1, longest):
+    of_length = [int((per_text > j).sum()) for j in range(int(per_text.max()))]
+    for j in range(1, len(of_length)):
         now = first[order[:of_length[j]]] + j
-        v = np.einsum("ik,ikl->il", into[now - 1], product[now - 1])
-        into[now] = v / v.sum(axis=1, keepdims=True)
-    for j in range(longest - 1, 0, -1):
+        v = np.einsum("lmi,im->lm", product[:, rank[now - 1]], into[:, rank[now - 1]])
+        into[:, rank[now]] = v / v.sum(axis=0)
+    for j in range(len(of_length) - 1, 0, -1):
         now = first[order[:of_length[j]]] + j
-        v = np.einsum("ikl,il->ik", product[now], out[now])
-        out[now - 1] = v / v.sum(axis=1, keepdims=True)
-    alpha = np.empty((m, CHUNK, k))
+        v = np.einsum("lmi,lm->im", product[:, rank[now]], out[:, rank[now]])
+        out[:, rank[now - 1]] = v / v.sum(axis=0)
+    alpha, beta = np.ones((CHUNK, k, m)), np.ones((CHUNK, k, m))
     v = into
-    for t in range(CHUNK):
-        new = (v @ step) * factors[:, t]
-        v = np.where(live[:, t, None], new / new.sum(axis=1, keepdims=True), v)
-        alpha[:, t] = v
-    v, beta = out, np.empty((m, CHUNK, k))
+    for t, n in enumerate(live):
+        np.multiply(step.T @ v[:, :n], factors[t, :, :n], out=alpha[t, :, :n])
+        v = alpha[t] / alpha[t].sum(axis=0) if t % 8 == 7 else alpha[t]
+    v = out
     for t in range(CHUNK - 1, -1, -1):
-        beta[:, t] = v
-        new = (v * factors[:, t]) @ step.T
-        v = np.where(live[:, t, None], new / new.sum(axis=1, keepdims=True), v)
-    beta = beta[live]
-    gamma = alpha[live] * beta
-    return gamma / gamma.sum(axis=1, keepdims=True), beta
+        n = live[t]
+        beta[t] = v
+        v[:, :n] = step @ (v[:, :n] * factors[t, :, :n])
+        if t % 8 == 7:
+            v /= v.sum(axis=0)
+    chunk = np.repeat(rank, size)
+    word = np.arange(len(e)) - np.repeat(begin, size)
+    back = beta[word, :, chunk]
+    gamma = alpha[word, :, chunk] * back
+    return gamma / gamma.sum(axis=1, keepdims=True), back
 
 
 def windows(text: str | None) -> list[list[str]]:
