@@ -53,6 +53,10 @@ class PieceCoder:
         """Ids of each string as little-endian unsigned 32-bit integers."""
         raise NotImplementedError
 
+    def folded(self, text: str) -> str:
+        """The text, or one with the same ids and fewer distinct words."""
+        return text
+
     def word(self, word: str, spaced: bool) -> bytes | None:
         """Ids of a word of letters, after a space if ``spaced``; None leaves
         it to ``whole``."""
@@ -118,11 +122,11 @@ class PieceCoder:
             if self.keeps_space:
                 head, *pieces = text.replace("\n", " \n").split(" ")
             else:
-                pieces = text.replace("\n", " ").split(" ")
+                pieces = self.folded(text).replace("\n", " ").split(" ")
             cut.append((i, head, pieces))
             distinct.update(pieces)
         self._learn(distinct)
-        heads = self.whole([head for _, head, _ in cut])
+        heads = self.whole([head for _, head, _ in cut]) if self.keeps_space else [b""] * len(cut)
         find = self.known.__getitem__
         for (i, _, pieces), head in zip(cut, heads, strict=True):
             try:
@@ -149,8 +153,19 @@ class LibraryCoder(PieceCoder):
         self.model = self.tokenizer.model
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.specials = tuple(token.content for token in added)
+        self.lowers = not keeps_space and "Lowercase" in str(self.tokenizer.normalizer)
         self.letters = {b: c for c, b in byte_letters().items()}
 
+    def folded(self, text: str) -> str:
+        """Latin-1 text is lowered here if the tokenizer does so first."""
+        if self.lowers:
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+            return text.lower()
+        return text
+
     def word(self, word: str, spaced: bool) -> bytes | None:
         """A word of Latin letters is one pre-token and goes to the library's
         BPE model at once."""

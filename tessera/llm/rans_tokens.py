@@ -37,9 +37,9 @@ from tessera.llm import pieces, shared
 HEADER = struct.Struct("<4sIIIQII")  # magic, lanes, block, bits, ids, symbols, blocks
 MAGIC = b"rTK1"
 LANES = 32
-BLOCK = 32 * 1024
+BLOCK = 16 * 1024
 #: Ids after which a segment is closed; a longer document is one segment.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 21
 LOW = np.uint64(1 << 31)
 
 
