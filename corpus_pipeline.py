@@ -1,11 +1,55 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and
-read again as the next one's input."""
+read again as the next one's input.
+
+Toxic documents go, then those without a main language, then all but one of
+each group of near-duplicates; personal data is masked in the rest, which is
+packed into sequences.  All stages but the last return the input's columns.
+An empty table passes through; null texts are no toxic documents, have no
+language and so go in the second stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import hyperminhash, langid_crf, pii_spans, shared, toxic_segments, window_packing
+
+#: Least mean marginal of a document's language.
+MAIN_LANGUAGE = 0.5
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold, by a model learned from those
+    of the labelled documents that are not held out."""
+    fitted = toxic_segments.fit(docs, shared.read_table(spark, sf_dir, "labels"))
+    scored = toxic_segments.score(docs, fitted)
+    return scored.filter(F.col("tox_score") < toxic_segments.THRESHOLD).select(docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents most of which is in one language."""
+    found = langid_crf.predict(docs, langid_crf.fit(docs))
+    clear = (F.col("lang_pred") != langid_crf.UNDETERMINED) & (F.col("lang_score") >= MAIN_LANGUAGE)
+    return found.filter(clear).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (word shingles of five,
+    similarity 0.8): the one with the smallest id.  Documents without an id
+    or without words stay."""
+    found = hyperminhash.near_duplicates(docs, threshold=0.8, shingle=5)
+    stay = found.filter("doc_id IS NOT NULL AND kept").select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+
 
-from tessera.llm import shared, window_packing
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data masked, ``n_chars`` brought in line."""
+    masked = pii_spans.mask(docs)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +57,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return window_packing.digest(window_packing.pack_documents(docs))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("toxicity", toxicity), ("language", language), ("near-duplicates", near_duplicates),
+          ("personal data", personal_data), ("packing", packing)]
 
 #: Learned models, tokenizers and sketches can't be written in SQL.
 ORACLE_SQL = None
@@ -22,5 +67,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = shared.written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -219,7 +219,7 @@ def _rows(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(body).alias("source"), body.alias("text"))
 
 
-def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """``id``, ``source`` (a hash of the text), ``n_shingles``, ``same``
     (digest of the whole set, null if it is empty), ``regs`` and ``bands`` of
     every row."""
@@ -227,7 +227,7 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     def start():
         def apply(batch):
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
             full = [i for i, s in enumerate(sets) if len(s)]
             same, regs, bands = ([None] * len(sets) for _ in range(3))
             if full:
@@ -244,11 +244,11 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return shared.map_slices(rows, start, "id long, source long, n_shingles long, same binary, regs binary, bands array<long>")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.85, text: str = "text", key: str = "doc_id",
+def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id",
                     blocks: tuple[int, int] = (BUCKET_BLOCK, GROUP_BLOCK)) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest key reachable by
     links of Jaccard similarity >= ``threshold``) and ``kept`` of every row."""
-    sketch = shared.written(sketches(docs, text, key), "sketches")
+    sketch = shared.written(sketches(docs, text, key, shingle), "sketches")
     proper = sketch.filter("id IS NOT NULL AND same IS NOT NULL")
     classes = shared.written(proper.groupBy("same").agg(F.min("id").alias("first")), "classes")
     firsts = shared.written(
@@ -268,7 +268,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, text: str = "text"
 
         def members_of(side: bool, i: int) -> frozenset:
             if (side, i) not in sets:
-                sets[side, i] = frozenset(shingle_set((right if side else left)[i]["text"]).tolist())
+                sets[side, i] = frozenset(shingle_set((right if side else left)[i]["text"], shingle).tolist())
             return sets[side, i]
 
         def holds(i: int, j: int) -> bool:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tessera.llm.bpe_heap import op9_bpe
 from tessera.llm.compression_bands import op2_compression_bands
+from tessera.llm.cover_tree import ORACLE as COVER_TREE_SQL
+from tessera.llm.cover_tree import op5_cover_tree
 from tessera.llm.histogram_sort import op7_histogram_sort
 from tessera.llm.hyperminhash import ORACLE as HYPERMINHASH_SQL
 from tessera.llm.hyperminhash import op10_hyperminhash
@@ -18,6 +20,7 @@ QUERIES = {
     "op2_compression_bands": op2_compression_bands,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_cover_tree": op5_cover_tree,
     "op6_rans": op6_rans,
     "op7_histogram_sort": op7_histogram_sort,
     "op8_packing": op8_packing,
@@ -26,5 +29,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_cover_tree": COVER_TREE_SQL,
     "op10_hyperminhash": HYPERMINHASH_SQL,
 }
