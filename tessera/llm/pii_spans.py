@@ -161,10 +161,11 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """The same columns, with the spans in the text masked."""
+    names = docs.columns
 
     def start():
         def apply(batch):
-            return {n: batch.column(n) for n in docs.columns} | {text: [*map(masked, batch.column(text).to_pylist())]}
+            return {n: batch.column(n) for n in names} | {text: [*map(masked, batch.column(text).to_pylist())]}
 
         return apply
 

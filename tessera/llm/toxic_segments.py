@@ -1,8 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
 Every token has a log-odds score of the toxic against the clean class under an
-informative Dirichlet prior, that of its strongest unit: the word or one of
-its beginnings.  A linear-time scan finds all maximal segments of a text; the
+informative Dirichlet prior, that of its most specific known unit: the word,
+or else its longest beginning.  A linear-time scan finds all maximal segments of a text; the
 tail of the segment scores in clean texts (peaks over a threshold) says how
 many such segments chance gives a text of that length, and a logistic curve
 turns the surprise of the best few into a probability.
@@ -32,10 +32,11 @@ from tessera.llm import shared
 
 #: Labelled rows from which the model is fitted, at most.
 MAX_LABELLED = 20_000
-#: Units of the model, the strongest first.
+#: Toxic units, the strongest first, and units that extend them, the most
+#: frequent first.
 MAX_UNITS = 50_000
 #: Strength of the Dirichlet prior, in documents.
-PRIOR = 500.0
+PRIOR = 50.0
 #: Least z-score of a unit.
 LEAST_Z = 3.0
 #: Lengths of the beginnings that are units.
@@ -54,8 +55,9 @@ _EDGES = ".,;:!?#$%&*|\"'()[]"
 
 
 def units(word: str) -> list[str]:
-    """A word in the units of the model: itself, and its beginnings."""
-    return ["=" + word, *("^" + word[:k] for k in BEGINNINGS if len(word) >= k)]
+    """A word in the units of the model, the most specific first: itself, and
+    its beginnings."""
+    return ["=" + word, *("^" + word[:k] for k in reversed(BEGINNINGS) if len(word) >= k)]
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> tuple[np.ndarray, np.ndarray]:
@@ -94,17 +96,16 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
 
 
 class WordScores(dict):
-    """Score of a word as it stands in a text: that of its strongest unit,
-    less the drift."""
+    """Score of a word as it stands in a text: that of its most specific
+    unit, less the drift."""
 
-    def __init__(self, model: dict[str, tuple[float, float]]):
+    def __init__(self, model: dict[str, float]):
         super().__init__()
         self.model = model
 
     def __missing__(self, raw: str) -> float:
-        found = [self.model[u] for u in units(raw.lower().strip(_EDGES)) if u in self.model]
-        delta = max(found, key=lambda x: abs(x[1]))[0] if found else 0.0
-        self[raw] = score = (delta if delta > 0 else 0.0) - DRIFT
+        found = (self.model[u] for u in units(raw.lower().strip(_EDGES)) if u in self.model)
+        self[raw] = score = next(found, 0.0) - DRIFT
         return score
 
     def segments(self, text: str | None) -> tuple[int, list[tuple[float, int, int]]]:
@@ -198,23 +199,35 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
         return apply
 
-    counted = (shared.map_slices(taken, count, "unit string, n0 long, n1 long, n2 long, n3 long")
-               .groupBy("unit").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4)))
-               # A unit of the toxic class: met there more often than by its share.
-               .filter(f"(n1 + n3) * {total[0]} > 2 * (n0 + n2) * {total[1]} AND n1 + n3 >= 2")
-               .withColumn("lift", F.expr(f"(n1 + n3) * sqrt((n1 + n3) / (n0 + n2 + {total[0] / sum(total)}))"))
-               .orderBy(F.desc("lift"), "unit").limit(MAX_UNITS).drop("lift").toPandas())
-    n = counted[["n0", "n1", "n2", "n3"]].to_numpy(dtype=float)
-
-    # Each unit's evidence is taken one standard error below its estimate.
-    def model(folds: tuple[int, ...]) -> dict[str, tuple[float, float]]:
+    counted = shared.written(
+        shared.map_slices(taken, count, "unit string, n0 long, n1 long, n2 long, n3 long")
+        .groupBy("unit").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4))).filter("n0 + n1 + n2 + n3 > 1"), "units")
+    # Units of the toxic class: met there more often than by its share.
+    lift = F.expr(f"(n1 + n3) * sqrt((n1 + n3) / (n0 + n2 + {total[0] / sum(total)}))")
+    lifted = shared.written(
+        counted.filter(f"(n1 + n3) * {total[0]} > 2 * (n0 + n2) * {total[1]} AND n1 + n3 > 1")
+        .orderBy(F.desc(lift), "unit").limit(MAX_UNITS), "toxic-units")
+    # What begins like one of them has a score of its own.
+    beginning = F.explode(F.expr(
+        f"transform(sequence({BEGINNINGS.start}, greatest({BEGINNINGS.start}, least({BEGINNINGS.stop - 1}, length(unit) - 1))), "
+        "k -> concat('^', substring(unit, 2, k)))"))
+    toxic_beginnings = lifted.filter("unit LIKE '^%'").select(F.col("unit").alias("beginning"))
+    extended = (counted.withColumn("beginning", beginning).join(F.broadcast(toxic_beginnings), "beginning", "left_semi")
+                .drop("beginning").distinct().orderBy(F.expr("n0 + n1 + n2 + n3").desc(), "unit").limit(MAX_UNITS))
+    known_units = lifted.unionByName(extended).distinct().toPandas()  # at most twice MAX_UNITS rows
+    n = known_units[["n0", "n1", "n2", "n3"]].to_numpy(dtype=float)
+
+    # Each unit's evidence is taken one standard error below its estimate;
+    # without enough evidence it says nothing.
+    def model(folds: tuple[int, ...]) -> dict[str, float]:
         toxic, clean = sum(n[:, 2 * f + 1] for f in folds), sum(n[:, 2 * f] for f in folds)
         n_toxic, n_clean = (sum(sizes.get((f, c), 0) for f in folds) for c in (1, 0))
         if not n_toxic or not n_clean:
             return {}
         delta, z = log_odds(toxic, clean, n_toxic, n_clean)
-        good = (z >= LEAST_Z) & (toxic >= 2)
-        return {u: (float(d - d / q), float(q)) for u, d, q in zip(counted["unit"][good], delta[good], z[good], strict=True)}
+        score = np.where((z >= LEAST_Z) & (toxic >= 2), delta - delta / np.maximum(z, 1), 0.0)
+        met = toxic + clean > 1
+        return dict(zip(known_units["unit"][met], score[met].tolist(), strict=True))
 
     other = [model((1,)), model((0,))]
 
