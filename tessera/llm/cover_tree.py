@@ -297,9 +297,10 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD,
     of_class = (classes.join(links, "id", "left").join(reached, "id", "left")
                 .select("dim", "vec", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"),
                         F.coalesce("component", "id").alias("component")))
-    component = F.coalesce("component", "id")
+    named = F.col("id").isNotNull()
+    component = F.when(named, F.coalesce("component", "id"))
     return (rows.join(of_class, ["dim", "vec"], "left")
-            .select(F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+            .select(F.col("id").alias(key), F.when(named, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"), component.alias("component_id"),
                     F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")))
 
 

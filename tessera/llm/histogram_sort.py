@@ -93,18 +93,22 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = TOLERANCE) -> tupl
     ends = Edge(_FIRST, _FIRST, 0, 0), Edge(1 << 63, _FIRST, size, n)
     found: dict[int, Edge] = {}
     active = [Interval(0, 0, -(1 << 11), 1, *ends)]
-    of_active, chosen = [sorted(wanted)], [0]
-    rows = keys.select("h", "k", "size", F.lit(0).cast("long").alias("at"))
-    rounds = 0
+    of_active, chosen = [sorted(wanted)], []
+    rows, rounds = keys, 0
+    upper = F.shiftright("h", _COARSE)
     while active and n:
         rounds += 1
-        table = literal_rows(spark, [{"of": o, "id": i, "level": v.level, "low": v.low, "width": v.width}
-                                     for i, (o, v) in enumerate(zip(chosen, active, strict=True))],
-                             "of bigint, id bigint, level int, low bigint, width bigint")
-        value = (F.when(F.col("level") == 0, F.shiftright("h", _COARSE)).when(F.col("level") == 1, F.col("h"))
-                 .when(F.col("level") == 2, F.shiftright("k", _COARSE)).otherwise(F.col("k")))
-        rows = (rows.join(F.broadcast(table), F.col("at") == F.col("of")).withColumn("value", value)
-                .select("h", "k", "size", "value", (F.col("id") * 4096 + F.expr("(value - low) div width")).alias("at")))
+        if rounds == 1:  # one interval, of all rows
+            rows = keys.select("h", "k", "size", upper.alias("value"), (upper + (1 << 11)).alias("at"))
+        else:
+            table = literal_rows(spark, [{"of": o, "id": i, "level": v.level, "low": v.low, "width": v.width}
+                                         for i, (o, v) in enumerate(zip(chosen, active, strict=True))],
+                                 "of bigint, id bigint, level int, low bigint, width bigint")
+            value = (F.when(F.col("level") == 1, F.col("h")).when(F.col("level") == 2, F.shiftright("k", _COARSE))
+                     .otherwise(F.col("k")))
+            rows = (rows.join(F.broadcast(table), F.col("at") == F.col("of")).withColumn("new", value)
+                    .select("h", "k", "size", F.col("new").alias("value"),
+                            (F.col("id") * 4096 + F.expr("(new - low) div width")).alias("at")))
         counted = rows.groupBy("at").agg(F.sum("size").alias("b"), F.count("*").alias("n"),
                                          F.min("value").alias("low"), F.max("value").alias("high"))
         buckets: dict[int, list] = {}

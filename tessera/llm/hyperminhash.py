@@ -12,8 +12,9 @@ a bucket, and later a group of candidates, is compared in blocks of bounded
 size, and only the edges that join what isn't joined yet leave a task.
 
 Rows: a document without words (null, empty, white space) has an empty set
-and is linked with nothing, as is one with a null key.  Rows with equal keys
-and texts share a component and are all kept if the key is its smallest.
+and is linked with nothing, as is one with a null key (which is kept and has no
+component).  Rows with equal keys and texts share a component and are all kept
+if the key is its smallest.
 """
 
 from __future__ import annotations
@@ -281,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = SHI
     links = _compare(_dealt(full, ["candidates"], blocks[1]), ["candidates"], "text", confirmed)
     reached = components(links).select(F.col("id").alias("first"), "component")
     of_class = classes.join(reached, "first", "left").select("same", F.coalesce("component", "first").alias("component"))
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return (sketch.select("id", "n_shingles", "same").join(of_class, "same", "left")
             .select(F.col("id").alias(key), "n_shingles", component.alias("component_id"),
                     F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")))
