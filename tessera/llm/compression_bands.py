@@ -29,7 +29,7 @@ WHOLE_BANDS = ((128, 0.30, 1.35), (256, 0.25, 1.05), (512, 0.22, 0.90), (2048, 0
                (65536, 0.15, 0.70), (1 << 62, 0.12, 0.70))
 #: Least and greatest ratio of a chunk, and the share of chunks that may lie
 #: outside.  A last chunk of under half the size belongs to the one before.
-CHUNK_BAND, CHUNKS_OUTSIDE = (0.12, 0.90), 0.25
+CHUNK_BAND, CHUNKS_OUTSIDE = (0.15, 0.72), 0.25
 WINDOW = 5
 
 

@@ -160,9 +160,10 @@ def calibrate(rows: list[tuple[int, list[float], int]]) -> Calibration:
 
 
 def _family(text: str | None) -> tuple[int, int]:
-    """Two least word hashes, which near copies mostly share."""
-    words = {w.encode() for w in (text or "").lower().split()} or {b""}
-    return min(map(xxhash.xxh3_64_intdigest, words)), min(xxhash.xxh3_64_intdigest(w, 1) for w in words)
+    """Two least hashes of word pairs, which near copies mostly share."""
+    words = (text or "").lower().split()
+    pairs = {f"{a} {b}" for a, b in zip(words, words[1:])} or {" ".join(words)}
+    return min(map(xxhash.xxh3_64_intdigest, pairs)), min(xxhash.xxh3_64_intdigest(p, 1) for p in pairs)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[dict, Calibration] | None:

@@ -163,14 +163,13 @@ def test_base_spans_equal_plain_patterns():
 def test_checksums_context_and_masking():
     assert pii_spans.luhn("4111111111111111") and not pii_spans.luhn("4111111111111112")
     assert pii_spans.mod97("GB82 WEST 1234 5698 7654 32") and not pii_spans.mod97("GB83 WEST 1234 5698 7654 32")
-    text = "Wire to GB82 WEST 1234 5698 7654 32 today. SSN 123-45-6789. Part 123-45-6789."
-    assert [s["kind"] for s in pii_spans.spans(text)] == ["iban", "ssn"] or \
-        [s["kind"] for s in pii_spans.spans(text)] == ["iban", "ssn", "ssn"]
+    text = "Wire to GB82 WEST 1234 5698 7654 32 today. SSN 123-45-6789. " + "x" * 50 + " Part 123-45-6789."
+    assert [s["kind"] for s in pii_spans.spans(text)] == ["iban", "ssn"]
     assert pii_spans.joined(pii_spans.spans("é ab@c.de")) == "email:2:9"
     assert pii_spans.masked("mail ab@c.de or 10.0.0.1.") == "mail <EMAIL> or <IP>."
     assert pii_spans.masked(None) is None and pii_spans.masked("") == ""
     # Overlapping spans leave no digit behind.
-    assert not re.search("[0-9]", pii_spans.masked("+1 411 111 11111 4111111111111111"))
+    assert not re.search("[0-9]", pii_spans.masked("call +378282246310005 now"))
 
 
 def test_spans_edge_rows(spark, edge):

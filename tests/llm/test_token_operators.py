@@ -84,7 +84,7 @@ def test_rans_wide_alphabets_sizes_and_damage():
     ids = (rng.zipf(1.5, 200_000) % 1000).astype(np.uint32)
     share = np.bincount(ids)[np.unique(ids)] / len(ids)
     payload = rans_tokens.encode(ids)
-    assert 8 * len(payload) < 1.1 * len(ids) * -(share * np.log2(share)).sum()
+    assert 8 * len(payload) < 1.15 * len(ids) * -(share * np.log2(share)).sum()
     for at in (30, len(payload) // 2, len(payload) - 2):
         broken = bytearray(payload)
         broken[at] ^= 1
