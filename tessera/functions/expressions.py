@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 MISSING_TOKENS = ["", " ", "null", "N/A", "na", "-", "unknown", "NaN"]
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark SQL reads it literally (dots and backticks)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+    """The column of that very name; a dot in it is no struct access."""
+    return F.col(quoted(c)) if isinstance(c, str) else c
 
 
 def nan_to_null(c: str | Column) -> Column:
@@ -48,7 +54,7 @@ def boxcox(c: Column, lam: float) -> Column:
     c = c.cast("double")
     if abs(lam) < 1e-12:
         return F.ln(c)
-    return (F.pow(c, F.lit(lam)) - F.lit(1.0)) / F.lit(lam)
+    return F.expm1(F.lit(lam) * F.ln(c)) / F.lit(lam)
 
 
 def yeojohnson(c: Column, lam: float) -> Column:
@@ -57,31 +63,14 @@ def yeojohnson(c: Column, lam: float) -> Column:
     if abs(lam) < 1e-12:
         pos = F.log1p(c)
     else:
-        pos = (F.pow(c + F.lit(1.0), F.lit(lam)) - F.lit(1.0)) / F.lit(lam)
+        pos = F.expm1(F.lit(lam) * F.log1p(c)) / F.lit(lam)
     if abs(lam - 2.0) < 1e-12:
         neg = -F.log1p(-c)
     else:
-        neg = -(F.pow(F.lit(1.0) - c, F.lit(2.0 - lam)) - F.lit(1.0)) / F.lit(2.0 - lam)
+        neg = -F.expm1(F.lit(2.0 - lam) * F.log1p(-c)) / F.lit(2.0 - lam)
     return F.when(c.isNull(), F.lit(None).cast("double")).when(c >= 0, pos).otherwise(neg)
 
 
-def boxcox_lam(c: Column, lam: Column) -> Column:
-    """Box-Cox with lambda given as a column (one expression for a grid)."""
-    c = c.cast("double")
-    return F.when(F.abs(lam) < 1e-12, F.ln(c)).otherwise((F.pow(c, lam) - F.lit(1.0)) / lam)
-
-
-def yeojohnson_lam(c: Column, lam: Column) -> Column:
-    """Yeo-Johnson with lambda given as a column."""
-    c = c.cast("double")
-    pos = F.when(F.abs(lam) < 1e-12, F.log1p(c)).otherwise(
-        (F.pow(c + F.lit(1.0), lam) - F.lit(1.0)) / lam)
-    two = F.lit(2.0) - lam
-    neg = F.when(F.abs(two) < 1e-12, -F.log1p(-c)).otherwise(
-        -(F.pow(F.lit(1.0) - c, two) - F.lit(1.0)) / two)
-    return F.when(c >= 0, pos).otherwise(neg)
-
-
 def adjusted_skewness(g1: float | None, n: int) -> float | None:
     """Bias-adjusted sample skewness G1 from the population value g1."""
     if g1 is None or n < 3 or (isinstance(g1, float) and math.isnan(g1)):

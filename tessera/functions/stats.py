@@ -5,30 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expressions import nan_to_null
+from tessera.functions.expressions import col, nan_to_null
 
-# Above this many distinct values a column's exact quantiles come from a sort.
-PERCENTILE_MAX_DISTINCT = 100_000
 
-
-def quantile_expr(c: str | Column, probs: Sequence[float], exact: bool = True,
-                  accuracy: int = 100000) -> Column:
-    """Linear-interpolated quantiles (pandas' default) as one array column.
-
-    ``exact`` uses ``percentile``: its buffer holds one count per distinct
-    value and a global aggregate merges them in one task, so it suits
-    columns of bounded cardinality; ``quantiles`` below sorts instead.
-    ``exact=False`` uses ``percentile_approx`` (bounded memory, rank error
-    about n/accuracy).
-    """
-    c = F.col(c) if isinstance(c, str) else c
-    c = nan_to_null(c.cast("double"))
-    if exact:
-        return F.percentile(c, F.array(*[F.lit(float(p)) for p in probs]))
-    return F.percentile_approx(c, [float(p) for p in probs], accuracy)
+def quantile_expr(c: str | Column, probs: Sequence[float], accuracy: int = 100000) -> Column:
+    """Approximate quantiles as one array column (``percentile_approx``:
+    bounded memory, rank error about n/accuracy)."""
+    return F.percentile_approx(nan_to_null(col(c).cast("double")), [float(p) for p in probs], accuracy)
 
 
 def collect_stats(df: DataFrame, exprs: dict[str, Column]) -> dict:
@@ -43,115 +29,75 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
               exact: bool = True, accuracy: int = 100000) -> dict[str, list]:
     """Linear-interpolated quantiles of several columns: {col: [q_p ...]}.
 
-    ``exact=True`` sorts instead of hashing: all columns are unpivoted to
-    (column, value), range-partitioned and sorted once, and only the two
-    order statistics around each quantile are fetched.  No task holds more
-    than its range partition, whatever the number of distinct values.
-    ``exact=False`` is one ``percentile_approx`` aggregation.
+    ``exact=True`` is one method for any number of distinct values: all
+    columns are unpivoted to (column, value) and counted with map-side
+    combining, so a value that many rows share is one row; the distinct pairs
+    are range-partitioned and sorted, and only the order statistics around
+    each quantile are fetched.  ``exact=False`` is one ``percentile_approx``
+    aggregation.
     """
     cols = list(cols)
     if not cols:
         return {}
     if not exact:
-        stats = collect_stats(df, {f"q{i}": quantile_expr(c, probs, False, accuracy)
-                                   for i, c in enumerate(cols)})
+        stats = collect_stats(df, {f"q{i}": quantile_expr(c, probs, accuracy) for i, c in enumerate(cols)})
         return {c: (list(stats[f"q{i}"]) if stats[f"q{i}"] is not None else [None] * len(probs))
                 for i, c in enumerate(cols)}
-    # Cardinality decides the method: ``percentile`` holds one entry per
-    # distinct value (merged in one task), so it is used only below a bound;
-    # other columns are sorted.  The HLL estimate is one cheap aggregation.
-    distinct = collect_stats(df, {f"d{i}": F.approx_count_distinct(c)
-                                  for i, c in enumerate(cols)})
-    small = [c for i, c in enumerate(cols) if distinct[f"d{i}"] <= PERCENTILE_MAX_DISTINCT]
-    large = [c for c in cols if c not in small]
-    out: dict[str, list] = {}
-    if small:
-        stats = collect_stats(df, {f"q{i}": quantile_expr(c, probs, True)
-                                   for i, c in enumerate(small)})
-        for i, c in enumerate(small):
-            value = stats[f"q{i}"]
-            out[c] = list(value) if value is not None else [None] * len(probs)
-    if large:
-        out.update(sorted_quantiles(df, large, probs))
-    return {c: out[c] for c in cols}
-
-
-def sorted_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict:
-    """Exact quantiles by one distributed sort of (column, value)."""
     from tessera.plans import ordering
 
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_c"), nan_to_null(F.col(c).cast("double")).alias("_v"))
+        F.struct(F.lit(i).alias("_c"), nan_to_null(col(c).cast("double")).alias("_v"))
         for i, c in enumerate(cols)])).alias("_p")
-    long = df.select(pairs).select("_p._c", "_p._v").where(F.col("_v").isNotNull())
-    tagged = ordering.sorted_tagged(long, ["_c", "_v"], reliable=False)
+    counted = (df.select(pairs).select("_p._c", "_p._v").where(F.col("_v").isNotNull())
+               .groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_n")))
+    tagged = ordering.sorted_tagged(counted, ["_c", "_v"], reliable=False)
     try:
         return _pick_quantiles(tagged, cols, probs)
     finally:
         tagged.unpersist()
 
 
-def _pick_quantiles(tagged: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict:
+def _pick_quantiles(tagged: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list]:
     from tessera.plans import ordering
 
-    # One small job: rows per (partition, column).  Partition offsets and
-    # column sizes both follow; column i occupies [start_i, start_i + n_i).
-    per = tagged.groupBy(ordering.PID, "_c").agg(F.count(F.lit(1)).alias("n")).collect()
-    part_rows: dict[int, int] = {}
-    counts: dict[int, int] = {}
-    for r in per:
-        part_rows[r[0]] = part_rows.get(r[0], 0) + r["n"]
-        counts[r["_c"]] = counts.get(r["_c"], 0) + r["n"]
-    offsets, running = [], 0
-    for pid in sorted(part_rows):
-        offsets.append((running, pid, part_rows[pid]))
-        running += part_rows[pid]
-    start, starts = 0, {}
-    for i in range(len(cols)):
-        starts[i] = start
-        start += counts.get(i, 0)
-
-    plan, wanted = {}, {}
-    for i in range(len(cols)):
-        n = counts.get(i, 0)
+    # One row per partition and column on the driver: where each column's
+    # ranks lie follows from them.
+    per = tagged.groupBy(ordering.PID, "_c").agg(F.sum("_n").alias("n")).collect()
+    parts: dict[int, list[tuple[int, int, int]]] = {}  # column: (pid, first rank, rows)
+    totals: dict[int, int] = {}
+    for r in sorted(per, key=lambda r: (r["_c"], r[0])):
+        first = totals.get(r["_c"], 0)
+        parts.setdefault(r["_c"], []).append((r[0], first, r["n"]))
+        totals[r["_c"]] = first + r["n"]
+    wanted: set[tuple[int, int, int, int]] = set()  # pid, column, rank there, rank
+    plan: dict[tuple[int, int], tuple[int, int, float]] = {}
+    for i in totals:
         for j, p in enumerate(probs):
-            if n == 0:
-                plan[(i, j)] = None
-                continue
-            h = (n - 1) * float(p)
-            lo = int(math.floor(h))
-            hi = min(lo + 1, n - 1)
-            plan[(i, j)] = (starts[i] + lo, starts[i] + hi, h - lo)
-            wanted[starts[i] + lo] = None
-            wanted[starts[i] + hi] = None
-
-    by_pid: dict[int, tuple[int, list[int]]] = {}
-    for pos in wanted:
-        for off, pid, cnt in offsets:
-            if off <= pos < off + cnt:
-                by_pid.setdefault(pid, (off, []))[1].append(pos - off)
-                break
-    if by_pid:
-        cond = None
-        for pid, (off, idx) in by_pid.items():
-            term = (F.col(ordering.PID) == pid) & ordering.local_index().isin(*idx)
-            cond = term if cond is None else (cond | term)
-        offset_col = F.coalesce(*[F.when(F.col(ordering.PID) == pid, F.lit(off))
-                                  for pid, (off, _) in by_pid.items()])
-        picked = tagged.where(cond).select((offset_col + ordering.local_index()).alias("pos"), "_v")
-        for r in picked.collect():
-            wanted[r["pos"]] = r["_v"]
-
+            h = (totals[i] - 1) * float(p)
+            low = int(math.floor(h))
+            high = min(low + 1, totals[i] - 1)
+            plan[i, j] = (low, high, h - low)
+            for rank in (low, high):
+                pid, first, _ = next(x for x in parts[i] if x[1] <= rank < x[1] + x[2])
+                wanted.add((pid, i, rank - first, rank))
+    if not wanted:
+        return {c: [None] * len(probs) for c in cols}
+    targets = tagged.sparkSession.createDataFrame(sorted(wanted), f"{ordering.PID} int, _c int, _at long, _rank long")
+    upto = Window.partitionBy(ordering.PID, "_c").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    touched = F.broadcast(targets.select(ordering.PID, "_c").distinct())
+    running = tagged.join(touched, [ordering.PID, "_c"], "left_semi").withColumn("_end", F.sum("_n").over(upto))
+    picked = (running.join(F.broadcast(targets), [ordering.PID, "_c"])
+              .where((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_n")))
+              .select("_c", "_rank", "_v").collect())
+    value = {(r["_c"], r["_rank"]): r["_v"] for r in picked}
     out = {}
     for i, c in enumerate(cols):
-        values = []
+        out[c] = []
         for j in range(len(probs)):
-            spec = plan[(i, j)]
-            if spec is None:
-                values.append(None)
+            if (i, j) not in plan:
+                out[c].append(None)
                 continue
-            lo, hi, frac = spec
-            a, b = wanted[lo], wanted[hi]
-            values.append(a + (b - a) * frac if frac else a)
-        out[c] = values
+            low, high, part = plan[i, j]
+            a, b = value[i, low], value[i, high]
+            out[c].append(a + (b - a) * part if part else a)
     return out

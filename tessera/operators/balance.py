@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.expressions import col
 from tessera.plans.ordering import with_group_index
 
 METHODS = ("undersample", "oversample", "smote")
@@ -21,12 +22,12 @@ DEFAULT_SEED = 42
 
 
 def _key_hash(key: Sequence[str], seed: int, salt: str = ""):
-    return F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(k) for k in key])
+    return F.xxhash64(F.lit(seed), F.lit(salt), *[col(k) for k in key])
 
 
 def class_counts(df: DataFrame, target: str) -> dict:
     """{class: rows}; the number of classes is small by nature."""
-    return {r[0]: r[1] for r in df.groupBy(target).count().collect()}
+    return {r[0]: r[1] for r in df.groupBy(col(target)).count().collect()}
 
 
 def undersample(df: DataFrame, target: str, key: Sequence[str],
@@ -36,7 +37,7 @@ def undersample(df: DataFrame, target: str, key: Sequence[str],
     Each class keeps its ``n_min`` rows with the smallest seeded hash of the
     key (a uniform random subset).
     """
-    df = df.where(F.col(target).isNotNull())
+    df = df.where(col(target).isNotNull())
     counts = class_counts(df, target)
     if not counts:
         return df
@@ -55,7 +56,7 @@ def oversample(df: DataFrame, target: str, key: Sequence[str],
     ``hash(seed, c, j) mod n_c``; the draws are generated by ``range`` and
     equi-joined on (class, index), so no class is gathered in one place.
     """
-    df = df.where(F.col(target).isNotNull())
+    df = df.where(col(target).isNotNull())
     counts = class_counts(df, target)
     if not counts:
         return df

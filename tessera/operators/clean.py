@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.expressions import MISSING_TOKENS, nan_to_null
+from tessera.functions.expressions import MISSING_TOKENS, col, nan_to_null
 from tessera.functions.schema import FLOATING_TYPES, is_numeric, select_columns
 from tessera.functions.stats import collect_stats, quantiles
 from tessera.plans import ordering
@@ -22,7 +22,7 @@ def standardize_missing(df: DataFrame, tokens: Sequence[str] = MISSING_TOKENS) -
     columns, become null.  Other columns are untouched."""
     exprs = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = col(f.name)
         if isinstance(f.dataType, T.StringType):
             c = F.when(c.isin(*tokens), F.lit(None).cast("string")).otherwise(c)
         elif isinstance(f.dataType, FLOATING_TYPES):
@@ -40,7 +40,7 @@ def drop_columns(df: DataFrame, cols: Sequence[str] | None) -> DataFrame:
 def columns_with_nulls(df: DataFrame, cols: Sequence[str]) -> list[str]:
     if not cols:
         return []
-    stats = collect_stats(df, {f"n{i}": F.max(F.col(c).isNull().cast("int"))
+    stats = collect_stats(df, {f"n{i}": F.max(col(c).isNull().cast("int"))
                                for i, c in enumerate(cols)})
     return [c for i, c in enumerate(cols) if stats[f"n{i}"] == 1]
 
@@ -50,7 +50,7 @@ def add_missing_indicators(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     flagged = columns_with_nulls(df, cols)
     if not flagged:
         return df
-    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in flagged})
+    return df.withColumns({f"{c}_missing": col(c).isNull().cast("int") for c in flagged})
 
 
 @dataclass(frozen=True)
@@ -63,9 +63,9 @@ class Imputation:
     def transform(self, df: DataFrame) -> DataFrame:
         exprs = {}
         for c in self.to_double:
-            exprs[c] = F.col(c).cast("double")
+            exprs[c] = col(c).cast("double")
         for c, v in self.values.items():
-            base = exprs.get(c, F.col(c))
+            base = exprs.get(c, col(c))
             if v is None:
                 exprs[c] = base
             else:
@@ -88,7 +88,7 @@ def most_frequent(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
         if not group:
             continue
         pairs = F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value"))
+            F.struct(F.lit(c).alias("column"), col(c).cast(cast).alias("value"))
             for c in group])).alias("p")
         counts = (df.select(pairs).select("p.column", "p.value")
                     .where(F.col("value").isNotNull())
@@ -108,7 +108,7 @@ def fit_imputer(df: DataFrame, strategy: str, cols: Sequence[str] | None = None,
     num = select_columns(df, cols, "numeric")
     if strategy in ("mean", "median"):
         if strategy == "mean":
-            exprs = {f"v{i}": F.avg(nan_to_null(F.col(c).cast("double"))) for i, c in enumerate(num)}
+            exprs = {f"v{i}": F.avg(nan_to_null(col(c).cast("double"))) for i, c in enumerate(num)}
             stats = collect_stats(df, exprs)
             values = {c: stats[f"v{i}"] for i, c in enumerate(num)}
         else:
@@ -141,11 +141,11 @@ def impute(df: DataFrame, strategy: str | None, cols: Sequence[str] | None = Non
     if indicator and strategy == "mean":
         # Null flags and means from the same scan.
         stats = collect_stats(df, {
-            **{f"n{i}": F.max(F.col(c).isNull().cast("int")) for i, c in enumerate(num + cat)},
-            **{f"v{i}": F.avg(nan_to_null(F.col(c).cast("double"))) for i, c in enumerate(num)}})
+            **{f"n{i}": F.max(col(c).isNull().cast("int")) for i, c in enumerate(num + cat)},
+            **{f"v{i}": F.avg(nan_to_null(col(c).cast("double"))) for i, c in enumerate(num)}})
         flagged = [c for i, c in enumerate(num + cat) if stats[f"n{i}"] == 1]
         fitted = Imputation({c: stats[f"v{i}"] for i, c in enumerate(num)}, tuple(num))
-        df = df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in flagged})
+        df = df.withColumns({f"{c}_missing": col(c).isNull().cast("int") for c in flagged})
         return fitted.transform(df)
     if indicator:
         df = add_missing_indicators(df, num + cat)
@@ -189,8 +189,8 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
     # Per partition: size, and first/last (index, value) of known values.
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
-        known = F.when(F.col(c).isNotNull(), F.struct(idx.alias("i"),
-                                                       F.col(c).cast("double").alias("v")))
+        known = F.when(col(c).isNotNull(), F.struct(idx.alias("i"),
+                                                       col(c).cast("double").alias("v")))
         aggs += [F.min(known).alias(f"f{i}"), F.max(known).alias(f"l{i}")]
     summary = sorted(tagged.groupBy(ordering.PID).agg(*aggs).collect(), key=lambda r: r[0])
 
@@ -249,8 +249,8 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
     out = tagged.join(F.broadcast(carry), ordering.PID)
     fills = {}
     for i, c in enumerate(cols):
-        known = F.when(F.col(c).isNotNull(), F.struct(pos.alias("p"),
-                                                       F.col(c).cast("double").alias("v")))
+        known = F.when(col(c).isNotNull(), F.struct(pos.alias("p"),
+                                                       col(c).cast("double").alias("v")))
         prev = F.last(known, ignorenulls=True).over(before)
         nxt = F.last(known, ignorenulls=True).over(after)
         pp = F.coalesce(prev["p"], F.col(f"_pp{i}"))
@@ -258,7 +258,7 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
         np_ = F.coalesce(nxt["p"], F.col(f"_np{i}"))
         nv = F.when(nxt.isNotNull(), nxt["v"]).otherwise(F.col(f"_nv{i}"))
         inner = pv + (nv - pv) * (pos - pp).cast("double") / (np_ - pp).cast("double")
-        fills[c] = (F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
+        fills[c] = (F.when(col(c).isNotNull(), col(c).cast("double"))
                      .when(pp.isNotNull() & np_.isNotNull(), inner)
                      .when(pp.isNotNull(), pv))
     drop = [ordering.PID, ordering.MID, "_start"] + [f"_{k}{i}" for i in range(len(cols))
@@ -268,8 +268,8 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
     if not leading_cols:
         return result
     result = ordering.reliable_checkpoint(result)
-    means = collect_stats(result, {f"m{i}": F.avg(c) for i, c in enumerate(leading_cols)})
-    return result.withColumns({c: F.coalesce(F.col(c), F.lit(means[f"m{i}"]).cast("double"))
+    means = collect_stats(result, {f"m{i}": F.avg(col(c)) for i, c in enumerate(leading_cols)})
+    return result.withColumns({c: F.coalesce(col(c), F.lit(means[f"m{i}"]).cast("double"))
                                for i, c in enumerate(leading_cols)})
 
 
@@ -296,12 +296,12 @@ def deduplicate(df: DataFrame, keep: str = "first", subset: Sequence[str] | None
     rest = [c for c in df.columns if c not in subset and c not in order]
     # The order columns lead the struct, so min/max of the struct picks the
     # first/last row; each column is carried once.
-    payload = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                       *[F.col(c) for c in rest])
+    payload = F.struct(*[col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                       *[col(c) for c in rest])
     pick = F.min(payload) if keep == "first" else F.max(payload)
-    kept = df.groupBy(*subset).agg(pick.alias("_row"))
-    source = {c: f"_row._o{i}" for i, c in enumerate(order) if c not in subset}
-    return kept.select(*[F.col(c) if c in subset else F.col(source.get(c, f"_row.{c}")).alias(c)
+    kept = df.groupBy(*[col(c) for c in subset]).agg(pick.alias("_row"))
+    source = {c: f"_o{i}" for i, c in enumerate(order) if c not in subset}
+    return kept.select(*[col(c) if c in subset else F.col("_row")[source.get(c, c)].alias(c)
                          for c in df.columns])
 
 

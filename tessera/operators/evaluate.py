@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.ordering import with_position
+from tessera.functions.expressions import col
+from tessera.plans.ordering import with_running_total
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
@@ -21,12 +22,12 @@ METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 def require_target(df: DataFrame, target: str | None) -> None:
     """V5: the target column must exist."""
     if not target or target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in dataset")
+        raise ValueError(f"no column {target!r} to compare predictions with")
 
 
 def confusion_matrix(pred: DataFrame, label: str, prediction: str) -> DataFrame:
     """V4: counts of actual x predicted."""
-    return (pred.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted"))
+    return (pred.groupBy(col(label).alias("actual"), col(prediction).alias("predicted"))
                 .agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -53,46 +54,45 @@ def classification_report(pred: DataFrame, label: str, prediction: str) -> DataF
         (F.sum(F.col("support") * f1) / total).alias("f1"))
 
 
-def binary_auc(data: DataFrame, is_positive: Column, score: Column) -> DataFrame:
-    """Exact ROC AUC (Mann-Whitney with mid-ranks) as a one-row DataFrame."""
-    scored = data.select(is_positive.cast("long").alias("_y"), score.cast("double").alias("_s"))
-    ranked = with_position(scored, ["_s"], "_pos")
-    ties = ranked.groupBy("_s").agg(F.min("_pos").alias("lo"), F.max("_pos").alias("hi"),
-                                    F.sum("_y").alias("npos"), F.count(F.lit(1)).alias("n"))
-    mid = (F.col("lo") + F.col("hi")) / 2.0 + 1.0
-    sums = ties.agg(F.sum(F.col("npos") * mid).alias("rsum"), F.sum("npos").alias("p"),
-                    F.sum("n").alias("n"))
+def _auc_by_class(scored: DataFrame) -> DataFrame:
+    """Exact ROC AUC (Mann-Whitney with mid-ranks) for each class ``_c`` of
+    rows (_c, _y, _s): one row per class, null where one side is empty.
+
+    Equal scores are counted first, so that a score many rows share is one
+    row of the sort; ranks are running totals of those counts."""
+    ties = scored.groupBy("_c", "_s").agg(F.sum("_y").alias("npos"), F.count(F.lit(1)).alias("n"))
+    ranked = with_running_total(ties, ["_c", "_s"], "n", "_before")
+    mid = F.col("_before") + (F.col("n") + 1) / 2.0
+    per = ranked.groupBy("_c").agg(F.sum(F.col("npos") * mid).alias("rsum"), F.sum("npos").alias("p"),
+                                   F.sum("n").alias("n"), F.min("_before").alias("start"))
     neg = F.col("n") - F.col("p")
-    auc = (F.col("rsum") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * neg)
-    return sums.select(F.when((F.col("p") > 0) & (neg > 0), auc).alias("roc_auc"))
+    rsum = F.col("rsum") - F.col("p") * F.col("start")
+    auc = F.try_divide(rsum - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p") * neg)
+    return per.select("_c", F.when((F.col("p") > 0) & (neg > 0), auc).alias("auc"))
+
+
+def binary_auc(data: DataFrame, is_positive: Column, score: Column) -> DataFrame:
+    """Exact ROC AUC as a one-row DataFrame; null if a class is absent."""
+    scored = data.select(F.lit("").alias("_c"), is_positive.cast("long").alias("_y"), score.cast("double").alias("_s"))
+    return _auc_by_class(scored).agg(F.max("auc").alias("roc_auc"))
 
 
 def multiclass_auc(data: DataFrame, label: str, scores: dict[str, Column]) -> DataFrame:
-    """One-vs-rest macro AUC: {class value: score column}.  All classes are
-    ranked in one distributed sort keyed by (class, score)."""
+    """One-vs-rest macro AUC: {class value: score column}, ranked together in
+    one distributed sort; null if a class is absent from the rows."""
     items = [F.struct(F.lit(str(c)).alias("_c"),
-                      (F.col(label).cast("string") == F.lit(str(c))).cast("long").alias("_y"),
+                      (col(label).cast("string") == F.lit(str(c))).cast("long").alias("_y"),
                       s.cast("double").alias("_s")) for c, s in scores.items()]
     long = data.select(F.explode(F.array(*items)).alias("r")).select("r.*")
-    ranked = with_position(long, ["_c", "_s"], "_pos")
-    starts = ranked.groupBy("_c").agg(F.min("_pos").alias("start"))
-    ties = ranked.groupBy("_c", "_s").agg(F.min("_pos").alias("lo"), F.max("_pos").alias("hi"),
-                                          F.sum("_y").alias("npos"),
-                                          F.count(F.lit(1)).alias("n"))
-    ties = ties.join(F.broadcast(starts), "_c")  # one row per class
-    mid = (F.col("lo") + F.col("hi")) / 2.0 + 1.0 - F.col("start")
-    per = ties.groupBy("_c").agg(F.sum(F.col("npos") * mid).alias("rsum"),
-                                 F.sum("npos").alias("p"), F.sum("n").alias("n"))
-    neg = F.col("n") - F.col("p")
-    auc = (F.col("rsum") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * neg)
-    return per.agg(F.avg(auc).alias("roc_auc"))
+    whole = F.count("auc") == len(scores)
+    return _auc_by_class(long).agg(F.when(whole, F.avg("auc")).alias("roc_auc"))
 
 
 def probability_scores(pred: DataFrame, labels: Sequence[str],
                        probability: str = "_ts_probability") -> dict[str, Column]:
     from pyspark.ml.functions import vector_to_array
 
-    arr = vector_to_array(F.col(probability))
+    arr = vector_to_array(col(probability))
     return {lbl: arr[i] for i, lbl in enumerate(labels)}
 
 
@@ -101,15 +101,17 @@ def evaluate(pred: DataFrame, target: str, metrics: Sequence[str] = METRICS,
              probability: str = "_ts_probability") -> DataFrame:
     """The reference's evaluation request as (metric, value) rows."""
     require_target(pred, target)
-    actual = F.col(target).cast("string")
+    actual = col(target).cast("string")
     data = pred.withColumn("_ts_actual", actual)
     report = classification_report(data, "_ts_actual", prediction)
     wanted = [m for m in ("accuracy", "precision", "recall", "f1") if m in metrics]
     out = report.select(F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in wanted]))
         .alias("r")).select("r.*") if wanted else None
-    if "roc_auc" in metrics and labels and probability in pred.columns:
-        if len(labels) == 2:
+    if "roc_auc" in metrics:
+        if not labels or probability not in pred.columns:  # the model gives no scores
+            auc = pred.sparkSession.range(1).select(F.lit(None).cast("double").alias("roc_auc"))
+        elif len(labels) == 2:
             auc = binary_auc(data, F.col("_ts_actual") == F.lit(labels[1]),
                              probability_scores(data, labels, probability)[labels[1]])
         else:

@@ -19,7 +19,7 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.expressions import nan_to_null
+from tessera.functions.expressions import col, nan_to_null
 from tessera.functions.schema import numeric_columns, temporal_columns
 from tessera.functions.stats import collect_stats
 
@@ -29,7 +29,7 @@ DEFAULT_COMPONENTS = 3
 
 
 def _x(c: str) -> Column:
-    return nan_to_null(F.col(c).cast("double"))
+    return nan_to_null(col(c).cast("double"))
 
 
 # ---------------------------------------------------------------- generation
@@ -58,7 +58,7 @@ def polynomial(df: DataFrame, cols: Sequence[str] | None = None, interaction_onl
     """Degree-2 polynomial (or interaction) features of the numeric
     columns; other columns are dropped except those in ``keep``."""
     cols = list(cols) if cols else numeric_columns(df, exclude=keep)
-    out = [F.col(k) for k in keep]
+    out = [col(k) for k in keep]
     for term in polynomial_names(cols, interaction_only):
         expr = _x(term[0]) if len(term) == 1 else _x(term[0]) * _x(term[1])
         out.append(expr.alias(_term_name(term)))
@@ -71,9 +71,9 @@ def datetime_parts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     cols = list(cols) if cols else temporal_columns(df)
     new = {}
     for c in cols:
-        new[f"{c}_year"] = F.year(c)
-        new[f"{c}_month"] = F.month(c)
-        new[f"{c}_day"] = F.dayofmonth(c)
+        new[f"{c}_year"] = F.year(col(c))
+        new[f"{c}_month"] = F.month(col(c))
+        new[f"{c}_day"] = F.dayofmonth(col(c))
     return df.withColumns(new) if new else df
 
 
@@ -98,7 +98,7 @@ def variance_select(df: DataFrame, cols: Sequence[str] | None = None,
     stats = collect_stats(df, {f"v{i}": F.var_pop(_x(c)) for i, c in enumerate(cols)})
     chosen = [c for i, c in enumerate(cols)
               if stats[f"v{i}"] is not None and stats[f"v{i}"] > threshold]
-    return df.select(*keep, *chosen)
+    return df.select(*[col(c) for c in [*keep, *chosen]])
 
 
 def anova_report(df: DataFrame, target: str, cols: Sequence[str] | None = None,
@@ -108,8 +108,8 @@ def anova_report(df: DataFrame, target: str, cols: Sequence[str] | None = None,
     and whether it is among the ``min(k, p)`` best."""
     cols = list(cols) if cols else numeric_columns(df, exclude=[target])
     k = min(k, len(cols))
-    data = df.where(F.col(target).isNotNull())
-    per_class = data.groupBy(target).agg(
+    data = df.where(col(target).isNotNull())
+    per_class = data.groupBy(col(target)).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.avg(_x(c)).alias(f"m{i}") for i, c in enumerate(cols)],
         *[F.var_pop(_x(c)).alias(f"v{i}") for i, c in enumerate(cols)])
@@ -128,8 +128,11 @@ def anova_report(df: DataFrame, target: str, cols: Sequence[str] | None = None,
         *[F.sum(F.col("_n") * F.col(f"v{i}")).alias(f"w{i}") for i in range(len(cols))])
     items = []
     for i, c in enumerate(cols):
-        f = ((F.col(f"b{i}") / (F.col("g") - 1)) /
-             (F.col(f"w{i}") / (F.col("n") - F.col("g"))))
+        between = F.try_divide(F.col(f"b{i}"), F.col("g") - 1)
+        within = F.try_divide(F.col(f"w{i}"), F.col("n") - F.col("g"))
+        # A feature constant within every class separates them perfectly;
+        # a constant feature, or one class, has no F.
+        f = F.when((within == 0) & (between > 0), F.lit(float("inf"))).otherwise(F.try_divide(between, within))
         items.append(F.struct(F.lit(c).alias("column_name"), f.alias("f_score")))
     report = sums.select(F.explode(F.array(*items)).alias("r")).select("r.*")
     order = F.row_number().over(
@@ -140,12 +143,12 @@ def anova_report(df: DataFrame, target: str, cols: Sequence[str] | None = None,
 
 def kbest_select(df: DataFrame, target: str, cols: Sequence[str] | None = None,
                  k: int = DEFAULT_K) -> DataFrame:
-    """Keep the k features with the highest ANOVA F, plus the target
-    (renamed ``target`` as in the reference when ``rename_target``)."""
+    """Keep the k features with the highest ANOVA F (infinite ones first),
+    plus the target."""
     report = anova_report(df, target, cols, k).collect()
     chosen = {r["column_name"] for r in report if r["selected"]}
     cols = list(cols) if cols else numeric_columns(df, exclude=[target])
-    return df.select(*[c for c in cols if c in chosen], target)
+    return df.select(*[col(c) for c in cols if c in chosen], col(target))
 
 
 def rfe_select(df: DataFrame, target: str, cols: Sequence[str] | None = None,
@@ -184,7 +187,7 @@ def as_array(cols: Sequence[str]) -> Column:
     """All feature columns as one array<double> column.  A single array
     keeps plans small when there are many features (one null predicate
     instead of one per column)."""
-    return F.array(*[F.col(c).cast("double") for c in cols])
+    return F.array(*[col(c).cast("double") for c in cols])
 
 
 def complete(arr: Column) -> Column:
@@ -197,7 +200,7 @@ def covariance_of(vectors: DataFrame, vec: str) -> tuple[np.ndarray, np.ndarray,
     executors (``Summarizer`` and ``Correlation`` tree-aggregate); only d and
     d x d numbers come back."""
     summary = vectors.select(Summarizer.metrics("mean", "variance", "count")
-                             .summary(F.col(vec)).alias("s")).first()["s"]
+                             .summary(col(vec)).alias("s")).first()["s"]
     mean = summary["mean"].toArray()
     var = summary["variance"].toArray()
     n = int(summary["count"])
@@ -273,9 +276,9 @@ def fit_lda(df: DataFrame, target: str, cols: Sequence[str], n_components: int =
     covariance of class-centred rows (means attached by a broadcast join of
     a table with one row per class).
     """
-    data = (df.select(F.col(target), as_array(cols).alias("_ts_a"))
-              .where(F.col(target).isNotNull() & complete(F.col("_ts_a"))))
-    per_class = data.groupBy(target).agg(
+    data = (df.select(col(target), as_array(cols).alias("_ts_a"))
+              .where(col(target).isNotNull() & complete(F.col("_ts_a"))))
+    per_class = data.groupBy(col(target)).agg(
         F.count(F.lit(1)).alias("_n"),
         Summarizer.mean(array_to_vector("_ts_a")).alias("_m"))
     rows = per_class.collect()
@@ -328,7 +331,7 @@ def array_columns(df: DataFrame, array_col: str, prefix: str = "f",
     if size is None:
         size = df.select(F.max(F.size(array_col))).first()[0] or 0
     names = [f"{prefix}{i}" for i in range(size)]
-    arr = F.col(array_col)
+    arr = col(array_col)
     if str(df.schema[array_col].dataType).startswith("VectorUDT"):
         arr = vector_to_array(arr)
     out = df.select(*[c for c in df.columns if c != array_col],

@@ -23,6 +23,8 @@ from pyspark.ml.param.shared import (HasFeaturesCol, HasLabelCol, HasPredictionC
                                      HasProbabilityCol, HasRawPredictionCol)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from tessera.functions.expressions import col
 from pyspark.sql import types as T
 
 MAX_REFERENCE_ROWS = 50_000
@@ -206,7 +208,7 @@ def smote_resample(df: DataFrame, target: str, features: Sequence[str], key: Seq
 
     feats = list(features)
     extra = [c for c in key if c not in feats and c != target]
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in feats], target, *extra)
+    data = df.select(*[col(c).cast("double").alias(c) for c in feats], target, *extra)
     if data.where(F.exists(F.array(*feats), lambda v: v.isNull())).limit(1).count():
         raise ValueError("smote needs feature columns without missing values")
     counts = {r[0]: r[1] for r in data.groupBy(target).count().collect() if r[0] is not None}
@@ -223,7 +225,7 @@ def smote_resample(df: DataFrame, target: str, features: Sequence[str], key: Seq
         if deficit <= 0:
             continue
         _check_size(n, f"class {cls!r}")
-        members = indexed.where(F.col(target) == F.lit(cls))
+        members = indexed.where(col(target) == F.lit(cls))
         rows = members.select("_ts_idx", *feats).collect()
         reference = np.zeros((n, len(feats)))
         for r in rows:
@@ -231,7 +233,7 @@ def smote_resample(df: DataFrame, target: str, features: Sequence[str], key: Seq
         kk = min(k, n - 1)
         if kk < 1:
             raise ValueError(f"class {cls!r} needs at least two rows for smote")
-        arr = F.array(*[F.col(c) for c in feats])
+        arr = F.array(*[col(c) for c in feats])
         neighbours = members.select(
             "_ts_idx", neighbour_indices(members, arr, reference, kk, F.col("_ts_idx"))
             .alias("_ts_nn"))
@@ -243,9 +245,9 @@ def smote_resample(df: DataFrame, target: str, features: Sequence[str], key: Seq
             .alias("_ts_pick"),
             (F.pmod(F.xxhash64(F.lit(seed), salt, F.lit("gap"), F.col("id")),
                     F.lit(1 << 30)) / float(1 << 30)).alias("_ts_gap"))
-        base = members.select("_ts_idx", *[F.col(c).alias(f"_b_{c}") for c in feats])
+        base = members.select("_ts_idx", *[col(c).alias(f"_b_{c}") for c in feats])
         other = members.select(F.col("_ts_idx").alias("_ts_nidx"),
-                               *[F.col(c).alias(f"_n_{c}") for c in feats])
+                               *[col(c).alias(f"_n_{c}") for c in feats])
         synth = (draws.join(neighbours, "_ts_idx").join(base, "_ts_idx")
                  .withColumn("_ts_nidx", F.element_at("_ts_nn", F.col("_ts_pick").cast("int") + 1))
                  .join(other, "_ts_nidx")

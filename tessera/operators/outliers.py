@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expressions import clip, nan_to_null, safe_sqrt
+from tessera.functions.expressions import clip, col, nan_to_null, safe_sqrt
 from tessera.functions.schema import numeric_columns
 from tessera.functions.stats import collect_stats, quantiles
 
@@ -24,9 +24,9 @@ Z_LIMIT = 3.0
 
 
 def outlier_columns(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
-    """Empty means every numeric column (the target too); unknown names
-    are skipped."""
-    if not cols:
+    """None means every numeric column (the target too), an empty list
+    none; unknown names are skipped."""
+    if cols is None:
         return numeric_columns(df)
     return [c for c in cols if c in df.columns]
 
@@ -50,7 +50,7 @@ def zscore_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
     """(mean, sample std, min, max) per column, one job."""
     exprs = {}
     for i, c in enumerate(cols):
-        x = nan_to_null(F.col(c).cast("double"))
+        x = nan_to_null(col(c).cast("double"))
         exprs.update({f"m{i}": F.avg(x), f"s{i}": F.stddev_samp(x),
                       f"lo{i}": F.min(x), f"hi{i}": F.max(x)})
     stats = collect_stats(df, exprs)
@@ -59,7 +59,7 @@ def zscore_moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
 
 
 def _abs_z(c: str, mean: float | None, std: float | None):
-    x = nan_to_null(F.col(c).cast("double"))
+    x = nan_to_null(col(c).cast("double"))
     if mean is None or std is None or std == 0:
         return None
     return F.abs((x - F.lit(mean)) / F.lit(std))
@@ -73,7 +73,7 @@ def zscore_clip_bounds(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple]:
     for i, c in enumerate(cols):
         z = _abs_z(c, moments[c][0], moments[c][1])
         if z is not None:
-            exprs[f"u{i}"] = F.max(F.when(z < Z_LIMIT, F.col(c).cast("double")))
+            exprs[f"u{i}"] = F.max(F.when(z < Z_LIMIT, col(c).cast("double")))
     stats = collect_stats(df, exprs)
     out = {}
     for i, c in enumerate(cols):
@@ -132,7 +132,7 @@ def _keep_all(df: DataFrame, cols: Sequence[str], detection: str, exact: bool):
     cond = F.lit(True)
     if detection == "iqr":
         for c, (lo, hi) in iqr_fences(df, cols, exact=exact).items():
-            x = nan_to_null(F.col(c).cast("double"))
+            x = nan_to_null(col(c).cast("double"))
             keep = F.lit(False) if lo is None else x.between(F.lit(lo), F.lit(hi))
             cond = cond & F.coalesce(keep, F.lit(False))
     else:
@@ -151,9 +151,9 @@ def transform_outliers(df: DataFrame, cols: Sequence[str] | None = None,
 
     cols = outlier_columns(df, cols)
     if method == "log":
-        return df.withColumns({c: F.log1p(nan_to_null(F.col(c).cast("double"))) for c in cols})
+        return df.withColumns({c: F.log1p(nan_to_null(col(c).cast("double"))) for c in cols})
     if method == "sqrt":
-        return df.withColumns({c: safe_sqrt(nan_to_null(F.col(c).cast("double"))) for c in cols})
+        return df.withColumns({c: safe_sqrt(nan_to_null(col(c).cast("double"))) for c in cols})
     if method == "boxcox":
         return boxcox_columns(df, cols)
     raise ValueError(f"unknown outlier transform: {method}")

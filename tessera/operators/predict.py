@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.expressions import col
 from tessera.operators.train import PREDICTED_LABEL
 
 
@@ -18,9 +19,12 @@ def align_features(df: DataFrame, features: list[str], feature_types: dict[str,
 
 
 def predict(model: PipelineModel, df: DataFrame, features: list[str],
-            feature_types: dict[str, str], keep: list[str] | None = None) -> DataFrame:
+            feature_types: dict[str, str], keep: list[str] | None = None,
+            target_type: str | None = None) -> DataFrame:
     """``model.transform`` over any DataFrame; returns the kept columns
-    (default: all input columns) plus ``prediction`` as the label value."""
+    (default: all input columns) plus ``prediction`` as the label value, in
+    the target's type if that is given."""
     keep = list(keep) if keep is not None else list(df.columns)
     scored = model.transform(align_features(df, features, feature_types))
-    return scored.select(*keep, F.col(PREDICTED_LABEL).alias("prediction"))
+    return scored.select(*[col(c) for c in keep],
+                         F.col(PREDICTED_LABEL).cast(target_type or "string").alias("prediction"))

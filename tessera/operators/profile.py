@@ -12,14 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expressions import (adjusted_kurtosis_col, adjusted_skewness_col,
+from tessera.functions.expressions import (adjusted_kurtosis_col, adjusted_skewness_col, col,
                                            jarque_bera_pvalue_col, nan_to_null)
 from tessera.functions.schema import categorical_columns, is_numeric, numeric_columns
 from tessera.functions.stats import collect_stats, quantiles
 
 
 def _x(c: str) -> Column:
-    return nan_to_null(F.col(c).cast("double"))
+    return nan_to_null(col(c).cast("double"))
 
 
 def _unpivot_row(row_df: DataFrame, items: list[Column]) -> DataFrame:
@@ -31,7 +31,7 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, count) of non-missing values, one shuffle for all
     columns; partial aggregation keeps a hot value out of a single task."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
-                                         F.col(c).cast("string").alias("value"))
+                                         col(c).cast("string").alias("value"))
                                 for c in cols])).alias("p")
     return (df.select(pairs).select("p.column_name", "p.value")
               .where(F.col("value").isNotNull())
@@ -98,7 +98,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = Tru
 
 def info(df: DataFrame) -> DataFrame:
     """A2: column, Spark type and non-null count, one job."""
-    row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)])
+    row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)])
     items = [F.struct(F.lit(f.name).alias("column_name"),
                       F.lit(f.dataType.simpleString()).alias("data_type"),
                       F.col(f"n{i}").alias("non_null"))
@@ -154,7 +154,7 @@ def distribution(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def missing(df: DataFrame) -> DataFrame:
     """Missing count and percentage per column (null % on an empty table)."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
-    aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"m{i}")
+    aggs += [F.sum(col(c).isNull().cast("long")).alias(f"m{i}")
              for i, c in enumerate(df.columns)]
     row = df.agg(*aggs)
     items = [F.struct(F.lit(c).alias("column_name"),
@@ -208,7 +208,7 @@ def outlier_summary(df: DataFrame, cols: Sequence[str] | None = None,
 def duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Total rows, duplicate rows (rows minus distinct rows) and %."""
     cols = list(cols) if cols else list(df.columns)
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(F.sum("_n").alias("total_rows"),
                       F.sum(F.col("_n") - 1).alias("duplicates")).select(
         F.coalesce(F.col("total_rows"), F.lit(0).cast("long")).alias("total_rows"),
@@ -221,7 +221,7 @@ def class_balance(df: DataFrame, target: str = "target") -> DataFrame:
     """A10: class counts of the target column (missing excluded)."""
     if target not in df.columns:
         raise ValueError(f"no {target!r} column found for imbalance check")
-    return (df.where(F.col(target).isNotNull()).groupBy(F.col(target).alias("class"))
+    return (df.where(col(target).isNotNull()).groupBy(col(target).alias("class"))
               .agg(F.count(F.lit(1)).alias("count")))
 
 

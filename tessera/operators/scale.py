@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expressions import nan_to_null
+from tessera.functions.expressions import col, nan_to_null
 from tessera.functions.schema import numeric_columns
 from tessera.functions.stats import collect_stats, quantiles
 
@@ -18,8 +18,9 @@ METHODS = ("standard", "minmax", "robust", "normalize")
 
 def scaling_columns(df: DataFrame, cols: Sequence[str] | None, target: str | None = None,
                     exclude_suffix: str | None = None) -> list[str]:
-    """Default every numeric column; the target is always excluded."""
-    chosen = numeric_columns(df) if not cols else [c for c in cols if c in df.columns]
+    """None means every numeric column, an empty list none; the target is
+    always excluded."""
+    chosen = numeric_columns(df) if cols is None else [c for c in cols if c in df.columns]
     if exclude_suffix:
         chosen = [c for c in chosen if not c.endswith(exclude_suffix)]
     return [c for c in chosen if c != target]
@@ -35,7 +36,7 @@ class Scaler:
     def transform(self, df: DataFrame) -> DataFrame:
         out = {}
         for c, (centre, scale) in self.params.items():
-            x = nan_to_null(F.col(c).cast("double"))
+            x = nan_to_null(col(c).cast("double"))
             if self.method == "normalize" and (scale is None or scale <= 0):
                 out[c] = F.lit(0.0)  # the reference returns a scalar 0 for the column
             elif centre is None:
@@ -50,7 +51,7 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], method: str = "standard",
     cols = list(cols)
     exprs = {}
     for i, c in enumerate(cols):
-        x = nan_to_null(F.col(c).cast("double"))
+        x = nan_to_null(col(c).cast("double"))
         if method == "standard":
             exprs.update({f"a{i}": F.avg(x), f"b{i}": F.stddev_pop(x)})
         elif method in ("minmax", "normalize"):

@@ -1,12 +1,11 @@
 """Skewness transforms (K1-K5), including maximum-likelihood Box-Cox and
 Yeo-Johnson.
 
-The power-transform lambda maximises the profile log-likelihood
-``(l - 1) * sum(g(x)) - n/2 * ln(var_pop(T_l(x)))``.  Each search round
-evaluates a whole grid of lambdas for every column in ONE aggregation
-(``var_pop`` of each candidate transform), then narrows the grid; the final
-estimate is the vertex of a parabola through the best three points.  Only
-the per-lambda variances reach the driver.
+The power-transform lambda maximises the profile log-likelihood.  Each search
+round evaluates a whole grid of lambdas for every column in ONE aggregation
+(``var_pop`` of each candidate transform), then moves or narrows the grid; the
+final estimate is the vertex of a parabola through the best three points.
+Only the per-lambda variances reach the driver.
 """
 
 from __future__ import annotations
@@ -18,8 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expressions import (boxcox, boxcox_lam, nan_to_null, safe_sqrt,
-                                           yeojohnson, yeojohnson_lam)
+from tessera.functions.expressions import boxcox, col, nan_to_null, safe_sqrt, yeojohnson
 from tessera.functions.schema import numeric_columns
 from tessera.functions.stats import collect_stats
 
@@ -27,14 +25,15 @@ METHODS = ("log", "sqrt", "boxcox", "yeojohnson")
 
 
 def skew_columns(df: DataFrame, cols: Sequence[str] | None, target: str | None = None) -> list[str]:
-    """K5: empty means every numeric column except the target."""
-    if not cols:
+    """K5: None means every numeric column except the target, an empty list
+    none."""
+    if cols is None:
         return numeric_columns(df, exclude=[target] if target else [])
     return [c for c in cols if c in df.columns]
 
 
 def _x(c: str) -> Column:
-    return nan_to_null(F.col(c).cast("double"))
+    return nan_to_null(col(c).cast("double"))
 
 
 def column_minimums(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
@@ -72,115 +71,119 @@ class PowerTransform:
         return df.withColumns(out)
 
 
-def _log_term(kind: str, x: Column) -> Column:
-    if kind == "boxcox":
-        return F.ln(x)
-    return F.signum(x) * F.log1p(F.abs(x))
+# How far from the first bracket a maximum is looked for.
+MAX_LAMBDA = 1e4
+_POINTS = 21
+
+
+def _spread(kind: str, mode: str, x: Column, mean: Column, lam: Column) -> Column:
+    """A value whose population variance V gives the profile log-likelihood
+    of lambda: -n/2 ln V, plus (lambda - 1) times the sum of log terms where
+    the data have both signs.
 
+    Data of one sign are taken relative to their geometric mean, which takes
+    (lambda - 1) into V: no power of the data's own size is formed, so that
+    nothing cancels at large |lambda|.
+    """
+    def power(u: Column, k: Column) -> Column:
+        return F.when(F.abs(k) < 1e-12, u).otherwise(F.expm1(k * u) / k)
 
-def fit_power(df: DataFrame, cols: Sequence[str], kind: str = "boxcox",
-              grid_points: int = 41, rounds: int = 3) -> PowerTransform:
+    if mode == "positive":
+        log = F.ln(x) if kind == "boxcox" else F.log1p(x)
+        return power(log - mean, lam)
+    if mode == "negative":
+        return power(F.log1p(-x) - mean, F.lit(2.0) - lam)
+    return F.when(x >= 0, power(F.log1p(x), lam)).otherwise(-power(F.log1p(-x), F.lit(2.0) - lam))
+
+
+def fit_power(df: DataFrame, cols: Sequence[str], kind: str = "boxcox") -> PowerTransform:
     """Maximum-likelihood lambda per column (Box-Cox on positive data after a
-    shift when the minimum is <= 0, as in the reference)."""
+    shift when the minimum is <= 0, as in the reference).
+
+    A bracket of lambdas moves outward with growing steps until the maximum
+    lies inside, and is then refined.  A column without a maximum (fewer than
+    two distinct values keep lambda 1) raises ValueError.
+    """
     if kind not in ("boxcox", "yeojohnson"):
         raise ValueError(f"unknown power transform: {kind}")
     cols = list(cols)
-    shifts = {c: 0.0 for c in cols}
-    if kind == "boxcox":
-        for c, m in column_minimums(df, cols).items():
-            if m is not None and m <= 0:
-                shifts[c] = 1.0 - m
-    fn = boxcox if kind == "boxcox" else yeojohnson
+    low = column_minimums(df, cols)
+    shifts = {c: 1.0 - low[c] if kind == "boxcox" and low[c] is not None and low[c] <= 0 else 0.0 for c in cols}
     xs = {c: (_x(c) + F.lit(shifts[c])) if shifts[c] else _x(c) for c in cols}
-
-    log_terms = {**{f"n{i}": F.count(xs[c]) for i, c in enumerate(cols)},
-                 **{f"g{i}": F.sum(_log_term(kind, xs[c])) for i, c in enumerate(cols)}}
-    n: dict[str, int] = {}
-    g: dict[str, float] = {}
-
-    def llf(c: str, lam: float, var: float | None) -> float:
-        if var is None or var <= 0 or not n.get(c) or n[c] < 2:
-            return float("-inf")
-        return (lam - 1.0) * g[c] - n[c] / 2.0 * math.log(var)
-
-    lam_fn = boxcox_lam if kind == "boxcox" else yeojohnson_lam
-    values_of = F.array(*[xs[c] for c in cols])
-
-    def evaluate(grids: dict[str, list[float]], extra: dict | None = None):
-        """llf on every (column, lambda) of the grids in one job.
+    terms = {}
+    for i, c in enumerate(cols):
+        log = F.ln(xs[c]) if kind == "boxcox" else F.signum(xs[c]) * F.log1p(F.abs(xs[c]))
+        terms |= {f"n{i}": F.count(xs[c]), f"g{i}": F.sum(log), f"lo{i}": F.min(xs[c]), f"hi{i}": F.max(xs[c])}
+    stats = collect_stats(df, terms)
+    mode, sign = {}, {}
+    for i, c in enumerate(cols):
+        if not stats[f"n{i}"] or stats[f"lo{i}"] == stats[f"hi{i}"]:
+            continue
+        mode[c] = ("positive" if kind == "boxcox" or stats[f"lo{i}"] >= 0
+                   else "negative" if stats[f"hi{i}"] <= 0 else "both")
+        sign[c] = -1.0 if mode[c] == "negative" else 1.0
+    live = list(mode)
+    where = {c: cols.index(c) for c in live}
+
+    def evaluate(grids: dict[str, list[float]]) -> dict[str, list[float]]:
+        """Log-likelihoods on every (column, lambda) of the grids in one job.
 
         The grid is data, not code: each row is paired with every (column,
         lambda) and ``var_pop`` is grouped by the pair, so one small
         expression is compiled whatever the grid size, and map-side partial
         aggregation keeps the shuffle at columns x grid points per partition.
         """
-        if extra:
-            stats = collect_stats(df, extra)
-            for i, c in enumerate(cols):
-                n[c], g[c] = stats[f"n{i}"], stats[f"g{i}"]
-        pairs = [F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), F.lit(float(lam)).alias("lam"))
-                 for i, c in enumerate(cols) for j, lam in enumerate(grids.get(c, []))]
-        exploded = df.select(values_of.alias("_xs"), F.explode(F.array(*pairs)).alias("_p"))
-        x = F.element_at(F.col("_xs"), F.col("_p.c") + 1)
-        out = (exploded.select(F.col("_p.c").alias("c"), F.col("_p.j").alias("j"),
-                               lam_fn(x, F.col("_p.lam")).alias("t"))
-                       .groupBy("c", "j").agg(F.var_pop("t").alias("v")).collect())
-        var = {(r["c"], r["j"]): r["v"] for r in out}
-        return {c: [llf(c, lam, var.get((i, j))) for j, lam in enumerate(grids[c])]
-                for i, c in enumerate(cols) if c in grids}
-
-    half = grid_points // 2
-    step = {c: 4.0 / (grid_points - 1) for c in cols}
-    centre = {c: 0.0 for c in cols}
-    best = {c: 1.0 for c in cols}
-    last_grid: dict[str, tuple[list[float], list[float]]] = {}
-    todo = list(cols)
-    first = True
-    # Coarse search over [-2, 2] (the bracket scipy starts from), moved
-    # outward while the optimum sits on an edge.  The first job also
-    # computes the lambda-free terms n and sum(g(x)).
-    for _ in range(8):
-        if not todo:
-            break
-        grids = {c: [centre[c] + (j - half) * step[c] for j in range(grid_points)] for c in todo}
-        values = evaluate(grids, log_terms if first else None)
-        first = False
-        moved = []
-        for c in todo:
-            vals = values[c]
-            if all(v == float("-inf") for v in vals):
+        out: dict[str, list[float]] = {}
+        for kind_of in ("positive", "negative", "both"):
+            chosen = [c for c in grids if mode[c] == kind_of]
+            if not chosen:
                 continue
-            k = max(range(len(vals)), key=lambda j: vals[j])
-            best[c] = grids[c][k]
-            last_grid[c] = (grids[c], vals)
-            if k in (0, len(vals) - 1) and abs(best[c]) < 50:
+            items = [F.struct(F.lit(i).alias("c"), F.lit(j).alias("j"), F.lit(float(lam)).alias("lam"),
+                              F.lit(sign[c] * stats[f"g{where[c]}"] / stats[f"n{where[c]}"]).alias("mean"))
+                     for i, c in enumerate(chosen) for j, lam in enumerate(grids[c])]
+            pairs = df.select(F.array(*[xs[c] for c in chosen]).alias("_xs"), F.explode(F.array(*items)).alias("_p"))
+            x = F.element_at(F.col("_xs"), F.col("_p.c") + 1)
+            value = _spread(kind, kind_of, x, F.col("_p.mean"), F.col("_p.lam"))
+            rows = (pairs.select("_p.c", "_p.j", value.alias("t")).groupBy("c", "j")
+                    .agg(F.var_pop("t").alias("v")).collect())
+            var = {(r["c"], r["j"]): r["v"] for r in rows}
+            for i, c in enumerate(chosen):
+                n, g = stats[f"n{where[c]}"], stats[f"g{where[c]}"]
+                out[c] = []
+                for j, lam in enumerate(grids[c]):
+                    v = var.get((i, j))
+                    good = v is not None and 0 < v < float("inf")
+                    extra = (lam - 1.0) * g if kind_of == "both" else 0.0
+                    out[c].append(extra - n / 2.0 * math.log(v) if good else float("-inf"))
+        return out
+
+    half = _POINTS // 2
+    step, centre, best = ({c: v for c in live} for v in (4.0 / (_POINTS - 1), 0.0, 1.0))
+    last: dict[str, tuple[list[float], list[float]]] = {}
+    todo = list(live)
+    while todo:  # from [-2, 2], where scipy starts too
+        grids = {c: [centre[c] + (j - half) * step[c] for j in range(_POINTS)] for c in todo}
+        values, moved = evaluate(grids), []
+        for c in todo:
+            k = max(range(_POINTS), key=lambda j: values[c][j])
+            best[c], last[c] = grids[c][k], (grids[c], values[c])
+            if k in (0, _POINTS - 1):
+                if abs(best[c]) > MAX_LAMBDA:
+                    raise ValueError(f"the likelihood of column {c!r} has no maximum up to lambda {best[c]:g}")
+                step[c] *= 2.0
                 centre[c] = best[c] + (half - 1) * step[c] * (1 if k else -1)
                 moved.append(c)
         todo = moved
-    live = [c for c in cols if c in last_grid]
-    # Refinement: +-1 step around the optimum, 20 times finer each round;
-    # the parabola through the best three points finishes the estimate.
-    for _ in range(rounds):
-        if not live:
-            break
+    while todo := [c for c in live if step[c] > 1e-4 * max(1.0, abs(best[c]))]:
         grids = {}
-        for c in live:
+        for c in todo:  # one step either side, ten times finer
             span = step[c]
-            step[c] = 2.0 * span / (grid_points - 1)
-            grids[c] = [best[c] - span + j * step[c] for j in range(grid_points)]
-        values = evaluate(grids)
-        for c in live:
-            vals = values[c]
-            k = max(range(len(vals)), key=lambda j: vals[j])
-            best[c] = grids[c][k]
-            last_grid[c] = (grids[c], vals)
-    params = {}
-    for c in cols:
-        lam = best.get(c, 1.0)
-        if c in last_grid:
-            lam = _parabola_vertex(*last_grid[c], lam)
-        params[c] = (shifts[c], lam)
-    return PowerTransform(kind, params)
+            step[c] = 2.0 * span / (_POINTS - 1)
+            grids[c] = [best[c] - span + j * step[c] for j in range(_POINTS)]
+        for c, values in evaluate(grids).items():
+            k = max(range(_POINTS), key=lambda j: values[j])
+            best[c], last[c] = grids[c][k], (grids[c], values)
+    return PowerTransform(kind, {c: (shifts[c], _parabola_vertex(*last[c], best[c]) if c in last else 1.0) for c in cols})
 
 
 def _parabola_vertex(grid: list[float], vals: list[float], fallback: float) -> float:

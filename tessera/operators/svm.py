@@ -117,7 +117,8 @@ class KernelSVM(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasPro
 
         n_classes = int(mapped.agg(F.max(label)).first()[0] or 0) + 1
         svc = LinearSVC(featuresCol="_ts_rff", labelCol=label, maxIter=self.max_iter,
-                        regParam=1.0 / max(n, 1), tol=1e-3, standardization=False)
+                        regParam=1.0 / max(n, 1), tol=1e-3, standardization=False,
+                        rawPredictionCol=self.getRawPredictionCol())
         if n_classes > 2:
             svc = OneVsRest(classifier=svc, featuresCol="_ts_rff", labelCol=label)
         svc.setPredictionCol(self.getPredictionCol()).setRawPredictionCol(self.getRawPredictionCol())

@@ -11,16 +11,20 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import (IndexToString, OneHotEncoder, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import (Imputer, IndexToString, OneHotEncoder, SQLTransformer,
+                                StandardScaler, StringIndexer, VectorAssembler)
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasProbabilityCol, HasRawPredictionCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.expressions import col, quoted
 from tessera.functions.schema import is_categorical, is_numeric
 from tessera.plans.ordering import attach_small, with_group_index, with_position
 
@@ -36,7 +40,8 @@ PREDICTION = "_ts_prediction"
 PROBABILITY = "_ts_probability"
 RAW_PREDICTION = "_ts_raw"
 PREDICTED_LABEL = "predicted_label"
-ROWS_PER_TRAINING_PARTITION = 100_000
+# The reference's trees grow without limit; Spark's own maximum.
+MAX_DEPTH = 30
 
 
 # ------------------------------------------------------------------- splits
@@ -50,7 +55,7 @@ def split_column(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE,
     if not 0 < test_size < 1:
         raise ValueError("test_size must be between 0 and 1")
     key = list(key) if key else list(df.columns)
-    h = F.xxhash64(F.lit(seed), *[F.col(k) for k in key])
+    h = F.xxhash64(F.lit(seed), *[col(k) for k in key])
     ranked = with_position(df.withColumn("_ts_h", h), ["_ts_h", *key], "_ts_rank")
     n = ranked.count()
     n_test = math.ceil(n * test_size)
@@ -76,9 +81,9 @@ def stratified_folds(df: DataFrame, target: str, n_splits: int = 5,
     class table (classes x folds) is computed on the driver.
     """
     order_by = list(order_by) if order_by else list(df.columns)
-    data = df.where(F.col(target).isNotNull())
-    first = F.min(F.struct(*[F.col(c) for c in order_by]))
-    classes = data.groupBy(target).agg(first.alias("_first"), F.count(F.lit(1)).alias("_n"))
+    data = df.where(col(target).isNotNull())
+    first = F.min(F.struct(*[col(c) for c in order_by]))
+    classes = data.groupBy(col(target)).agg(first.alias("_first"), F.count(F.lit(1)).alias("_n"))
     rows = sorted(classes.collect(), key=lambda r: tuple(r["_first"]))
     start, ends = 0, []
     for r in rows:
@@ -107,36 +112,69 @@ def _count_congruent(lo: int, hi: int, r: int, k: int) -> int:
 
 # ----------------------------------------------------------------- pipeline
 
+# Stands for a missing category, so that it is a category of its own.
+MISSING_CATEGORY = "tessera:missing"
+
+
 def feature_stages(df: DataFrame, target: str, features: Sequence[str] | None = None):
-    """M2: standardise numerics, one-hot strings (unknown -> zeros); columns
-    of other types are dropped, as in the reference."""
+    """M2: standardise numerics, one-hot strings; columns of other types are
+    dropped, as in the reference.
+
+    A category unknown in training gives all zeros; a missing one is a
+    category of its own if training had it, else zeros too.  A missing number
+    gets the training mean, so that prediction accepts it.
+    """
     cols = list(features) if features else [c for c in df.columns if c != target]
     num = [c for c in cols if is_numeric(df.schema[c].dataType)]
     cat = [c for c in cols if is_categorical(df.schema[c].dataType)]
-    stages, parts = [], []
+    if not num and not cat:
+        raise ValueError("no numeric or string feature columns")
+    made = [f"nanvl(CAST({quoted(c)} AS DOUBLE), NULL) AS _ts_d_{i}" for i, c in enumerate(num)]
+    made += [f"coalesce(CAST({quoted(c)} AS STRING), '{MISSING_CATEGORY}') AS _ts_m_{i}" for i, c in enumerate(cat)]
+    stages, parts = [SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")], []
     if num:
-        stages += [VectorAssembler(inputCols=num, outputCol="_ts_num"),
+        raw, full = ([f"_ts_{k}_{i}" for i in range(len(num))] for k in "df")
+        stages += [Imputer(inputCols=raw, outputCols=full, strategy="mean"),
+                   VectorAssembler(inputCols=full, outputCol="_ts_num"),
                    StandardScaler(inputCol="_ts_num", outputCol="_ts_num_s",
                                   withMean=True, withStd=True)]
         parts.append("_ts_num_s")
     if cat:
-        idx = [f"_ts_i_{c}" for c in cat]
-        vec = [f"_ts_o_{c}" for c in cat]
-        stages += [StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep",
+        text, idx, vec = ([f"_ts_{k}_{i}" for i in range(len(cat))] for k in "mio")
+        # "keep" numbers unknown values last, and the last number is dropped.
+        stages += [StringIndexer(inputCols=text, outputCols=idx, handleInvalid="keep",
                                  stringOrderType="alphabetAsc"),
-                   OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True,
-                                 handleInvalid="keep")]
+                   OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="error")]
         parts += vec
-    if not parts:
-        raise ValueError("no numeric or string feature columns")
     stages.append(VectorAssembler(inputCols=parts, outputCol=FEATURES))
     return stages, num + cat
 
 
+class MarginProbabilities(Transformer, HasRawPredictionCol, HasProbabilityCol,
+                          DefaultParamsReadable, DefaultParamsWritable):
+    """Class probabilities from one-vs-rest margins: each class's logistic
+    probability, divided by their sum."""
+
+    def __init__(self, rawPredictionCol: str = RAW_PREDICTION, probabilityCol: str = PROBABILITY):
+        super().__init__()
+        self._set(rawPredictionCol=rawPredictionCol, probabilityCol=probabilityCol)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        margins = vector_to_array(F.col(self.getRawPredictionCol()))
+        each = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+        total = F.aggregate(each, F.lit(0.0), lambda a, p: a + p)
+        return dataset.withColumn(self.getProbabilityCol(), array_to_vector(F.transform(each, lambda p: p / total)))
+
+
 def classifier(algorithm: str, n_rows: int, n_features: int, n_classes: int,
-               seed: int = DEFAULT_SEED):
-    """Spark ML estimator for each algorithm name of the reference."""
+               seed: int = DEFAULT_SEED, options: dict | None = None):
+    """Spark ML estimator for each algorithm name of the reference;
+    ``options`` are parameters of that estimator (``maxDepth``, ``maxIter``,
+    ``blockSize``, ...) in place of the defaults here."""
     est = _estimator(algorithm, n_rows, n_features, n_classes, seed)
+    if options:
+        inner = est.getClassifier() if isinstance(est, OneVsRest) else est
+        inner._set(**options)
     est.setFeaturesCol(FEATURES).setLabelCol(LABEL).setPredictionCol(PREDICTION)
     if hasattr(est, "setProbabilityCol"):
         est.setProbabilityCol(PROBABILITY)
@@ -151,23 +189,24 @@ def _estimator(algorithm: str, n_rows: int, n_features: int, n_classes: int, see
         return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_rows, 1), tol=1e-4,
                                   standardization=False)
     if algorithm == "random_forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=12,
+        return RandomForestClassifier(numTrees=100, maxDepth=MAX_DEPTH,
                                       featureSubsetStrategy="sqrt", seed=seed)
     if algorithm == "xgboost":
         gbt = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=seed)
         if n_classes <= 2:
             return gbt
-        gbt.setFeaturesCol(FEATURES).setLabelCol(LABEL)
+        # The rest of a one-vs-rest model is read from the inner columns.
+        gbt.setFeaturesCol(FEATURES).setLabelCol(LABEL).setRawPredictionCol(RAW_PREDICTION)
         return OneVsRest(classifier=gbt)
     if algorithm == "decision_tree":
-        return DecisionTreeClassifier(maxDepth=15, seed=seed)
+        return DecisionTreeClassifier(maxDepth=MAX_DEPTH, seed=seed)
     if algorithm == "neural_network":
         return MultilayerPerceptronClassifier(layers=[n_features, 100, max(n_classes, 2)],
                                               maxIter=1000, tol=1e-4, seed=seed)
     if algorithm in ("svm", "knn"):
         from tessera.operators.neighbors import estimator_for
         return estimator_for(algorithm, seed=seed)
-    raise ValueError(f"unsupported algorithm: {algorithm}")
+    raise ValueError(f"no such algorithm: {algorithm}")
 
 
 @dataclass
@@ -184,7 +223,8 @@ class TrainResult:
 
 
 def fit_pipeline(train: DataFrame, target: str, algorithm: str = "random_forest",
-                 features: Sequence[str] | None = None, seed: int = DEFAULT_SEED):
+                 features: Sequence[str] | None = None, seed: int = DEFAULT_SEED,
+                 options: dict | None = None):
     """Fit feature stages, label indexer and classifier as one PipelineModel.
 
     Iterative estimators pass over their input once per iteration, so the
@@ -193,27 +233,25 @@ def fit_pipeline(train: DataFrame, target: str, algorithm: str = "random_forest"
     """
     stages, used = feature_stages(train, target, features)
     feature_model = Pipeline(stages=stages).fit(train)
-    label_model = StringIndexer(inputCol=target, outputCol=LABEL,
+    label_model = StringIndexer(inputCol=quoted(target) if "." in target else target, outputCol=LABEL,
                                 stringOrderType="alphabetAsc").fit(train)
     labels = list(label_model.labels)
-    prepared = label_model.transform(feature_model.transform(train)).select(FEATURES, LABEL)
-    n_rows = prepared.count()
-    # Each optimiser iteration is a job over every partition: size the
-    # partitions by rows (no shuffle), so small inputs do not pay for
-    # hundreds of near-empty tasks and large inputs keep their parallelism.
-    wanted = max(1, math.ceil(n_rows / ROWS_PER_TRAINING_PARTITION))
-    if wanted < prepared.rdd.getNumPartitions():
-        prepared = prepared.coalesce(wanted)
-    prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    # Rebalancing lets adaptive execution choose partitions by bytes: few
+    # rows don't pay for many tasks in each iteration, many keep theirs.
+    prepared = (label_model.transform(feature_model.transform(train)).select(FEATURES, LABEL)
+                .hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK))
     try:
+        n_rows = prepared.count()
         first = prepared.first()
         width = first[0].size if first else 0
-        est = classifier(algorithm, n_rows, width, len(labels), seed)
-        fitted = est.fit(prepared)
+        est = classifier(algorithm, n_rows, width, len(labels), seed, options)
+        fitted = [est.fit(prepared)]
     finally:
         prepared.unpersist()
+    if algorithm == "xgboost" and len(labels) > 2:
+        fitted.append(MarginProbabilities())
     back = IndexToString(inputCol=PREDICTION, outputCol=PREDICTED_LABEL, labels=labels)
-    return PipelineModel(stages=[feature_model, label_model, fitted, back]), used, labels
+    return PipelineModel(stages=[feature_model, label_model, *fitted, back]), used, labels
 
 
 def cross_validate(df: DataFrame, target: str, algorithm: str, n_splits: int = 5,
@@ -233,7 +271,7 @@ def cross_validate(df: DataFrame, target: str, algorithm: str, n_splits: int = 5
 
 
 def accuracy_of(pred: DataFrame, target: str) -> float:
-    row = pred.agg(F.avg((F.col(PREDICTED_LABEL) == F.col(target).cast("string"))
+    row = pred.agg(F.avg((F.col(PREDICTED_LABEL) == col(target).cast("string"))
                          .cast("double"))).first()
     return row[0]
 
@@ -245,16 +283,16 @@ def train_model(df: DataFrame, target: str, algorithm: str = "random_forest",
     """The reference's training request: split, optional CV on all rows,
     fit on the training part, accuracy on the held-out part."""
     if not target or target not in df.columns:
-        raise ValueError("Target column not found in dataset")
+        raise ValueError(f"the data has no target column {target!r}")
     if algorithm not in ALGORITHMS:
-        raise ValueError(f"Unsupported algorithm: {algorithm}")
+        raise ValueError(f"no such algorithm: {algorithm} (known: {', '.join(ALGORITHMS)})")
     cv_scores = None
     if cross_validation and cross_validation != "none":
         try:
             k = 5 if cross_validation == "stratified" else int(cross_validation)
             cv_scores = cross_validate(df, target, algorithm, k, key, features, seed)
         except Exception as exc:  # noqa: BLE001 - reported as text, as in the reference
-            cv_scores = f"Cross-validation failed: {exc}"
+            cv_scores = f"no fold scores: {exc}"
     marked = split_column(df, test_size, seed, key, "_ts_split")  # built on a checkpoint
     train = marked.where(F.col("_ts_split") == "train").drop("_ts_split")
     test = marked.where(F.col("_ts_split") == "test").drop("_ts_split")

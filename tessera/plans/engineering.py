@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from tessera.functions.expressions import col
 from tessera.functions.schema import numeric_columns
 from tessera.operators import features
 
@@ -49,10 +50,10 @@ def engineer(df: DataFrame, generation: str = "none", selection: str = "none",
         cols = numeric_columns(df, exclude=keep)
         if selection == "kbest":
             chosen = features.kbest_select(df, target, cols).columns
-            df = df.select(*keep, *[c for c in chosen if c not in keep])
+            df = df.select(*[col(c) for c in [*keep, *[c for c in chosen if c not in keep]]])
         else:
             chosen = features.rfe_select(df, target, cols)
-            df = df.select(*keep, *chosen)
+            df = df.select(*[col(c) for c in [*keep, *chosen]])
     elif selection not in (None, "none"):
         raise ValueError(f"unknown feature selection: {selection}")
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,21 @@ def with_position(df: DataFrame, order: Sequence[str | Column], pos_col: str = "
     return out
 
 
+def with_running_total(df: DataFrame, order: Sequence[str], amount: str, name: str,
+                       num_partitions: int | None = None) -> DataFrame:
+    """Add the sum of ``amount`` over all rows before each row in ``order`` (a
+    unique sort key): totals per partition, and a window within each."""
+    tagged = sorted_tagged(df, order, num_partitions)
+    offsets, running = {}, 0
+    for pid, total in sorted((r[0], r[1]) for r in tagged.groupBy(PID).agg(F.sum(amount)).collect()):
+        offsets[pid] = (running, total)
+        running += total
+    before = Window.partitionBy(PID).orderBy(MID).rowsBetween(Window.unboundedPreceding, -1)
+    return (tagged.join(F.broadcast(offsets_frame(tagged, offsets)), PID)
+            .withColumn(name, F.col(OFFSET) + F.coalesce(F.sum(amount).over(before), F.lit(0)))
+            .drop(OFFSET, PID, MID))
+
+
 def attach_small(df: DataFrame, small: DataFrame, on: str | Sequence[str],
                  how: str = "left", limit: int = SMALL_TABLE_ROWS) -> DataFrame:
     """Join a derived table that is usually small.

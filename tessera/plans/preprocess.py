@@ -82,6 +82,8 @@ def preprocess(df: DataFrame, config: PreprocessConfig | dict) -> DataFrame:
         c for c in numeric_columns(df, exclude=[target] if target else [])
         if not c.endswith(INDICATOR_SUFFIX)]
     df = skew.handle_skewness(df, cfg.skewness_method, skew_cols, target)
+    # As in the reference, an empty list in the request means its default; the
+    # operators get the columns by name, so that no column means none.
     df = encode.encode(df, cfg.encoding_method,
                        list(cfg.encoding_columns) or encode.encoding_columns(
                            df, None, exclude=[target] if target else []), target)

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions.expressions import col
 from tessera.operators import clean, evaluate, profile, train
 from tessera.operators.predict import predict
 from tessera.sources import files, models
@@ -70,7 +71,7 @@ def confusion_dataset(spark: SparkSession, root: str, model_id: str, name: str,
     stored = models.load_model(spark, root, model_id)
     df = files.load_dataset(spark, root, name)
     evaluate.require_target(df, target)
-    scored = stored.model.transform(df).withColumn("_ts_actual", df[target].cast("string"))
+    scored = stored.model.transform(df).withColumn("_ts_actual", col(target).cast("string"))
     return evaluate.confusion_matrix(scored, "_ts_actual", train.PREDICTED_LABEL)
 
 
@@ -79,4 +80,4 @@ def predict_dataset(spark: SparkSession, root: str, model_id: str, rows: DataFra
     """Batch prediction with a stored model; missing features are nulls."""
     stored = models.load_model(spark, root, model_id)
     return predict(stored.model, rows, stored.features, stored.feature_types,
-                   list(keep) if keep is not None else None)
+                   list(keep) if keep is not None else None, stored.feature_types.get(stored.target))

@@ -6,7 +6,6 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tessera import workloads
-from tessera.operators import clean
 from tessera.sources import catalog, files
 
 SF_SMALL = "/root/testdata/sf0.001"
@@ -14,38 +13,6 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-INDEXED_CSV = """"",a,b,c
-1,230.5,37.25,22.1
-2,44.0,39.0,10.4
-3,17.25,45.0,9.3
-"""
-PROCESSED_CSV = """a,b,c
-230.5,37.25,22.1
-44.0,39.0,10.4
-17.25,45.0,9.3
-"""
-
-
-def test_csv_with_unnamed_index_load_drop_save(spark, tmp_root):
-    """S1 + C2 + S5: a CSV whose first column has an empty header (a saved
-    row index) is read, the index column dropped, and written back."""
-    raw_path = os.path.join(tmp_root, "raw.csv")
-    expected_path = os.path.join(tmp_root, "expected.csv")
-    with open(raw_path, "w") as fh:
-        fh.write(INDEXED_CSV)
-    with open(expected_path, "w") as fh:
-        fh.write(PROCESSED_CSV)
-    raw = files.read_path(spark, raw_path)
-    assert raw.columns[0] == "_c0"  # the unnamed index column
-    out = clean.drop_columns(raw, ["_c0"])
-    path = posixpath.join(tmp_root, "processed.csv")
-    files.write_path(out, path, "csv")
-    back = files.read_path(spark, path, "csv")
-    expected = files.read_path(spark, expected_path)
-    assert back.columns == expected.columns == ["a", "b", "c"]
-    assert back.exceptAll(expected).count() == 0 and expected.exceptAll(back).count() == 0
-
-
 def test_zone_fallback_formats_and_catalog(spark, tmp_root):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string")
     files.write_path(df, posixpath.join(tmp_root, files.RAW_ZONE, "raw.parquet"), "parquet")
@@ -130,7 +97,7 @@ def test_preprocess_and_engineer_requests_write_zones(spark, tmp_root):
     assert name == "processed_sample.csv"
     out = files.load_dataset(spark, tmp_root, name)
     assert {"s_x", "s_y"} <= set(out.columns)  # 'n/a' became missing, then the mode
-    assert "s_missing" not in out.columns  # the indicator is only for columns with nulls
+    assert "s_missing" in out.columns and "v_missing" not in out.columns  # only for columns with nulls
     counts = {r["target"]: r["count"] for r in out.groupBy("target").count().collect()}
     assert counts["a"] == counts["b"] == 20
     result = engineer_dataset(spark, tmp_root, "sample.csv", "polynomial", "variance", "none", "target")
