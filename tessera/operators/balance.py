@@ -25,9 +25,17 @@ def _key_hash(key: Sequence[str], seed: int, salt: str = ""):
     return F.xxhash64(F.lit(seed), F.lit(salt), *[col(k) for k in key])
 
 
+# Classes that a table of them may have; a target with more is no class label.
+MAX_CLASSES = 10_000
+
+
 def class_counts(df: DataFrame, target: str) -> dict:
-    """{class: rows}; the number of classes is small by nature."""
-    return {r[0]: r[1] for r in df.groupBy(col(target)).count().collect()}
+    """{class: rows}, at most ``MAX_CLASSES``; more raise before they are
+    collected."""
+    rows = df.groupBy(col(target)).count().limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"column {target!r} has more than {MAX_CLASSES} values and can't be a class label")
+    return {r[0]: r[1] for r in rows}
 
 
 def undersample(df: DataFrame, target: str, key: Sequence[str],
@@ -83,7 +91,7 @@ def oversample(df: DataFrame, target: str, key: Sequence[str],
 def smote(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str],
           k: int = 5, seed: int = DEFAULT_SEED) -> DataFrame:
     """Synthetic minority rows (Chawla et al. 2002) up to the majority
-    count; see ``tessera.operators.neighbors`` for the exact kNN join."""
+    count; see ``tessera.operators.neighbors`` for the neighbour search."""
     from tessera.operators.neighbors import smote_resample
 
     return smote_resample(df, target, features, key, k, seed)

@@ -1,12 +1,12 @@
 """Nearest-neighbour operators: kNN classifier (M8) and SMOTE.
 
-Both need, for every row, its k nearest rows of a reference set.  The exact
-search here broadcasts the reference set and scores query rows in Arrow
-batches on the executors (numpy, blocked so a task holds at most
-``QUERY_BLOCK`` x reference distances).  The broadcast is only done behind a
-size check: a reference set above ``MAX_REFERENCE_ROWS`` rows raises
-``NotBuiltYet`` (an exact distributed kNN join for that case is not written
-yet) instead of being sampled or approximated.
+The classifier keeps at most ``max_train_rows`` training rows (a documented
+parameter; beyond it a seeded sample) and scores rows against them in Arrow
+batches.  SMOTE searches the neighbours of every row of a class within the
+class, however large: the class is sorted along several random directions, cut
+into cells of a fixed number of rows, and each row is compared exactly with
+the rows of its own and the adjacent cells.  A class of one cell is searched
+exactly; nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -24,22 +24,16 @@ from pyspark.ml.param.shared import (HasFeaturesCol, HasLabelCol, HasPredictionC
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.expressions import col
 from pyspark.sql import types as T
 
-MAX_REFERENCE_ROWS = 50_000
+from tessera.functions.expressions import col
+
+# Training rows that a kNN model keeps, by default.
+MAX_TRAIN_ROWS = 50_000
 QUERY_BLOCK = 256
 DEFAULT_K = 5
-
-
-class NotBuiltYet(NotImplementedError):
-    pass
-
-
-def _check_size(n: int, what: str) -> None:
-    if n > MAX_REFERENCE_ROWS:
-        raise NotBuiltYet(f"{what} has {n} rows, more than the broadcast bound "
-                          f"{MAX_REFERENCE_ROWS}; an exact distributed kNN join is not built yet")
+# Random directions of the neighbour search, and rows of a cell.
+DIRECTIONS, CELL_ROWS = 6, 128
 
 
 def _nearest(x: np.ndarray, ref: np.ndarray, k: int, exclude: np.ndarray | None = None):
@@ -133,11 +127,11 @@ class KNNModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRa
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def vote(idx: pd.Series) -> pd.Series:
-            out = []
-            for row in idx.to_numpy():
-                counts = np.bincount(lab.value[np.asarray(row)], minlength=n_classes)
-                out.append(counts / counts.sum())
-            return pd.Series(out)
+            if not len(idx):
+                return pd.Series([], dtype=object)
+            votes = lab.value[np.vstack(idx.to_numpy())]
+            share = (votes[:, :, None] == np.arange(n_classes)).mean(axis=1)
+            return pd.Series(list(share))
 
         proba = vote(nn)
         scored = dataset.withColumn(self.getProbabilityCol(), array_to_vector(proba))
@@ -148,11 +142,12 @@ class KNNModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRa
 
 class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol,
                     HasRawPredictionCol):
-    """Exact k-nearest-neighbour classifier over a size-checked training set."""
+    """k-nearest-neighbour classifier over at most ``max_train_rows`` training
+    rows, which are all of them up to that number and a seeded sample beyond."""
 
-    def __init__(self, k: int = DEFAULT_K):
+    def __init__(self, k: int = DEFAULT_K, max_train_rows: int = MAX_TRAIN_ROWS, seed: int = 42):
         super().__init__()
-        self.k = k
+        self.k, self.max_train_rows, self.seed = k, max_train_rows, seed
 
     def setFeaturesCol(self, value: str) -> "KNNClassifier":
         return self._set(featuresCol=value)
@@ -170,10 +165,9 @@ class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Ha
         return self._set(rawPredictionCol=value)
 
     def _fit(self, dataset: DataFrame) -> KNNModel:
-        n = dataset.count()
-        _check_size(n, "the training set")
-        rows = dataset.select(vector_to_array(F.col(self.getFeaturesCol())).alias("x"),
-                              F.col(self.getLabelCol()).cast("int").alias("y")).collect()
+        pairs = dataset.select(vector_to_array(F.col(self.getFeaturesCol())).alias("x"),
+                               F.col(self.getLabelCol()).cast("int").alias("y"))
+        rows = pairs.orderBy(F.xxhash64(F.lit(self.seed), "x", "y")).limit(self.max_train_rows).collect()
         reference = np.array([r["x"] for r in rows], dtype=float)
         labels = np.array([r["y"] for r in rows], dtype=np.int64)
         n_classes = int(labels.max()) + 1 if len(labels) else 1
@@ -189,8 +183,51 @@ def estimator_for(algorithm: str, seed: int = 42):
         from tessera.operators.svm import KernelSVM
         return KernelSVM(seed=seed)
     if algorithm == "knn":
-        return KNNClassifier(DEFAULT_K)
-    raise ValueError(f"unsupported algorithm: {algorithm}")
+        return KNNClassifier(DEFAULT_K, seed=seed)
+    raise ValueError(f"no such algorithm: {algorithm}")
+
+
+def neighbours_in_class(rows: DataFrame, k: int, seed: int = 42, directions: int = DIRECTIONS,
+                        cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(cls, idx, near) for rows (cls, idx, x): the up to ``k`` nearest other
+    rows of the same class found, as structs (distance, idx), nearest first.
+
+    Each direction sorts the classes once; a cell and its two neighbours are
+    one bounded group, so a class of any size is spread over many tasks.
+    """
+    from tessera.plans.ordering import with_group_index
+
+    width = len(rows.first()["x"]) if not rows.isEmpty() else 0
+    rng = np.random.default_rng(seed)
+    spread = None
+    for direction in range(directions):
+        weights = F.array(*[F.lit(float(w)) for w in rng.normal(size=width)])
+        along = F.aggregate(F.zip_with("x", weights, lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
+        placed = with_group_index(rows.withColumn("_ts_p", along), ["cls"], ["_ts_p", "idx"], "_ts_pos")
+        home = (F.col("_ts_pos") / cell_rows).cast("long")
+        part = placed.select("cls", "idx", "x", F.lit(direction).alias("direction"), home.alias("home"),
+                             F.explode(F.array(home - 1, home, home + 1)).alias("cell"))
+        spread = part if spread is None else spread.unionByName(part)
+    cls_type = rows.schema["cls"].dataType.simpleString()
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        own = (group["home"] == group["cell"]).to_numpy()
+        ids, x = group["idx"].to_numpy(), np.vstack(group["x"].to_numpy())
+        if not own.any() or len(ids) < 2:
+            query = np.empty(0, dtype=np.int64)
+        else:
+            query = np.flatnonzero(own)
+        kk = max(1, min(k, len(ids) - 1))
+        found = _nearest(x[query], x, kk, query)
+        gap = np.sqrt(((x[query][:, None, :] - x[found]) ** 2).sum(axis=2))
+        return pd.DataFrame({"cls": np.full(len(query) * kk, group["cls"].iloc[0], dtype=object), "idx": np.repeat(ids[query], kk), "other": ids[found].ravel(),
+                             "distance": gap.ravel()})
+
+    pairs = spread.groupBy("cls", "direction", "cell").applyInPandas(
+        search, f"cls {cls_type}, idx long, other long, distance double")
+    # At most k entries for each direction.
+    near = F.slice(F.array_sort(F.collect_set(F.struct("distance", "other"))), 1, k)
+    return pairs.groupBy("cls", "idx").agg(near.alias("near"))
 
 
 def smote_resample(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str],
@@ -201,58 +238,50 @@ def smote_resample(df: DataFrame, target: str, features: Sequence[str], key: Seq
     columns (as double) and the target, originals first.
 
     Rows with a missing feature are not allowed (as in the reference's
-    library).  Base row, neighbour and gap of draw j are seeded hashes of
-    (seed, class, j), so the result repeats.
+    library), nor columns besides features, key and target: a synthetic row
+    would have no value for them.  Base row, neighbour and gap of draw j are
+    seeded hashes of (seed, class, j), so the result repeats.
     """
+    from tessera.operators.balance import class_counts
     from tessera.plans.ordering import with_group_index
 
     feats = list(features)
+    other = [c for c in df.columns if c not in feats and c != target and c not in key]
+    if other:
+        raise ValueError(f"smote has no value for the columns {other}; encode or drop them")
     extra = [c for c in key if c not in feats and c != target]
-    data = df.select(*[col(c).cast("double").alias(c) for c in feats], target, *extra)
-    if data.where(F.exists(F.array(*feats), lambda v: v.isNull())).limit(1).count():
+    data = df.select(*[col(c).cast("double").alias(c) for c in feats], *[col(c) for c in [target, *extra]])
+    if not data.where(F.exists(F.array(*[col(c) for c in feats]), lambda v: v.isNull())).isEmpty():
         raise ValueError("smote needs feature columns without missing values")
-    counts = {r[0]: r[1] for r in data.groupBy(target).count().collect() if r[0] is not None}
+    counts = {c: n for c, n in class_counts(data, target).items() if c is not None}
+    originals = data.select(*[col(c) for c in [*feats, target]])
     if not counts:
-        return data.select(*feats, target)
+        return originals
     n_max = max(counts.values())
-    originals = data.select(*feats, target)
-    # Built on checkpointed positions, so each class re-reads it cheaply.
-    indexed = with_group_index(data, [target], list(key), "_ts_idx")
+    small = {c: n for c, n in counts.items() if n < n_max}
+    if not small:
+        return originals
+    if min(small.values()) < 2:
+        raise ValueError("smote needs at least two rows of a class")
+    kind = df.schema[target].dataType
+    minority = data.where(col(target).isin(*[F.lit(c) for c in small]))
+    members = (with_group_index(minority, [target], list(key), "idx")
+               .select(col(target).alias("cls"), "idx", F.array(*[col(c) for c in feats]).alias("x")))
+    near = neighbours_in_class(members, k, seed)
     spark = df.sparkSession
-    out = originals
-    for cls, n in counts.items():
-        deficit = n_max - n
-        if deficit <= 0:
-            continue
-        _check_size(n, f"class {cls!r}")
-        members = indexed.where(col(target) == F.lit(cls))
-        rows = members.select("_ts_idx", *feats).collect()
-        reference = np.zeros((n, len(feats)))
-        for r in rows:
-            reference[r["_ts_idx"]] = [r[c] for c in feats]
-        kk = min(k, n - 1)
-        if kk < 1:
-            raise ValueError(f"class {cls!r} needs at least two rows for smote")
-        arr = F.array(*[col(c) for c in feats])
-        neighbours = members.select(
-            "_ts_idx", neighbour_indices(members, arr, reference, kk, F.col("_ts_idx"))
-            .alias("_ts_nn"))
-        salt = F.lit(str(cls))
-        draws = spark.range(deficit).select(
-            F.pmod(F.xxhash64(F.lit(seed), salt, F.lit("base"), F.col("id")), F.lit(n))
-            .alias("_ts_idx"),
-            F.pmod(F.xxhash64(F.lit(seed), salt, F.lit("nn"), F.col("id")), F.lit(kk))
-            .alias("_ts_pick"),
-            (F.pmod(F.xxhash64(F.lit(seed), salt, F.lit("gap"), F.col("id")),
-                    F.lit(1 << 30)) / float(1 << 30)).alias("_ts_gap"))
-        base = members.select("_ts_idx", *[col(c).alias(f"_b_{c}") for c in feats])
-        other = members.select(F.col("_ts_idx").alias("_ts_nidx"),
-                               *[col(c).alias(f"_n_{c}") for c in feats])
-        synth = (draws.join(neighbours, "_ts_idx").join(base, "_ts_idx")
-                 .withColumn("_ts_nidx", F.element_at("_ts_nn", F.col("_ts_pick").cast("int") + 1))
-                 .join(other, "_ts_nidx")
-                 .select(*[(F.col(f"_b_{c}") + F.col("_ts_gap") * (F.col(f"_n_{c}") - F.col(f"_b_{c}")))
-                           .alias(c) for c in feats],
-                         F.lit(cls).cast(df.schema[target].dataType).alias(target)))
-        out = out.unionByName(synth)
-    return out
+    draws = None
+    for cls, n in small.items():
+        def hashed(what: str, salt: str = str(cls)) -> Column:
+            return F.xxhash64(F.lit(seed), F.lit(salt), F.lit(what), F.col("id"))
+
+        part = spark.range(n_max - n).select(
+            F.lit(cls).cast(kind).alias("cls"), F.pmod(hashed("base"), F.lit(n)).alias("idx"),
+            F.abs(hashed("nn")).alias("pick"), (F.pmod(hashed("gap"), F.lit(1 << 30)) / float(1 << 30)).alias("gap"))
+        draws = part if draws is None else draws.unionByName(part)
+    chosen = F.element_at("near", (F.pmod("pick", F.size("near")) + 1).cast("int"))["other"]
+    based = draws.join(near.join(members, ["cls", "idx"]), ["cls", "idx"])
+    paired = based.select("cls", chosen.alias("idx"), "gap", F.col("x").alias("from")).join(members, ["cls", "idx"])
+    step = F.zip_with("from", "x", lambda a, b: b - a)
+    made = paired.select("cls", "from", "gap", step.alias("step"))
+    values = [(F.col("from")[i] + F.col("gap") * F.col("step")[i]).alias(c) for i, c in enumerate(feats)]
+    return originals.unionByName(made.select(*values, F.col("cls").alias(target)))

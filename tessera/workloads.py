@@ -881,7 +881,10 @@ def kbest_anova_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _embedding_frame(spark: SparkSession, sf_dir: str):
     emb = table(spark, sf_dir, "embeddings")
-    return features.array_columns(emb, "embedding", "e", 64)
+    lengths = emb.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+    if lengths["low"] != lengths["high"]:
+        raise ValueError(f"embeddings have {lengths['low']} to {lengths['high']} components")
+    return features.array_columns(emb, "embedding", "e", lengths["high"])
 
 
 @register("pca_embeddings")

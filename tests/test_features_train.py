@@ -210,7 +210,7 @@ def test_knn_matches_brute_force_and_smote_balances(spark, separable):
     assert res.accuracy > 0.8
 
     pdf = separable.toPandas()
-    out = balance.balance(separable, "smote", "label", key=["id"], features=["x1", "x2"]).toPandas()
+    out = balance.balance(separable.drop("seg"), "smote", "label", key=["id"], features=["x1", "x2"]).toPandas()
     counts = out.label.value_counts()
     assert counts.nunique() == 1 and counts.iloc[0] == pdf.label.value_counts().max()
     for cls, grp in out.groupby("label"):
@@ -219,14 +219,45 @@ def test_knn_matches_brute_force_and_smote_balances(spark, separable):
         assert grp.x2.between(src.x2.min() - 1e-9, src.x2.max() + 1e-9).all()
 
 
-def test_knn_refuses_unbounded_reference(spark, separable, monkeypatch):
+def test_knn_keeps_a_bounded_sample(spark, separable):
+    from tessera.operators import neighbors
+
+    fitted = neighbors.KNNClassifier(3, max_train_rows=20)
+    vectors = train.Pipeline(stages=train.feature_stages(separable, "label", ["x1", "x2"])[0]).fit(separable).transform(separable)
+    data = vectors.select(F.col(train.FEATURES).alias("f"), (F.col("x1") > 0).cast("double").alias("y"))
+    model = fitted.setFeaturesCol("f").setLabelCol("y").fit(data)
+    assert model.reference.shape == (20, 2) and fitted.fit(data).reference.tolist() == model.reference.tolist()
+
+
+def test_smote_neighbours_recall_and_shape(spark):
     from tessera.operators import balance, neighbors
 
-    monkeypatch.setattr(neighbors, "MAX_REFERENCE_ROWS", 10)
-    with pytest.raises(neighbors.NotBuiltYet):
-        train.train_model(separable, "label", "knn", 0.25, None, key=["id"])
-    with pytest.raises(neighbors.NotBuiltYet):
-        balance.balance(separable, "smote", "label", key=["id"], features=["x1", "x2"])
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 3))
+    rows = [("a" if i % 3 else "b", i, [float(v) for v in x[i]]) for i in range(1200)]
+    got = neighbors.neighbours_in_class(spark.createDataFrame(rows, "cls string, idx long, x array<double>"), 5, cell_rows=64)
+    hits = 0
+    for r in got.collect():
+        own = [i for i in range(1200) if bool(i % 3) == bool(r["idx"] % 3) and i != r["idx"]]
+        want = sorted(own, key=lambda i: ((x[i] - x[r["idx"]]) ** 2).sum())[:5]
+        hits += len({n["other"] for n in r["near"]} & set(want))
+        assert len(r["near"]) == 5 and all(bool(n["other"] % 3) == bool(r["idx"] % 3) for n in r["near"])
+    assert got.count() == 1200 and hits / 6000 > 0.9
+
+    df = spark.createDataFrame([(i, float(x[i][0]), float(x[i][1]), "p" if i < 900 else "q") for i in range(1000)],
+                               "id long, u double, v double, y string")
+    out = balance.balance(df, "smote", "y", key=["id"], features=["u", "v"]).toPandas()
+    made = out[900 + 100:]
+    assert len(made) == 800 and set(made.y) == {"q"}
+    source = x[900:1000, :2]
+    for u, v in made[["u", "v"]].to_numpy()[:200]:  # each lies between two rows of the class
+        line = [abs((b - a)[0] * (v - a[1]) - (b - a)[1] * (u - a[0])) < 1e-9 and min(a[0], b[0]) - 1e-9 <= u <= max(a[0], b[0]) + 1e-9
+                for a in source for b in source if a is not b]
+        assert any(line)
+    with pytest.raises(ValueError, match="no value for the columns"):
+        balance.balance(df.withColumn("s", F.lit("x")), "smote", "y", key=["id"], features=["u", "v"])
+    with pytest.raises(ValueError, match="class label"):
+        balance.class_counts(spark.range(10_001), "id")
 
 
 def test_streaming_scoring_replays_fitted_steps(spark, separable, tmp_root):
