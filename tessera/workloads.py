@@ -290,16 +290,16 @@ def categorical_counts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def _sql_outliers() -> str:
+def _sql_outliers(src: str = "lineitem", cols: Sequence[str] = OUT_COLS) -> str:
     parts = []
-    for c in OUT_COLS:
+    for c in cols:
         parts.append(
             f"SELECT '{c}' AS column_name, q[1] AS q1, q[2] AS q3, q[1] - 1.5 * (q[2] - q[1]) AS lower, "
             f"q[2] + 1.5 * (q[2] - q[1]) AS upper, "
-            f"(SELECT count(*) FROM lineitem WHERE {c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) AS outlier_count, "
-            f"(SELECT count(*) FROM lineitem WHERE {c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) * 100.0::DOUBLE "
-            f"/ (SELECT count(*) FROM lineitem) AS outlier_pct "
-            f"FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.75]) AS q FROM lineitem) s")
+            f"(SELECT count(*) FROM {src} WHERE {c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) AS outlier_count, "
+            f"(SELECT count(*) FROM {src} WHERE {c} < q[1] - 1.5 * (q[2] - q[1]) OR {c} > q[2] + 1.5 * (q[2] - q[1])) * 100.0::DOUBLE "
+            f"/ (SELECT count(*) FROM {src}) AS outlier_pct "
+            f"FROM (SELECT quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.75]) AS q FROM {src}) s")
     return sql_select_rounded(f"({union_all(parts)}) o", ["column_name", "outlier_count"],
                               ["q1", "q3", "lower", "upper", "outlier_pct"])
 
@@ -311,6 +311,13 @@ def outliers_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, ["q1", "q3", "lower", "upper", "outlier_pct"])
 
 
+@register("outliers_events", _sql_outliers("events", ["value", "user_id"]))
+def outliers_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 on a column that has outliers."""
+    out = profile.outlier_summary(table(spark, sf_dir, "events"), ["value", "user_id"])
+    return rounded(out, ["q1", "q3", "lower", "upper", "outlier_pct"])
+
+
 DUP_COLS = ["l_returnflag", "l_linestatus", "l_quantity"]
 
 
@@ -392,6 +399,24 @@ def standardize_missing_conversations(spark: SparkSession, sf_dir: str) -> DataF
     return rounded(profile.missing(conv), ["missing_pct"])
 
 
+# Injected by a rule on the key: the eight tokens, and three near misses.
+INJECTED = ["", " ", "null", "N/A", "na", "-", "unknown", "NaN", "NULL", "  ", "n/a "]
+_INJECTED_SQL = "CASE WHEN (conv_id * 7 + turn) % 16 < 11 THEN ([" + ", ".join(f"'{v}'" for v in INJECTED) + \
+    "])[(conv_id * 7 + turn) % 16 + 1] ELSE role END"
+
+
+@register("standardize_missing_injected",
+          "SELECT conv_id, turn, CASE WHEN role IN ('', ' ', 'null', 'N/A', 'na', '-', 'unknown', 'NaN') THEN NULL "
+          f"ELSE role END AS role FROM (SELECT conv_id, turn, {_INJECTED_SQL} AS role FROM conversations) c")
+def standardize_missing_injected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight tokens become missing, near misses stay."""
+    at = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(16)).cast("int")
+    tokens = F.array(*[F.lit(v) for v in INJECTED])
+    role = F.when(at < len(INJECTED), F.get(tokens, at)).otherwise(F.col("role"))
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", role.alias("role"))
+    return clean.standardize_missing(conv)
+
+
 @register("drop_columns_documents", "SELECT doc_id, lang, source, n_chars FROM documents")
 def drop_columns_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown names are ignored."""
@@ -543,19 +568,19 @@ def _sql_iqr_fence(src: str, c: str) -> str:
             f"(SELECT quantile_cont(CAST({c} AS DOUBLE), [0.25, 0.75]) AS q FROM {src}) s)")
 
 
-def _sql_clip(kind: str) -> str:
+def _sql_clip(kind: str, src: str = "lineitem", keys: Sequence[str] = CLIP_KEYS,
+              cols: Sequence[str] = CLIP_COLS) -> str:
     sel = []
-    for c in CLIP_COLS:
+    for c in cols:
         if kind == "iqr":
-            f = _sql_iqr_fence("lineitem", c)
+            f = _sql_iqr_fence(src, c)
         else:
-            f = (f"(SELECT mn AS lo, coalesce((SELECT max({c}) FROM lineitem, (SELECT avg({c}) AS mu, "
-                 f"stddev_samp({c}) AS sd FROM lineitem) z WHERE sd > 0 AND abs(({c} - mu) / sd) < 3.0), mx) AS hi "
-                 f"FROM (SELECT min({c}) AS mn, max({c}) AS mx FROM lineitem) m)")
+            f = (f"(SELECT mn AS lo, coalesce((SELECT max({c}) FROM {src}, (SELECT avg({c}) AS mu, "
+                 f"stddev_samp({c}) AS sd FROM {src}) z WHERE sd > 0 AND abs(({c} - mu) / sd) < 3.0), mx) AS hi "
+                 f"FROM (SELECT min({c}) AS mn, max({c}) AS mx FROM {src}) m)")
         sel.append(f"CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest(CAST({c} AS DOUBLE), "
                    f"(SELECT lo FROM {f} f)), (SELECT hi FROM {f} f)) END AS {c}")
-    return sql_select_rounded(f"(SELECT {', '.join(CLIP_KEYS)}, {', '.join(sel)} FROM lineitem) t",
-                              CLIP_KEYS, CLIP_COLS)
+    return sql_select_rounded(f"(SELECT {', '.join(keys)}, {', '.join(sel)} FROM {src}) t", keys, cols)
 
 
 @register("clip_iqr_lineitem", _sql_clip("iqr"))
@@ -572,18 +597,32 @@ def clip_zscore_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(outliers.clip_outliers(li, CLIP_COLS, "zscore"), CLIP_COLS)
 
 
+@register("clip_iqr_events", _sql_clip("iqr", "events", ["event_id"], ["value"]))
+def clip_iqr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 on a column that has outliers."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    return rounded(outliers.clip_outliers(events, ["value"], "iqr"), ["value"])
+
+
+@register("clip_zscore_documents", _sql_clip("zscore", "documents", ["doc_id"], ["n_chars"]))
+def clip_zscore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2 on a column that has outliers."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return rounded(outliers.clip_outliers(docs, ["n_chars"], "zscore"), ["n_chars"])
+
+
 REMOVE_COLS = ["l_extendedprice", "l_quantity", "l_tax"]
 
 
-def _sql_remove_iqr() -> str:
-    src = "lineitem"
+def _sql_remove_iqr(src: str = "lineitem", cols: Sequence[str] = REMOVE_COLS,
+                    keys: str = "l_orderkey, l_linenumber") -> str:
     ctes = []
-    for i, c in enumerate(REMOVE_COLS):
+    for i, c in enumerate(cols):
         fence = _sql_iqr_fence(src, c)
         ctes.append(f"s{i} AS (SELECT * FROM {src} WHERE {c} BETWEEN (SELECT lo FROM {fence} f) "
                     f"AND (SELECT hi FROM {fence} f))")
         src = f"s{i}"
-    return f"WITH {', '.join(ctes)} SELECT l_orderkey, l_linenumber FROM {src}"
+    return f"WITH {', '.join(ctes)} SELECT {keys} FROM {src}"
 
 
 @register("remove_iqr_lineitem", _sql_remove_iqr())
@@ -596,14 +635,13 @@ def remove_iqr_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 ZREMOVE_COLS = ["o_totalprice", "o_custkey"]
 
 
-def _sql_remove_z() -> str:
-    src = "orders"
+def _sql_remove_z(src: str = "orders", cols: Sequence[str] = ZREMOVE_COLS, keys: str = "o_orderkey") -> str:
     ctes = []
-    for i, c in enumerate(ZREMOVE_COLS):
+    for i, c in enumerate(cols):
         ctes.append(f"s{i} AS (SELECT {src}.* FROM {src}, (SELECT avg({c}) AS mu, stddev_samp({c}) AS sd "
                     f"FROM {src}) z WHERE sd > 0 AND abs(({c} - mu) / sd) < 3.0)")
         src = f"s{i}"
-    return f"WITH {', '.join(ctes)} SELECT o_orderkey FROM {src}"
+    return f"WITH {', '.join(ctes)} SELECT {keys} FROM {src}"
 
 
 @register("remove_zscore_orders", _sql_remove_z())
@@ -613,6 +651,25 @@ def remove_zscore_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.remove_outliers(o, ZREMOVE_COLS, "zscore").select("o_orderkey")
 
 
+# Both columns lose rows: value has outliers, and so has what depends on it.
+_SPREAD_SQL = "(SELECT event_id, value, value * value AS square FROM events)"
+
+
+@register("remove_iqr_events", _sql_remove_iqr(_SPREAD_SQL, ["value", "square"], "event_id"))
+def remove_iqr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 where each column's fences depend on the rows removed before."""
+    events = table(spark, sf_dir, "events").select("event_id", "value", (F.col("value") * F.col("value")).alias("square"))
+    return outliers.remove_outliers(events, ["value", "square"], "iqr").select("event_id")
+
+
+@register("remove_zscore_events", _sql_remove_z("spread", ["value", "square"], "event_id").replace(
+    "WITH ", f"WITH spread AS (SELECT * FROM {_SPREAD_SQL} e), ", 1))
+def remove_zscore_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O4 where each column's moments depend on the rows removed before."""
+    events = table(spark, sf_dir, "events").select("event_id", "value", (F.col("value") * F.col("value")).alias("square"))
+    return outliers.remove_outliers(events, ["value", "square"], "zscore").select("event_id")
+
+
 PART_COLS = ["p_retailprice", "p_size"]
 
 
@@ -698,6 +755,17 @@ def onehot_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(o, "onehot", ["o_orderpriority", "o_orderstatus"])
 
 
+@register("onehot_documents",
+          "SELECT doc_id, CASE WHEN grade = 'bad' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS grade_bad, "
+          "CASE WHEN grade = 'good' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS grade_good, "
+          "CASE WHEN grade IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS grade_nan "
+          f"FROM (SELECT doc_id, {GRADE_SQL} AS grade FROM {DOCS_LABELS_SQL} x) b")
+def onehot_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N1 with missing values: they have a column of their own."""
+    data = docs_labels(spark, sf_dir).select("doc_id", grade().alias("grade"))
+    return encode.encode(data, "onehot", ["grade"])
+
+
 @register("label_encode_documents",
           "SELECT doc_id, "
           "CAST(dense_rank() OVER (ORDER BY coalesce(lang, 'nan')) - 1 AS BIGINT) AS lang, "
@@ -914,17 +982,21 @@ def rfe_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ============================================== training, evaluation, prediction
 
 @register("split_orders",
-          "SELECT 'test' AS split, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS n_rows FROM orders "
-          "UNION ALL SELECT 'train' AS split, count(*) - CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) "
-          "AS n_rows FROM orders")
+          "SELECT 'test' AS split, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS n_rows, "
+          "CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS n_keys, 0::BIGINT AS n_in_both FROM orders "
+          "UNION ALL SELECT 'train' AS split, count(*) - CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT), "
+          "count(DISTINCT o_orderkey) - CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT), 0::BIGINT FROM orders")
 def split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: exact ceil(0.2 n) test rows, seeded hash order."""
     o = table(spark, sf_dir, "orders")
     marked = train.split_column(o, 0.2, 42, ["o_orderkey"])
-    return marked.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    sides = marked.groupBy("o_orderkey").agg(F.countDistinct("split").alias("sides"))
+    return marked.join(sides, "o_orderkey").groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_orderkey").alias("n_keys"),
+        F.count_if(F.col("sides") > 1).alias("n_in_both"))
 
 
-def _sql_folds(k: int = 5) -> str:
+def _sql_folds(k: int = 5, by_key: bool = False) -> str:
     return f"""
 WITH cls AS (SELECT o_orderstatus, min(o_orderkey) AS first_key, count(*) AS n FROM orders
              WHERE o_orderstatus IS NOT NULL GROUP BY 1),
@@ -935,11 +1007,12 @@ al AS (SELECT o_orderstatus, r.i,
        - (CASE WHEN s0 > r.i THEN (s0 - r.i + {k - 1}) // {k} ELSE 0 END) AS a
        FROM st, (SELECT range AS i FROM range({k})) r),
 cum AS (SELECT o_orderstatus, i, sum(a) OVER (PARTITION BY o_orderstatus ORDER BY i) AS c FROM al),
-rw AS (SELECT o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS j
+rw AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS j
        FROM orders WHERE o_orderstatus IS NOT NULL),
-f AS (SELECT rw.o_orderstatus, (SELECT count(*) FROM cum WHERE cum.o_orderstatus = rw.o_orderstatus
+f AS (SELECT rw.o_orderkey, rw.o_orderstatus, (SELECT count(*) FROM cum WHERE cum.o_orderstatus = rw.o_orderstatus
         AND cum.i < {k - 1} AND cum.c <= rw.j) AS fold FROM rw)
-SELECT o_orderstatus, CAST(fold AS INTEGER) AS fold, count(*) AS n_rows FROM f GROUP BY 1, 2"""
+""" + ("SELECT o_orderkey, CAST(fold AS INTEGER) AS fold FROM f" if by_key else
+       "SELECT o_orderstatus, CAST(fold AS INTEGER) AS fold, count(*) AS n_rows FROM f GROUP BY 1, 2")
 
 
 @register("stratified_folds_orders", _sql_folds())
@@ -950,6 +1023,13 @@ def stratified_folds_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.groupBy("o_orderstatus", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@register("stratified_fold_keys_orders", _sql_folds(by_key=True))
+def stratified_fold_keys_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold of every row."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return train.stratified_folds(o, "o_orderstatus", 5, ["o_orderkey"]).select("o_orderkey", "fold")
+
+
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training table: document features with the quality label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
@@ -1093,6 +1173,36 @@ def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ======================================================= end-to-end requests
 
+def _sql_lambda(kind: str) -> str:
+    """Lambda by nested grids over the conditioned likelihood."""
+    if kind == "boxcox":
+        base = ("v AS (SELECT ln(c_acctbal + CASE WHEN lo <= 0 THEN 1 - lo ELSE 0 END) AS a FROM customer, "
+                "(SELECT min(c_acctbal) AS lo FROM customer) m), m AS (SELECT avg(a) AS mu, count(*) AS n FROM v), "
+                "x AS (SELECT a - mu AS u FROM v, m)")
+        value, extra = "CASE WHEN abs(l) < 1e-9 THEN u ELSE (exp(l * u) - 1) / l END", "0"
+    else:
+        base = ("x AS (SELECT c_acctbal AS u FROM customer), m AS (SELECT count(*) AS n, "
+                "sum(sign(u) * ln(1 + abs(u))) AS g FROM x)")
+        value = ("CASE WHEN u >= 0 THEN CASE WHEN abs(l) < 1e-9 THEN ln(1 + u) ELSE (pow(1 + u, l) - 1) / l END "
+                 "ELSE CASE WHEN abs(2 - l) < 1e-9 THEN -ln(1 - u) ELSE -(pow(1 - u, 2 - l) - 1) / (2 - l) END END")
+        extra = "(l - 1) * max(g)"
+    steps, centre = [], "SELECT 0.0::DOUBLE AS c"
+    for i, (points, width) in enumerate(((60, 0.05), (60, 0.001), (60, 0.00002))):
+        steps.append(f"g{i} AS (SELECT c + r.range * {width} AS l FROM ({centre}) s, range(-{points}, {points + 1}) r)")
+        steps.append(f"f{i} AS (SELECT l, {extra} - max(n) / 2.0 * ln(var_pop({value})) AS f FROM g{i}, x, m GROUP BY l)")
+        centre = f"SELECT l AS c FROM f{i} ORDER BY f DESC, l LIMIT 1"
+    return f"WITH {base}, {', '.join(steps)} SELECT '{kind}' AS kind, round(c, 2) AS lambda FROM ({centre}) b"
+
+
+@register("power_lambda_customer", f"SELECT * FROM ({_sql_lambda('boxcox')}) a UNION ALL SELECT * FROM ({_sql_lambda('yeojohnson')}) b")
+def power_lambda_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3/K4: the maximum-likelihood lambdas (two digits)."""
+    data = table(spark, sf_dir, "customer").select("c_acctbal")
+    found = [(kind, round(skew.fit_power(data, ["c_acctbal"], kind).params["c_acctbal"][1], 2))
+             for kind in ("boxcox", "yeojohnson")]
+    return spark.createDataFrame(found, "kind string, lambda double")
+
+
 PRE_CONFIG = {
     "target_column": "quality", "missing_strategy": "mean", "missing_columns": ["quality", "toxic"],
     "missing_indicator": True, "outlier_method": "clip", "outlier_columns": ["n_chars"],
