@@ -1162,13 +1162,21 @@ def confusion_lang_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion_matrix(_lang_predictions(spark, sf_dir), "actual", "predicted")
 
 
-@register("catalog_tables")
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@register("catalog_tables", " UNION ALL ".join(
+    f"SELECT '{t}.parquet' AS name, count(*) AS n_rows FROM {t}" for t in _TABLES))
 def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parquet datasets of a folder from a file listing (contents
-    are never read)."""
+    """The parquet datasets of a folder from a file listing, each counted."""
     from tessera.sources.catalog import list_tables
 
-    return list_tables(spark, sf_dir).select("name", "files")
+    out = None
+    for name in sorted(r["name"] for r in list_tables(spark, sf_dir).select("name").collect()):
+        counted = spark.read.parquet(f"{sf_dir}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n_rows"))
+        out = counted if out is None else out.unionByName(counted)
+    return out.select("name", "n_rows")
 
 
 # ======================================================= end-to-end requests
@@ -1289,25 +1297,36 @@ def engineer_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(long, ["value"])
 
 
-@register("columns_orders",
-          "SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name, "
-          "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' "
-          "WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END "
-          "AS data_type FROM information_schema.columns WHERE table_name = 'orders'")
+_ORDERS_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+                 "o_orderdate": "timestamp_ntz", "o_orderpriority": "string"}
+
+
+@register("columns_orders", " UNION ALL ".join(
+    f"SELECT {i}::INTEGER AS position, '{c}' AS column_name, '{t}' AS data_type, count({c}) AS n_values FROM orders"
+    for i, (c, t) in enumerate(_ORDERS_TYPES.items())))
 def columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dataset's columns and types (read from the schema, no scan)."""
+    """The dataset's columns and types, with the values that each holds."""
     from tessera.sources.files import dataset_columns
 
-    return dataset_columns(table(spark, sf_dir, "orders"))
+    orders = table(spark, sf_dir, "orders")
+    values = orders.agg(*[F.count(c).alias(c) for c in orders.columns]).unpivot(
+        [], orders.columns, "column_name", "n_values")
+    return dataset_columns(orders).join(F.broadcast(values), "column_name").select(
+        "position", "column_name", "data_type", "n_values")
 
 
 @register("smote_documents",
           "SELECT quality, CAST((SELECT max(n) FROM (SELECT count(*) AS n FROM documents JOIN labels "
-          "USING (doc_id) GROUP BY quality)) AS BIGINT) AS n_rows FROM documents JOIN labels "
+          "USING (doc_id) GROUP BY quality)) AS BIGINT) AS n_rows, 0::BIGINT AS n_outside FROM documents JOIN labels "
           "USING (doc_id) WHERE quality IS NOT NULL GROUP BY quality")
 def smote_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMOTE on (n_chars, toxic) by quality; every class reaches the
     majority count (synthetic rows interpolate same-class neighbours)."""
     data = labelled_documents(spark, sf_dir).select("doc_id", "n_chars", "toxic", "quality")
     out = balance.balance(data, "smote", "quality", key=["doc_id"], features=["n_chars", "toxic"])
-    return out.groupBy("quality").agg(F.count(F.lit(1)).alias("n_rows"))
+    # Rows outside their class's range can't lie between two of its rows.
+    reach = data.groupBy("quality").agg(*[f(c).alias(f"{c}_{n}") for c in ("n_chars", "toxic") for n, f in (("lo", F.min), ("hi", F.max))])
+    inside = (F.col("n_chars").between(F.col("n_chars_lo"), F.col("n_chars_hi"))
+              & F.col("toxic").between(F.col("toxic_lo"), F.col("toxic_hi")))
+    return out.join(reach, "quality").groupBy("quality").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~inside).alias("n_outside"))

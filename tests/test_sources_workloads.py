@@ -66,7 +66,7 @@ def test_query_matches_oracle_small(spark, duck, name):
 
 
 FAST_ROWS_ONLY = ["transform_boxcox_customer", "skew_yeojohnson_customer", "pca_embeddings",
-                  "lda_embeddings", "predict_documents", "catalog_tables"]
+                  "lda_embeddings", "predict_documents"]
 
 
 @pytest.mark.parametrize("name", FAST_ROWS_ONLY)
