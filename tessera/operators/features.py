@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.functions.expressions import col, nan_to_null
 from tessera.functions.schema import numeric_columns, temporal_columns
 from tessera.functions.stats import collect_stats
+from tessera.operators.balance import MAX_CLASSES
 
 VARIANCE_THRESHOLD = 0.01
 DEFAULT_K = 5
@@ -281,7 +282,9 @@ def fit_lda(df: DataFrame, target: str, cols: Sequence[str], n_components: int =
     per_class = data.groupBy(col(target)).agg(
         F.count(F.lit(1)).alias("_n"),
         Summarizer.mean(array_to_vector("_ts_a")).alias("_m"))
-    rows = per_class.collect()
+    rows = per_class.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"column {target!r} has more than {MAX_CLASSES} values and can't be a class label")
     if len(rows) < 2:
         raise ValueError("LDA needs at least two classes")
     counts = np.array([r["_n"] for r in rows], dtype=float)
@@ -292,8 +295,8 @@ def fit_lda(df: DataFrame, target: str, cols: Sequence[str], n_components: int =
     tdt = df.schema[target].dataType.simpleString()
     small = df.sparkSession.createDataFrame(
         [(r[target], [float(v) for v in r["_m"].toArray()]) for r in rows],
-        f"`{target}` {tdt}, _ts_m array<double>")
-    centred = data.join(F.broadcast(small), target).select(
+        f"_ts_c {tdt}, _ts_m array<double>")
+    centred = data.join(F.broadcast(small), col(target) == F.col("_ts_c")).select(
         array_to_vector(F.zip_with("_ts_a", "_ts_m", lambda a, b: a - b)).alias("_ts_v"))
     _, within_cov, _ = covariance_of(centred, "_ts_v")
     # Xc has zero mean, so its Gram matrix is (n-1) * sample covariance.

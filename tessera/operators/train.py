@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.expressions import col, quoted
 from tessera.functions.schema import is_categorical, is_numeric
+from tessera.operators.balance import MAX_CLASSES
 from tessera.plans.ordering import attach_small, with_group_index, with_position
 
 ALGORITHMS = ("logistic_regression", "random_forest", "xgboost", "decision_tree",
@@ -84,7 +85,10 @@ def stratified_folds(df: DataFrame, target: str, n_splits: int = 5,
     data = df.where(col(target).isNotNull())
     first = F.min(F.struct(*[col(c) for c in order_by]))
     classes = data.groupBy(col(target)).agg(first.alias("_first"), F.count(F.lit(1)).alias("_n"))
-    rows = sorted(classes.collect(), key=lambda r: tuple(r["_first"]))
+    rows = classes.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"column {target!r} has more than {MAX_CLASSES} values and can't be a class label")
+    rows.sort(key=lambda r: tuple(r["_first"]))
     start, ends = 0, []
     for r in rows:
         n_k = r["_n"]
@@ -112,11 +116,14 @@ def _count_congruent(lo: int, hi: int, r: int, k: int) -> int:
 
 # ----------------------------------------------------------------- pipeline
 
+# Values that a string feature may have in a model.
+MAX_CATEGORIES = 100_000
 # Stands for a missing category, so that it is a category of its own.
 MISSING_CATEGORY = "tessera:missing"
 
 
-def feature_stages(df: DataFrame, target: str, features: Sequence[str] | None = None):
+def feature_stages(df: DataFrame, target: str, features: Sequence[str] | None = None,
+                   max_categories: int = MAX_CATEGORIES):
     """M2: standardise numerics, one-hot strings; columns of other types are
     dropped, as in the reference.
 
@@ -129,6 +136,10 @@ def feature_stages(df: DataFrame, target: str, features: Sequence[str] | None =
     cat = [c for c in cols if is_categorical(df.schema[c].dataType)]
     if not num and not cat:
         raise ValueError("no numeric or string feature columns")
+    for c in [*cat, *([target] if target in df.columns else [])]:
+        # Their distinct values pass through the driver when they are indexed.
+        if df.select(col(c)).distinct().limit(max_categories + 1).count() > max_categories:
+            raise ValueError(f"column {c!r} has more than max_categories={max_categories} values; drop or encode it first")
     made = [f"nanvl(CAST({quoted(c)} AS DOUBLE), NULL) AS _ts_d_{i}" for i, c in enumerate(num)]
     made += [f"coalesce(CAST({quoted(c)} AS STRING), '{MISSING_CATEGORY}') AS _ts_m_{i}" for i, c in enumerate(cat)]
     stages, parts = [SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")], []
