@@ -42,7 +42,7 @@ BUCKET_BLOCK, GROUP_BLOCK = 1024, 256
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
 #: Words whose hash a worker keeps.
-MAX_WORDS = 500_000
+MAX_WORDS = 300_000
 
 _RANDOM = np.random.default_rng(20240229)
 _MIX = (_RANDOM.integers(0, 1 << 63, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)

@@ -38,7 +38,9 @@ LEXICON, SEQUENCE = 2_000, 64
 #: Words of a window of one language, on the average.
 WINDOW = 12
 EPOCHS, RATE, RIDGE = 40, 0.15, 1e-5
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
+#: Text bytes that are labelled at once; a word takes some hundred bytes then.
+SLICE_BYTES = 2 << 20
 #: Words whose steps are multiplied out before texts are scanned.
 CHUNK = 64
 UNDETERMINED = "und"
@@ -310,7 +312,8 @@ def predict(docs: DataFrame, crf: Crf | None, text: str = "text") -> DataFrame:
 
         return apply
 
-    return shared.map_slices(docs.select(*(F.col(f"`{f.name}`") for f in kept)), start, StructType([*kept, *made.fields]), text)
+    return shared.map_slices(docs.select(*(F.col(f"`{f.name}`") for f in kept)), start, StructType([*kept, *made.fields]), text,
+                             SLICE_BYTES)
 
 
 def op1_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

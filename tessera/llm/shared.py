@@ -73,7 +73,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
 
 
 def map_slices(df: DataFrame, function: Callable[[], Callable[[pa.RecordBatch], dict]],
-               schema: str | StructType, column: str = "text") -> DataFrame:
+               schema: str | StructType, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Apply a per-worker function to Arrow slices.
 
     ``function()`` is called once in each task and returns the function that
@@ -84,7 +84,7 @@ def map_slices(df: DataFrame, function: Callable[[], Callable[[pa.RecordBatch],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(kind)
         apply = function()
-        for batch in slices(batches, column):
+        for batch in slices(batches, column, limit):
             out = apply(batch)
             yield pa.record_batch([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array)
                                    else out[f.name].cast(f.type) for f in arrow], schema=arrow)

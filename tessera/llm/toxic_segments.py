@@ -49,7 +49,9 @@ PEAK = 1.0
 BEST = 8
 #: A text is toxic from this probability on.
 THRESHOLD = 0.3
-MAX_WORDS = 500_000
+#: Words whose score a task keeps, and text bytes whose units are counted at once.
+MAX_WORDS = 300_000
+COUNT_BYTES = 2 << 20
 
 _EDGES = ".,;:!?#$%&*|\"'()[]"
 
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         return apply
 
     counted = shared.written(
-        shared.map_slices(taken, count, "unit string, n0 long, n1 long, n2 long, n3 long")
+        shared.map_slices(taken, count, "unit string, n0 long, n1 long, n2 long, n3 long", limit=COUNT_BYTES)
         .groupBy("unit").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(4))).filter("n0 + n1 + n2 + n3 > 1"), "units")
     # Units of the toxic class: met there more often than by its share.
     lift = F.expr(f"(n1 + n3) * sqrt((n1 + n3) / (n0 + n2 + {total[0] / sum(total)}))")
