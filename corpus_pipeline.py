@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm import hyperminhash, langid_crf, pii_spans, shared, toxic_segments, window_packing
 
 #: Least mean marginal of a document's language.
-MAIN_LANGUAGE = 0.5
+MAIN_LANGUAGE = 0.35
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Toxic passages by maximum-scoring segments.
 
-Every token has a log-odds score of the toxic against the clean class under an
-informative Dirichlet prior, that of its most specific known unit: the word,
-or else its longest beginning.  A linear-time scan finds all maximal segments of a text; the
+Every token has a log-odds score of the toxic against the clean class, that of
+its most specific known unit: the word, or else its longest beginning.  Each
+unit's class shares have a Dirichlet prior centered on those of the next
+shorter unit, so that a rare word scores like its beginning.  A linear-time scan finds all maximal segments of a text; the
 tail of the segment scores in clean texts (peaks over a threshold) says how
 many such segments chance gives a text of that length, and a logistic curve
 turns the surprise of the best few into a probability.
@@ -36,9 +37,9 @@ MAX_LABELLED = 20_000
 #: frequent first.
 MAX_UNITS = 50_000
 #: Strength of the Dirichlet prior, in documents.
-PRIOR = 50.0
-#: Least z-score of a unit.
-LEAST_Z = 3.0
+PRIOR = 4.0
+#: Posterior standard deviations by which a unit's share is taken lower.
+MARGIN = 2.0
 #: Lengths of the beginnings that are units.
 BEGINNINGS = range(3, 9)
 #: What each token costs, so that segments end where evidence does.
@@ -62,20 +63,24 @@ def units(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in reversed(BEGINNINGS) if len(word) >= k)]
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: float, n_clean: float) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds ratio of each unit's document counts under a Dirichlet prior
-    in the proportions of both classes together, and its z-score."""
-    prior = PRIOR * (toxic + clean + 1.0) / (n_toxic + n_clean + 1.0)
-    prior = np.minimum(prior, PRIOR / 2)
-
-    def odds(y: np.ndarray, n: float) -> np.ndarray:
-        share = PRIOR * n / (n_toxic + n_clean)  # the prior's documents of this class
-        y = y + prior * share / PRIOR
-        return np.log(y / np.maximum(n + share - y, 1e-9))
-
-    delta = odds(toxic, n_toxic) - odds(clean, n_clean)
-    weight = [prior * n / (n_toxic + n_clean) for n in (n_toxic, n_clean)]
-    return delta, delta / np.sqrt(1 / (toxic + weight[0]) + 1 / (clean + weight[1]))
+def log_odds(counts: dict[str, tuple[float, float]], base: float) -> dict[str, float]:
+    """Log-odds of each unit's toxic share against the ``base`` share, from
+    the numbers of toxic and clean documents that hold it.  The share's
+    Dirichlet prior is centered on that of the longest beginning known, or on
+    the base; it is taken ``MARGIN`` posterior deviations lower, and a share
+    not above the base then says nothing."""
+    share: dict[str, float] = {}
+    out = {}
+    for unit in sorted(counts, key=lambda u: (len(u), u[0] == "=", u)):
+        toxic, clean = counts[unit]
+        word = unit[1:]
+        above = (f"^{word[:k]}" for k in range(min(len(word), BEGINNINGS.stop - 1), BEGINNINGS.start - 1, -1))
+        parent = next((share[u] for u in above if u != unit and u in share), base)
+        n = toxic + clean + PRIOR
+        share[unit] = mean = (toxic + PRIOR * parent) / n
+        low = mean - MARGIN * math.sqrt(mean * (1 - mean) / (n + 1))
+        out[unit] = math.log(low / (1 - low) * (1 - base) / base) if low > base else 0.0
+    return out
 
 
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
@@ -220,17 +225,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     known_units = lifted.unionByName(extended).distinct().toPandas()  # at most twice MAX_UNITS rows
     n = known_units[["n0", "n1", "n2", "n3"]].to_numpy(dtype=float)
 
-    # Each unit's evidence is taken one standard error below its estimate;
-    # without enough evidence it says nothing.
     def model(folds: tuple[int, ...]) -> dict[str, float]:
         toxic, clean = sum(n[:, 2 * f + 1] for f in folds), sum(n[:, 2 * f] for f in folds)
         n_toxic, n_clean = (sum(sizes.get((f, c), 0) for f in folds) for c in (1, 0))
         if not n_toxic or not n_clean:
             return {}
-        delta, z = log_odds(toxic, clean, n_toxic, n_clean)
-        score = np.where((z >= LEAST_Z) & (toxic >= 2), delta - delta / np.maximum(z, 1), 0.0)
-        met = toxic + clean > 1
-        return dict(zip(known_units["unit"][met], score[met].tolist(), strict=True))
+        met = toxic + clean > 0
+        counts = dict(zip(known_units["unit"][met], zip(toxic[met].tolist(), clean[met].tolist(), strict=True), strict=True))
+        return log_odds(counts, n_toxic / (n_toxic + n_clean))
 
     other = [model((1,)), model((0,))]
 
