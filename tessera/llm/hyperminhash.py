@@ -113,11 +113,9 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Probability that registers of disjoint sets of these sizes agree: the
     least hashes share a power of two and then the mantissa."""
-    edges = 0.5 ** np.arange(32, -1, -1)
-    both = np.zeros(np.broadcast(n, m).shape)
-    for low, high in zip(edges, edges[1:]):
-        both += ((1 - low) ** n - (1 - high) ** n) * ((1 - low) ** m - (1 - high) ** m)
-    return both / (1 << MANTISSA)
+    left = 1.0 - 0.5 ** np.arange(32, -1, -1)
+    share = -np.diff(left ** np.asarray(n)[..., None]) * -np.diff(left ** np.asarray(m)[..., None])
+    return share.sum(axis=-1) / (1 << MANTISSA)
 
 
 def likely_pairs(regs: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_sizes: np.ndarray,
@@ -126,24 +124,21 @@ def likely_pairs(regs: np.ndarray, sizes: np.ndarray, other: np.ndarray, other_s
     the likeliest first."""
     k = regs.shape[1]
     least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / k)
-    at, to, score = [], [], []
-    for i, (row, n) in enumerate(zip(regs, sizes, strict=True)):
-        sizes_fit = np.flatnonzero((other_sizes >= n * threshold - 1e-9) & (n >= other_sizes * threshold - 1e-9))
-        if not len(sizes_fit):
-            continue
-        alike = (other[sizes_fit] == row).sum(axis=1) / k
-        estimate = alike
-        if (alike >= least).any():
-            by_chance = chance(np.float64(n), other_sizes[sizes_fit].astype(np.float64))
-            estimate = (alike - by_chance) / (1 - by_chance)
-        good = np.flatnonzero(estimate >= least)
-        at.append(np.full(len(good), i))
-        to.append(sizes_fit[good])
-        score.append(estimate[good])
-    if not at:
-        return np.empty(0, dtype=int), np.empty(0, dtype=int)
-    order = np.argsort(-np.concatenate(score), kind="stable")
-    return np.concatenate(at)[order], np.concatenate(to)[order]
+    at, to, alike = [], [], []
+    for start in range(0, len(regs), 32):
+        own = sizes[start:start + 32, None]
+        share = (regs[start:start + 32, None, :] == other).sum(axis=2) / k
+        # Chance only lowers the estimate, so this rules out no good pair.
+        i, j = np.nonzero((share >= least) & (other_sizes >= own * threshold - 1e-9) & (own >= other_sizes * threshold - 1e-9))
+        at.append(i + start)
+        to.append(j)
+        alike.append(share[i, j])
+    i, j, share = np.concatenate(at), np.concatenate(to), np.concatenate(alike)
+    by_chance = chance(sizes[i].astype(np.float64), other_sizes[j].astype(np.float64))
+    estimate = (share - by_chance) / (1 - by_chance)
+    order = np.argsort(-estimate, kind="stable")
+    order = order[estimate[order] >= least]
+    return i[order], j[order]
 
 
 def _dealt(members: DataFrame, by: list[str], block: int) -> DataFrame:
