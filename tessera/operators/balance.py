@@ -13,9 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.expressions import col
-from tessera.plans.ordering import with_group_index
+from tessera.functions.expressions import col, quoted
+from tessera.plans.ordering import hash_thresholds, with_group_index
 
 METHODS = ("undersample", "oversample", "smote")
 DEFAULT_SEED = 42
@@ -43,16 +44,28 @@ def undersample(df: DataFrame, target: str, key: Sequence[str],
     """B1: every class cut to the minority count, without replacement.
 
     Each class keeps its ``n_min`` rows with the smallest seeded hash of the
-    key (a uniform random subset).
+    key (a uniform random subset), below an exact threshold per class found
+    by counting; only rows of equal keys that straddle it are ranked.
     """
     df = df.where(col(target).isNotNull())
     counts = class_counts(df, target)
     if not counts:
         return df
     n_min = min(counts.values())
-    ranked = with_group_index(df.withColumn("_ts_h", _key_hash(key, seed)), [target],
-                              ["_ts_h", *key], "_ts_idx")
-    return ranked.where(F.col("_ts_idx") < n_min).select(*df.columns)
+    hashed = df.withColumn("_ts_h", _key_hash(key, seed))
+    found = hash_thresholds(hashed.select(col(target).alias("g"), F.col("_ts_h").alias("h")), {c: n_min for c in counts})
+    table = df.sparkSession.createDataFrame(
+        [(c, limit, need, need == equal) for c, (limit, need, equal) in found.items()],
+        T.StructType([T.StructField("_ts_c", df.schema[target].dataType), T.StructField("_ts_limit", T.LongType()),
+                      T.StructField("_ts_need", T.LongType()), T.StructField("_ts_whole", T.BooleanType())]))
+    limited = hashed.join(F.broadcast(table), col(target) == F.col("_ts_c"))  # at most MAX_CLASSES rows
+    names = [col(c) for c in df.columns]
+    whole = limited.where((F.col("_ts_h") < F.col("_ts_limit")) | (F.col("_ts_whole") & (F.col("_ts_h") == F.col("_ts_limit"))))
+    if all(need == equal for _, need, equal in found.values()):
+        return whole.select(*names)
+    tied = limited.where(~F.col("_ts_whole") & (F.col("_ts_h") == F.col("_ts_limit")))
+    ranked = with_group_index(tied, ["_ts_c"], [quoted(k) for k in key], "_ts_idx")
+    return whole.select(*names).unionByName(ranked.where(F.col("_ts_idx") < F.col("_ts_need")).select(*names))
 
 
 def oversample(df: DataFrame, target: str, key: Sequence[str],

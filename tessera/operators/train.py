@@ -21,13 +21,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasProbabilityCol, HasRawPredictionCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expressions import col, quoted
 from tessera.functions.schema import is_categorical, is_numeric
 from tessera.operators.balance import MAX_CLASSES
-from tessera.plans.ordering import attach_small, with_group_index, with_position
+from tessera.plans.ordering import attach_small, hash_thresholds, with_group_index, with_position
 
 ALGORITHMS = ("logistic_regression", "random_forest", "xgboost", "decision_tree",
               "neural_network", "svm", "knn")
@@ -51,17 +51,28 @@ def split_column(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE,
                  seed: int = DEFAULT_SEED, key: Sequence[str] | None = None,
                  name: str = "split") -> DataFrame:
     """M1: exactly ``ceil(n * test_size)`` rows marked 'test', the rest
-    'train'.  Rows are ranked by a seeded hash of the key (a random
-    permutation that repeats), ranks come from a distributed sort."""
+    'train'.  The test rows are those with the smallest seeded hashes of the
+    key (a random subset that repeats), below an exact threshold found by
+    counting; nothing is sorted unless rows of equal keys straddle it."""
     if not 0 < test_size < 1:
         raise ValueError("test_size must be between 0 and 1")
     key = list(key) if key else list(df.columns)
     h = F.xxhash64(F.lit(seed), *[col(k) for k in key])
-    ranked = with_position(df.withColumn("_ts_h", h), ["_ts_h", *key], "_ts_rank")
-    n = ranked.count()
-    n_test = math.ceil(n * test_size)
-    return ranked.withColumn(name, F.when(F.col("_ts_rank") < n_test, F.lit("test"))
-                             .otherwise(F.lit("train"))).drop("_ts_h", "_ts_rank")
+    hashed = df.withColumn("_ts_h", h)
+    n_test = math.ceil(df.count() * test_size)
+    if not n_test:
+        return df.withColumn(name, F.lit("train"))
+    rows = hashed.select(F.lit(0).alias("g"), F.col("_ts_h").alias("h"))
+    limit, need, equal = hash_thresholds(rows, {0: n_test})[0]
+
+    def marked(frame: DataFrame, test: Column) -> DataFrame:
+        return frame.withColumn(name, F.when(test, F.lit("test")).otherwise(F.lit("train")))
+
+    if need == equal:
+        return marked(hashed, F.col("_ts_h") <= limit).drop("_ts_h")
+    tied = with_position(hashed.where(F.col("_ts_h") == limit), [quoted(k) for k in key], "_ts_rank")
+    return (marked(hashed.where(F.col("_ts_h") != limit), F.col("_ts_h") < limit)
+            .unionByName(marked(tied, F.col("_ts_rank") < need).drop("_ts_rank")).drop("_ts_h"))
 
 
 def train_test_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE,
@@ -304,7 +315,7 @@ def train_model(df: DataFrame, target: str, algorithm: str = "random_forest",
             cv_scores = cross_validate(df, target, algorithm, k, key, features, seed)
         except Exception as exc:  # noqa: BLE001 - reported as text, as in the reference
             cv_scores = f"no fold scores: {exc}"
-    marked = split_column(df, test_size, seed, key, "_ts_split")  # built on a checkpoint
+    marked = split_column(df, test_size, seed, key, "_ts_split")
     train = marked.where(F.col("_ts_split") == "train").drop("_ts_split")
     test = marked.where(F.col("_ts_split") == "test").drop("_ts_split")
     model, used, labels = fit_pipeline(train, target, algorithm, features, seed)

@@ -165,3 +165,19 @@ def test_csv_as_pandas_reads_it(spark, tmp_path):
     assert again["note"].tolist() == want["note"].tolist()
     assert np.allclose(again["ratio"], want["ratio"], equal_nan=True)
     assert files.read_path(spark, back, "csv").exceptAll(got.drop("_c0")).isEmpty()
+
+
+@pytest.mark.parametrize("keys", ["unique", "repeated", "one"])
+def test_split_and_undersampling_are_exact_by_counting(spark, keys):
+    rows = [(i if keys == "unique" else i // 40 if keys == "repeated" else 7, "abc"[(i % 10 > 6) + (i % 10 > 8)]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, y string")
+    sizes = {r["split"]: r["count"] for r in train.split_column(df, 0.17, 1, ["k"]).groupBy("split").count().collect()}
+    assert sizes == {"test": 170, "train": 830}
+    from tessera.operators import balance
+
+    out = balance.undersample(df, "y", ["k"])
+    assert out.columns == ["k", "y"]
+    assert {r["y"]: r["count"] for r in out.groupBy("y").count().collect()} == {"a": 100, "b": 100, "c": 100}
+    assert out.exceptAll(df).isEmpty()
+    plan = train.split_column(df, 0.17, 1, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert keys != "unique" or "Sort" not in plan
