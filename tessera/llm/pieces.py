@@ -69,6 +69,14 @@ class PieceCoder:
             return None if after is None else self._tail("\n") + after
         return self.word(piece, self.keeps_space) if piece.isalpha() else None
 
+    def _first(self, heads: list[str]) -> list[bytes]:
+        """Ids of the pieces that texts begin with."""
+        out = [self.word(head, False) if head.isalpha() else None for head in heads]
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(rest, self.whole([heads[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
             self.tails[tail] = self.whole([tail])[0]
@@ -80,6 +88,9 @@ class PieceCoder:
         between them, as the tokenizers do."""
         known, rest = self.known, []
         for piece in pieces.difference(known):
+            if piece.isalpha() and (ids := self.word(piece, self.keeps_space)) is not None:
+                known[piece] = ids
+                continue
             if self.keeps_space:
                 body = piece[1:] if piece[:1] == "\n" else piece
                 if not body or body[0] in _SPACES:
@@ -126,7 +137,7 @@ class PieceCoder:
             cut.append((i, head, pieces))
             distinct.update(pieces)
         self._learn(distinct)
-        heads = self.whole([head for _, head, _ in cut]) if self.keeps_space else [b""] * len(cut)
+        heads = self._first([head for _, head, _ in cut]) if self.keeps_space else [b""] * len(cut)
         find = self.known.__getitem__
         for (i, _, pieces), head in zip(cut, heads, strict=True):
             try:
