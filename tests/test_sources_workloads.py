@@ -45,8 +45,8 @@ def test_entry_smoke(spark):
 
 def _digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    return sorted(tuple(None if r[i] is None else (round(r[i], 9) if isinstance(r[i], float) else str(r[i]))
-                        for i in order) for r in rows)
+    return sorted((tuple(None if r[i] is None else (round(r[i], 9) if isinstance(r[i], float) else str(r[i]))
+                        for i in order) for r in rows), key=repr)
 
 
 @pytest.fixture(scope="module")
