@@ -1,8 +1,8 @@
 """Nearest-neighbour operators: kNN classifier (M8) and SMOTE.
 
 The classifier keeps at most ``max_train_rows`` training rows (a documented
-parameter; beyond it a seeded sample) and scores rows against them in Arrow
-batches.  SMOTE searches the neighbours of every row of a class within the
+parameter; beyond it a seeded sample, in which each distinct row has its share
+of the rows) and scores rows against them in Arrow batches.  SMOTE searches the neighbours of every row of a class within the
 class, however large: the class is sorted along several random directions, cut
 into cells of a fixed number of rows, and each row is compared exactly with
 the rows of its own and the adjacent cells.  A class of one cell is searched
@@ -143,7 +143,11 @@ class KNNModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRa
 class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol,
                     HasRawPredictionCol):
     """k-nearest-neighbour classifier over at most ``max_train_rows`` training
-    rows, which are all of them up to that number and a seeded sample beyond."""
+    rows, which are all of them up to that number and a seeded sample beyond.
+
+    Of N rows, one that occurs c times has c * max_train_rows / N places in the
+    sample, rounded down or up by a seeded draw; classes are counted over all
+    rows, sampled or not."""
 
     def __init__(self, k: int = DEFAULT_K, max_train_rows: int = MAX_TRAIN_ROWS, seed: int = 42):
         super().__init__()
@@ -167,16 +171,40 @@ class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Ha
     def _fit(self, dataset: DataFrame) -> KNNModel:
         pairs = dataset.select(vector_to_array(F.col(self.getFeaturesCol())).alias("x"),
                                F.col(self.getLabelCol()).cast("int").alias("y"))
-        rows = pairs.orderBy(F.xxhash64(F.lit(self.seed), "x", "y")).limit(self.max_train_rows).collect()
-        reference = np.array([r["x"] for r in rows], dtype=float)
-        labels = np.array([r["y"] for r in rows], dtype=np.int64)
-        n_classes = int(labels.max()) + 1 if len(labels) else 1
+        size = pairs.agg(F.count("*").alias("n"), F.max("y").alias("last")).first()
+        hashed = F.xxhash64(F.lit(self.seed), "x", "y")
+        if size["n"] <= self.max_train_rows:
+            rows = pairs.orderBy(hashed).collect()
+            times = np.ones(len(rows), dtype=np.int64)
+        else:
+            rows, times = self._sample(pairs, hashed, size["n"])
+        reference = np.repeat(np.array([r["x"] for r in rows], dtype=float), times, axis=0)
+        labels = np.repeat(np.array([r["y"] for r in rows], dtype=np.int64), times)
+        n_classes = int(size["last"]) + 1 if len(labels) else 1
         model = KNNModel(reference, labels, n_classes, self.k)
         model._set(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
                    probabilityCol=self.getProbabilityCol(),
                    rawPredictionCol=self.getRawPredictionCol())
         return model
 
+    def _sample(self, pairs: DataFrame, hashed: Column, n: int) -> tuple[list, np.ndarray]:
+        """Distinct rows of the sample and the places of each, which are
+        ``max_train_rows`` together; equal rows are counted, never ranked."""
+        counted = (pairs.groupBy("x", "y").agg(F.count("*").alias("c"))
+                   .select("x", "y", F.expr(f"c * {self.max_train_rows}L div {n}L").alias("places"),
+                           F.expr(f"c * {self.max_train_rows}L % {n}L").alias("rest"), hashed.alias("h")))
+        whole = counted.filter("places > 0").collect()  # at most max_train_rows
+        left = self.max_train_rows - sum(r["places"] for r in whole)
+        # The places left go to the remainders, drawn by their weight: the
+        # least -ln(u) / weight come first.
+        u = (F.pmod("h", F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        drawn = counted.filter("rest > 0").orderBy(-F.log(u) / F.col("rest"), "h", "y", "x").limit(left).collect()
+        places = {(tuple(r["x"]), r["y"]): [r, r["places"]] for r in whole}
+        for r in drawn:
+            places.setdefault((tuple(r["x"]), r["y"]), [r, 0])[1] += 1
+        made = sorted(places.values(), key=lambda p: (p[0]["h"], p[0]["y"], p[0]["x"]))
+        return [r for r, _ in made], np.array([t for _, t in made], dtype=np.int64)
+
 
 def estimator_for(algorithm: str, seed: int = 42):
     if algorithm == "svm":
