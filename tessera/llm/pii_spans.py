@@ -4,7 +4,8 @@ words adjust the score.
 Base kinds (leftmost, non-overlapping within a kind; a proposal that fails
 its check is dropped and not retried): ``email``, ``ip`` (parts up to 255),
 ``card`` (14 to 19 digits passing Luhn), ``phone`` (a plus, 10 to 15 digits).
-The method adds ``iban`` (mod-97) and, where words nearby speak for them,
+The method adds ``iban`` (mod-97; of a longer run of groups, the length that
+its country code has) and, where words nearby speak for them,
 ``ssn`` and ``account`` (8 to 13 digits).  Base spans always stay; an added
 span stays if its score reaches ``LEAST_SCORE``.
 
@@ -52,6 +53,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN, by country code.
+_IBAN_LENGTH = {country: int(n) for n, countries in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+    "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST "
+    "26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE "
+    "31:MT,SC 32:LC 33:RU").split()) for country in countries.split(",")}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _ACCOUNT = re.compile(r"(?<![0-9.+-])[0-9]{8,13}(?![0-9.-])")
 _DIGIT = re.compile(r"[0-9]")
@@ -74,6 +81,24 @@ def mod97(iban: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """From each place where one can begin: its country's length if a group
+    ends there, else the whole run of groups; the search goes on after the
+    span, or after the check digits if there is none."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        run, ends = m[0], [len(m[0])]
+        at = [i for i, c in enumerate(run) if c != " "]
+        n = _IBAN_LENGTH.get(run[:2], 0)
+        if 0 < n < len(at) and at[n - 1] + 1 < at[n]:
+            ends.insert(0, at[n - 1] + 1)
+        end = next((e for e in ends if mod97(run[:e])), 0)
+        if end:
+            out.append((m.start(), m.start() + end))
+        m = _IBAN.search(text, m.start() + (end or 4))
+    return out
+
+
 def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
@@ -109,7 +134,7 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
                 found.append(("card", *m.span()))
     if "+" in text:
         found += [("phone", *m.span()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
-    found += [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
+    found += [("iban", a, b) for a, b in _ibans(text)]
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)] if "-" in text else []
     return found + [("account", *m.span()) for m in _ACCOUNT.finditer(text)]
 

@@ -172,6 +172,16 @@ def test_checksums_context_and_masking():
     assert not re.search("[0-9]", pii_spans.masked("call +378282246310005 now"))
 
 
+def test_iban_ends_where_its_country_says():
+    for text, want in [("to DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["iban:3:30"]),
+                       ("GB82WEST12345698765432 2024-01-05", ["iban:0:22"]),
+                       ("GB82 WEST 1234 5698 7654 32 A bank", ["iban:0:27"]),
+                       ("AB12 REF DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["iban:9:36", "iban:37:64"]),
+                       ("GB82WEST12345698765432X and GB83 WEST 1234 5698 7654 32 A", [])]:
+        assert [s for s in pii_spans.joined(pii_spans.spans(text)).split(",") if s.startswith("iban")] == want
+    assert pii_spans.masked("pay DE89 3704 0044 0532 0130 00 BIC X") == "pay <IBAN> BIC X"
+
+
 def test_spans_edge_rows(spark, edge):
     got = pii_spans.find(edge.withColumn("pii", F.lit(1))).collect()
     assert len(got) == len(EDGE_ROWS) and all(r["pii"] == [] for r in got)
