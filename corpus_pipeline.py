@@ -5,7 +5,8 @@ Toxic documents go, then those without a main language, then all but one of
 each group of near-duplicates; personal data is masked in the rest, which is
 packed into sequences.  All stages but the last return the input's columns.
 An empty table passes through; null texts are no toxic documents, have no
-language and so go in the second stage.
+language and so go in the second stage.  If no row has a language to learn
+from, that stage keeps every document with a letter.
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents most of which is in one language."""
-    found = langid_crf.predict(docs, langid_crf.fit(docs))
+    """Documents most of which is in one language; without a language to learn
+    from, those with a letter."""
+    fitted = langid_crf.fit(docs)
+    if fitted is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = langid_crf.predict(docs, fitted)
     clear = (F.col("lang_pred") != langid_crf.UNDETERMINED) & (F.col("lang_score") >= MAIN_LANGUAGE)
     return found.filter(clear).select(docs.columns)
 

@@ -246,6 +246,13 @@ def test_pipeline_stages(spark):
     assert ids["packing"] == ids["personal data"] == ids["near-duplicates"]
 
 
+def test_pipeline_keeps_documents_if_no_language_is_known(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (5, "énfin", None)],
+                                 "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 5]
+
+
 def test_pipeline_of_an_empty_table(spark):
     now = shared.read_table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
