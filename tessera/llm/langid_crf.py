@@ -6,8 +6,10 @@ and its place in the languages' lexicons.  Learned transitions label the words
 of code-switched text; forward-backward gives each word's marginals, and a
 text's language is the one with the greatest sum of them over its words.
 
-The model is fitted on at most ``max_labelled`` rows with a language, taken in
-the order of a hash of their key.  Windows of their words are strung together,
+The model is fitted on at most ``max_labelled`` rows with a language, one for
+each key: a quota for each language, so that a rare one is learned too, taken
+in the order of a hash of the key.  A key that occurs in several languages
+counts for the least of them, by name.  Windows of their words are strung together,
 switching language now and then, so that the transitions are learned from
 code-switched sequences.  Held-out rows are not learned from; language, source
 and key are no inputs of a prediction.
@@ -279,10 +281,11 @@ class Labeller:
 
 def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Crf | None:
     """Fit on rows of ``docs`` (doc_id, text, lang) that are not held out."""
-    rows = (docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-            .filter(~shared.held_out("doc_id")).select("doc_id", "lang"))
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_labelled)
-    taken = docs.select("doc_id", "lang", "text").join(F.broadcast(sample), ["doc_id", "lang"], "left_semi")
+    rows = (docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
+            .filter(~shared.held_out("doc_id")).select("doc_id", "lang", "text"))
+    known = shared.written(rows.groupBy("doc_id").agg(F.min("lang").alias("lang")), "languages")
+    sample, _, _ = shared.sample_by_class(known, "lang", max_labelled)
+    taken = rows.join(F.broadcast(sample), ["doc_id", "lang"], "left_semi")
 
     def cut():
         def apply(batch):
@@ -291,8 +294,9 @@ def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Crf | None:
 
         return apply
 
-    # At most max_labelled rows of a few windows each.
-    found = shared.map_slices(taken, cut, "doc_id long, lang string, windows array<array<string>>").collect()
+    # At most max_labelled rows of a few windows each: one of those with equal ids.
+    found = (shared.map_slices(taken, cut, "doc_id long, lang string, windows array<array<string>>")
+             .groupBy("doc_id", "lang").agg(F.max("windows").alias("windows")).collect())
     return train([(w, r["lang"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["lang"])) for w in r["windows"]])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -55,6 +56,43 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(rest == 2, F.lit(False))
 
 
+def quotas(counts: dict, limit: int) -> dict:
+    """Places of each class among ``limit``: small classes have all their rows,
+    the others equal shares of what is left."""
+    out, left = {}, limit
+    for rest, (name, n) in zip(range(len(counts), 0, -1), sorted(counts.items(), key=lambda x: (x[1], str(x[0])))):
+        out[name] = min(n, left // rest)
+        left -= out[name]
+    return out
+
+
+def sample_by_class(rows: DataFrame, name: str, limit: int) -> tuple[DataFrame, dict, dict]:
+    """At most ``limit`` of the rows (doc_id, class), whose ids are distinct:
+    for each class its quota, taken in the order of a hash of the id.  Also the
+    rows of each class in all and in the sample.  Of more classes than
+    ``limit``, the most frequent are sampled.
+
+    Rows are first filtered by a bound on the hash below which a class has its
+    quota (short by less than six standard deviations), so that only about
+    ``limit`` of them reach the driver and no class is sorted."""
+    sizes = rows.groupBy(name).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(limit).collect()
+    counts = {r[name]: r["n"] for r in sizes}
+    places = quotas(counts, limit)
+    spark = rows.sparkSession
+    bounds = spark.createDataFrame(
+        [(c, 1.0 if places[c] == n else min(1.0, (places[c] + 6 * math.sqrt(places[c]) + 20) / n)) for c, n in counts.items()],
+        StructType([rows.schema[name], *_parse_datatype_string("bound double").fields]))
+    hashed = rows.withColumn("h", F.xxhash64("doc_id"))
+    low = (hashed.join(F.broadcast(bounds), name).filter(F.pmod("h", F.lit(1 << 30)) < F.col("bound") * float(1 << 30))
+           .select("doc_id", name, "h").collect())
+    taken, sample = dict.fromkeys(counts, 0), []
+    for r in sorted(low, key=lambda r: (r["h"] % (1 << 30), r["h"], r["doc_id"])):
+        if taken[r[name]] < places[r[name]]:
+            taken[r[name]] += 1
+            sample.append((r["doc_id"], r[name]))
+    return spark.createDataFrame(sample, StructType([rows.schema["doc_id"], rows.schema[name]])), counts, taken
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
            limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of ``column`` (or

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import compression_bands, langid_crf, pii_spans, toxic_segments
+from tessera.llm import compression_bands, langid_crf, pii_spans, shared, toxic_segments
 
 SF = "/root/testdata/sf0.01"
 EDGE_ROWS = [(1, None), (2, ""), (3, " \t\n"), (4, "12 34 !!"), (None, "the words of a row without an id"),
@@ -71,6 +71,23 @@ def test_code_switched_words_are_labelled(spark):
     assert sum(a == b for (_, a), b in zip(labelled, want, strict=True)) >= 70
 
 
+def test_a_rare_language_is_learned_from_one_row_of_each_id(spark):
+    # 3,000 rows of one language, 12 of another, one id a thousand times.
+    rng = np.random.default_rng(3)
+    vocabulary = {"aa": ["kolmi", "taslo", "venta", "rupi"], "bb": ["zhuq", "xwyf", "qhaz", "wyx"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[x], 30)), x) for i, x in enumerate(["aa"] * 3000 + ["bb"] * 12)]
+    rows += [(rows[0][0], rows[0][1] + f" {i}", "aa") for i in range(1000)] + [(9000 + i, "12 34", "cc") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = langid_crf.fit(docs, max_labelled=40)
+    assert crf.languages == ["aa", "bb"]
+    assert [langid_crf.Labeller(crf).texts([" ".join(v)])[0][0] for v in vocabulary.values()] == ["aa", "bb"]
+
+
+def test_quotas_leave_no_class_out():
+    assert shared.quotas({"a": 10**9, "b": 3, "c": 900}, 1000) == {"a": 499, "b": 3, "c": 498}
+    assert shared.quotas({0: 5, 1: 2}, 100) == {0: 5, 1: 2} and shared.quotas({}, 5) == {}
+
+
 def test_language_edge_rows(spark, edge):
     crf = langid_crf.train([(["the", "words", "and", "row"] * 6, "en"), (["der", "und", "wort", "zeile"] * 6, "de")], epochs=10)
     got = {(r["doc_id"], r["text"]): r for r in langid_crf.predict(edge, crf).collect()}
