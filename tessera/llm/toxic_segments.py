@@ -8,8 +8,12 @@ tail of the segment scores in clean texts (peaks over a threshold) says how
 many such segments chance gives a text of that length, and a logistic curve
 turns the surprise of the best few into a probability.
 
-The model is fitted on at most ``max_labelled`` labelled rows, taken in the
+The model is fitted on at most ``max_labelled`` labelled rows of the documents:
+a quota for each class (a rare class whole, up to half of them), taken in the
 order of a hash of their key; units and curve are cross-fitted in two folds.
+A unit's share is compared with that of the sample it is counted in, which the
+quotas don't change; the curve is then moved to the class counts of all
+labelled rows.
 Labels of held-out rows, language, source and key are never used in a score.
 
 Rows: a null, empty or wordless text has no segment and gets the score of no
@@ -69,17 +73,17 @@ def log_odds(counts: dict[str, tuple[float, float]], base: float) -> dict[str, f
     Dirichlet prior is centered on that of the longest beginning known, or on
     the base; it is taken ``MARGIN`` posterior deviations lower, and a share
     not above the base then says nothing."""
-    share: dict[str, float] = {}
+    share: dict[str, tuple[float, float]] = {}  # toxic and clean, each by itself: one may be far below the other's rounding
     out = {}
     for unit in sorted(counts, key=lambda u: (len(u), u[0] == "=", u)):
         toxic, clean = counts[unit]
         word = unit[1:]
         above = (f"^{word[:k]}" for k in range(min(len(word), BEGINNINGS.stop - 1), BEGINNINGS.start - 1, -1))
-        parent = next((share[u] for u in above if u != unit and u in share), base)
+        parent = next((share[u] for u in above if u != unit and u in share), (base, 1 - base))
         n = toxic + clean + PRIOR
-        share[unit] = mean = (toxic + PRIOR * parent) / n
-        low = mean - MARGIN * math.sqrt(mean * (1 - mean) / (n + 1))
-        out[unit] = math.log(low / (1 - low) * (1 - base) / base) if low > base else 0.0
+        share[unit] = mean, rest = (toxic + PRIOR * parent[0]) / n, (clean + PRIOR * parent[1]) / n
+        margin = MARGIN * math.sqrt(mean * rest / (n + 1))
+        out[unit] = math.log((mean - margin) / (rest + margin) * (1 - base) / base) if mean - margin > base else 0.0
     return out
 
 
@@ -177,7 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Units and calibration, learned from labelled rows not held out."""
     known = (labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~shared.held_out("doc_id"))
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = shared.written(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known")
+    sample, of_all, of_sample = shared.sample_by_class(known, "toxic", max_labelled)
+    if not all(of_sample.get(c) for c in (0, 1)):
+        return None
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
     def family():
@@ -247,7 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         return apply
 
     rows = shared.map_slices(taken, scan, "n long, toxic int, best array<double>").collect()  # at most max_labelled
-    return model((0, 1)), calibrate([(r["n"], r["best"], r["toxic"]) for r in rows])
+    curve = calibrate([(r["n"], r["best"], r["toxic"]) for r in rows])
+    # From the odds of the sample's classes to those of all labelled rows.
+    curve.offset += math.log(of_all[1] / of_sample[1]) - math.log(of_all[0] / of_sample[0])
+    return model((0, 1)), curve
 
 
 def score(docs: DataFrame, fitted: tuple[dict, Calibration] | None, text: str = "text") -> DataFrame:

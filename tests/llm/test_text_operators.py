@@ -257,6 +257,27 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert len(rows[1][1].split()) == last["first"] and last["end"] - last["first"] == 3
 
 
+def test_log_odds_of_many_toxic_documents_are_finite():
+    counts = {"^vilescum"[:k + 1]: (9_000.0, 0.0) for k in toxic_segments.BEGINNINGS}
+    scores = toxic_segments.log_odds(counts, 0.5)
+    assert all(0 < x < 200 for x in scores.values())
+
+
+def test_rare_toxic_rows_are_all_learned_from(spark):
+    rows, labels = toxic_rows(1500)
+    # 16 toxic rows, 1,200 clean ones and labels of ids that aren't there, which
+    # take no places.
+    toxic = [i for i, t in labels if t][:16]
+    kept = [(i, t) for i, t in labels if not t or i in toxic]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(kept + [(10**6 + i, i % 2) for i in range(3000)], "doc_id long, toxic int")
+    fitted = toxic_segments.fit(docs, table, max_labelled=80)
+    new = [(1, rows[1][1] + " vilescum wretch vilerot"), *rows[2:5], *rows[6:10]]
+    got = {r["doc_id"]: r["tox_score"] for r in
+           toxic_segments.score(spark.createDataFrame(new, "doc_id long, text string"), fitted).collect()}
+    assert got.pop(1) >= toxic_segments.THRESHOLD > max(got.values())
+
+
 def test_toxicity_edge_rows(spark, edge):
     rows, labels = toxic_rows(100)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
