@@ -156,12 +156,18 @@ def rfe_select(df: DataFrame, target: str, cols: Sequence[str] | None = None,
                n_features: int = DEFAULT_K, max_iter: int = 500) -> list[str]:
     """Recursive feature elimination with logistic regression (C = 1,
     no standardisation, as scikit-learn): drop the feature with the smallest
-    squared coefficients, one per round, until ``n_features`` remain."""
+    squared coefficients, one per round, until ``n_features`` remain.
+
+    A missing feature gets the column's mean, as in training (0 if the column
+    has no value), so that no row with a target is lost."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StringIndexer
 
     cols = list(cols) if cols else numeric_columns(df, exclude=[target])
-    data = df.select(*cols, target).dropna()
+    values = [F.nanvl(col(c).cast("double"), F.lit(None)) for c in cols]
+    data = df.dropna(subset=[target])
+    means = data.agg(*(F.avg(v).alias(f"m{i}") for i, v in enumerate(values))).first()
+    data = data.select(*(F.coalesce(v, F.lit(means[i] or 0.0)).alias(c) for i, (c, v) in enumerate(zip(cols, values))), target)
     data = StringIndexer(inputCol=target, outputCol="_ts_label",
                          stringOrderType="alphabetAsc").fit(data).transform(data)
     n = data.count()

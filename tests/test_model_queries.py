@@ -50,6 +50,15 @@ def test_rfe_keeps_what_tells_the_classes_apart(spark):
     assert sorted(features.rfe_select(df, "y", list("abcdef"), 2)) == ["b", "e"]
 
 
+def test_rfe_loses_no_row_to_a_mostly_missing_column(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4))
+    label = (x[:, 1] - 2 * x[:, 2] > 0).astype(int)
+    rows = [(*map(float, r), None if i > 1 else 1.0, float("nan") if i % 2 else 1.0, int(y)) for i, (r, y) in enumerate(zip(x, label))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double, y int")
+    assert sorted(features.rfe_select(df, "y", list("abcdef"), 2)) == ["b", "c"]
+
+
 def test_lda_direction_equals_a_direct_solution(spark):
     rng = np.random.default_rng(6)
     means = np.array([[0, 0, 0], [2, 1, 0], [0, 2, 1]])
