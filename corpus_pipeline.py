@@ -29,8 +29,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents most of which is in one language; without a language to learn
-    from, those with a letter."""
+    """Documents with a letter whose likeliest language has a mean marginal of
+    ``MAIN_LANGUAGE`` at least.  The languages are those learned, so next to
+    null and letterless texts this rejects only texts spread evenly over them:
+    with four languages hardly any, nor text of a language not learned; with
+    one or two, none.  Without a language to learn from, documents with a
+    letter stay."""
     fitted = langid_crf.fit(docs)
     if fitted is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
