@@ -30,8 +30,8 @@ SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 class HeapBpe(pieces.PieceCoder):
     """Encoder and decoder for a tokenizer JSON of the byte-level kind."""
 
-    def __init__(self, tokenizer_json: str, max_pieces: int = pieces.MAX_PIECES):
-        super().__init__(max_pieces)
+    def __init__(self, tokenizer_json: str, max_bytes: int = pieces.MAX_BYTES):
+        super().__init__(max_bytes)
         spec = json.loads(tokenizer_json)
         model, letter = spec["model"], pieces.byte_letters()
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -93,8 +93,8 @@ class HeapBpe(pieces.PieceCoder):
         return b"".join(out)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.max_pieces:
-            self.words = dict(itertools.islice(self.words.items(), self.max_pieces // 2))
+        if len(self.words) * 2 * pieces.PIECE_BYTES > self.max_bytes // 2:
+            self.words = dict(itertools.islice(self.words.items(), len(self.words) // 2))
         out = []
         for text in texts:
             if self.marks is None or not any(s in text for s in self.specials):
@@ -113,6 +113,7 @@ class HeapBpe(pieces.PieceCoder):
 
 
 _CODERS: dict[int, HeapBpe] = {}
+shared.keeps_tables(_CODERS.clear)
 
 
 def coder(tokenizer_json: str) -> HeapBpe:

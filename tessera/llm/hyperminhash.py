@@ -41,8 +41,8 @@ MANTISSA = 10
 BUCKET_BLOCK, GROUP_BLOCK = 1024, 256
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
-#: Words whose hash a worker keeps.
-MAX_WORDS = 300_000
+#: Words whose hash a worker keeps, about 150 bytes each.
+MAX_WORDS = 200_000
 
 _RANDOM = np.random.default_rng(20240229)
 _MIX = (_RANDOM.integers(0, 1 << 63, 8, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -59,6 +59,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+shared.keeps_tables(_WORDS.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

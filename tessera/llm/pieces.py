@@ -14,8 +14,11 @@ import os
 import zlib
 from array import array
 
-#: Pieces that a worker keeps; when there are more, the later half goes.
-MAX_PIECES = 800_000
+from tessera.llm import shared
+
+#: Bytes of the pieces that a worker keeps; when there are more, the later half
+#: goes.  A piece takes about so many bytes besides its characters and ids.
+MAX_BYTES, PIECE_BYTES = 128 << 20, 180
 
 #: Marks that end a word and start a token of their own.
 _MARKS = ",.!?;:#$%&*|"
@@ -44,8 +47,9 @@ class PieceCoder:
     keeps_space = True
     specials: tuple[str, ...] = ()
 
-    def __init__(self, max_pieces: int = MAX_PIECES):
-        self.max_pieces = max_pieces
+    def __init__(self, max_bytes: int = MAX_BYTES):
+        self.max_bytes = max_bytes
+        self.held = 0
         self.known: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
 
@@ -116,8 +120,9 @@ class PieceCoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes (little-endian uint32); null is empty."""
-        if len(self.known) > self.max_pieces:  # what was met first is met most
-            self.known = dict(itertools.islice(self.known.items(), self.max_pieces // 2))
+        if self.held > self.max_bytes:  # what was met first is met most
+            self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2))
+            self.held = sum(map(len, self.known)) + sum(map(len, self.known.values())) + PIECE_BYTES * len(self.known)
             self.tails.clear()
         out = [b""] * len(texts)
         cut: list[tuple[int, str, list[str]]] = []
@@ -136,7 +141,9 @@ class PieceCoder:
                 pieces = self.folded(text).replace("\n", " ").split(" ")
             cut.append((i, head, pieces))
             distinct.update(pieces)
-        self._learn(distinct)
+        fresh = distinct.difference(self.known)
+        self._learn(fresh)
+        self.held += sum(len(p) + len(self.known[p]) + PIECE_BYTES for p in fresh if p in self.known)
         heads = self._first([head for _, head, _ in cut]) if self.keeps_space else [b""] * len(cut)
         find = self.known.__getitem__
         for (i, _, pieces), head in zip(cut, heads, strict=True):
@@ -152,8 +159,8 @@ class PieceCoder:
 class LibraryCoder(PieceCoder):
     """Ids of the tokenizers library for a BPE tokenizer given as JSON text."""
 
-    def __init__(self, tokenizer_json: str, keeps_space: bool, max_pieces: int = MAX_PIECES):
-        super().__init__(max_pieces)
+    def __init__(self, tokenizer_json: str, keeps_space: bool, max_bytes: int = MAX_BYTES):
+        super().__init__(max_bytes)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -210,6 +217,7 @@ def tokenizer_json(path: str) -> str:
 
 
 _CODERS: dict[tuple[int, bool], LibraryCoder] = {}
+shared.keeps_tables(_CODERS.clear)
 
 
 def coder(tokenizer_json: str, keeps_space: bool) -> LibraryCoder:

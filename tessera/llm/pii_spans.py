@@ -126,7 +126,7 @@ def proposals(text: str) -> list[tuple[str, int, int]]:
     if not _DIGIT.search(text):
         return found
     if "." in text:
-        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split(".")))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = _digits(m[0])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import uuid
@@ -37,6 +38,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What empties a module's worker-wide tables, and the operation they serve.
+_TABLES: list[Callable[[], None]] = []
+_SERVED: list[str] = [""]
+
+
+def keeps_tables(clear: Callable[[], None]) -> None:
+    """Register what empties a table that a worker keeps between tasks."""
+    _TABLES.append(clear)
+
+
+def _begin(operation: str) -> None:
+    """Spark gives a worker to one stage after another: tables that served
+    another operation are emptied, so that they don't add up."""
+    if _SERVED[0] != operation:
+        _SERVED[0] = operation
+        for clear in _TABLES:
+            clear()
+
+
+def _end() -> None:
+    """Give a task's freed memory back, which the next stage may need in the JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
               schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` for functions of this package: workers look for it
@@ -45,7 +73,14 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     paths = [x for x in environment.get("PYTHONPATH", "").split(os.pathsep) if x]
     if PACKAGE_ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
-    return df.mapInArrow(run, schema)
+    operation = uuid.uuid4().hex
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(operation)
+        yield from run(batches)
+        _end()
+
+    return df.mapInArrow(tidy, schema)
 
 
 def held_out(doc_id: Column | str) -> Column:

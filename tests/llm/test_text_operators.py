@@ -297,3 +297,41 @@ def test_toxicity_query(spark):
     assert auc([r["score"] for r in rows], [r["toxic"] for r in rows]) > 0.75
     clean = [r["predicted"] for r in rows if not r["toxic"]]
     assert sum(clean) <= 0.03 * len(clean)
+
+
+def test_pii_long_digit_runs():
+    """Runs of thousands of digits pass through every kind's check."""
+    zeros, ones = "0" * 5000, "1" * 5000
+    assert [s["kind"] for s in pii_spans.spans(f"x 1.2.3.{zeros}")] == ["ip"]
+    assert [s["kind"] for s in pii_spans.spans(f"x 1.2.3.{zeros}4")] == ["ip"]
+    assert pii_spans.spans(f"x 1.2.3.{zeros}256") == []
+    for text in (ones, f"+{ones}", f"DE{ones}", f"{ones}@{ones}.{ones}", f"{ones}-{ones}-{ones}", f"1.{ones}.3.4", f"AA{zeros} " * 3):
+        assert all(s["kind"] == "email" for s in pii_spans.spans(text))
+        assert isinstance(pii_spans.masked(text), str)
+
+
+def test_toxicity_fit_does_not_depend_on_how_rows_are_dealt(spark):
+    docs = shared.read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    labels = shared.read_table(spark, "/root/testdata/sf0.01", "labels")
+    first = toxic_segments.fit(docs, labels)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        second = toxic_segments.fit(docs.repartition(9, F.rand(5)), labels.repartition(3, F.rand(6)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert first == second
+
+
+def test_toxicity_repeated_ids_keep_the_bound(spark):
+    rows = [(i, f"text number {i} version {k} " + ("awful words" if i % 2 else "kind words")) for i in range(60) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    collected = []
+    plain = toxic_segments.calibrate
+    toxic_segments.calibrate = lambda rows: collected.append(len(rows)) or plain(rows)
+    try:
+        toxic_segments.fit(docs, labels, max_labelled=20)
+    finally:
+        toxic_segments.calibrate = plain
+    assert 0 < collected[0] <= 20

@@ -36,7 +36,7 @@ def mixed_texts(n=3000):
 
 @pytest.mark.parametrize("path, make", [
     (BYTE, lambda j: pieces.LibraryCoder(j, True)), (WORD, lambda j: pieces.LibraryCoder(j, False)),
-    (BYTE, lambda j: bpe_heap.HeapBpe(j)), (BYTE, lambda j: bpe_heap.HeapBpe(j, max_pieces=50))])
+    (BYTE, lambda j: bpe_heap.HeapBpe(j)), (BYTE, lambda j: bpe_heap.HeapBpe(j, max_bytes=9000))])
 def test_ids_equal_the_library(path, make):
     coder, texts = make(pieces.tokenizer_json(path)), mixed_texts()
     for at in range(0, len(texts), 500):
