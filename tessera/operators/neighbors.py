@@ -1,8 +1,9 @@
 """Nearest-neighbour operators: kNN classifier (M8) and SMOTE.
 
-The classifier keeps at most ``max_train_rows`` training rows (a documented
-parameter; beyond it a seeded sample, in which each distinct row has its share
-of the rows) and scores rows against them in Arrow batches.  SMOTE searches the neighbours of every row of a class within the
+The classifier votes over all training rows.  Rows of at most
+``max_broadcast_bytes`` are sent to the tasks, which score Arrow batches
+against them; more stay a table, and rows find their neighbours by the exact
+pivot join of ``knn_join``.  Both give the same votes.  SMOTE searches the neighbours of every row of a class within the
 class, however large: the class is sorted along several random directions, cut
 into cells of a fixed number of rows, and each row is compared exactly with
 the rows of its own and the adjacent cells.  A class of one cell is searched
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.expressions import col
+from tessera.operators.knn_join import knn_join, points, written
 
-# Training rows that a kNN model keeps, by default.
-MAX_TRAIN_ROWS = 50_000
+# Bytes of training rows (points and labels) that are sent to the tasks.
+MAX_BROADCAST_BYTES = 16 << 20
 QUERY_BLOCK = 256
 DEFAULT_K = 5
 # Random directions of the neighbour search, and rows of a cell.
@@ -37,43 +39,40 @@ DIRECTIONS, CELL_ROWS = 6, 128
 
 
 def _nearest(x: np.ndarray, ref: np.ndarray, k: int, exclude: np.ndarray | None = None):
-    """Indices of the k nearest reference rows for each row of x (blocked)."""
+    """Indices of the k nearest reference rows for each row of x (blocked), of
+    equally far rows the first: products only choose which distances are
+    computed exactly.  ``exclude`` is a row's own index in the reference."""
+    k = min(k, len(ref))
     out = np.empty((len(x), k), dtype=np.int64)
-    ref_sq = (ref * ref).sum(axis=1)
-    for s in range(0, len(x), QUERY_BLOCK):
+    ref_sq = np.square(ref).sum(axis=1)
+    for s in range(0, len(x) if k else 0, QUERY_BLOCK):
         block = x[s:s + QUERY_BLOCK]
-        d = ref_sq[None, :] - 2.0 * block @ ref.T + (block * block).sum(axis=1)[:, None]
+        own = np.square(block).sum(axis=1)
+        rough = ref_sq - 2.0 * block @ ref.T + own[:, None]
         if exclude is not None:
-            d[np.arange(len(block)), exclude[s:s + QUERY_BLOCK]] = np.inf
-        kk = min(k, ref.shape[0])
-        part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-        order = np.take_along_axis(d, part, axis=1).argsort(axis=1, kind="stable")
-        out[s:s + len(block), :kk] = np.take_along_axis(part, order, axis=1)
+            rough[np.arange(len(block)), exclude[s:s + QUERY_BLOCK]] = np.inf
+        slack = 2e-9 * (ref_sq.max() + own.max())
+        row, at = np.nonzero(rough <= np.partition(rough, k - 1, axis=1)[:, k - 1, None] + slack)
+        d = np.concatenate([np.square(block[row[i:i + 65536]] - ref[at[i:i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536)])
+        order = np.lexsort((at, d, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        out[s:s + len(block)] = at[order[place < k]].reshape(len(block), k)
     return out
 
 
-def neighbour_indices(df: DataFrame, vec: Column, reference: np.ndarray, k: int,
-                      self_index: Column | None = None) -> Column:
+def neighbour_indices(df: DataFrame, vec: Column, reference: np.ndarray, k: int) -> Column:
     """Column of the k nearest reference row numbers for each row."""
-    spark = df.sparkSession
-    ref_b = spark.sparkContext.broadcast(reference)
-
-    if self_index is None:
-        @F.pandas_udf(T.ArrayType(T.LongType()))
-        def find(rows: pd.Series) -> pd.Series:
-            x = np.vstack(rows.to_numpy()) if len(rows) else np.zeros((0, reference.shape[1]))
-            return pd.Series(list(_nearest(x, ref_b.value, k)))
-        return find(vec)
+    ref_b = df.sparkSession.sparkContext.broadcast(reference)
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
-    def find_excluding(rows: pd.Series, own: pd.Series) -> pd.Series:
+    def find(rows: pd.Series) -> pd.Series:
         x = np.vstack(rows.to_numpy()) if len(rows) else np.zeros((0, reference.shape[1]))
-        return pd.Series(list(_nearest(x, ref_b.value, k, own.to_numpy())))
-    return find_excluding(vec, self_index)
+        return pd.Series(list(_nearest(x, ref_b.value, k)))
+    return find(vec)
 
 
 class _KNNWriter(MLWriter):
-    """Params as metadata; reference rows and labels as a Parquet file."""
+    """Params as metadata; reference rows and labels as Parquet."""
 
     def __init__(self, instance: "KNNModel"):
         super().__init__()
@@ -81,21 +80,16 @@ class _KNNWriter(MLWriter):
 
     def saveImpl(self, path: str) -> None:
         m = self.instance
-        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession,
-                                         extraMetadata={"k": m.k, "n_classes": m.n_classes})
-        rows = [(int(i), [float(v) for v in x], int(y))
-                for i, (x, y) in enumerate(zip(m.reference, m.labels))]
-        self.sparkSession.createDataFrame(rows, "i long, x array<double>, y long") \
-            .write.mode("overwrite").parquet(f"{path}/data")
+        DefaultParamsWriter.saveMetadata(m, path, self.sparkSession, extraMetadata={
+            "k": m.k, "n_classes": m.n_classes, "max_broadcast_bytes": m.max_broadcast_bytes})
+        m.table.write.mode("overwrite").parquet(f"{path}/data")
 
 
 class _KNNReader(MLReader):
     def load(self, path: str) -> "KNNModel":
         meta = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        rows = sorted(self.sparkSession.read.parquet(f"{path}/data").collect(), key=lambda r: r["i"])
-        model = KNNModel(np.array([r["x"] for r in rows], dtype=float),
-                         np.array([r["y"] for r in rows], dtype=np.int64),
-                         int(meta["n_classes"]), int(meta["k"]))
+        model = KNNModel(self.sparkSession.read.parquet(f"{path}/data"), int(meta["n_classes"]), int(meta["k"]),
+                         int(meta["max_broadcast_bytes"]))
         DefaultParamsReader.getAndSetParams(model, meta)
         return model
 
@@ -103,14 +97,16 @@ class _KNNReader(MLReader):
 class KNNModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRawPredictionCol,
                MLWritable, MLReadable):
     """Majority vote of the k nearest training rows (uniform weights; ties
-    go to the smallest class index)."""
+    go to the smallest class index, and of equally far rows to those with
+    the smallest hash of point and label).  ``table`` has the training rows:
+    ``id`` (that hash), ``y`` and ``vec`` (the point as bytes)."""
 
-    def __init__(self, reference: np.ndarray | None = None, labels: np.ndarray | None = None,
-                 n_classes: int = 1, k: int = DEFAULT_K):
+    def __init__(self, table: DataFrame | None = None, n_classes: int = 1, k: int = DEFAULT_K,
+                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES):
         super().__init__()
-        self.reference = reference if reference is not None else np.zeros((0, 0))
-        self.labels = labels if labels is not None else np.zeros(0, dtype=np.int64)
-        self.n_classes, self.k = n_classes, k
+        self.table, self.n_classes, self.k = table, n_classes, k
+        self.max_broadcast_bytes = max_broadcast_bytes
+        self._rows: tuple[np.ndarray, np.ndarray] | None = None
 
     def write(self) -> MLWriter:
         return _KNNWriter(self)
@@ -119,10 +115,28 @@ class KNNModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRa
     def read(cls) -> MLReader:
         return _KNNReader()
 
+    def _small(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Points and labels in order of id, if their bytes are few enough."""
+        if self._rows is None:
+            size = self.table.agg(F.sum(F.octet_length("vec") + 16)).first()[0] or 0
+            if size > self.max_broadcast_bytes:
+                return None
+            rows = sorted(self.table.collect(), key=lambda r: (r["id"], r["y"]))
+            points = [np.frombuffer(r["vec"], "<f8") for r in rows]
+            self._rows = (np.stack(points) if rows else np.zeros((0, 0)), np.array([r["y"] for r in rows], dtype=np.int64))
+        return self._rows
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        nn = neighbour_indices(dataset, vector_to_array(F.col(self.getFeaturesCol())),
-                               self.reference, self.k)
-        lab = dataset.sparkSession.sparkContext.broadcast(self.labels)
+        small = self._small()
+        scored = self._by_join(dataset) if small is None else self._by_broadcast(dataset, *small)
+        best = F.array_position("_ts_share", F.array_max("_ts_share")) - 1
+        return (scored.withColumn(self.getProbabilityCol(), array_to_vector(F.col("_ts_share")))
+                      .withColumn(self.getRawPredictionCol(), F.col(self.getProbabilityCol()))
+                      .withColumn(self.getPredictionCol(), best.cast("double")).drop("_ts_share"))
+
+    def _by_broadcast(self, dataset: DataFrame, reference: np.ndarray, labels: np.ndarray) -> DataFrame:
+        nn = neighbour_indices(dataset, vector_to_array(F.col(self.getFeaturesCol())), reference, min(self.k, len(labels)))
+        lab = dataset.sparkSession.sparkContext.broadcast(labels)
         n_classes = self.n_classes
 
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -133,25 +147,26 @@ class KNNModel(Model, HasFeaturesCol, HasPredictionCol, HasProbabilityCol, HasRa
             share = (votes[:, :, None] == np.arange(n_classes)).mean(axis=1)
             return pd.Series(list(share))
 
-        proba = vote(nn)
-        scored = dataset.withColumn(self.getProbabilityCol(), array_to_vector(proba))
-        best = F.array_position(proba, F.array_max(proba)) - 1
-        return (scored.withColumn(self.getRawPredictionCol(), F.col(self.getProbabilityCol()))
-                      .withColumn(self.getPredictionCol(), best.cast("double")))
+        return dataset.withColumn("_ts_share", vote(nn))
+
+    def _by_join(self, dataset: DataFrame) -> DataFrame:
+        """Each distinct point is asked once, and joined with its votes."""
+        numbered = dataset.withColumn("_ts_x", vector_to_array(F.col(self.getFeaturesCol())))
+        asked = numbered.select("_ts_x").distinct().withColumn("_ts_id", F.xxhash64(F.lit(1), "_ts_x"))
+        near = knn_join(points(asked, "_ts_id", "_ts_x"), self.table, self.k)
+        counts = near.groupBy("query").agg(F.collect_list("y").alias("ys"))  # k labels each
+        share = F.transform(F.sequence(F.lit(0), F.lit(self.n_classes - 1)), lambda c: F.size(F.filter("ys", lambda y: y == c)) / F.size("ys"))
+        votes = asked.join(counts, asked["_ts_id"] == counts["query"]).select("_ts_x", share.alias("_ts_share"))
+        return numbered.join(votes, "_ts_x", "left").drop("_ts_x")
 
 
 class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol,
                     HasRawPredictionCol):
-    """k-nearest-neighbour classifier over at most ``max_train_rows`` training
-    rows, which are all of them up to that number and a seeded sample beyond.
+    """k-nearest-neighbour classifier over all training rows."""
 
-    Of N rows, one that occurs c times has c * max_train_rows / N places in the
-    sample, rounded down or up by a seeded draw; classes are counted over all
-    rows, sampled or not."""
-
-    def __init__(self, k: int = DEFAULT_K, max_train_rows: int = MAX_TRAIN_ROWS, seed: int = 42):
+    def __init__(self, k: int = DEFAULT_K, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, seed: int = 42):
         super().__init__()
-        self.k, self.max_train_rows, self.seed = k, max_train_rows, seed
+        self.k, self.max_broadcast_bytes, self.seed = k, max_broadcast_bytes, seed
 
     def setFeaturesCol(self, value: str) -> "KNNClassifier":
         return self._set(featuresCol=value)
@@ -171,40 +186,15 @@ class KNNClassifier(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, Ha
     def _fit(self, dataset: DataFrame) -> KNNModel:
         pairs = dataset.select(vector_to_array(F.col(self.getFeaturesCol())).alias("x"),
                                F.col(self.getLabelCol()).cast("int").alias("y"))
-        size = pairs.agg(F.count("*").alias("n"), F.max("y").alias("last")).first()
-        hashed = F.xxhash64(F.lit(self.seed), "x", "y")
-        if size["n"] <= self.max_train_rows:
-            rows = pairs.orderBy(hashed).collect()
-            times = np.ones(len(rows), dtype=np.int64)
-        else:
-            rows, times = self._sample(pairs, hashed, size["n"])
-        reference = np.repeat(np.array([r["x"] for r in rows], dtype=float), times, axis=0)
-        labels = np.repeat(np.array([r["y"] for r in rows], dtype=np.int64), times)
-        n_classes = int(size["last"]) + 1 if len(labels) else 1
-        model = KNNModel(reference, labels, n_classes, self.k)
+        hashed = pairs.withColumn("id", F.xxhash64(F.lit(self.seed), "x", "y"))
+        table = written(points(hashed, "id", "x", "y"), "model")
+        last = table.agg(F.max("y")).first()[0]
+        model = KNNModel(table, 1 if last is None else int(last) + 1, self.k, self.max_broadcast_bytes)
         model._set(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(),
                    probabilityCol=self.getProbabilityCol(),
                    rawPredictionCol=self.getRawPredictionCol())
         return model
 
-    def _sample(self, pairs: DataFrame, hashed: Column, n: int) -> tuple[list, np.ndarray]:
-        """Distinct rows of the sample and the places of each, which are
-        ``max_train_rows`` together; equal rows are counted, never ranked."""
-        counted = (pairs.groupBy("x", "y").agg(F.count("*").alias("c"))
-                   .select("x", "y", F.expr(f"c * {self.max_train_rows}L div {n}L").alias("places"),
-                           F.expr(f"c * {self.max_train_rows}L % {n}L").alias("rest"), hashed.alias("h")))
-        whole = counted.filter("places > 0").collect()  # at most max_train_rows
-        left = self.max_train_rows - sum(r["places"] for r in whole)
-        # The places left go to the remainders, drawn by their weight: the
-        # least -ln(u) / weight come first.
-        u = (F.pmod("h", F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        drawn = counted.filter("rest > 0").orderBy(-F.log(u) / F.col("rest"), "h", "y", "x").limit(left).collect()
-        places = {(tuple(r["x"]), r["y"]): [r, r["places"]] for r in whole}
-        for r in drawn:
-            places.setdefault((tuple(r["x"]), r["y"]), [r, 0])[1] += 1
-        made = sorted(places.values(), key=lambda p: (p[0]["h"], p[0]["y"], p[0]["x"]))
-        return [r for r, _ in made], np.array([t for _, t in made], dtype=np.int64)
-
 
 def estimator_for(algorithm: str, seed: int = 42):
     if algorithm == "svm":

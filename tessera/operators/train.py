@@ -11,15 +11,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
+                                       MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import (Imputer, IndexToString, OneHotEncoder, SQLTransformer,
                                 StandardScaler, StringIndexer, VectorAssembler)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param.shared import HasProbabilityCol, HasRawPredictionCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.linalg import DenseVector
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +24,8 @@ from pyspark.sql import functions as F
 from tessera.functions.expressions import col, quoted
 from tessera.functions.schema import is_categorical, is_numeric
 from tessera.operators.balance import MAX_CLASSES
+from tessera.operators.boosting import BoostedClassifier
+from tessera.operators.hashing import SignedHasher
 from tessera.plans.ordering import attach_small, hash_thresholds, with_group_index, with_position
 
 ALGORITHMS = ("logistic_regression", "random_forest", "xgboost", "decision_tree",
@@ -41,6 +40,8 @@ PREDICTION = "_ts_prediction"
 PROBABILITY = "_ts_probability"
 RAW_PREDICTION = "_ts_raw"
 PREDICTED_LABEL = "predicted_label"
+# Bytes of a partition of the rows that a learner passes over again and again.
+FIT_BYTES = 32 << 20
 # The reference's trees grow without limit; Spark's own maximum.
 MAX_DEPTH = 30
 
@@ -127,67 +128,71 @@ def _count_congruent(lo: int, hi: int, r: int, k: int) -> int:
 
 # ----------------------------------------------------------------- pipeline
 
-# Values that a string feature may have in a model.
-MAX_CATEGORIES = 100_000
+# Values up to which a string feature is one-hot encoded (they pass through the
+# driver); a feature of more is hashed, into so many places.
+MAX_CATEGORIES, HASH_FEATURES = 10_000, 1 << 16
 # Stands for a missing category, so that it is a category of its own.
 MISSING_CATEGORY = "tessera:missing"
 
 
 def feature_stages(df: DataFrame, target: str, features: Sequence[str] | None = None,
-                   max_categories: int = MAX_CATEGORIES):
+                   max_categories: int = MAX_CATEGORIES, hash_features: int = HASH_FEATURES,
+                   keep_missing: bool = False):
     """M2: standardise numerics, one-hot strings; columns of other types are
     dropped, as in the reference.
 
     A category unknown in training gives all zeros; a missing one is a
     category of its own if training had it, else zeros too.  A missing number
-    gets the training mean, so that prediction accepts it.
+    gets the training mean, so that prediction accepts it; with
+    ``keep_missing`` (for learners that treat it themselves) it stays NaN and
+    numbers stay as they are.
+
+    String columns of more than ``max_categories`` values are hashed together
+    into ``hash_features`` signed places of a sparse vector (see
+    ``tessera.operators.hashing`` for what collisions cost); nothing of theirs
+    passes through the driver, and unknown values have their place too.
     """
     cols = list(features) if features else [c for c in df.columns if c != target]
     num = [c for c in cols if is_numeric(df.schema[c].dataType)]
     cat = [c for c in cols if is_categorical(df.schema[c].dataType)]
     if not num and not cat:
         raise ValueError("no numeric or string feature columns")
-    for c in [*cat, *([target] if target in df.columns else [])]:
-        # Their distinct values pass through the driver when they are indexed.
-        if df.select(col(c)).distinct().limit(max_categories + 1).count() > max_categories:
-            raise ValueError(f"column {c!r} has more than max_categories={max_categories} values; drop or encode it first")
+
+    def more_than(c: str, most: int) -> bool:
+        return df.select(col(c)).distinct().limit(most + 1).count() > most
+
+    if target in df.columns and more_than(target, MAX_CLASSES):
+        raise ValueError(f"column {target!r} has more than {MAX_CLASSES} values and can't be a class label")
+    wide = [c for c in cat if more_than(c, max_categories)]
+    few = [c for c in cat if c not in wide]
     made = [f"nanvl(CAST({quoted(c)} AS DOUBLE), NULL) AS _ts_d_{i}" for i, c in enumerate(num)]
-    made += [f"coalesce(CAST({quoted(c)} AS STRING), '{MISSING_CATEGORY}') AS _ts_m_{i}" for i, c in enumerate(cat)]
+    made += [f"coalesce(CAST({quoted(c)} AS STRING), '{MISSING_CATEGORY}') AS _ts_m_{i}" for i, c in enumerate(few)]
+    made += [f"coalesce(CAST({quoted(c)} AS STRING), '{MISSING_CATEGORY}') AS _ts_w_{i}" for i, c in enumerate(wide)]
     stages, parts = [SQLTransformer(statement=f"SELECT *, {', '.join(made)} FROM __THIS__")], []
-    if num:
+    if num and keep_missing:
+        stages.append(VectorAssembler(inputCols=[f"_ts_d_{i}" for i in range(len(num))], outputCol="_ts_num", handleInvalid="keep"))
+        parts.append("_ts_num")
+    elif num:
         raw, full = ([f"_ts_{k}_{i}" for i in range(len(num))] for k in "df")
         stages += [Imputer(inputCols=raw, outputCols=full, strategy="mean"),
                    VectorAssembler(inputCols=full, outputCol="_ts_num"),
                    StandardScaler(inputCol="_ts_num", outputCol="_ts_num_s",
                                   withMean=True, withStd=True)]
         parts.append("_ts_num_s")
-    if cat:
-        text, idx, vec = ([f"_ts_{k}_{i}" for i in range(len(cat))] for k in "mio")
+    if few:
+        text, idx, vec = ([f"_ts_{k}_{i}" for i in range(len(few))] for k in "mio")
         # "keep" numbers unknown values last, and the last number is dropped.
         stages += [StringIndexer(inputCols=text, outputCols=idx, handleInvalid="keep",
                                  stringOrderType="alphabetAsc"),
                    OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="error")]
         parts += vec
+    if wide:
+        stages.append(SignedHasher(inputCols=[f"_ts_w_{i}" for i in range(len(wide))], outputCol="_ts_hashed", numFeatures=hash_features))
+        parts.append("_ts_hashed")
     stages.append(VectorAssembler(inputCols=parts, outputCol=FEATURES))
     return stages, num + cat
 
 
-class MarginProbabilities(Transformer, HasRawPredictionCol, HasProbabilityCol,
-                          DefaultParamsReadable, DefaultParamsWritable):
-    """Class probabilities from one-vs-rest margins: each class's logistic
-    probability, divided by their sum."""
-
-    def __init__(self, rawPredictionCol: str = RAW_PREDICTION, probabilityCol: str = PROBABILITY):
-        super().__init__()
-        self._set(rawPredictionCol=rawPredictionCol, probabilityCol=probabilityCol)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        margins = vector_to_array(F.col(self.getRawPredictionCol()))
-        each = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        total = F.aggregate(each, F.lit(0.0), lambda a, p: a + p)
-        return dataset.withColumn(self.getProbabilityCol(), array_to_vector(F.transform(each, lambda p: p / total)))
-
-
 def classifier(algorithm: str, n_rows: int, n_features: int, n_classes: int,
                seed: int = DEFAULT_SEED, options: dict | None = None):
     """Spark ML estimator for each algorithm name of the reference;
@@ -195,8 +200,7 @@ def classifier(algorithm: str, n_rows: int, n_features: int, n_classes: int,
     ``blockSize``, ...) in place of the defaults here."""
     est = _estimator(algorithm, n_rows, n_features, n_classes, seed)
     if options:
-        inner = est.getClassifier() if isinstance(est, OneVsRest) else est
-        inner._set(**options)
+        est._set(**options)
     est.setFeaturesCol(FEATURES).setLabelCol(LABEL).setPredictionCol(PREDICTION)
     if hasattr(est, "setProbabilityCol"):
         est.setProbabilityCol(PROBABILITY)
@@ -214,12 +218,7 @@ def _estimator(algorithm: str, n_rows: int, n_features: int, n_classes: int, see
         return RandomForestClassifier(numTrees=100, maxDepth=MAX_DEPTH,
                                       featureSubsetStrategy="sqrt", seed=seed)
     if algorithm == "xgboost":
-        gbt = GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=seed)
-        if n_classes <= 2:
-            return gbt
-        # The rest of a one-vs-rest model is read from the inner columns.
-        gbt.setFeaturesCol(FEATURES).setLabelCol(LABEL).setRawPredictionCol(RAW_PREDICTION)
-        return OneVsRest(classifier=gbt)
+        return BoostedClassifier()
     if algorithm == "decision_tree":
         return DecisionTreeClassifier(maxDepth=MAX_DEPTH, seed=seed)
     if algorithm == "neural_network":
@@ -244,6 +243,25 @@ class TrainResult:
     labels: list[str] = field(default_factory=list)
 
 
+def _held(prepared: DataFrame, iterative: bool) -> tuple[DataFrame, int, int]:
+    """The (features, label) pairs persisted, for an ``iterative`` learner in
+    partitions of about ``FIT_BYTES``, their number and the width of their
+    vectors.  Such a learner runs a task for each partition in every iteration, so that few
+    rows must not lie in many partitions."""
+    plain = prepared.persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows, first = plain.count(), plain.first()
+    width = first[0].size if first else 0
+    # A dense entry takes 8 bytes, a sparse one 12; one row stands for all.
+    row_bytes = 32 + (8 * width if first is None or isinstance(first[0], DenseVector) else 12 * len(first[0].indices))
+    wanted = max(1, math.ceil(n_rows * row_bytes / FIT_BYTES))
+    if not iterative or wanted >= plain.rdd.getNumPartitions():
+        return plain, n_rows, width
+    held = plain.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    plain.unpersist()
+    return held, n_rows, width
+
+
 def fit_pipeline(train: DataFrame, target: str, algorithm: str = "random_forest",
                  features: Sequence[str] | None = None, seed: int = DEFAULT_SEED,
                  options: dict | None = None):
@@ -253,25 +271,19 @@ def fit_pipeline(train: DataFrame, target: str, algorithm: str = "random_forest"
     prepared (features, label) pair is persisted for the fit; a lost cache
     block is recomputed from the (deterministic) lineage.
     """
-    stages, used = feature_stages(train, target, features)
+    stages, used = feature_stages(train, target, features, keep_missing=algorithm == "xgboost")
     feature_model = Pipeline(stages=stages).fit(train)
     label_model = StringIndexer(inputCol=quoted(target) if "." in target else target, outputCol=LABEL,
                                 stringOrderType="alphabetAsc").fit(train)
     labels = list(label_model.labels)
-    # Rebalancing lets adaptive execution choose partitions by bytes: few
-    # rows don't pay for many tasks in each iteration, many keep theirs.
-    prepared = (label_model.transform(feature_model.transform(train)).select(FEATURES, LABEL)
-                .hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK))
+    prepared = label_model.transform(feature_model.transform(train)).select(FEATURES, LABEL)
+    # Trees take few jobs of much work, which all cores share.
+    prepared, n_rows, width = _held(prepared, algorithm not in ("random_forest", "decision_tree"))
     try:
-        n_rows = prepared.count()
-        first = prepared.first()
-        width = first[0].size if first else 0
         est = classifier(algorithm, n_rows, width, len(labels), seed, options)
         fitted = [est.fit(prepared)]
     finally:
         prepared.unpersist()
-    if algorithm == "xgboost" and len(labels) > 2:
-        fitted.append(MarginProbabilities())
     back = IndexToString(inputCol=PREDICTION, outputCol=PREDICTED_LABEL, labels=labels)
     return PipelineModel(stages=[feature_model, label_model, *fitted, back]), used, labels
 
@@ -283,12 +295,18 @@ def cross_validate(df: DataFrame, target: str, algorithm: str, n_splits: int = 5
     # Fold ids come from checkpointed positions, so re-reading them per fold
     # is deterministic and cheap (a broadcast join on a checkpoint).
     folded = stratified_folds(df, target, n_splits, order_by, "_ts_fold")
+    if features:  # only what the fits read is held
+        folded = folded.select(*[col(c) for c in dict.fromkeys([*features, target])], "_ts_fold")
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
     scores = []
-    for k in range(n_splits):
-        train = folded.where(F.col("_ts_fold") != k).drop("_ts_fold")
-        test = folded.where(F.col("_ts_fold") == k).drop("_ts_fold")
-        model, _, _ = fit_pipeline(train, target, algorithm, features, seed)
-        scores.append(accuracy_of(model.transform(test), target))
+    try:
+        for k in range(n_splits):
+            train = folded.where(F.col("_ts_fold") != k).drop("_ts_fold")
+            test = folded.where(F.col("_ts_fold") == k).drop("_ts_fold")
+            model, _, _ = fit_pipeline(train, target, algorithm, features, seed)
+            scores.append(accuracy_of(model.transform(test), target))
+    finally:
+        folded.unpersist()
     return scores
 
 

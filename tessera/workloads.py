@@ -1330,3 +1330,7 @@ def smote_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
               & F.col("toxic").between(F.col("toxic_lo"), F.col("toxic_hi")))
     return out.join(reach, "quality").groupBy("quality").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(~inside).alias("n_outside"))
+
+
+# Registered when everything above stands.
+from tessera import model_workloads  # noqa: E402, F401

@@ -219,36 +219,6 @@ def test_knn_matches_brute_force_and_smote_balances(spark, separable):
         assert grp.x2.between(src.x2.min() - 1e-9, src.x2.max() + 1e-9).all()
 
 
-def test_knn_keeps_a_bounded_sample(spark, separable):
-    from tessera.operators import neighbors
-
-    fitted = neighbors.KNNClassifier(3, max_train_rows=20)
-    vectors = train.Pipeline(stages=train.feature_stages(separable, "label", ["x1", "x2"])[0]).fit(separable).transform(separable)
-    data = vectors.select(F.col(train.FEATURES).alias("f"), (F.col("x1") > 0).cast("double").alias("y"))
-    model = fitted.setFeaturesCol("f").setLabelCol("y").fit(data)
-    assert model.reference.shape == (20, 2) and fitted.fit(data).reference.tolist() == model.reference.tolist()
-
-
-def test_knn_sample_is_of_rows_though_a_third_share_a_point(spark):
-    from pyspark.ml.functions import array_to_vector
-    from tessera.operators import neighbors
-
-    # 1,000 of 3,000 rows share one point of class 0; another of class 1 is
-    # shared by 300, and the rarest class has one row.
-    i = F.col("id")
-    hot = F.when(i < 1000, F.lit(-5.0)).when(i < 1300, F.lit(9.0)).otherwise(i / 1000.0)
-    data = spark.range(3000).select(array_to_vector(F.array(hot, F.lit(1.0))).alias("f"),
-                                    F.when(i == 2999, 2.0).when((i >= 1000) & (i < 1300), 1.0).otherwise(0.0).alias("y"))
-    for seed in range(3):
-        model = neighbors.KNNClassifier(5, max_train_rows=100, seed=seed).setFeaturesCol("f").setLabelCol("y").fit(data)
-        x = model.reference[:, 0]
-        assert len(x) == 100 and model.n_classes == 3
-        assert 33 <= (x == -5).sum() <= 34 and (x == 9).sum() == 10 and model.labels[x == 9].tolist() == [1] * 10
-        assert len(set(x[(x > 0) & (x < 9)])) == (x > 0).sum() - 10
-    again = neighbors.KNNClassifier(5, max_train_rows=100, seed=2).setFeaturesCol("f").setLabelCol("y").fit(data.repartition(7))
-    assert again.reference.tolist() == model.reference.tolist()
-
-
 def test_smote_neighbours_recall_and_shape(spark):
     from tessera.operators import balance, neighbors
 
