@@ -8,9 +8,10 @@ equal shares.  Centroids are searched by best-first search in a graph of near
 centroids that every task holds in memory.
 
 Every vector is listed at its nearest centroid, and at a boundary at others
-almost as near as well.  A query looks into the lists whose centroids are at
-most ``ratio`` times as far as its nearest one; the ratio is calibrated on the
-sample, where it must reach ``RECALL``.  Scores of what is found are computed
+almost as near as well.  A query looks into its nearest lists first, and then
+into all whose centroids are at most ``ratio`` times as far as its nearest one,
+which return only what is as good; the ratio is calibrated on the sample,
+where it must reach ``RECALL``.  Scores of what is found are computed
 from the original vectors in double precision, each pair by itself, so equal
 vectors have equal scores.
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, FloatType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, FloatType, StructType, _parse_datatype_string
 
 from tessera.llm import shared
 
@@ -161,9 +162,9 @@ def listed(index: Index, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, order[rows, at]
 
 
-def probed(index: Index, points: np.ndarray, sizes: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-    """Query and list of every look: lists within the ratio, and the nearest
-    ones until ``wanted`` vectors are listed."""
+def probed(index: Index, points: np.ndarray, sizes: np.ndarray, wanted: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Query and list of every look: the ``first`` ones, at the nearest lists
+    until ``wanted`` vectors are listed, or the others within the ratio."""
     ratio = index.ratio
     while True:
         apart = search(index, points, ratio, 8)
@@ -171,7 +172,7 @@ def probed(index: Index, points: np.ndarray, sizes: np.ndarray, wanted: int) ->
         far = np.take_along_axis(apart, order, axis=1)
         found = np.isfinite(far)
         before = np.cumsum(np.where(found, sizes[order], 0), axis=1) - sizes[order]
-        chosen = found & ((far <= far[:, :1] * index.ratio) | (before < wanted))
+        chosen = found & ((before < wanted) if first else (before >= wanted) & (far <= far[:, :1] * index.ratio))
         if found.all() or (np.where(found, sizes[order], 0).sum(axis=1) >= min(wanted, sizes.sum())).all():
             rows, at = np.nonzero(chosen)
             return rows, order[rows, at]
@@ -246,14 +247,20 @@ def _portions(sizes: dict[int, int], most: int) -> Column:
 class _Best:
     """The nearest found so far for each query of a block."""
 
-    def __init__(self, vectors: np.ndarray, scale: float, nearest: int):
+    def __init__(self, vectors: np.ndarray, least: np.ndarray, scale: float, nearest: int):
         self.vectors, self.scale, self.nearest = vectors, scale, nearest
         self.light = lifted(vectors, scale, True)
         self.norms = np.linalg.norm(vectors / scale, axis=1)
-        self.least = np.full(len(vectors), -np.inf)
-        self.found = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+        self.least = self._light(least, np.arange(len(vectors)))
+        self.found = (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def _light(self, scores: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """What the products in single precision of as good a vector reach."""
+        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+            worst = scores / self.scale / self.scale / self.norms[which]
+        return np.nan_to_num(worst, nan=-np.inf, neginf=-np.inf) - SLACK
+
+    def add(self, ids: np.ndarray, firsts: np.ndarray, vectors: np.ndarray) -> None:
         dots = self.light @ lifted(vectors, self.scale, False).T
         bound = self.least
         if len(ids) >= self.nearest:
@@ -261,32 +268,31 @@ class _Best:
         query, at = np.nonzero(dots >= bound[:, None])
         scores = np.concatenate([(self.vectors[query[k:k + 65536]] * vectors[at[k:k + 65536]]).sum(axis=1)
                                  for k in range(0, max(1, len(query)), 65536)])
-        query, names, scores = (np.concatenate(x) for x in zip(self.found, (query, ids[at], scores), strict=True))
-        order = np.lexsort((names, -scores, query))
+        query, names, least, scores = (np.concatenate(x) for x in zip(self.found, (query, ids[at], firsts[at], scores), strict=True))
+        order = np.lexsort((least, -scores, query))
         place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
         order = order[place < self.nearest]
-        self.found = query[order], names[order], scores[order]
+        self.found = query[order], names[order], least[order], scores[order]
         last = np.flatnonzero(np.bincount(self.found[0], minlength=len(self.least)) == self.nearest)
         ends = np.searchsorted(self.found[0], last, side="right") - 1
-        with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-            worst = self.found[2][ends] / self.scale / self.scale / self.norms[last]
-        self.least[last] = np.nan_to_num(worst, nan=-np.inf) - SLACK
+        self.least[last] = np.maximum(self.least[last], self._light(self.found[3][ends], last))
 
 
 def _compared(dealt: DataFrame, index, nearest: int) -> DataFrame:
-    """``asked``, ``found`` and ``score``: the nearest of a portion of a list for
-    each query of a block.  Rows come by list and portions, queries first."""
-    schema = _parse_datatype_string("asked long, found long, score double")
+    """``asked``, ``found``, ``first`` and ``score``: the nearest of a portion
+    of a list for each query of a block, but for those below the query's
+    ``least`` score.  Rows come by list and portions, queries first."""
+    schema = _parse_datatype_string("asked long, found long, first long, score double")
     group = ["list", "portion", "block"]
     sorted_ = dealt.repartition(*group).sortWithinPartitions(*group, "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow, current, names, rows, best = to_arrow_schema(schema), None, [], [], None
+        arrow, current, names, rows, least, best = to_arrow_schema(schema), None, [], [], [], None
         kind, scale = index.value.kind, index.value.scale
 
         def closed() -> pa.RecordBatch:
-            query, found, score = best.found
-            return pa.record_batch([pa.array(np.concatenate(names)[query]), pa.array(found), pa.array(score)], schema=arrow)
+            query, found, first, score = best.found
+            return pa.record_batch([pa.array(np.concatenate(names)[query]), pa.array(found), pa.array(first), pa.array(score)], schema=arrow)
 
         for batch in batches:
             if not batch.num_rows:
@@ -300,15 +306,16 @@ def _compared(dealt: DataFrame, index, nearest: int) -> DataFrame:
                     if key != current:
                         if best is not None:
                             yield closed()
-                        current, names, rows, best = key, [], [], None
+                        current, names, rows, least, best = key, [], [], [], None
                     ids, vectors = part.column("id").to_numpy(), _matrix(part.column("vec"), kind)
                     if asks:
                         names.append(ids)
                         rows.append(vectors)
+                        least.append(part.column("least").to_numpy(zero_copy_only=False))
                     elif rows:
                         if best is None:
-                            best = _Best(np.concatenate(rows), scale, nearest)
-                        best.add(ids, vectors)
+                            best = _Best(np.concatenate(rows), np.concatenate(least), scale, nearest)
+                        best.add(ids, part.column("first").to_numpy(zero_copy_only=False).astype(np.int64), vectors)
         if best is not None:
             yield closed()
 
@@ -338,51 +345,59 @@ def nearest_neighbours(table: DataFrame, queries: Column, nearest: int = NEAREST
     classes = shared.written(classes.withColumn("class", F.monotonically_increasing_id()), "numbered")
     index = fit(classes, kind, total["scale"], total["n"], nearest, size)
     sent = spark.sparkContext.broadcast(index)
-    listing = _parse_datatype_string("id long, vec binary, list int")
 
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(listing)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                at, lists = listed(sent.value, lifted(_matrix(part.column("vec"), sent.value.kind), sent.value.scale, False))
-                yield pa.record_batch([part.column("id").take(pa.array(at)), part.column("vec").take(pa.array(at)),
-                                       pa.array(lists.astype(np.int32))], schema=arrow)
-
-    named = classes.select(F.col("class").alias("id"), "vec")
-    postings = shared.written(shared.map_arrow(named, posted, listing), "postings")
-    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    counts = np.array([sizes.get(k, 0) for k in range(len(index.centroids))])
-
-    def looked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(listing)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                points = lifted(_matrix(part.column("vec"), sent.value.kind), sent.value.scale, True)
-                at, lists = probed(sent.value, points, counts, 4 * (nearest + 1))
-                yield pa.record_batch([part.column("id").take(pa.array(at)), part.column("vec").take(pa.array(at)),
-                                       pa.array(lists.astype(np.int32))], schema=arrow)
+    def spread(rows: DataFrame, name: str, lists) -> DataFrame:
+        """The rows, once for each of their lists."""
+        listing = StructType([*rows.schema.fields, *_parse_datatype_string("list int").fields])
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            arrow = to_arrow_schema(listing)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 512):
+                    part = batch.slice(start, 512)
+                    at, own = lists(sent.value, _matrix(part.column("vec"), sent.value.kind))
+                    yield pa.record_batch([*(c.take(pa.array(at)) for c in part.columns), pa.array(own.astype(np.int32))], schema=arrow)
+
+        return shared.written(shared.map_arrow(rows, run, listing), name)
+
+    def sizes(rows: DataFrame) -> dict[int, int]:
+        return {r["list"]: r["n"] for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect()}
+
+    postings = spread(classes.select(F.col("class").alias("id"), F.col("id").alias("first"), "vec"), "postings",
+                      lambda index, x: listed(index, lifted(x, index.scale, False)))
+    held = sizes(postings)
+    counts = np.array([held.get(k, 0) for k in range(len(index.centroids))])
     asked = rows.filter(queries).select(F.col("id").alias("query_id"), "same")
     asking = classes.join(asked.select("same").distinct(), "same", "left_semi").select(F.col("class").alias("id"), "vec")
-    looks = shared.written(shared.map_arrow(asking, looked, listing), "looks")
-    blocks = {r["list"]: r["n"] for r in looks.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    portions, cut = _portions(sizes, PORTION), _portions(blocks, QUERIES)
-    every = looks.select("list").distinct()  # lists that nobody looks into stay where they are
-    dealt = (looks.select("list", F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"),
-                          F.pmod(F.xxhash64("id"), cut).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "vec")
-             .unionByName(postings.join(F.broadcast(every), "list", "left_semi")
-                          .select("list", F.pmod(F.xxhash64("id"), portions).cast("int").alias("portion"),
-                                  F.explode(F.sequence(F.lit(0), cut - 1)).alias("block"), F.lit(1).alias("kind"), "id", "vec")))
-    found = _compared(dealt, sent, nearest + 1).distinct()
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "first", "found")
-    names = classes.select(F.col("class").alias("found"), F.col("id").alias("first"), "ids")
-    top = (found.join(names, "found").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= nearest + 1)
-           .groupBy("asked").agg(F.collect_list(F.struct("score", "ids")).alias("all")))
+
+    def best_of(found: DataFrame) -> DataFrame:
+        return found.distinct().withColumn("place", F.row_number().over(best)).filter(F.col("place") <= nearest + 1)
+
+    def looked(asking: DataFrame, first: bool) -> DataFrame:
+        """The best that the queries find in their first lists, or the others."""
+        looks = spread(asking, "looks", lambda index, x: probed(index, lifted(x, index.scale, True), counts, 4 * (nearest + 1), first))
+        portions, cut = _portions(held, PORTION), _portions(sizes(looks), QUERIES)
+        every = looks.select("list").distinct()  # at most MAX_LISTS rows
+        dealt = (looks.select("list", F.explode(F.sequence(F.lit(0), portions - 1)).alias("portion"),
+                              F.pmod(F.xxhash64("id"), cut).cast("int").alias("block"), F.lit(0).alias("kind"), "id",
+                              F.lit(None).cast("long").alias("first"), "least", "vec")
+                 .unionByName(postings.join(F.broadcast(every), "list", "left_semi")
+                              .select("list", F.pmod(F.xxhash64("id"), portions).cast("int").alias("portion"),
+                                      F.explode(F.sequence(F.lit(0), cut - 1)).alias("block"), F.lit(1).alias("kind"), "id", "first",
+                                      F.lit(None).cast("double").alias("least"), "vec")))
+        return shared.written(best_of(_compared(dealt, sent, nearest + 1)), "found")
+
+    # What a query finds at its nearest lists bounds what others must offer.
+    ahead = looked(asking.withColumn("least", F.lit(float("-inf"))), True)
+    least = (ahead.groupBy("asked").agg(F.min("score").alias("worst"), F.count("*").alias("n")).filter(F.col("n") > nearest)
+             .select(F.col("asked").alias("id"), "worst"))
+    rest = looked(asking.join(least, "id", "left").select("id", "vec", F.coalesce("worst", F.lit(float("-inf"))).alias("least")), False)
+    found = best_of(ahead.unionByName(rest).drop("place"))
+    names = classes.select(F.col("class").alias("found"), "ids")
+    top = found.join(names, "found").groupBy("asked").agg(F.collect_list(F.struct("score", "ids")).alias("all"))
     flat = F.expr(f"slice(array_sort(flatten(transform(all, x -> transform(x.ids, i -> struct(-x.score AS far, i AS id))))), 1, {2 * nearest + 2})")
-    of_class = top.join(classes.select(F.col("class").alias("asked"), "same"), "asked").select("same", "all")
-    near = of_class.withColumn("near", flat).select("same", "near")
+    near = top.join(classes.select(F.col("class").alias("asked"), "same"), "asked").select("same", flat.alias("near"))
     mine = F.expr(f"slice(filter(near, x -> x.id <> query_id), 1, {nearest})")
     return (asked.join(near, "same").select("query_id", F.posexplode(mine).alias("place", "x"))
             .select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.id").alias(key), (-F.col("x.far")).alias("score")))
