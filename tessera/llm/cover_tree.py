@@ -7,7 +7,8 @@ apart than the threshold and both radii are pruned.  Below, a center's vectors
 are cut into blocks of bounded size, each with a cover tree of its own: nested
 levels whose radii halve.  Two blocks' trees are traversed together, level by
 level; a pair of nodes is dropped when their centers are farther apart than
-the threshold and both covering radii.  What is left are the exact pairs.
+the threshold and both covering radii.  Blocks are dealt in groups of near
+cells, so that a block is sent once for each group that it may meet.  What is left are the exact pairs.
 
 Equal vectors are merged first.  A task returns counts of links and a star of
 each group that its pairs join, never the pairs.
@@ -39,6 +40,8 @@ THRESHOLD = 0.9
 SAMPLE, MAX_CENTERS = 4096, 1024
 #: Vectors of a block; a center has more of them the more vectors it covers.
 BLOCK = 2048
+#: Blocks of a group at most; a task holds those of one while it meets another's.
+GROUP = 16
 #: Radii of the levels of a block's tree; the last level are the vectors.
 RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
 #: By which single-precision distances may be off.
@@ -104,6 +107,35 @@ def _children(upper: np.ndarray, lower: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.searchsorted(lower, upper), np.searchsorted(lower, np.append(upper[1:], n))
 
 
+def _near_children(ci: np.ndarray, low_a: tuple, light_a: np.ndarray, cj: np.ndarray, low_b: tuple, light_b: np.ndarray,
+                   limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the children of two nodes that no bound rules out.  Distances
+    stay dot products; children of one vector, which are most of them where
+    vectors are scattered, have one bound."""
+    at, to = [], []
+    for one in (True, False):
+        own = ci[(low_a[2][ci] == 0) == one]
+        for other in (True, False):
+            across = cj[(low_b[2][cj] == 0) == other]
+            if not len(own) or not len(across):
+                continue
+            dots = light_a[low_a[1][own]] @ light_b[low_b[1][across]].T
+            if one and other:
+                x, y = np.divmod(np.flatnonzero(dots >= np.float32(1 - (limit + SLACK) ** 2 / 2)), len(across))
+            else:
+                reach = limit + SLACK + low_a[2][own][:, None].astype(np.float32) + low_b[2][across].astype(np.float32)
+                x, y = np.nonzero(dots >= 1 - reach * reach / 2)
+            at.append(own[x])
+            to.append(across[y])
+    return (np.concatenate(at), np.concatenate(to)) if at else (ci[:0], cj[:0])
+
+
+def apart(of_a: list, of_b: list, a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether the roots' covering radii rule out every pair of two blocks."""
+    (_, (at,), (far,)), (_, (to,), (reach,)) = of_a[0], of_b[0]
+    return bool(_distance(a[at] @ b[to]) > np.sqrt(2 - 2 * threshold) + far + reach + SLACK)
+
+
 def traverse(a: np.ndarray, of_a: list, b: np.ndarray, of_b: list, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of vectors of two blocks with cosine >= threshold."""
     limit = float(np.sqrt(2 - 2 * threshold))
@@ -122,11 +154,8 @@ def traverse(a: np.ndarray, of_a: list, b: np.ndarray, of_b: list, threshold: fl
             if not len(cut):
                 continue
             if len(cut) == 1:
-                ci = np.arange(first_a[i[cut[0]]], end_a[i[cut[0]]])
-                cj = np.arange(first_b[j[cut[0]]], end_b[j[cut[0]]])
-                apart = _distance(light_a[low_a[1][ci]] @ light_b[low_b[1][cj]].T)
-                x, y = np.nonzero(apart <= limit + SLACK + low_a[2][ci][:, None].astype(np.float32) + low_b[2][cj].astype(np.float32))
-                x, y = ci[x], cj[y]
+                x, y = _near_children(np.arange(first_a[i[cut[0]]], end_a[i[cut[0]]]), low_a, light_a,
+                                      np.arange(first_b[j[cut[0]]], end_b[j[cut[0]]]), low_b, light_b, limit)
             else:
                 which = np.repeat(cut, many[cut])
                 step = np.arange(len(which)) - np.repeat(np.cumsum(many[cut]) - many[cut], many[cut])
@@ -200,14 +229,28 @@ def near_pairs(classes: DataFrame, threshold: float = THRESHOLD, block: int = BL
     near, blocks = [], []
     for dim in centers:
         own = sorted((c for c in cells if c["dim"] == dim), key=lambda c: c["cell"])
-        blocks += [(dim, c["cell"], -(-c["n"] // block)) for c in own]
+        if not own:
+            continue
         at, reach = np.array([c["cell"] for c in own]), np.array([c["radius"] for c in own])
-        apart = _distance(centers[dim][at] @ centers[dim][at].T)
-        x, y = np.nonzero(np.triu(apart <= limit + reach[:, None] + reach + SLACK))
-        near += [(dim, int(at[p]), int(at[q])) for p, q in zip(x, y, strict=True)]
+        counts = np.array([-(-c["n"] // block) for c in own])
+        apart_ = _distance(centers[dim][at] @ centers[dim][at].T)
+        # Cells in a chain of near centers, so that groups of blocks lie together.
+        chain, left = [0], set(range(1, len(own)))
+        while left:
+            chain.append(min(left, key=lambda c: (apart_[chain[-1], c], c)))
+            left.remove(chain[-1])
+        before = np.zeros(len(own), dtype=np.int64)
+        before[chain] = np.cumsum(counts[chain]) - counts[chain]
+        # A task compares the blocks of two groups: the larger they are, the
+        # less often a block is sent.
+        size = int(min(GROUP, max(1, counts.sum() // 6)))
+        blocks += [(dim, int(c), int(n), int(k), size) for c, n, k in zip(at, counts, before, strict=True)]
+        first, last = before // size, (before + counts - 1) // size
+        x, y = np.nonzero(np.triu(apart_ <= limit + reach[:, None] + reach + SLACK))
+        near += [(dim, int(first[p]), int(last[p]), int(first[q]), int(last[q])) for p, q in zip(x, y, strict=True)]
     if not blocks:
         return spark.createDataFrame([], "id long, links long, group long")
-    counts = spark.createDataFrame(blocks, "dim int, cell int, blocks int")
+    counts = spark.createDataFrame(blocks, "dim int, cell int, blocks int, before long, size int")
     portion = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = (assigned.join(F.broadcast(counts), ["dim", "cell"]).withColumn("portion", portion)
              .repartition("dim", "cell", "portion").sortWithinPartitions("dim", "cell", "portion", "id"))
@@ -235,39 +278,46 @@ def near_pairs(classes: DataFrame, threshold: float = THRESHOLD, block: int = BL
             yield close()
 
     forest = shared.written(shared.map_arrow(dealt, trees, schema), "trees")
-    names = forest.select("dim", "cell", "portion")
-    pairs = (spark.createDataFrame(near, "dim int, cell_a int, cell_b int")
-             .join(names.withColumnsRenamed({"cell": "cell_a", "portion": "portion_a"}), ["dim", "cell_a"])
-             .join(names.withColumnsRenamed({"cell": "cell_b", "portion": "portion_b"}), ["dim", "cell_b"])
-             .filter("cell_a < cell_b OR portion_a <= portion_b"))
-    for side in "ab":
-        pairs = pairs.join(forest.withColumnsRenamed(
-            {"cell": f"cell_{side}", "portion": f"portion_{side}"} |
-            {n: f"{n}_{side}" for n in ("ids", "weights", "matrix", "starts", "centers", "radii")}),
-            ["dim", f"cell_{side}", f"portion_{side}"])
+    grouped = (forest.join(F.broadcast(counts), ["dim", "cell"])
+               .withColumn("own", F.expr("CAST((before + portion) DIV size AS INT)")).drop("blocks", "before", "size"))
+    wide = spark.createDataFrame(near, "dim int, a0 int, a1 int, b0 int, b1 int")
+    pairs = (wide.select("dim", F.explode(F.sequence("a0", "a1")).alias("x"), "b0", "b1").select("dim", "x", F.explode(F.sequence("b0", "b1")).alias("y"))
+             .select("dim", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    sides = pairs.select("dim", "a", "b", F.col("a").alias("own")).unionByName(
+        pairs.filter("a < b").select("dim", "a", "b", F.col("b").alias("own")))
+    dealt_blocks = (grouped.join(sides, ["dim", "own"]).repartition("dim", "a", "b")
+                    .sortWithinPartitions("dim", "a", "b", "own", "cell", "portion"))
     out = _parse_datatype_string("id long, links long, group long")
 
     def dual(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrow = to_arrow_schema(out)
-        for batch in shared.slices(batches, "matrix_a", 1):
+        arrow, current, held = to_arrow_schema(out), None, []
+        for batch in shared.slices(batches, "matrix", 1):
             row = batch.to_pylist()[0]
-            same = (row["cell_a"], row["portion_a"]) == (row["cell_b"], row["portion_b"])
-            side = [(np.array(row[f"ids_{s}"]), np.array(row[f"weights_{s}"]), np.frombuffer(row[f"matrix_{s}"], "<f8").reshape(-1, row["dim"]),
-                     [(np.array(x), np.array(c), np.array(r)) for x, c, r in zip(row[f"starts_{s}"], row[f"centers_{s}"], row[f"radii_{s}"], strict=True)])
-                    for s in "ab"]
-            (ids, weight, a, of_a), (ids_b, weight_b, b, of_b) = side
-            i, j = traverse(a, of_a, b, of_b, threshold, same)
-            if not len(i):
+            if (key := (row["dim"], row["a"], row["b"])) != current:
+                current, held = key, []
+            own = (np.array(row["ids"]), np.array(row["weights"]), np.frombuffer(row["matrix"], "<f8").reshape(-1, row["dim"]),
+                   [(np.array(x), np.array(c), np.array(r)) for x, c, r in zip(row["starts"], row["centers"], row["radii"], strict=True)])
+            if row["a"] == row["b"] or row["own"] == row["a"]:
+                held.append(own)  # at most GROUP blocks
+            if row["a"] < row["b"] and row["own"] == row["a"]:
                 continue
-            if not same:
-                j = j + len(ids)
-                ids, weight = np.concatenate([ids, ids_b]), np.concatenate([weight, weight_b])
-            links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
-            group = _joined(len(ids), i, j)
-            linked = np.flatnonzero(links)
-            yield pa.record_batch([pa.array(ids[linked]), pa.array(links[linked].astype(np.int64)), pa.array(ids[group[linked]])], schema=arrow)
-
-    return shared.map_arrow(pairs.repartition("dim", "cell_a", "portion_a", "cell_b", "portion_b"), dual, out)
+            for other in held:
+                same = other is own
+                if not same and apart(other[3], own[3], other[2], own[2], threshold):
+                    continue
+                i, j = traverse(other[2], other[3], own[2], own[3], threshold, same)
+                if not len(i):
+                    continue
+                ids, weight = other[0], other[1]
+                if not same:
+                    j = j + len(ids)
+                    ids, weight = np.concatenate([ids, own[0]]), np.concatenate([weight, own[1]])
+                links = np.bincount(i, weight[j], len(ids)) + np.bincount(j, weight[i], len(ids))
+                group = _joined(len(ids), i, j)
+                linked = np.flatnonzero(links)
+                yield pa.record_batch([pa.array(ids[linked]), pa.array(links[linked].astype(np.int64)), pa.array(ids[group[linked]])], schema=arrow)
+
+    return shared.map_arrow(dealt_blocks, dual, out)
 
 
 def embedding_near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, sample: int = SAMPLE,
