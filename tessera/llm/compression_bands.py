@@ -3,10 +3,14 @@
 The base rules count words, symbols, repeated lines and repeated five-word
 windows.  The method compresses the whole text and fixed chunks of it with
 zstandard: the ratio (compressed to plain bytes) of repetitive text lies below
-the band of its length, that of incompressible text above it.
+the limits of its length, that of incompressible text above them.  The limits
+of a length (between two powers of two bytes) lie ``FENCE`` quartile distances
+beyond the quartiles of all distinct texts of it that pass the base rules, so
+copies count once; lengths of fewer than ``LEAST_TEXTS`` have fixed limits.
 
 Rows: a null text has no words; a text without words fails the base rules;
-equal rows are treated alike.  Other columns are kept but for those named
+equal rows are treated alike; texts of any length are compressed whole, one by
+one; an empty table has no limits fitted and gives no rows.  Other columns are kept but for those named
 like an output.
 """
 
@@ -15,6 +19,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,12 +29,18 @@ from tessera.llm import shared
 
 LEVEL = 3
 CHUNK = 4096
-#: Least and greatest ratio of a whole text shorter than so many bytes.
+#: How far beyond the quartiles a ratio may lie, in distances between them
+#: (which count as ``LEAST_SPREAD`` at least).
+FENCE, LEAST_SPREAD = 4.0, 0.01
+#: Distinct texts or chunks from which limits of a length are fitted.
+LEAST_TEXTS = 100
+#: Least and greatest ratio of a text shorter than so many bytes, where fewer
+#: are of its length.
 WHOLE_BANDS = ((128, 0.30, 1.35), (256, 0.25, 1.05), (512, 0.22, 0.90), (2048, 0.20, 0.80), (8192, 0.18, 0.72),
                (65536, 0.15, 0.70), (1 << 62, 0.12, 0.70))
-#: Least and greatest ratio of a chunk, and the share of chunks that may lie
-#: outside.  A last chunk of under half the size belongs to the one before.
-CHUNK_BAND, CHUNKS_OUTSIDE = (0.15, 0.72), 0.25
+#: Share of a text's chunks that may lie outside.  A last chunk of under half
+#: the size belongs to the one before.
+CHUNKS_OUTSIDE = 0.25
 WINDOW = 5
 
 
@@ -85,25 +96,87 @@ def chunks(raw: bytes, size: int = CHUNK) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
 
 
-def bands(text: str | None) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of its chunks outside the band, and
-    whether it lies within the limits of its length."""
+Limits = dict[int, tuple[float, float]]
+
+
+def size_class(n: int) -> int:
+    """Lengths between two powers of two share their limits."""
+    return n.bit_length()
+
+
+def limits_of(n: int, fitted: Limits) -> tuple[float, float]:
+    return fitted.get(size_class(n)) or next((low, high) for limit, low, high in WHOLE_BANDS if n < limit)
+
+
+def bands(text: str | None, whole_limits: Limits | None = None, chunk_limits: Limits | None = None) -> tuple[float, float, bool]:
+    """Ratio of the whole text, share of its chunks outside the limits of their
+    length, and whether it lies within those of its own."""
     raw = (text or "").encode()
     whole = ratio(raw)
-    low, high = next((low, high) for limit, low, high in WHOLE_BANDS if len(raw) < limit)
+    low, high = limits_of(len(raw), whole_limits or {})
     outside = 0.0
     if len(raw) > CHUNK:
-        made = [ratio(c) for c in chunks(raw)]
-        outside = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in made) / len(made)
+        parts = chunks(raw)
+        made = [(ratio(c), *limits_of(len(c), chunk_limits or {})) for c in parts]
+        outside = sum(not least <= r <= most for r, least, most in made) / len(made)
     return whole, outside, low <= whole <= high and outside <= CHUNKS_OUTSIDE
 
 
+def _fences(counts: list[tuple[int, int]]) -> tuple[float, float] | None:
+    """Limits from ``(ratio in thousandths, texts)``."""
+    total = sum(n for _, n in counts)
+    if total < LEAST_TEXTS:
+        return None
+    quartile, seen = [], 0
+    for value, n in sorted(counts):
+        seen += n
+        while len(quartile) < 2 and seen >= total * (0.25, 0.75)[len(quartile)]:
+            quartile.append(value / 1000)
+    reach = FENCE * max(quartile[1] - quartile[0], LEAST_SPREAD)
+    return quartile[0] - reach, quartile[1] + reach
+
+
+def fit(docs: DataFrame, text: str = "text") -> tuple[Limits, Limits]:
+    """Limits of whole texts and of chunks by length, from the quartiles of the
+    ratios of all distinct texts that pass the base rules.  What reaches the
+    driver are counts of ratios in thousandths for each length."""
+
+    def start():
+        def apply(batch):
+            out = {"h": [], "sizes": [], "ratios": []}
+            for body in batch.column("text").to_pylist():
+                if base(body)[-1]:
+                    continue
+                raw = body.encode()
+                parts = [raw, *(chunks(raw) if len(raw) > CHUNK else [])]
+                out["h"].append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
+                out["sizes"].append([size_class(len(x)) for x in parts])
+                out["ratios"].append([round(1000 * ratio(x)) for x in parts])
+            return out
+
+        return apply
+
+    source = docs.select(F.col(f"`{text}`").alias("text")).filter(F.length("text") > 0)
+    found = shared.map_slices(source, start, "h long, sizes array<int>, ratios array<int>")
+    one = found.groupBy("h").agg(F.min(F.struct("sizes", "ratios")).alias("x")).select("x.*")
+    each = one.select(F.posexplode(F.arrays_zip("sizes", "ratios")).alias("at", "x"))
+    counted = each.groupBy((F.col("at") > 0).alias("chunk"), "x.sizes", "x.ratios").agg(F.count("*").alias("n")).collect()
+    out: tuple[Limits, Limits] = ({}, {})
+    for kind in (False, True):
+        for size in {r["sizes"] for r in counted if r["chunk"] == kind}:
+            fences = _fences([(r["ratios"], r["n"]) for r in counted if r["chunk"] == kind and r["sizes"] == size])
+            if fences:
+                out[kind][size] = fences
+    return out
+
+
 _OUT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
         "kept boolean, ratio double, chunks_outside double")
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns with the counts, ratios and verdicts."""
+def judge(docs: DataFrame, text: str = "text", limits: tuple[Limits, Limits] = ({}, {})) -> DataFrame:
+    """All columns with the counts, ratios and verdicts by fitted limits (by
+    fixed ones where none are fitted)."""
     made = _parse_datatype_string(_OUT)
     kept = [f for f in docs.schema if f.name not in made.names]
 
@@ -112,7 +185,7 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = []
             for body in batch.column(text).to_pylist():
                 counts = base(body)
-                whole, outside, fine = bands(body)
+                whole, outside, fine = bands(body, *limits)
                 rows.append((*counts, fine and not counts[-1], whole, outside))
             columns = zip(*rows, strict=True)
             return {f.name: batch.column(f.name) for f in kept} | dict(zip(made.names, columns, strict=True))
@@ -124,4 +197,5 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and verdict of every document."""
-    return judge(shared.read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    docs = shared.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, limits=fit(docs)).drop("text")

@@ -335,3 +335,33 @@ def test_toxicity_repeated_ids_keep_the_bound(spark):
     finally:
         toxic_segments.calibrate = plain
     assert 0 < collected[0] <= 20
+
+
+def test_fitted_bands_reject_what_the_base_rules_pass(spark):
+    """Junk planted among prose: the base rules pass it, only the limits fitted
+    for its length reject it, and prose stays."""
+    rng = np.random.default_rng(8)
+    docs = shared.read_table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text").filter("length(text) BETWEEN 1100 AND 1900")
+    prose = [r["text"] for r in docs.limit(300).collect()]
+    marks = [" ".join(w + ("***", "$$$", "&&&")[int(rng.integers(3))] for w in t.split()[:130]) for t in prose[:20]]
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 9)) for _ in range(140)) for _ in range(20)]
+    few = [" ".join("".join(rng.choice(list("ab"), 9)) for _ in range(140)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate([*prose, *prose[:100], *marks, *noise, *few])]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    limits = compression_bands.fit(planted)
+    assert limits[0] and limits == compression_bands.fit(planted.repartition(5))
+    got = {r["doc_id"]: r for r in compression_bands.judge(planted, limits=limits).collect()}
+    junk = [got[i] for i in range(400, 460)]
+    passed = [r for r in junk if not r["base_failed"]]
+    assert len(passed) > 50 and sum(not r["kept"] for r in passed[-40:]) >= 38
+    clean = [got[i] for i in range(400) if not got[i]["base_failed"]]
+    assert sum(r["kept"] for r in clean) >= 0.97 * len(clean)
+    assert compression_bands.fit(planted.limit(0)) == ({}, {})
+
+
+def test_bands_decide_on_the_corpus(spark):
+    """At sf0.1 the method rejects symbol junk that passes the base rules."""
+    docs = shared.read_table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    got = compression_bands.judge(docs, limits=compression_bands.fit(docs)).filter("NOT base_failed AND NOT kept").collect()
+    assert 80 <= len(got) <= 300
+    assert sum(r["n_symbols"] >= 0.4 * r["n_words"] for r in got) >= 0.9 * len(got)
