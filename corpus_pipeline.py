@@ -3,7 +3,8 @@ read again as the next one's input.
 
 Toxic documents go, then those without a main language, then all but one of
 each group of near-duplicates; personal data is masked in the rest, which is
-packed into sequences.  All stages but the last return the input's columns.
+packed into sequences.  All stages but the last return the input's columns, also
+those named like an operator's output.
 An empty table passes through; null texts are no toxic documents, have no
 language and so go in the second stage.  If no row has a language to learn
 from, that stage keeps every document with a letter.
@@ -20,12 +21,22 @@ from tessera.llm import hyperminhash, langid_crf, pii_spans, shared, toxic_segme
 MAIN_LANGUAGE = 0.35
 
 
+def _sheltered(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns that are named like an operator's output
+    renamed, and the names to rename them back."""
+    hidden = {name: f"_input_{i}_{name}" for i, name in enumerate(docs.columns) if name in made}
+    return docs.withColumnsRenamed(hidden), {new: old for old, new in hidden.items()}
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold, by a model learned from those
     of the labelled documents that are not held out."""
     fitted = toxic_segments.fit(docs, shared.read_table(spark, sf_dir, "labels"))
-    scored = toxic_segments.score(docs, fitted)
-    return scored.filter(F.col("tox_score") < toxic_segments.THRESHOLD).select(docs.columns)
+    made = ("tox_score", "tox_segments")
+    hidden, back = _sheltered(docs, made)
+    scored = toxic_segments.score(hidden, fitted)
+    return (scored.filter(F.col("tox_score") < toxic_segments.THRESHOLD).drop(*made).withColumnsRenamed(back)
+            .select(*(F.col(f"`{c}`") for c in docs.columns)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,20 +49,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fitted = langid_crf.fit(docs)
     if fitted is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    found = langid_crf.predict(docs, fitted)
+    made = ("lang_pred", "lang_score", "lang_switches")
+    hidden, back = _sheltered(docs, made)
+    found = langid_crf.predict(hidden, fitted)
     clear = (F.col("lang_pred") != langid_crf.UNDETERMINED) & (F.col("lang_score") >= MAIN_LANGUAGE)
-    return found.filter(clear).select(docs.columns)
+    return found.filter(clear).drop(*made).withColumnsRenamed(back).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (word shingles of five,
     similarity 0.8): the one with the smallest id.  Documents without an id
-    or without words stay.  A pair at 0.8 shares no band, so that its link is
+    or without words stay.  Rows of one id are judged by their own texts; of
+    rows with equal id and text one stays.  A pair at 0.8 shares no band, so that its link is
     not found, with a probability of about 4.9e-5."""
-    found = hyperminhash.near_duplicates(docs, threshold=0.8, shingle=5)
-    stay = found.filter("doc_id IS NOT NULL AND kept").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    found = hyperminhash.near_duplicates(docs, threshold=0.8, shingle=5, source=True)
+    stay = found.filter("doc_id IS NOT NULL AND kept").select("doc_id", F.col("source").alias("_source")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = F.struct(*columns)
+    # Of rows with equal id and text one, chosen by a hash of all its columns.
+    one = F.min_by(whole, F.xxhash64(*columns)).alias("_row")
+    named = (docs.withColumn("_source", F.xxhash64("text")).join(stay, ["doc_id", "_source"], "left_semi")
+             .groupBy("doc_id", "_source").agg(one).select("_row.*"))
+    return named.select(*columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
