@@ -242,9 +242,10 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = SHINGLE, text: str = "text", key: str = "doc_id",
-                    blocks: tuple[int, int] = (BUCKET_BLOCK, GROUP_BLOCK)) -> DataFrame:
+                    blocks: tuple[int, int] = (BUCKET_BLOCK, GROUP_BLOCK), source: bool = False) -> DataFrame:
     """``key``, ``n_shingles``, ``component_id`` (smallest key reachable by
-    links of Jaccard similarity >= ``threshold``) and ``kept`` of every row."""
+    links of Jaccard similarity >= ``threshold``) and ``kept`` of every row;
+    with ``source`` also the text's xxhash64, which tells rows of a key apart."""
     sketch = shared.written(sketches(docs, text, key, shingle), "sketches")
     proper = sketch.filter("id IS NOT NULL AND same IS NOT NULL")
     classes = shared.written(proper.groupBy("same").agg(F.min("id").alias("first")), "classes")
@@ -279,8 +280,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, shingle: int = SHI
     reached = components(links).select(F.col("id").alias("first"), "component")
     of_class = classes.join(reached, "first", "left").select("same", F.coalesce("component", "first").alias("component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return (sketch.select("id", "n_shingles", "same").join(of_class, "same", "left")
-            .select(F.col("id").alias(key), "n_shingles", component.alias("component_id"),
+    named = ["source"] if source else []
+    return (sketch.select("id", "n_shingles", "same", *named).join(of_class, "same", "left")
+            .select(F.col("id").alias(key), *named, "n_shingles", component.alias("component_id"),
                     F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")))
 
 

@@ -258,3 +258,22 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = shared.written(stage(spark, now, SF), "stage")
         assert now.isEmpty()
+
+
+def test_pipeline_keeps_columns_named_like_outputs_and_rows_of_repeated_ids(spark):
+    """Input columns named like what the operators add come out as they were;
+    rows of one id are judged by their own texts; a very long text passes."""
+    prose = [r["text"] for r in shared.read_table(spark, SF, "documents").filter("lang = 'en' AND length(text) BETWEEN 300 AND 900").limit(6).collect()]
+    rows = [(1, prose[0], "en"), (2, prose[1], "en"), (2, prose[2], "en"), (3, prose[1], "en"), (4, prose[3], "en"), (4, prose[3], "en"),
+            (5, prose[4] * 300, "en")]
+    docs = (spark.createDataFrame(rows, "doc_id long, text string, lang string")
+            .withColumns({"lang_pred": F.lit("mine"), "tox_score": F.lit("high"), "tox_segments": F.lit(3), "lang_score": F.lit(True),
+                          "source": F.col("doc_id") % 2, "id": F.lit(0), "same": F.lit("s"), "n_shingles": F.lit(-1), "pii": F.lit("p")}))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = shared.written(stage(spark, now, SF), "stage")
+        assert now.dtypes == docs.dtypes
+    got = now.collect()
+    assert all((r["lang_pred"], r["tox_score"], r["tox_segments"], r["lang_score"], r["pii"]) == ("mine", "high", 3, True, "p") for r in got)
+    assert sorted(r["doc_id"] for r in got) == [1, 2, 2, 4, 5]
+    assert corpus_pipeline.packing(spark, now, SF).count() > 5
