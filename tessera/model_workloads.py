@@ -1,5 +1,5 @@
-"""Queries of the learners that have SQL of their own: boosting, hashing and
-the nearest-neighbour join.  Imported by ``tessera.workloads``."""
+"""Queries with SQL of their own for boosting, hashing, the nearest-neighbour
+join, curves and normality.  Imported by ``tessera.workloads``."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting, hashing, knn_join
+from tessera.operators import boosting, evaluate, hashing, knn_join, normality
 from tessera.workloads import num, register, sql_num, table
 
 _SPLIT_FEATURES = ("l_quantity", "l_discount", "l_tax")
@@ -88,3 +88,42 @@ def knn_join_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = F.row_number().over(Window.partitionBy("query").orderBy("rank"))
     return (near.withColumn("place", again).filter(F.col("place") <= 5)
             .select(F.col("query").alias("vec_id"), F.col("place").cast("int").alias("rank"), F.col("id").alias("neighbour"), num("distance").alias("distance")))
+
+
+_STEPS = 50
+
+
+@register("curve_points_documents", f"""
+WITH r AS (SELECT quality AS y, CAST(n_chars AS DOUBLE) AS s FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT s, sum(y) AS p, count(*) - sum(y) AS q FROM r GROUP BY s),
+c AS (SELECT s, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER () AS ps, sum(q) OVER () AS qs FROM t
+      WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT *, tp * {_STEPS} // ps + fp * {_STEPS} // qs AS cell FROM c),
+l AS (SELECT s AS threshold, tp, fp, ps, qs FROM k QUALIFY row_number() OVER (PARTITION BY cell ORDER BY tp + fp DESC) = 1
+      UNION ALL SELECT NULL, 0, 0, max(ps), max(qs) FROM c)
+SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, {sql_num("tp / CAST(ps AS DOUBLE)")} AS tpr,
+  {sql_num("fp / CAST(qs AS DOUBLE)")} AS fpr, CASE WHEN tp + fp > 0 THEN {sql_num("tp / CAST(tp + fp AS DOUBLE)")} END AS precision FROM l""")
+def curve_points_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curves of V3: ROC and precision-recall points of n_chars as a score."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    points = evaluate.curve_points(docs, F.col("quality") == 1, F.col("n_chars"), _STEPS)
+    return points.select("threshold", "tp", "fp", *(num(c).alias(c) for c in ("tpr", "fpr", "precision")))
+
+
+def _sql_normality(source: str, column: str) -> str:
+    p = "((before + (k + 1) / 2e0 - 0.375e0) / (n + 0.25e0))"
+    return f"""SELECT '{column}' AS column_name, CAST(n AS BIGINT) AS n, w, {normality.p_value_sql('w', 'n')} AS p FROM (
+  SELECT n, pow(mx - m * x / n, 2) / ((mm - m * m / n) * (xx - x * x / n)) AS w FROM (
+    SELECT max(n) AS n, sum(k * z) AS m, sum(k * v) AS x, sum(k * z * z) AS mm, sum(k * v * v) AS xx, sum(k * z * v) AS mx FROM (
+      SELECT v, k, n, {normality.normal_quantile_sql(p)} AS z FROM (
+        SELECT v, k, sum(k) OVER (ORDER BY v) - k AS before, sum(k) OVER () AS n FROM (
+          SELECT {column} - (SELECT avg({column}) FROM {source}) AS v, count(*) AS k FROM {source} WHERE {column} IS NOT NULL GROUP BY 1)))))"""
+
+
+@register("normality_events_customer", f"""SELECT column_name, n, {sql_num('w')} AS w, {sql_num('p')} AS p FROM (
+  {_sql_normality('events', 'value')} UNION ALL {_sql_normality('customer', 'c_acctbal')})""")
+def normality_events_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: Shapiro-Francia W' and its p-value of event values and balances."""
+    both = (normality.normality(table(spark, sf_dir, "events"), ["value"])
+            .unionByName(normality.normality(table(spark, sf_dir, "customer"), ["c_acctbal"])))
+    return both.select("column_name", "n", num("w").alias("w"), num("p").alias("p"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.expressions import col
-from tessera.plans.ordering import with_running_total
+from tessera.plans.ordering import with_running_total, with_running_totals
 
 METRICS = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
@@ -88,6 +88,40 @@ def multiclass_auc(data: DataFrame, label: str, scores: dict[str, Column]) -> Da
     return _auc_by_class(long).agg(F.when(whole, F.avg("auc")).alias("roc_auc"))
 
 
+def curve_points(data: DataFrame, is_positive: Column, score: Column, steps: int = 200) -> DataFrame:
+    """Points of the ROC and precision-recall curves: ``threshold`` (rows of at
+    least this score count as positive; null before the first), ``tp``, ``fp``,
+    ``tpr`` (recall), ``fpr`` and ``precision`` (null where nothing is).
+
+    Equal scores are one point, from counts by score and running totals.  Of
+    the points within a ``steps``-th of both rates the last is kept, so there
+    are at most 2 * steps + 2 of any number of rows, and the area by
+    trapezoids is off by at most 1 / (2 * steps) from that of all points.
+    Rows whose score or label is null are left out; rates are null where a
+    class is absent."""
+    rows = data.select(is_positive.cast("long").alias("_y"), score.cast("double").alias("_s")).where("_y IS NOT NULL AND _s IS NOT NULL")
+    ties = (rows.groupBy((-F.col("_s")).alias("_d")).agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n"))
+            .withColumn("_q", F.col("_n") - F.col("_p")))
+    total = ties.agg(F.coalesce(F.sum("_p"), F.lit(0)).alias("p"), F.coalesce(F.sum("_q"), F.lit(0)).alias("q")).first()
+    ranked = with_running_totals(ties, ["_d"], {"_p": "_tp", "_q": "_fp"})
+    reached = ranked.select((-F.col("_d")).alias("threshold"), (F.col("_tp") + F.col("_p")).alias("tp"), (F.col("_fp") + F.col("_q")).alias("fp"))
+    cell = [F.expr(f"CASE WHEN {total[k]} = 0 THEN 0 ELSE {name} * {steps}L DIV {max(total[k], 1)}L END") for k, name in (("p", "tp"), ("q", "fp"))]
+    last = (reached.groupBy((cell[0] + cell[1]).alias("_cell"))
+            .agg(F.max_by(F.struct("threshold", "tp", "fp"), F.col("tp") + F.col("fp")).alias("x")).select("x.*"))
+    start = data.sparkSession.createDataFrame([(None, 0, 0)], "threshold double, tp long, fp long")
+    tp, fp = F.col("tp"), F.col("fp")
+    return start.unionByName(last).select(
+        "threshold", "tp", "fp", F.try_divide(tp, F.lit(total["p"])).alias("tpr"), F.try_divide(fp, F.lit(total["q"])).alias("fpr"),
+        F.try_divide(tp, tp + fp).alias("precision"))
+
+
+def curve_area(points: DataFrame) -> float | None:
+    """Area below the ROC curve of (at most a few hundred) points, by
+    trapezoids."""
+    at = sorted((r["fpr"], r["tpr"]) for r in points.collect() if r["fpr"] is not None and r["tpr"] is not None)
+    return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(at, at[1:])) if at else None
+
+
 def probability_scores(pred: DataFrame, labels: Sequence[str],
                        probability: str = "_ts_probability") -> dict[str, Column]:
     from pyspark.ml.functions import vector_to_array

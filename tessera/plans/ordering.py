@@ -109,6 +109,30 @@ def with_running_total(df: DataFrame, order: Sequence[str], amount: str, name: s
             .drop(OFFSET, PID, MID))
 
 
+def with_running_totals(df: DataFrame, order: Sequence[str], amounts: dict[str, str], reset: str | None = None,
+                        num_partitions: int | None = None) -> DataFrame:
+    """Add, for each amount, the sum over all rows before each row in ``order``
+    (a unique sort key), from one sort; with ``reset`` (the first column of
+    ``order``) totals begin anew with each of its values."""
+    tagged = sorted_tagged(df, order, num_partitions)
+    keys = [PID, *([reset] if reset else [])]
+    running: dict = {}
+    rows = []
+    # One row for each partition and value of ``reset`` in it.
+    for r in sorted(tagged.groupBy(*keys).agg(*(F.sum(a).alias(a) for a in amounts)).collect(), key=lambda r: r[PID]):
+        group = r[reset] if reset else None
+        before = running.get(group, (0,) * len(amounts))
+        rows.append((*(r[k] for k in keys), *before))
+        running[group] = tuple(b + r[a] for b, a in zip(before, amounts, strict=True))
+    offsets = [f"_ts_before_{i}" for i in range(len(amounts))]
+    schema = T.StructType([tagged.schema[k] for k in keys] + [T.StructField(o, T.LongType()) for o in offsets])
+    inside = Window.partitionBy(*keys).orderBy(MID).rowsBetween(Window.unboundedPreceding, -1)
+    out = tagged.join(F.broadcast(df.sparkSession.createDataFrame(rows, schema)), keys)
+    for (amount, name), offset in zip(amounts.items(), offsets, strict=True):
+        out = out.withColumn(name, F.col(offset) + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    return out.drop(*offsets, PID, MID)
+
+
 def hash_thresholds(rows: DataFrame, wanted: dict) -> dict:
     """For each group of ``rows`` (columns ``g`` and ``h``, a 64-bit hash) the
     threshold below which exactly ``wanted[g]`` hashes lie, as (threshold,

@@ -165,3 +165,47 @@ def test_iterative_learners_get_partitions_by_bytes(spark):
     plain, _, _ = train._held(rows, False)
     assert plain.rdd.getNumPartitions() == 12
     plain.unpersist()
+
+
+# Curves and normality ----------------------------------------------------------
+
+def test_curve_area_equals_auc_and_thinning_keeps_its_bound(spark):
+    from tessera.operators import evaluate
+
+    rng = np.random.default_rng(4)
+    y = rng.random(3000) < 0.3
+    s = np.round(rng.normal(size=3000) + y, 2)
+    df = spark.createDataFrame([(bool(a), float(b)) for a, b in zip(y, s, strict=True)] + [(None, 1.0), (True, None)], "y boolean, s double").repartition(4)
+    auc = evaluate.binary_auc(df.dropna(), F.col("y"), F.col("s")).first()[0]
+    whole = evaluate.curve_points(df, F.col("y"), F.col("s"), 10 ** 6)
+    assert whole.count() == len(set(s)) + 1 and evaluate.curve_area(whole) == pytest.approx(auc, abs=1e-12)
+    thin = evaluate.curve_points(df, F.col("y"), F.col("s"), 20)
+    assert thin.count() <= 42 and abs(evaluate.curve_area(thin) - auc) <= 1 / 40
+    ends = sorted((r["fpr"], r["tpr"]) for r in thin.collect())
+    assert ends[0] == (0.0, 0.0) and ends[-1] == (1.0, 1.0)
+    assert evaluate.curve_area(evaluate.curve_points(df.filter("y"), F.col("y"), F.col("s"))) is None
+    assert evaluate.curve_points(df.limit(0), F.col("y"), F.col("s")).count() == 1
+
+
+def test_shapiro_francia(spark):
+    """W' equals numpy's correlation; normal samples pass, others fail."""
+    from statistics import NormalDist
+
+    from tessera.operators import normality
+
+    rng = np.random.default_rng(3)
+    x = {"normal": rng.normal(1e6, 1, 800), "skewed": rng.exponential(size=800), "ties": rng.integers(0, 5, 800).astype(float), "constant": np.ones(800)}
+    rows = [tuple(float(x[c][i]) for c in x) for i in range(800)] + [(None, float("nan"), None, None)]
+    df = spark.createDataFrame(rows, list(x)).repartition(5)
+    got = {r["column_name"]: r for r in normality.normality(df).collect()}
+    for c in ("normal", "skewed", "ties"):
+        rank = np.array([((x[c] < v).sum() + 1 + (x[c] <= v).sum()) / 2 for v in x[c]])
+        m = np.array([NormalDist().inv_cdf((r - 0.375) / 800.25) for r in rank])
+        assert got[c]["n"] == 800 and got[c]["w"] == pytest.approx(np.corrcoef(x[c], m)[0, 1] ** 2, abs=1e-7)
+    assert got["normal"]["p"] > 0.05 and got["skewed"]["p"] < 1e-9 and got["ties"]["p"] < 0.01
+    assert got["constant"]["w"] is None and got["constant"]["p"] is None
+    few = normality.normality(df.limit(0), ["normal"]).first()
+    assert (few["n"], few["w"], few["p"]) == (0, None, None)
+    z = spark.sql(f"SELECT {normality.upper_tail_sql('1.5')} AS a, {normality.upper_tail_sql('-0.3')} AS b, {normality.normal_quantile_sql('0.001')} AS c").first()
+    assert z["a"] == pytest.approx(1 - NormalDist().cdf(1.5), rel=1e-6) and z["b"] == pytest.approx(NormalDist().cdf(0.3), rel=1e-6)
+    assert z["c"] == pytest.approx(NormalDist().inv_cdf(0.001), rel=1e-8)
