@@ -18,7 +18,7 @@ from tessera.llm import shared
 
 #: Bytes of the pieces that a worker keeps; when there are more, the later half
 #: goes.  A piece takes about so many bytes besides its characters and ids.
-MAX_BYTES, PIECE_BYTES = 128 << 20, 180
+MAX_BYTES, PIECE_BYTES = 192 << 20, 180
 
 #: Marks that end a word and start a token of their own.
 _MARKS = ",.!?;:#$%&*|"
@@ -87,11 +87,11 @@ class PieceCoder:
         return self.tails[tail]
 
     def _learn(self, pieces: set[str]) -> None:
-        """Add the ids of pieces not known yet, but for those that are part
+        """Add the ids of ``pieces``, none known yet, but for those that are part
         of a run of white space.  A piece of a word and marks after it is cut
         between them, as the tokenizers do."""
         known, rest = self.known, []
-        for piece in pieces.difference(known):
+        for piece in pieces:
             if piece.isalpha() and (ids := self.word(piece, self.keeps_space)) is not None:
                 known[piece] = ids
                 continue
