@@ -1211,6 +1211,29 @@ def power_lambda_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(found, "kind string, lambda double")
 
 
+def _sql_power_values() -> str:
+    """Both transforms of the balance, at their lambdas of two digits."""
+    def power(base: str, k: str) -> str:
+        return f"CASE WHEN abs({k}) < 1e-12 THEN ln({base}) ELSE (pow({base}, {k}) - 1) / ({k}) END"
+
+    boxcox = power("a + CASE WHEN lo <= 0 THEN 1 - lo ELSE 0 END", "b")
+    johnson = f"CASE WHEN a >= 0 THEN {power('1 + a', 'y')} ELSE -({power('1 - a', '2 - y')}) END"
+    return (f"SELECT c_custkey, {sql_num(boxcox)} AS boxcox, {sql_num(johnson)} AS yeojohnson FROM "
+            f"(SELECT c_custkey, CAST(c_acctbal AS DOUBLE) AS a, min(CAST(c_acctbal AS DOUBLE)) OVER () AS lo FROM customer) c, "
+            f"(SELECT \"lambda\" AS b FROM ({_sql_lambda('boxcox')}) p) l, (SELECT \"lambda\" AS y FROM ({_sql_lambda('yeojohnson')}) q) m")
+
+
+@register("power_values_customer", _sql_power_values())
+def power_values_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every balance transformed, at lambdas of two digits."""
+    data = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", F.col("c_acctbal").alias("boxcox"),
+                                                   F.col("c_acctbal").alias("yeojohnson"))
+    for kind in ("boxcox", "yeojohnson"):
+        shift, lam = skew.fit_power(data, [kind], kind).params[kind]
+        data = skew.PowerTransform(kind, {kind: (shift, round(lam, 2))}).transform(data)
+    return rounded(data.drop("c_acctbal"), ["boxcox", "yeojohnson"])
+
+
 PRE_CONFIG = {
     "target_column": "quality", "missing_strategy": "mean", "missing_columns": ["quality", "toxic"],
     "missing_indicator": True, "outlier_method": "clip", "outlier_columns": ["n_chars"],

@@ -134,3 +134,45 @@ def test_sorted_quantiles_match_pandas(spark):
         np.testing.assert_allclose(got[c], [pdf[c].quantile(p) for p in probs], rtol=1e-12)
     empty = quantiles(df.limit(0), ["a"], probs)
     assert empty == {"a": [None] * len(probs)}
+
+
+def test_quantiles_of_any_doubles(spark):
+    """Values of all sizes and signs, hot values, neighbours one bit apart."""
+    from tessera.functions.stats import quantiles
+
+    rng = np.random.default_rng(5)
+    n = 3000
+    pdf = pd.DataFrame({
+        "wide": rng.choice([-1.0, 1.0], n) * np.exp(rng.normal(size=n) * 150),
+        "tiny": rng.normal(size=n) * 1e-310,
+        "hot": np.where(rng.random(n) < 0.4, 7.25, 7.25 + rng.integers(0, 2**20, n) * 2.0**-50),
+        "zero": rng.choice([0.0, -0.0, 1.0, -1.0], n),
+        "gaps": np.where(rng.random(n) < 0.5, np.nan, rng.normal(size=n)),
+        "endless": rng.choice([np.inf, -np.inf, 3.0], n)})
+    probs = [0.0, 0.2, 0.5, 0.9, 1.0]
+    got = quantiles(spark.createDataFrame(pdf).repartition(7), list(pdf.columns), probs)
+    for c in pdf.columns:
+        v = np.sort(pdf[c].dropna().to_numpy())
+        for p, q in zip(probs, got[c]):
+            h = (len(v) - 1) * p
+            a, b = v[int(h)], v[min(int(h) + 1, len(v) - 1)]
+            part = h - int(h)
+            assert q == (a + (b - a) * part if part and a != b else a)
+
+
+def test_quantiles_need_no_sort(spark, monkeypatch):
+    from tessera.functions import stats
+
+    plans, cells = [], stats._cells
+
+    def spied(rows):
+        counted = rows.groupBy("_g", "_k").count()
+        plans.append(counted._jdf.queryExecution().executedPlan().toString())
+        return cells(rows)
+
+    monkeypatch.setattr(stats, "_cells", spied)
+    df = spark.range(0, 200_000, 1, 8).selectExpr("sqrt(id) AS x", "id % 7 AS y")
+    assert stats.quantiles(df, ["x", "y"], [0.5])["y"] == [3.0]
+    assert 2 <= len(plans) <= 4
+    for plan in plans:
+        assert "partial_count" in plan and "Sort" not in plan and "rangepartitioning" not in plan
