@@ -3,12 +3,12 @@ join, curves and normality.  Imported by ``tessera.workloads``."""
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting, evaluate, hashing, knn_join, normality
-from tessera.workloads import num, register, sql_num, table
+from tessera.operators import boosting, evaluate, features, hashing, knn_join, normality, wide_pca
+from tessera.workloads import embedding_frame, num, register, sql_num, table
 
 _SPLIT_FEATURES = ("l_quantity", "l_discount", "l_tax")
 
@@ -127,3 +127,53 @@ def normality_events_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = (normality.normality(table(spark, sf_dir, "events"), ["value"])
             .unionByName(normality.normality(table(spark, sf_dir, "customer"), ["c_acctbal"])))
     return both.select("column_name", "n", num("w").alias("w"), num("p").alias("p"))
+
+
+def _sql_axes(k: int) -> str:
+    """Axes a0 .. of embeddings (v: loadings, l: variance) with their means
+    (centre): the covariance squared 30 times is the leading axis times
+    itself; its share is taken off for the next one."""
+    steps = ["""e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM e),
+means AS (SELECT i, avg(v) AS m FROM u GROUP BY i), centre AS (SELECT list(m ORDER BY i) AS mu FROM means),
+c AS (SELECT vec_id, i, v - m AS v FROM u JOIN means USING (i)),
+cov AS (SELECT a.i AS i, b.i AS j, sum(a.v * b.v) / (SELECT count(*) - 1 FROM e) AS s FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2),
+m0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(s ORDER BY j) AS r FROM cov GROUP BY i))"""]
+    for t in range(k):
+        steps.append(f"""p{t} AS (SELECT 0 AS step, m AS a FROM m{t} UNION ALL
+  SELECT step + 1, [[list_inner_product(r, q) / t for q in a] for r in a]
+  FROM (SELECT step, a, list_sum([list_inner_product(w, w) for w in a]) AS t FROM p{t} WHERE step < 30)),
+r{t} AS (SELECT r, j FROM (SELECT unnest(a) AS r, generate_subscripts(a, 1) AS j FROM p{t} WHERE step = 30) ORDER BY r[j] DESC, j LIMIT 1),
+v{t} AS (SELECT [y / sqrt(list_inner_product(r, r)) for y in r] AS v FROM r{t}),
+a{t} AS (SELECT v, list_inner_product(v, [list_inner_product(q, v) for q in m]) AS l FROM v{t}, m{t}),
+m{t + 1} AS (SELECT list([y - l * v[i] * v[j] for y, j in r] ORDER BY i) AS m
+  FROM (SELECT unnest(m) AS r, generate_subscripts(m, 1) AS i FROM m{t}), a{t})""")
+    return "WITH RECURSIVE " + ",\n".join(steps)
+
+
+def _sixth(c) -> Column:
+    """Six decimals; minus zero is zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+@register("pca_scores_embeddings", f"""{_sql_axes(3)}
+SELECT vec_id, {', '.join(f"round(list_inner_product(d, a{t}.v), 6) + 0.0 AS PC{t + 1}" for t in range(3))}
+FROM (SELECT vec_id, list(v ORDER BY i) AS d FROM c GROUP BY vec_id), a0, a1, a2""")
+def pca_scores_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first three principal components, six decimals."""
+    wide, cols = embedding_frame(spark, sf_dir)
+    scores = features.fit_pca(wide, cols, 3).transform(wide, ["vec_id"])
+    return scores.select("vec_id", *(_sixth(f"PC{i}").alias(f"PC{i}") for i in (1, 2, 3)))
+
+
+@register("wide_pca_embeddings", _sql_axes(2) + "\nUNION ALL\n".join(f"""
+SELECT {t + 1} AS component, {sql_num("l")} AS variance, CAST(i AS INTEGER) AS place, round(v[i], 4) + 0.0 AS loading
+FROM a{t}, generate_series(1, (SELECT count(*) FROM means)) AS n(i)""" for t in range(2)))
+def wide_pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 for wide rows: two axes of embeddings by the range finder, four
+    decimals, and their variances."""
+    vectors = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    found = wide_pca.fit_wide_pca(vectors, "v", 2, oversample=40, tolerance=1e-10)
+    rows = [(t + 1, float(found.variances[t]), i + 1, float(x)) for t, axis in enumerate(found.components) for i, x in enumerate(axis)]
+    made = spark.createDataFrame(rows, "component int, variance double, place int, loading double")
+    return made.select("component", num("variance").alias("variance"), "place", (F.round("loading", 4) + F.lit(0.0)).alias("loading"))

@@ -947,7 +947,7 @@ def kbest_anova_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rep, ["f_score"])
 
 
-def _embedding_frame(spark: SparkSession, sf_dir: str):
+def embedding_frame(spark: SparkSession, sf_dir: str):
     emb = table(spark, sf_dir, "embeddings")
     lengths = emb.agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
     if lengths["low"] != lengths["high"]:
@@ -958,7 +958,7 @@ def _embedding_frame(spark: SparkSession, sf_dir: str):
 @register("pca_embeddings")
 def pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centred PCA, 3 components, target carried."""
-    wide, cols = _embedding_frame(spark, sf_dir)
+    wide, cols = embedding_frame(spark, sf_dir)
     model = features.fit_pca(wide, cols, 3)
     return rounded(model.transform(wide, ["vec_id", "label"]), ["PC1", "PC2", "PC3"])
 
@@ -966,7 +966,7 @@ def pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lda_embeddings")
 def lda_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First linear discriminant of the 64-d embeddings by label."""
-    wide, cols = _embedding_frame(spark, sf_dir)
+    wide, cols = embedding_frame(spark, sf_dir)
     model = features.fit_lda(wide, "label", cols, 1)
     return rounded(model.transform(wide, ["vec_id", "label"]), ["LD1"])
 
@@ -1060,7 +1060,7 @@ for _algo, _cv in (("logistic_regression", 5), ("random_forest", None),
 def train_evaluate_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2/M3 + V1-V3 on a 10-class problem: multinomial logistic regression
     on the 64-d embeddings, evaluated on the held-out split (macro OvR AUC)."""
-    wide, _ = _embedding_frame(spark, sf_dir)
+    wide, _ = embedding_frame(spark, sf_dir)
     data = wide.withColumn("label_name", F.col("label").cast("string")).drop("label")
     marked = train.split_column(data, 0.2, 42, ["vec_id"], "_split")
     tr = marked.where(F.col("_split") == "train").drop("_split", "vec_id")
