@@ -21,12 +21,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.arrow import map_arrow, schema_of
 from tessera.functions.expressions import col
 from tessera.operators.boosting import vector_entries
+from tessera.operators.train import FIT_BYTES
 
 # Rows multiplied at once and triangles factored in one group.
 ROWS = 4096
@@ -83,11 +85,11 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.coalesce(size, pc.list_value_length(values)).to_numpy(zero_copy_only=False)
 
 
-def _mean(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of rows and mean of each column, added up by column as in
-    ``_round``; ValueError if lengths differ."""
+def _mean(rows: DataFrame) -> tuple[int, int, np.ndarray]:
+    """Numbers of rows and of entries, and the mean of each column, added up by
+    column as in ``_round``; ValueError if lengths differ."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, low, high, n = np.zeros(0), np.inf, -np.inf, 0
+        total, low, high, n, entries = np.zeros(0), np.inf, -np.inf, 0, 0
         for batch in batches:
             column = batch.column(0)
             if not len(column):
@@ -97,23 +99,24 @@ def _mean(rows: DataFrame) -> tuple[int, np.ndarray]:
             total = np.pad(total, (0, max(int(high) - len(total), 0)))
             _, feature, value = vector_entries(column)
             total += np.bincount(feature, value, len(total))
+            entries += len(value)
         if n:
             at = np.flatnonzero(total)
-            yield pa.record_batch([pa.array(np.r_[-3, -2, -1, at].astype(np.int32)), pa.array(np.r_[n, low, high, total[at]])],
+            yield pa.record_batch([pa.array(np.r_[-4, -3, -2, -1, at].astype(np.int32)), pa.array(np.r_[entries, n, low, high, total[at]])],
                                   names=["feature", "total"])
 
     found = (map_arrow(rows, run, "feature int, total double").groupBy("feature")
              .agg(F.sum("total"), F.min("total"), F.max("total")).toArrow())
     feature, total, low, high = (found.column(i).to_numpy() for i in range(4))
     if not len(feature):
-        return 0, np.zeros(0)
+        return 0, 0, np.zeros(0)
     size = int(high[feature == -1][0])
     if low[feature == -2][0] != size:
         raise ValueError(f"vectors have {int(low[feature == -2][0])} to {size} components")
     n = int(total[feature == -3][0])
     mean = np.zeros(size)
     mean[feature[feature >= 0]] = total[feature >= 0] / n
-    return n, mean
+    return n, int(total[feature == -4][0]), mean
 
 
 def _round(rows: DataFrame, block: np.ndarray, mean: np.ndarray) -> np.ndarray:
@@ -187,12 +190,13 @@ def fit_wide_pca(df: DataFrame, vector: str, k: int = 2, oversample: int = 10, t
     """The ``k`` leading axes of a column of ML vectors of one length.
 
     Rounds go on until the k axes turn by less than ``tolerance`` (the sine of
-    the largest angle between two rounds' spaces).  Each pass brings them nearer by the ratio of the
-    variances number l + 1 and k; axes of equal variance are any basis of
-    their space.  ValueError if ``max_rounds`` aren't enough: raise them, or
+    the largest angle between two rounds' spaces).  Each pass brings them
+    nearer by the ratio of the variances number l + 1 and k; axes of equal
+    variance are any basis of their space.  ValueError if ``max_rounds`` aren't enough: raise them, or
     ``oversample``.  Rows whose vector is null or holds a value that isn't
     finite are left out.  Where the columns are no more than l, one round is
-    exact.  Fewer than two rows: ValueError.
+    exact.  Fewer than two rows: ValueError.  The rows are persisted for the
+    rounds, in partitions of about 32 MB; a lost one is made again.
     """
     rows = df.select(col(vector).alias("x")).where(F.col("x").isNotNull())
 
@@ -203,11 +207,20 @@ def fit_wide_pca(df: DataFrame, vector: str, k: int = 2, oversample: int = 10, t
         bad[row[~np.isfinite(value)]] = True
         return pa.array(~bad)
 
-    rows = rows.where(finite("x"))
-    n, mean = _mean(rows)
+    rows = rows.where(finite("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n, entries, mean = _mean(rows)
+        if n < 2:
+            raise ValueError("PCA needs two rows at least")
+        parts = -(-(32 * n + 12 * entries) // FIT_BYTES)
+        return _fit(rows.coalesce(parts), n, mean, k, oversample, tolerance, max_rounds, seed)
+    finally:
+        rows.unpersist()
+
+
+def _fit(rows: DataFrame, n: int, mean: np.ndarray, k: int, oversample: int, tolerance: float,
+         max_rounds: int, seed: int) -> WidePCA:
     size = len(mean)
-    if n < 2:
-        raise ValueError("PCA needs two rows at least")
     k, width = min(k, size), min(k + oversample, size)
     block = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
     axes, rounds = None, 0
