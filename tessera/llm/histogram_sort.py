@@ -6,8 +6,9 @@ bytes below candidate boundaries across all partitions: each round divides the
 intervals that still hold a splitter, until a boundary is within ``tolerance``
 of where the splitter should be, or only one row (or rows equal in text and
 key) is left to cut.  A boundary between different texts is taken as soon as
-one is near enough; a large group of copies is cut between its rows.  The rows
-are then exchanged once.
+one is near enough; a large group of copies is cut between its rows.  Inside a
+shard, tasks take even stretches of hashes, and parts of a text whose copies
+are more than a task takes.  The rows are then exchanged once.
 
 Rows: the size of a row is its text's UTF-8 bytes plus 16 (null: 16).  A null
 text orders with the empty one, a null key with the others by its hash; equal
@@ -35,6 +36,8 @@ TOLERANCE = 0.01
 FAN = 256
 #: Bytes that one task takes of a shard.
 TASK_BYTES = 128 << 20
+#: Ranges into which a table is cut at most, but for texts of many copies.
+MAX_RANGES = 1 << 19
 
 _FIRST = -(1 << 63)
 _COARSE = 52  # the first look at a 64-bit hash is at its upper 12 bits
@@ -168,11 +171,59 @@ def _ranged(spark: SparkSession, rows: DataFrame, edges: list[Edge], h: str, k:
     return joined.withColumn(name, number.cast("int")).drop("__hs_upper", "__hs_base", "__hs_cuts")
 
 
+def _hot_texts(keys: DataFrame, task_bytes: int) -> DataFrame:
+    """For each upper 12 bits of a text hash, the texts of more than
+    ``task_bytes`` in all copies there, with the parts that their rows are
+    dealt into (``__hs_hot``), and the number of such texts before
+    (``__hs_hots``).  4,096 rows, and fewer texts than ranges."""
+    hot = (keys.groupBy("h").agg(F.sum("size").alias("b")).filter(F.col("b") > task_bytes)
+           .select(F.shiftright("h", _COARSE).alias("__hs_upper"),
+                   F.struct("h", F.ceil(F.col("b") / task_bytes).alias("parts")).alias("hot"))
+           .groupBy("__hs_upper").agg(F.collect_list("hot").alias("__hs_hot")))
+    every = keys.sparkSession.range(-(1 << 11), 1 << 11).select(F.col("id").alias("__hs_upper"))
+    none = F.array().cast("array<struct<h:bigint,parts:bigint>>")
+    before = F.sum(F.size("__hs_hot")).over(W.orderBy("__hs_upper").rowsBetween(W.unboundedPreceding, -1))
+    return (every.join(hot, "__hs_upper", "left").withColumn("__hs_hot", F.coalesce("__hs_hot", none))
+            .withColumn("__hs_hots", F.coalesce(before, F.lit(0))))
+
+
+def _placed(rows: DataFrame, edges: list[Edge], pieces: int, hot: DataFrame, h: str, k: str) -> DataFrame:
+    """``rows`` with their shard and, rising with (h, k) in it, the range that
+    holds them: the cell of the shard's stretch of hashes (``pieces`` even
+    ones: hashes spread evenly, but for copies), the texts of many copies
+    before or at the row, and the part of such a text by the key's hash."""
+    spark = rows.sparkSession
+    ends = [-(1 << 63), *(e.text for e in edges), (1 << 63) - 1]
+    stretches = []
+    for j in range(len(ends) - 1):
+        low, high = (min(x, (1 << 63) - 1) >> 12 for x in (ends[j], ends[j + 1]))
+        stretches.append({"__hs_of": j, "__hs_low": low, "__hs_width": max(1, -(-(high - low + 1) // pieces))})
+    table = literal_rows(spark, stretches, "__hs_of int, __hs_low bigint, __hs_width bigint")
+    sharded = (_ranged(spark, rows, edges, h, k, "__hs_shard").join(F.broadcast(table), F.col("__hs_shard") == F.col("__hs_of"))
+               .withColumn("__hs_cell", F.expr(f"(shiftright({h}, 12) - __hs_low) div __hs_width")))
+    looked = (sharded.withColumn("__hs_at", F.shiftright(h, _COARSE))
+              .join(F.broadcast(hot), F.col("__hs_at") == F.col("__hs_upper")))
+    below, upto = F.filter("__hs_hot", lambda c: c["h"] < F.col(h)), F.filter("__hs_hot", lambda c: c["h"] <= F.col(h))
+    own = F.get(F.filter("__hs_hot", lambda c: c["h"] == F.col(h)), F.lit(0))["parts"]
+    return (looked.withColumn("__hs_segment", 2 * F.col("__hs_hots") + F.size(below) + F.size(upto))
+            .withColumn("__hs_parts", F.coalesce(own, F.lit(1)))
+            .withColumn("__hs_part", F.expr(f"(shiftright({k}, 12) + {1 << 51}) div ({1 << 52} div __hs_parts + 1)"))
+            .drop("__hs_of", "__hs_low", "__hs_width", "__hs_at", "__hs_upper", "__hs_hot", "__hs_hots", "__hs_parts"))
+
+
+_RANGE = ["__hs_shard", "__hs_cell", "__hs_segment", "__hs_part"]
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, task_bytes: int = TASK_BYTES,
           text: str = "text", key: str = "doc_id") -> DataFrame:
     """All columns of ``docs`` with ``shard`` (0 to ``shards - 1``) and
     ``slot`` (gapless from 0 in a shard), physically placed: each partition
-    holds one range of one shard, sorted."""
+    holds one range of one shard, sorted.
+
+    The driver settles the shards' splitters only and gets a number for each
+    shard.  A shard's ranges, their sizes and first slots are a table that the
+    executors make, of at most about three times ``MAX_RANGES`` rows; tables
+    beyond ``MAX_RANGES * task_bytes`` get larger ranges."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     hashed = (docs.drop(*[c for c in ("shard", "slot") if c in docs.columns])
@@ -181,18 +232,31 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, t
         hashed.select(F.col("__hs_h").alias("h"), F.col("__hs_k").alias("k"), (F.octet_length(body) + 16).cast("long").alias("size")),
         "shard-keys")
     size = keys.agg(F.sum("size")).first()[0] or 0
+    task_bytes = max(task_bytes, -(-size // MAX_RANGES))
     pieces = max(1, -(-size // (shards * task_bytes)))
-    edges, _ = splitters(keys, shards * pieces, tolerance)
-    rows_below = [0, *(e.rows for e in edges)]
-    offsets = literal_rows(spark, [{"__hs_of": i, "__hs_offset": rows_below[i] - rows_below[i // pieces * pieces]}
-                                   for i in range(len(rows_below))], "__hs_of int, __hs_offset bigint")
-    ranged = _ranged(spark, hashed, edges, "__hs_h", "__hs_k", "__hs_range").repartitionById(len(rows_below), F.col("__hs_range"))
+    edges, _ = splitters(keys, shards, tolerance)
+    hot = shared.written(_hot_texts(keys, task_bytes), "shard-hot")
+    order = W.partitionBy("__hs_shard").orderBy(*_RANGE[1:])
+    counted = _placed(keys, edges, pieces, hot, "h", "k").groupBy(*_RANGE).agg(F.count("*").alias("n"))
+    ranges = shared.written(
+        counted.select(*_RANGE, (F.row_number().over(order) - 1).alias("__hs_number"),
+                       (F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("__hs_offset")),
+        "shard-ranges")
+    firsts, total = [], 0
+    for j, n in sorted(ranges.groupBy("__hs_shard").count().collect()):
+        firsts.append({"__hs_of": j, "__hs_first": total})
+        total += n
+    if not total:
+        return hashed.drop("__hs_h", "__hs_k").withColumns({"shard": F.lit(None).cast("int"), "slot": F.lit(None).cast("long")})
+    numbered = (ranges.join(F.broadcast(literal_rows(spark, firsts, "__hs_of int, __hs_first int")),
+                            F.col("__hs_shard") == F.col("__hs_of"))
+                .select(*_RANGE, (F.col("__hs_first") + F.col("__hs_number")).cast("int").alias("__hs_range"), "__hs_offset"))
+    ranged = (_placed(hashed, edges, pieces, hot, "__hs_h", "__hs_k").join(F.broadcast(numbered), _RANGE)
+              .repartitionById(total, F.col("__hs_range")))
     position = F.row_number().over(W.partitionBy("__hs_range").orderBy("__hs_h", "__hs_k"))
-    placed = (ranged.withColumn("__hs_row", position)
-              .join(F.broadcast(offsets), F.col("__hs_range") == F.col("__hs_of")))
-    return (placed.withColumn("shard", F.expr(f"__hs_range div {pieces}").cast("int"))
-            .withColumn("slot", (F.col("__hs_row") - 1 + F.col("__hs_offset")).cast("long"))
-            .drop("__hs_h", "__hs_k", "__hs_range", "__hs_row", "__hs_of", "__hs_offset"))
+    return (ranged.withColumn("shard", F.col("__hs_shard").cast("int"))
+            .withColumn("slot", (position - 1 + F.col("__hs_offset")).cast("long"))
+            .drop("__hs_h", "__hs_k", "__hs_range", "__hs_offset", *_RANGE))
 
 
 def op7_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
