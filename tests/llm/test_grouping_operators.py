@@ -201,6 +201,33 @@ def test_shards_of_few_rows_and_rounds(spark):
     assert below == [e.bytes for e in edges[:3]]
 
 
+@pytest.mark.parametrize("task_bytes", [1 << 10, 1 << 14, 1 << 30])
+def test_shards_equal_plain_order(spark, monkeypatch, task_bytes):
+    """Brute force: rows in the order of their hashes, cut where bytes are even;
+    what the driver gets doesn't grow as ranges get smaller."""
+    rows = [(i % 900, "copies " * 6) for i in range(1800)] + [(i, f"{i} " * (i % 50)) for i in range(1500)] + [(5, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tables, literal = [], histogram_sort.literal_rows
+    monkeypatch.setattr(histogram_sort, "literal_rows", lambda spark, rows, schema: tables.append(len(rows)) or literal(spark, rows, schema))
+    out = histogram_sort.shard(docs, shards=5, task_bytes=task_bytes)
+    assert max(tables) <= 4096
+    got = (out.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("k", F.xxhash64("doc_id"))
+           .withColumn("part", F.spark_partition_id()).orderBy("shard", "slot").collect())
+    assert len(got) == len(rows) and [(r["h"], r["k"]) for r in got] == sorted((r["h"], r["k"]) for r in got)
+    check_shards(got, 5)
+    sizes = [len((r["text"] or "").encode()) + 16 for r in got]
+    total, below = sum(sizes), 0
+    for shard in range(4):
+        below += sum(n for n, r in zip(sizes, got) if r["shard"] == shard)
+        assert abs(below - total * (shard + 1) / 5) <= histogram_sort.TOLERANCE * total / 5 + max(sizes)
+    held = {}
+    for n, r in zip(sizes, got):
+        held[r["part"]] = held.get(r["part"], 0) + n
+    if task_bytes == 1 << 14:  # hot text or not, a task takes about as much
+        assert max(held.values()) <= 3 * task_bytes
+        assert out.drop("doc_id", "text").rdd.getNumPartitions() <= 4 * (total // task_bytes + 5)
+
+
 def test_shard_query_is_native_and_whole(spark):
     out = histogram_sort.op7_histogram_sort(spark, SF)
     plan = out._jdf.queryExecution().executedPlan().toString()
