@@ -14,7 +14,7 @@ columns and l = 12: 5 MB), whatever the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,25 +119,40 @@ def _mean(rows: DataFrame) -> tuple[int, int, np.ndarray]:
     return n, int(total[feature == -4][0]), mean
 
 
+def _cross(columns: Iterable[pa.Array], z: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These rows' part of the cross product times ``z``, and which columns
+    they use."""
+    total, used = np.zeros(z.shape), np.zeros(len(z), dtype=bool)
+    for column in columns:
+        for at in range(0, len(column), ROWS):
+            part = column.slice(at, ROWS)
+            y = _product(part, z) - shift
+            row, feature, value = vector_entries(part)
+            order = np.argsort(feature, kind="stable")
+            row, feature, value = row[order], feature[order], value[order]
+            if len(row):
+                starts = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]])
+                total[feature[starts]] += np.add.reduceat(y[row] * value[:, None], starts, axis=0)
+                used[feature[starts]] = True
+    return total, used
+
+
+def _factor(columns: Iterable[pa.Array], z: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """R of the QR factorisation of these rows, centred, times ``z``."""
+    r = np.zeros((0, z.shape[1]))
+    for column in columns:
+        for at in range(0, len(column), ROWS):
+            r = np.linalg.qr(np.vstack([r, _product(column.slice(at, ROWS), z) - shift]), mode="r")
+    return r
+
+
 def _round(rows: DataFrame, block: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """The centred rows' cross product with themselves, times ``block``."""
     shared = rows.sparkSession.sparkContext.broadcast((block, mean @ block))
-    size, width = block.shape
+    width = block.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, shift = shared.value
-        total, used = np.zeros((size, width)), np.zeros(size, dtype=bool)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.column(0).slice(at, ROWS)
-                y = _product(part, z) - shift
-                row, feature, value = vector_entries(part)
-                order = np.argsort(feature, kind="stable")
-                row, feature, value = row[order], feature[order], value[order]
-                if len(row):
-                    starts = np.flatnonzero(np.r_[True, feature[1:] != feature[:-1]])
-                    total[feature[starts]] += np.add.reduceat(y[row] * value[:, None], starts, axis=0)
-                    used[feature[starts]] = True
+        total, used = _cross((b.column(0) for b in batches), *shared.value)
         # Columns these rows don't use send nothing.
         at = np.flatnonzero(used)
         for first in range(0, len(at), ROWS):
@@ -148,7 +163,7 @@ def _round(rows: DataFrame, block: np.ndarray, mean: np.ndarray) -> np.ndarray:
     schema = "feature int, " + ", ".join(f"y{i} double" for i in range(width))
     found = (map_arrow(rows, run, schema).groupBy("feature").agg(*(F.sum(f"y{i}").alias(f"y{i}") for i in range(width)))
              .toArrow())
-    out = np.zeros((size, width))
+    out = np.zeros(block.shape)
     out[found["feature"].to_numpy()] = np.column_stack([found[f"y{i}"].to_numpy() for i in range(width)])
     shared.unpersist()
     return out
@@ -163,11 +178,7 @@ def _triangle(rows: DataFrame, block: np.ndarray, mean: np.ndarray) -> np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        z, shift = shared.value
-        r = np.zeros((0, width))
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                r = np.linalg.qr(np.vstack([r, _product(batch.column(0).slice(at, ROWS), z) - shift]), mode="r")
+        r = _factor((b.column(0) for b in batches), *shared.value)
         if len(r):
             group = TaskContext.get().partitionId() % GROUPS
             yield pa.record_batch([pa.array([group], pa.int32()), pa.array([r.ravel()], pa.list_(pa.float64()))], names=["g", "r"])
@@ -186,7 +197,7 @@ def _triangle(rows: DataFrame, block: np.ndarray, mean: np.ndarray) -> np.ndarra
 
 
 def fit_wide_pca(df: DataFrame, vector: str, k: int = 2, oversample: int = 10, tolerance: float = 1e-9,
-                 max_rounds: int = 100, seed: int = 0) -> WidePCA:
+                 max_rounds: int = 100, seed: int = 0, task_bytes: int = FIT_BYTES) -> WidePCA:
     """The ``k`` leading axes of a column of ML vectors of one length.
 
     Rounds go on until the k axes turn by less than ``tolerance`` (the sine of
@@ -196,7 +207,8 @@ def fit_wide_pca(df: DataFrame, vector: str, k: int = 2, oversample: int = 10, t
     ``oversample``.  Rows whose vector is null or holds a value that isn't
     finite are left out.  Where the columns are no more than l, one round is
     exact.  Fewer than two rows: ValueError.  The rows are persisted for the
-    rounds, in partitions of about 32 MB; a lost one is made again.
+    rounds, in partitions of about ``task_bytes``, a lost one being made again;
+    rows that fill just one have all rounds in its task.
     """
     rows = df.select(col(vector).alias("x")).where(F.col("x").isNotNull())
 
@@ -212,21 +224,50 @@ def fit_wide_pca(df: DataFrame, vector: str, k: int = 2, oversample: int = 10, t
         n, entries, mean = _mean(rows)
         if n < 2:
             raise ValueError("PCA needs two rows at least")
-        parts = -(-(32 * n + 12 * entries) // FIT_BYTES)
-        return _fit(rows.coalesce(parts), n, mean, k, oversample, tolerance, max_rounds, seed)
+        parts = -(-(32 * n + 12 * entries) // task_bytes)
+        ask = mean, n, k, oversample, tolerance, max_rounds, seed
+        if parts == 1:
+            return _in_one_task(rows.coalesce(1), ask)
+        rows_held = rows.coalesce(parts)
+        return _iterate(lambda z: _round(rows_held, z, mean), lambda z: _triangle(rows_held, z, mean), *ask)
     finally:
         rows.unpersist()
 
 
-def _fit(rows: DataFrame, n: int, mean: np.ndarray, k: int, oversample: int, tolerance: float,
-         max_rounds: int, seed: int) -> WidePCA:
+def _in_one_task(rows: DataFrame, ask: tuple) -> WidePCA:
+    """All rounds in one task, which holds its rows: the same steps without a
+    job for each round."""
+    shared = rows.sparkSession.sparkContext.broadcast(ask)
+    kind = "error string, rounds int, components array<double>, variances array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, mean = [b.column(0) for b in batches], shared.value[0]
+        error, found = None, WidePCA(np.zeros((0, 0)), np.zeros(0), mean, 0)
+        try:
+            found = _iterate(lambda z: _cross(columns, z, mean @ z)[0], lambda z: _factor(columns, z, mean @ z), *shared.value)
+        except ValueError as unsettled:
+            error = str(unsettled)
+        yield pa.record_batch([pa.array([error], pa.string()), pa.array([found.rounds], pa.int32()),
+                               pa.array([found.components.ravel()], pa.list_(pa.float64())),
+                               pa.array([found.variances], pa.list_(pa.float64()))],
+                              names=["error", "rounds", "components", "variances"])
+
+    row = map_arrow(rows, run, kind).first()
+    shared.unpersist()
+    if row["error"]:
+        raise ValueError(row["error"])
+    return WidePCA(np.array(row["components"]).reshape(-1, len(ask[0])), np.array(row["variances"]), ask[0], row["rounds"])
+
+
+def _iterate(cross: Callable[[np.ndarray], np.ndarray], triangle: Callable[[np.ndarray], np.ndarray], mean: np.ndarray, n: int,
+             k: int, oversample: int, tolerance: float, max_rounds: int, seed: int) -> WidePCA:
     size = len(mean)
     k, width = min(k, size), min(k + oversample, size)
     block = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
     axes, rounds = None, 0
     while width < size:
         rounds += 1
-        product = _round(rows, block, mean)
+        product = cross(block)
         # Rayleigh-Ritz: the best k axes inside the block's space so far.
         small = block.T @ product
         values, vectors = np.linalg.eigh((small + small.T) / 2)
@@ -237,7 +278,7 @@ def _fit(rows: DataFrame, n: int, mean: np.ndarray, k: int, oversample: int, tol
         axes = now
         if rounds == max_rounds:
             raise ValueError(f"the axes still turn after {max_rounds} rounds")
-    _, scale, turned = np.linalg.svd(_triangle(rows, block, mean))
+    _, scale, turned = np.linalg.svd(triangle(block))
     scale = np.r_[scale, np.zeros(width)][:k]
     components = turned[:k] @ block.T
     signs = np.sign(components[np.arange(k), np.abs(components).argmax(axis=1)])

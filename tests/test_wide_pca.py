@@ -43,7 +43,12 @@ def test_fifty_thousand_sparse_columns(spark):
         own = {3: a, 70: a, 90: b, 95: -b, **{int(j): float(v) for j, v in zip(noise, rng.normal(size=12) * 0.3)}}
         rows.append((i, Vectors.sparse(d, own)))
     df = spark.createDataFrame(rows, ["id", "v"]).repartition(6)
-    found = wide_pca.fit_wide_pca(df, "v", 2, tolerance=1e-6)
+    found = wide_pca.fit_wide_pca(df, "v", 2, tolerance=1e-6, task_bytes=4096)
+    alone = wide_pca.fit_wide_pca(df, "v", 2, tolerance=1e-6)
+    assert alone.rounds == found.rounds > 0
+    np.testing.assert_allclose(alone.components, found.components, atol=1e-9)
+    with pytest.raises(ValueError):
+        wide_pca.fit_wide_pca(df, "v", 2, tolerance=0.0, max_rounds=2)
     assert found.components.shape == (2, d)
     strongest = [set(np.argsort(-np.abs(c))[:2]) for c in found.components]
     assert strongest == [{3, 70}, {90, 95}]
@@ -60,7 +65,7 @@ def test_few_columns_are_exact_and_repeatable_over_partitions(spark):
     matrix = rng.normal(size=(60, 7)) * [5, 3, 2, 1, 1, 0, 1] + 100.0
     matrix[:, 5] = 0
     want = np.linalg.svd(matrix - matrix.mean(axis=0))
-    one, many = (wide_pca.fit_wide_pca(_vectors(spark, matrix, p), "v", 3) for p in (1, 13))
+    one, many = (wide_pca.fit_wide_pca(_vectors(spark, matrix, p), "v", 3, task_bytes=p * 500) for p in (13, 1))
     for found in (one, many):
         assert found.rounds == 0
         _close(found.components, want[2][:3], 1e-9)
