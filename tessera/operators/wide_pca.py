@@ -3,13 +3,18 @@
 A randomized range finder: the rows are multiplied by a narrow block of l =
 ``k + oversample`` directions, at first seeded normal ones, and the products
 lead to better directions, round after round (Halko, Martinsson and Tropp,
-2011).  One round is one pass: each task multiplies its rows, centred, and
+2011).  Directions of earlier rounds are kept and the best axes are looked for
+among all of them (a block Krylov space, restarted with the l best when it is
+full; Musco and Musco, 2015), so variances that hardly differ take few rounds
+too.  One round is one pass: each task multiplies its rows, centred, and
 sends for each column that its rows use l numbers, which are added up by
 column.  Once the directions are found, each task factors its rows' products
 by QR, the small triangles are factored again in groups, and the last triangle
 gives axes and variances (Demmel et al., 2012), so nothing of columns x columns
-exists anywhere.  The driver and each task hold columns x l doubles (50,000
-columns and l = 12: 5 MB), whatever the number of rows.
+exists anywhere.  Each task holds columns x l doubles (50,000 columns and
+l = 12: 5 MB), the driver (or the one task of few rows) also the directions
+kept and their products (``BASIS_BYTES``, or six times columns x l doubles),
+whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -33,6 +38,11 @@ from tessera.operators.train import FIT_BYTES
 # Rows multiplied at once and triangles factored in one group.
 ROWS = 4096
 GROUPS = 64
+# Directions kept over the rounds, unless three blocks are more, and the bytes
+# that they and their products may take.
+BASIS, BASIS_BYTES = 1024, 64 << 20
+# Residuals this small, as a share of the largest variance, are rounding.
+ROUNDING = 1e-13
 
 
 @dataclass(frozen=True)
@@ -201,10 +211,10 @@ def fit_wide_pca(df: DataFrame, vector: str, k: int = 2, oversample: int = 10, t
     """The ``k`` leading axes of a column of ML vectors of one length.
 
     Rounds go on until the k axes turn by less than ``tolerance`` (the sine of
-    the largest angle between two rounds' spaces).  Each pass brings them
-    nearer by the ratio of the variances number l + 1 and k; axes of equal
-    variance are any basis of their space.  ValueError if ``max_rounds`` aren't enough: raise them, or
-    ``oversample``.  Rows whose vector is null or holds a value that isn't
+    the largest angle between two rounds' spaces), or nothing but rounding is
+    left to better; at most ``BASIS`` columns are exact once the directions kept
+    are as many.  Axes of equal variance are any basis of their space.
+    ValueError if ``max_rounds`` aren't enough: raise them, or ``oversample``.  Rows whose vector is null or holds a value that isn't
     finite are left out.  Where the columns are no more than l, one round is
     exact.  Fewer than two rows: ValueError.  The rows are persisted for the
     rounds, in partitions of about ``task_bytes``, a lost one being made again;
@@ -259,25 +269,46 @@ def _in_one_task(rows: DataFrame, ask: tuple) -> WidePCA:
     return WidePCA(np.array(row["components"]).reshape(-1, len(ask[0])), np.array(row["variances"]), ask[0], row["rounds"])
 
 
+def _outside(directions: np.ndarray, basis: np.ndarray, least: float) -> np.ndarray:
+    """An orthonormal basis of what ``directions`` have outside ``basis``, as
+    far as they are longer than ``least``; no more than there is room for."""
+    room = len(basis) - basis.shape[1]
+    out, scale, _ = np.linalg.svd(directions - basis @ (basis.T @ directions), full_matrices=False)
+    out = out[:, scale > least][:, :room]
+    # Again: short directions have lost their right angle to the basis.
+    for _ in range(2):
+        out = np.linalg.qr(out - basis @ (basis.T @ out))[0]
+    return out
+
+
 def _iterate(cross: Callable[[np.ndarray], np.ndarray], triangle: Callable[[np.ndarray], np.ndarray], mean: np.ndarray, n: int,
              k: int, oversample: int, tolerance: float, max_rounds: int, seed: int) -> WidePCA:
     size = len(mean)
     k, width = min(k, size), min(k + oversample, size)
     block = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, width)))[0]
-    axes, rounds = None, 0
+    basis, images = np.zeros((size, 0)), np.zeros((size, 0))
+    most = min(size, max(3 * width, min(BASIS, BASIS_BYTES // (16 * size))))
+    axes, fresh, rounds = None, block, 0
     while width < size:
         rounds += 1
-        product = cross(block)
-        # Rayleigh-Ritz: the best k axes inside the block's space so far.
-        small = block.T @ product
+        basis, images = np.hstack([basis, fresh]), np.hstack([images, cross(fresh)])
+        # Rayleigh-Ritz: the best axes inside the space of all blocks kept.
+        small = basis.T @ images
         values, vectors = np.linalg.eigh((small + small.T) / 2)
-        now = block @ vectors[:, ::-1][:, :k]
-        block = np.linalg.qr(product)[0]
+        values, vectors = values[::-1][:width], vectors[:, ::-1][:, :width]
+        block, ahead = basis @ vectors, images @ vectors
+        now, off = block[:, :k], ahead - block * values
         if axes is not None and np.linalg.norm(now - axes @ (axes.T @ now), 2) < tolerance:
             break
         axes = now
+        if basis.shape[1] + width > most and basis.shape[1] < size and most < size:
+            basis, images = block, ahead
+        fresh = _outside(off, basis, ROUNDING * np.abs(values).max())
+        if not fresh.shape[1] or np.linalg.norm(off[:, :k], axis=0).max() <= ROUNDING * np.abs(values).max():
+            break
         if rounds == max_rounds:
             raise ValueError(f"the axes still turn after {max_rounds} rounds")
+    block = np.linalg.qr(block)[0]
     _, scale, turned = np.linalg.svd(triangle(block))
     scale = np.r_[scale, np.zeros(width)][:k]
     components = turned[:k] @ block.T

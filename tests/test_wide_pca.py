@@ -89,3 +89,27 @@ def test_missing_rows_constant_columns_and_clashing_names(spark):
         wide_pca.fit_wide_pca(df.limit(0), "v")
     with pytest.raises(ValueError):
         wide_pca.fit_wide_pca(df.unionByName(spark.createDataFrame([(9, Vectors.dense(1.0))], ["id", "v"])), "v")
+
+
+@pytest.mark.parametrize("task_bytes", [4096, wide_pca.FIT_BYTES])
+def test_variances_that_hardly_differ(spark, task_bytes):
+    """64 variances from 1.01 down to 0.95: no gap behind the directions, and
+    two axes that are all but equal.  100 rounds didn't settle them."""
+    rng = np.random.default_rng(7)
+    turned = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    half = np.sqrt(np.linspace(1.01, 0.95, 64) * 127 / 2)[:, None] * turned
+    matrix = np.vstack([half, -half]) + 3.0
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(matrix)]
+    df = spark.createDataFrame(rows, "id long, x array<double>").select("id", array_to_vector("x").alias("v")).repartition(4)
+    found = wide_pca.fit_wide_pca(df, "v", 2, oversample=40, tolerance=1e-10, task_bytes=task_bytes)
+    assert 0 < found.rounds <= 3
+    _close(found.components, turned[:2], 1e-8)
+    np.testing.assert_allclose(found.variances, np.linspace(1.01, 0.95, 64)[:2], rtol=1e-10)
+
+
+def test_equal_variances_settle_by_their_residual(spark):
+    half = np.eye(40) * np.sqrt(79 / 2)
+    df = _vectors(spark, np.vstack([half, -half]), 3)
+    found = wide_pca.fit_wide_pca(df, "v", 2, oversample=6, tolerance=1e-10)
+    np.testing.assert_allclose(found.variances, [1.0, 1.0], rtol=1e-10)
+    np.testing.assert_allclose(found.components @ found.components.T, np.eye(2), atol=1e-10)
