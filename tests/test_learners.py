@@ -143,6 +143,23 @@ def test_join_odd_rows(spark):
     assert knn_join.knn_join(points, points.limit(0), 3).count() == 0
 
 
+def test_join_sends_a_query_once_to_a_bin_of_many_cells(spark, monkeypatch):
+    """Points without clusters, so that nearly all cells are looked at: about
+    ``BINS`` copies of a query and of a row, not one for each of 64 cells."""
+    rng = np.random.default_rng(11)
+    n, sent = 4096, []
+    x = rng.normal(size=(n, 24)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").repartition(4)
+    points = knn_join.written(knn_join.points(df, "i", "v"), "spread")
+    plain = knn_join._compared
+    monkeypatch.setattr(knn_join, "_compared", lambda dealt, *more: (sent.append(dealt.count()), plain(dealt, *more))[1])
+    got = {(r["query"], r["rank"]): r["id"] for r in knn_join.knn_join(points, points, 3).collect()}
+    for i in range(n):
+        near = np.lexsort((np.arange(n), np.square(x - x[i]).sum(axis=1)))[:3]
+        assert [got[i, k] for k in (1, 2, 3)] == near.tolist()
+    assert sum(sent) <= 12 * n
+
+
 def test_knn_votes_by_join_equal_those_by_broadcast(spark, tmp_root):
     rng = np.random.default_rng(6)
     x = np.round(rng.normal(size=(600, 3)), 1)
