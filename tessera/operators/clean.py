@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.arrow import arrow_schema, map_arrow
 from tessera.functions.expressions import MISSING_TOKENS, col, nan_to_null
 from tessera.functions.schema import FLOATING_TYPES, is_numeric, select_columns
 from tessera.functions.stats import collect_stats, quantiles
 from tessera.plans import ordering
 
+# Rows of a sorted partition, and rows whose gaps are filled at once.
+SORT_ROWS, CHUNK_ROWS = 1 << 18, 1 << 14
 STRATEGIES = ("mean", "median", "most_frequent", "drop", "interpolate")
 
 
@@ -166,6 +171,26 @@ def fill_zero(df: DataFrame) -> DataFrame:
     return out.fillna("0", subset=strings) if strings else out
 
 
+def _fill_gaps(x: pa.Array, start: int, before: tuple | None, after: tuple | None) -> pa.Array:
+    """Values of rows ``start`` .. with their inner gaps interpolated between
+    the neighbours (position, value), those outside being given; trailing gaps
+    repeat the last value, leading ones stay null."""
+    known, at = x.is_valid().to_numpy(zero_copy_only=False), np.arange(len(x))
+    v = x.fill_null(0.0).to_numpy(zero_copy_only=False)
+    last = np.maximum.accumulate(np.where(known, at, -1))
+    following = np.minimum.accumulate(np.where(known, at, len(x))[::-1])[::-1]
+    inside, ahead = last >= 0, following < len(x)
+    p0, v0 = before or (0, 0.0)
+    p1, v1 = after or (0, 0.0)
+    pp, pv = np.where(inside, start + last, p0), np.where(inside, v[last], v0)
+    to, tv = np.where(ahead, start + following, p1), np.where(ahead, v[np.minimum(following, len(x) - 1)], v1)
+    has_before, has_after = inside | (before is not None), ahead | (after is not None)
+    with np.errstate(all="ignore"):
+        inner = pv + (tv - pv) * (start + at - pp).astype(float) / (to - pp).astype(float)
+    out = np.where(known, v, np.where(has_after, inner, pv))
+    return pa.array(out, mask=~(known | has_before))
+
+
 def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
                 num_partitions: int | None = None) -> DataFrame:
     """Linear interpolation by row position in ``order_by``.
@@ -174,28 +199,32 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
     trailing gaps repeat the last value, leading gaps stay empty and are then
     filled with the mean of the interpolated column.
 
-    Scale: rows are range-partitioned and sorted (no global window).  Inside
-    a partition the neighbours come from a window over that partition; across
-    partitions they come from a table of one row per partition (first and
+    Scale: rows are range-partitioned and sorted (no global window), in
+    partitions of at most about ``SORT_ROWS`` rows.  A task fills its rows in
+    chunks of ``CHUNK_ROWS``, in their order and without another sort; what
+    lies outside of a chunk comes from a table of one row per chunk (first and
     last known value of each column), which is what reaches the driver.
     """
     cols = list(cols)
     if not cols:
         return df
     order_cols = list(order_by)
-    tagged = ordering.sorted_tagged(df, order_cols, num_partitions)
+    if not num_partitions:
+        num_partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // SORT_ROWS))
     idx = ordering.local_index()
+    chunk = "_ts_chunk"
+    tagged = ordering.sorted_tagged(df, order_cols, num_partitions).withColumn(chunk, (idx / CHUNK_ROWS).cast("long"))
 
-    # Per partition: size, and first/last (index, value) of known values.
+    # Per chunk: size, and first/last (index, value) of known values.
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
         known = F.when(col(c).isNotNull(), F.struct(idx.alias("i"),
                                                        col(c).cast("double").alias("v")))
         aggs += [F.min(known).alias(f"f{i}"), F.max(known).alias(f"l{i}")]
-    summary = sorted(tagged.groupBy(ordering.PID).agg(*aggs).collect(), key=lambda r: r[0])
+    summary = sorted(tagged.groupBy(ordering.PID, chunk).agg(*aggs).collect(), key=lambda r: (r[0], r[1]))
 
-    # Carry-ins per partition: last known value before it, first known after.
-    # One forward and one backward scan over the partition table.
+    # Carry-ins per chunk: last known value before it, first known after.
+    # One forward and one backward scan over the table of chunks.
     starts, offset = [], 0
     for r in summary:
         starts.append(offset)
@@ -209,7 +238,7 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
             prev_of[j][i] = running[i]
             last = r[f"l{i}"]
             if last is not None:
-                running[i] = (starts[j] + last["i"], last["v"])
+                running[i] = (starts[j] + last["i"] - r[chunk] * CHUNK_ROWS, last["v"])
     running = [None] * k
     for j in range(len(summary) - 1, -1, -1):
         r = summary[j]
@@ -217,53 +246,44 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: Sequence[str],
             next_of[j][i] = running[i]
             first = r[f"f{i}"]
             if first is not None:
-                running[i] = (starts[j] + first["i"], first["v"])
-    carry_rows = []
-    for j, r in enumerate(summary):
-        row = [int(r[0]), int(starts[j])]
-        for i in range(k):
-            p, q = prev_of[j][i], next_of[j][i]
-            row += [p[0] if p else None, p[1] if p else None,
-                    q[0] if q else None, q[1] if q else None]
-        carry_rows.append(tuple(row))
+                running[i] = (starts[j] + first["i"] - r[chunk] * CHUNK_ROWS, first["v"])
+    carry = df.sparkSession.sparkContext.broadcast(
+        {(r[0], r[1]): (starts[j], prev_of[j], next_of[j]) for j, r in enumerate(summary)})
     # A column has leading gaps when its first known value is not at position 0.
     any_leading = []
     for i in range(k):
-        first_known = next(((starts[j] + r[f"f{i}"]["i"]) for j, r in enumerate(summary)
+        first_known = next(((starts[j] + r[f"f{i}"]["i"] - r[chunk] * CHUNK_ROWS) for j, r in enumerate(summary)
                             if r[f"f{i}"] is not None), None)
         any_leading.append(first_known is not None and first_known > 0)
 
-    fields = [T.StructField(ordering.PID, T.IntegerType()), T.StructField("_start", T.LongType())]
-    for i in range(len(cols)):
-        fields += [T.StructField(f"_pp{i}", T.LongType()), T.StructField(f"_pv{i}", T.DoubleType()),
-                   T.StructField(f"_np{i}", T.LongType()), T.StructField(f"_nv{i}", T.DoubleType())]
-    carry = df.sparkSession.createDataFrame(carry_rows, T.StructType(fields))
-
-    # Both neighbours use growing frames (the "next" one in reverse order):
-    # a frame ending at unboundedFollowing is re-aggregated for every row.
-    before = (Window.partitionBy(ordering.PID).orderBy(ordering.MID)
-              .rowsBetween(Window.unboundedPreceding, 0))
-    after = (Window.partitionBy(ordering.PID).orderBy(F.col(ordering.MID).desc())
-             .rowsBetween(Window.unboundedPreceding, 0))
-    pos = F.col("_start") + idx
-    out = tagged.join(F.broadcast(carry), ordering.PID)
-    fills = {}
-    for i, c in enumerate(cols):
-        known = F.when(col(c).isNotNull(), F.struct(pos.alias("p"),
-                                                       col(c).cast("double").alias("v")))
-        prev = F.last(known, ignorenulls=True).over(before)
-        nxt = F.last(known, ignorenulls=True).over(after)
-        pp = F.coalesce(prev["p"], F.col(f"_pp{i}"))
-        pv = F.when(prev.isNotNull(), prev["v"]).otherwise(F.col(f"_pv{i}"))
-        np_ = F.coalesce(nxt["p"], F.col(f"_np{i}"))
-        nv = F.when(nxt.isNotNull(), nxt["v"]).otherwise(F.col(f"_nv{i}"))
-        inner = pv + (nv - pv) * (pos - pp).cast("double") / (np_ - pp).cast("double")
-        fills[c] = (F.when(col(c).isNotNull(), col(c).cast("double"))
-                     .when(pp.isNotNull() & np_.isNotNull(), inner)
-                     .when(pp.isNotNull(), pv))
-    drop = [ordering.PID, ordering.MID, "_start"] + [f"_{k}{i}" for i in range(len(cols))
-                                                     for k in ("pp", "pv", "np", "nv")]
-    result = out.withColumns(fills).drop(*drop)
+    schema = T.StructType([T.StructField(f.name, T.DoubleType()) if f.name in cols else f for f in df.schema.fields])
+    numbers = {f"_ts_x{i}": col(c).cast("double") for i, c in enumerate(cols)}
+    arrow = arrow_schema(schema)
+
+    def filled(key: tuple, held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held)
+        start, before, after = carry.value[key]
+        done = {c: _fill_gaps(rows.column(f"_ts_x{i}").combine_chunks(), start, before[i], after[i]) for i, c in enumerate(cols)}
+        return pa.Table.from_arrays([done[n] if n in done else rows.column(n) for n in arrow.names],
+                                    names=arrow.names).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (ordering.PID, chunk)], axis=1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if begin == end:
+                    continue
+                if tuple(keys[begin].tolist()) != key and held:
+                    yield from filled(key, held)
+                    held = []
+                key = tuple(keys[begin].tolist())
+                held.append(batch.slice(begin, end - begin))
+        if held:
+            yield from filled(key, held)
+
+    result = map_arrow(tagged.withColumns(numbers).drop(ordering.MID), run, schema)
     leading_cols = [c for i, c in enumerate(cols) if any_leading[i]]
     if not leading_cols:
         return result

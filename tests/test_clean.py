@@ -64,6 +64,29 @@ def test_interpolate_matches_pandas_across_partitions(spark):
     np.testing.assert_allclose(out["x"].to_numpy(dtype=float), exp.to_numpy(), rtol=1e-12, atol=1e-12)
 
 
+def test_interpolate_fills_chunks_in_place(spark, monkeypatch):
+    """Chunks of 16 rows, some without a known value, other columns carried;
+    rows aren't sorted or shuffled again once they are in order."""
+    monkeypatch.setattr(clean, "CHUNK_ROWS", 16)
+    rng = np.random.default_rng(9)
+    n = 400
+    x, k = rng.normal(size=n), rng.integers(0, 9, n).astype(float)
+    x[rng.random(n) < 0.5] = np.nan
+    x[60:150] = np.nan
+    k[:40] = np.nan
+    pdf = pd.DataFrame({"x": x, "k": k})
+    rows = [(i, f"row {i}", None if math.isnan(a) else float(a), None if math.isnan(b) else int(b), [i]) for i, (a, b) in enumerate(zip(x, k))]
+    df = spark.createDataFrame(rows, "id long, s string, x double, k int, l array<long>").repartition(5)
+    made = clean.interpolate(df, ["x", "k"], ["id"], num_partitions=3)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
+    out = made.orderBy("id").toPandas()
+    want = pdf.interpolate()
+    want = want.fillna(want.mean())
+    np.testing.assert_allclose(out[["x", "k"]].to_numpy(dtype=float), want.to_numpy(), rtol=1e-12, atol=1e-12)
+    assert out["s"].tolist() == [f"row {i}" for i in range(n)] and [list(v) for v in out["l"]] == [[i] for i in range(n)]
+
+
 def test_interpolate_all_known_and_all_missing(spark):
     df = spark.createDataFrame([(1, 1.0, None), (2, 2.0, None)], "id long, x double, y double")
     out = clean.interpolate(df, ["x", "y"], ["id"]).orderBy("id").collect()
