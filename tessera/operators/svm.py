@@ -31,6 +31,11 @@ from pyspark.sql import types as T
 DEFAULT_COMPONENTS = 200
 
 
+def kernel_row_bytes(components: int = DEFAULT_COMPONENTS) -> int:
+    """Bytes of a row of Fourier features, as it is held for the fit."""
+    return 32 + 8 * components
+
+
 class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol,
                             DefaultParamsReadable, DefaultParamsWritable):
     """Fitted random Fourier map; the matrix product runs in an Arrow-batched

@@ -26,6 +26,7 @@ from tessera.functions.schema import is_categorical, is_numeric
 from tessera.operators.balance import MAX_CLASSES
 from tessera.operators.boosting import BoostedClassifier
 from tessera.operators.hashing import SignedHasher
+from tessera.operators.svm import kernel_row_bytes
 from tessera.plans.ordering import attach_small, hash_thresholds, with_group_index, with_position
 
 ALGORITHMS = ("logistic_regression", "random_forest", "xgboost", "decision_tree",
@@ -243,20 +244,22 @@ class TrainResult:
     labels: list[str] = field(default_factory=list)
 
 
-def _held(prepared: DataFrame, iterative: bool) -> tuple[DataFrame, int, int]:
+def _held(prepared: DataFrame, iterative: bool, made_bytes: int = 0) -> tuple[DataFrame, int, int]:
     """The (features, label) pairs persisted, for an ``iterative`` learner in
     partitions of about ``FIT_BYTES``, their number and the width of their
     vectors.  Such a learner runs a task for each partition in every iteration, so that few
-    rows must not lie in many partitions."""
+    rows must not lie in many partitions, nor many in few.  ``made_bytes``: what
+    the learner itself holds for each row, if it is more than the row."""
     plain = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     n_rows, first = plain.count(), plain.first()
     width = first[0].size if first else 0
     # A dense entry takes 8 bytes, a sparse one 12; one row stands for all.
     row_bytes = 32 + (8 * width if first is None or isinstance(first[0], DenseVector) else 12 * len(first[0].indices))
-    wanted = max(1, math.ceil(n_rows * row_bytes / FIT_BYTES))
-    if not iterative or wanted >= plain.rdd.getNumPartitions():
+    wanted = max(1, math.ceil(n_rows * max(row_bytes, made_bytes) / FIT_BYTES))
+    parts = plain.rdd.getNumPartitions()
+    if not iterative or wanted == parts:
         return plain, n_rows, width
-    held = plain.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
+    held = (plain.coalesce(wanted) if wanted < parts else plain.repartition(wanted)).persist(StorageLevel.MEMORY_AND_DISK)
     held.count()
     plain.unpersist()
     return held, n_rows, width
@@ -278,7 +281,8 @@ def fit_pipeline(train: DataFrame, target: str, algorithm: str = "random_forest"
     labels = list(label_model.labels)
     prepared = label_model.transform(feature_model.transform(train)).select(FEATURES, LABEL)
     # Trees take few jobs of much work, which all cores share.
-    prepared, n_rows, width = _held(prepared, algorithm not in ("random_forest", "decision_tree"))
+    made_bytes = kernel_row_bytes() if algorithm == "svm" else 0
+    prepared, n_rows, width = _held(prepared, algorithm not in ("random_forest", "decision_tree"), made_bytes)
     try:
         est = classifier(algorithm, n_rows, width, len(labels), seed, options)
         fitted = [est.fit(prepared)]

@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting, hashing, knn_join, neighbors, train
+from tessera.operators import boosting, hashing, knn_join, neighbors, svm, train
 
 
 @pytest.fixture(scope="module")
@@ -226,3 +226,17 @@ def test_shapiro_francia(spark):
     z = spark.sql(f"SELECT {normality.upper_tail_sql('1.5')} AS a, {normality.upper_tail_sql('-0.3')} AS b, {normality.normal_quantile_sql('0.001')} AS c").first()
     assert z["a"] == pytest.approx(1 - NormalDist().cdf(1.5), rel=1e-6) and z["b"] == pytest.approx(NormalDist().cdf(0.3), rel=1e-6)
     assert z["c"] == pytest.approx(NormalDist().inv_cdf(0.001), rel=1e-8)
+
+
+def test_rows_that_grow_in_the_fit_lie_in_partitions_of_what_is_held(spark):
+    """The kernel SVM holds 200 doubles a row: partitions are cut by these, and
+    more are made where too few came in."""
+    rows = spark.range(60_000, numPartitions=1).select(F.array(F.col("id").cast("double")).alias("x"), F.lit(1.0).alias("y"))
+    rows = rows.select(array_to_vector("x").alias("x"), "y")
+    made = svm.kernel_row_bytes()
+    assert made >= 8 * svm.DEFAULT_COMPONENTS
+    held, n, width = train._held(rows, True, made)
+    assert (n, width) == (60_000, 1)
+    sizes = [r["count"] for r in held.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) * made <= 1.1 * train.FIT_BYTES and sum(sizes) == n
+    held.unpersist()
