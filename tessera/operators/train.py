@@ -45,6 +45,7 @@ PREDICTED_LABEL = "predicted_label"
 FIT_BYTES = 32 << 20
 # The reference's trees grow without limit; Spark's own maximum.
 MAX_DEPTH = 30
+TREES = 100
 
 
 # ------------------------------------------------------------------- splits
@@ -216,8 +217,10 @@ def _estimator(algorithm: str, n_rows: int, n_features: int, n_classes: int, see
         return LogisticRegression(maxIter=1000, regParam=1.0 / max(n_rows, 1), tol=1e-4,
                                   standardization=False)
     if algorithm == "random_forest":
-        return RandomForestClassifier(numTrees=100, maxDepth=MAX_DEPTH,
-                                      featureSubsetStrategy="sqrt", seed=seed)
+        # Each row keeps its node in each tree, or every pass would lead it
+        # down all trees again; the trees are the same.
+        return RandomForestClassifier(numTrees=TREES, maxDepth=MAX_DEPTH,
+                                      featureSubsetStrategy="sqrt", seed=seed, cacheNodeIds=True)
     if algorithm == "xgboost":
         return BoostedClassifier()
     if algorithm == "decision_tree":
@@ -248,8 +251,9 @@ def _held(prepared: DataFrame, iterative: bool, made_bytes: int = 0) -> tuple[Da
     """The (features, label) pairs persisted, for an ``iterative`` learner in
     partitions of about ``FIT_BYTES``, their number and the width of their
     vectors.  Such a learner runs a task for each partition in every iteration, so that few
-    rows must not lie in many partitions, nor many in few.  ``made_bytes``: what
-    the learner itself holds for each row, if it is more than the row."""
+    rows must not lie in many partitions, nor many in few; of another learner's
+    only the latter are dealt out.  ``made_bytes``: what the learner itself
+    holds for each row, if it is more than the row."""
     plain = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     n_rows, first = plain.count(), plain.first()
     width = first[0].size if first else 0
@@ -257,7 +261,7 @@ def _held(prepared: DataFrame, iterative: bool, made_bytes: int = 0) -> tuple[Da
     row_bytes = 32 + (8 * width if first is None or isinstance(first[0], DenseVector) else 12 * len(first[0].indices))
     wanted = max(1, math.ceil(n_rows * max(row_bytes, made_bytes) / FIT_BYTES))
     parts = plain.rdd.getNumPartitions()
-    if not iterative or wanted == parts:
+    if wanted == parts or wanted < parts and not iterative:
         return plain, n_rows, width
     held = (plain.coalesce(wanted) if wanted < parts else plain.repartition(wanted)).persist(StorageLevel.MEMORY_AND_DISK)
     held.count()
@@ -281,7 +285,7 @@ def fit_pipeline(train: DataFrame, target: str, algorithm: str = "random_forest"
     labels = list(label_model.labels)
     prepared = label_model.transform(feature_model.transform(train)).select(FEATURES, LABEL)
     # Trees take few jobs of much work, which all cores share.
-    made_bytes = kernel_row_bytes() if algorithm == "svm" else 0
+    made_bytes = {"svm": kernel_row_bytes(), "random_forest": 32 + 4 * TREES}.get(algorithm, 0)
     prepared, n_rows, width = _held(prepared, algorithm not in ("random_forest", "decision_tree"), made_bytes)
     try:
         est = classifier(algorithm, n_rows, width, len(labels), seed, options)

@@ -240,3 +240,17 @@ def test_rows_that_grow_in_the_fit_lie_in_partitions_of_what_is_held(spark):
     sizes = [r["count"] for r in held.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) * made <= 1.1 * train.FIT_BYTES and sum(sizes) == n
     held.unpersist()
+
+
+def test_forest_rows_keep_their_nodes_and_its_trees_stay(spark):
+    rows = spark.range(0, 600, 1, 3).select(
+        array_to_vector(F.array((F.col("id") % 37).cast("double"), (F.col("id") % 11).cast("double"))).alias(train.FEATURES),
+        (F.col("id") * 7919 % 101 % 2).cast("double").alias(train.LABEL))
+    kept = train.classifier("random_forest", 600, 2, 2)
+    assert kept.getCacheNodeIds() and kept.getNumTrees() == train.TREES
+    plain = train.classifier("random_forest", 600, 2, 2, options={"cacheNodeIds": False})
+    assert kept.fit(rows).toDebugString.split("\n")[1:] == plain.fit(rows).toDebugString.split("\n")[1:]
+    many = spark.range(200_000, numPartitions=1).select(array_to_vector(F.array(F.col("id").cast("double"))).alias("x"), F.lit(1.0).alias("y"))
+    held, n, _ = train._held(many, False, 32 + 4 * train.TREES)
+    assert n == 200_000 and held.rdd.getNumPartitions() == 3
+    held.unpersist()
