@@ -172,7 +172,9 @@ FROM a{t}, generate_series(1, (SELECT count(*) FROM means)) AS n(i)""" for t in
 def wide_pca_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G7 for wide rows: two axes of embeddings by the range finder, four
     decimals, and their variances."""
-    vectors = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    # array_to_vector doesn't take nulls; such rows have no part in the fit.
+    whole = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull()))
+    vectors = whole.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     found = wide_pca.fit_wide_pca(vectors, "v", 2, oversample=40, tolerance=1e-10)
     rows = [(t + 1, float(found.variances[t]), i + 1, float(x)) for t, axis in enumerate(found.components) for i, x in enumerate(axis)]
     made = spark.createDataFrame(rows, "component int, variance double, place int, loading double")

@@ -113,3 +113,16 @@ def test_equal_variances_settle_by_their_residual(spark):
     found = wide_pca.fit_wide_pca(df, "v", 2, oversample=6, tolerance=1e-10)
     np.testing.assert_allclose(found.variances, [1.0, 1.0], rtol=1e-10)
     np.testing.assert_allclose(found.components @ found.components.T, np.eye(2), atol=1e-10)
+
+
+def test_query_leaves_out_vectors_that_are_null_or_hold_nulls(spark, tmp_root):
+    from tessera import workloads
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 6)) * [5, 3, 1, 1, 1, 1]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [1.0, None, 1.0, 1.0, 1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_root}/odd_vectors/embeddings.parquet")
+    got = {(r["component"], r["place"]): r for r in workloads.QUERIES["wide_pca_embeddings"](spark, f"{tmp_root}/odd_vectors").collect()}
+    want = np.linalg.eigvalsh(np.cov(x.astype(np.float32).astype(float).T))[::-1]
+    assert len(got) == 12
+    assert [got[k, 1]["variance"] for k in (1, 2)] == pytest.approx(want[:2].tolist(), rel=1e-4)
