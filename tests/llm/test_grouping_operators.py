@@ -156,6 +156,38 @@ def test_embeddings_equal_brute_force(spark):
     assert cover_tree.embedding_near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_scattered_blocks_are_compared_by_sketches():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3000, 64))
+    x[1500:1600] = x[:100] + rng.normal(size=(100, 64)) * rng.choice([0.05, 0.4, 0.48], size=(100, 1))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axes = cover_tree.sketch_axes(x, 0.9)
+    s = cover_tree.sketch(x, axes)
+    assert s.shape[1] < 40 and (s @ s.T - x @ x.T).min() > -1e-5
+    a, b = x[:1500], x[1500:]
+    assert (s[:1500] @ s[1500:].T >= 0.9).mean() < 1e-3
+    (order_a, tree_a), (order_b, tree_b) = cover_tree.build(a), cover_tree.build(b)
+    assert len(tree_a) == len(tree_b) == 2  # levels that would rule out nothing are left out
+    i, j = cover_tree.traverse(a[order_a], tree_a, b[order_b], tree_b, 0.9, False, s[:1500][order_a], s[1500:][order_b])
+    assert sorted(zip(order_a[i], order_b[j])) == sorted(zip(*np.nonzero(a @ b.T >= 0.9)))
+
+
+@pytest.mark.parametrize("dim, double", [(64, False), (64, True), (24, None)])
+def test_scattered_embeddings_equal_brute_force(spark, dim, double, monkeypatch):
+    monkeypatch.setattr(cover_tree, "GROUP_BYTES", 8 * dim * 200)  # several blocks a group, many groups
+    x = clustered(900, dim)
+    x = x if double else x.astype("<f4").astype("<f8")
+    if double is None:
+        x[::3] *= 1 + 1e-9  # some vectors have more digits than others
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in cover_tree.embedding_near_duplicates(vectors, block=60, max_centers=6).collect()}
+    units = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = units @ units.T >= 0.9
+    group = reached(900, [(a, b) for a, b in zip(*np.nonzero(near)) if a < b])
+    assert [(got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) for i in range(900)] == [
+        (near[i].sum() - 1, group[i], group[i] == i) for i in range(900)]
+
+
 # Histogram sort -----------------------------------------------------------------
 
 def check_shards(rows, shards):
